@@ -7,8 +7,6 @@ into null, so every conversion here goes through ``try_cast``.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,9 +22,11 @@ def parse_locale_number(col: Column | str, thousands: str = ".",
     This is the intended pt-BR meaning of the text: a separator is never read
     as a decimal point.
     """
-    text = F.regexp_replace(as_col(col), re.escape(thousands), "") if thousands else as_col(col)
+    text = as_col(col)
+    if thousands:  # literal replacement: no regex engine per row
+        text = F.replace(text, F.lit(thousands), F.lit(""))
     if decimal and decimal != ".":
-        text = F.regexp_replace(text, re.escape(decimal), ".")
+        text = F.replace(text, F.lit(decimal), F.lit("."))
     return text.try_cast("double")
 
 
@@ -36,4 +36,4 @@ def parse_digits(col: Column | str) -> Column:
     ``"1.783"`` -> 1783.0, ``" 12,5 "`` -> 12.5, ``-`` -> null.
     """
     kept = F.regexp_replace(as_col(col), "[^0-9,]", "")
-    return F.regexp_replace(kept, ",", ".").try_cast("double")
+    return F.replace(kept, F.lit(","), F.lit(".")).try_cast("double")

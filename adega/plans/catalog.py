@@ -22,7 +22,7 @@ from adega.operators.totals import (
 from adega.plans import oracle as O
 from adega.plans import reports as R
 from adega.session import scratch_path
-from adega.sources.driver_tables import customs_rows, raw_statements, statement_lines, table
+from adega.sources.driver_tables import customs_rows, statement_lines, statement_table, table
 from adega.sources.pages import extract_rows
 from adega.sources.statements import COUNTRY, PRODUCT, QUANTITY, VALUE, YEAR, scan_statements
 from adega.sources.writers import write_statements
@@ -49,7 +49,7 @@ def register(name: str, oracle: str | None):
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_statements(raw_statements(spark, sf_dir))
+    return clean_statements(statement_table(spark, sf_dir))
 
 
 # --- cleaning and parsing -------------------------------------------------------------------------
@@ -73,7 +73,7 @@ SELECT product, year,
        max(value_usd) FILTER (WHERE country = 'Total') AS total_value_usd
 FROM parsed WHERE quantity_kg IS NOT NULL AND value_usd IS NOT NULL GROUP BY product, year"""))
 def q_totals_reconciliation(spark, sf_dir):
-    typed = clean_statements(raw_statements(spark, sf_dir), totals=True)
+    typed = clean_statements(statement_table(spark, sf_dir), totals=True)
     is_total = F.col(COUNTRY) == "Total"
     return typed.groupBy(PRODUCT, YEAR).agg(
         F.sum(F.when(~is_total, F.col(QUANTITY))).alias(QUANTITY),
@@ -88,7 +88,7 @@ def q_totals_reconciliation(spark, sf_dir):
 SELECT product, year, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd, count(*) AS rows
 FROM facts GROUP BY product, year"""))
 def q_csv_roundtrip_totals(spark, sf_dir):
-    path = write_statements(raw_statements(spark, sf_dir), scratch_path(spark, "statements"))
+    path = write_statements(statement_table(spark, sf_dir), scratch_path(spark, "statements"))
     scanned = scan_statements(spark, path, layout="hive")
     return totals_by_product_year(clean_statements(scanned))
 
@@ -116,7 +116,7 @@ def q_totals_by_year_country(spark, sf_dir):
 @register("value_by_year_country_keep_missing", O.sql("""
 SELECT year, country, sum(value_usd) AS value_usd FROM parsed WHERE country <> 'Total' GROUP BY year, country"""))
 def q_value_keep_missing(spark, sf_dir):
-    return value_by_year_country(clean_statements(raw_statements(spark, sf_dir), missing="keep", totals=True))
+    return value_by_year_country(clean_statements(statement_table(spark, sf_dir), missing="keep", totals=True))
 
 
 @register("distinct_years", O.sql("SELECT DISTINCT year FROM facts"))
@@ -143,7 +143,7 @@ SELECT year, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd,
        {O.value_millions('sum(value_usd)')} AS value_label
 FROM facts WHERE country = '{SERIES_COUNTRY}' GROUP BY year"""))
 def q_country_series(spark, sf_dir):
-    return R.country_series(raw_statements(spark, sf_dir), SERIES_COUNTRY)
+    return R.country_series(statement_table(spark, sf_dir), SERIES_COUNTRY)
 
 
 @register("top30_value", O.sql("""
@@ -168,7 +168,7 @@ SELECT country, quantity_kg, value_usd,
 FROM (SELECT country, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd FROM facts GROUP BY country
       ORDER BY value_usd DESC, quantity_kg DESC, country LIMIT 30)"""))
 def q_top30_value_chart(spark, sf_dir):
-    return R.overall_top(raw_statements(spark, sf_dir), 30, VALUE)
+    return R.overall_top(statement_table(spark, sf_dir), 30, VALUE)
 
 
 def _top15_sql(measure: str, other: str) -> str:
@@ -197,7 +197,7 @@ FROM (SELECT year, country, quantity_kg, value_usd,
                   AS INTEGER) AS rank
       FROM yearly QUALIFY rank <= 15)"""))
 def q_chart_rank_table(spark, sf_dir):
-    return R.annual_top(raw_statements(spark, sf_dir), VALUE, 15)
+    return R.annual_top(statement_table(spark, sf_dir), VALUE, 15)
 
 
 @register("top10_series", O.sql("""
@@ -207,7 +207,7 @@ def q_chart_rank_table(spark, sf_dir):
           ORDER BY coalesce(sum(value_usd), 0) DESC, country LIMIT 10)
 SELECT year, country, value_usd FROM annual WHERE country IN (SELECT country FROM top)"""))
 def q_top10_series(spark, sf_dir):
-    return R.top_country_value_series(raw_statements(spark, sf_dir), 10)
+    return R.top_country_value_series(statement_table(spark, sf_dir), 10)
 
 
 @register("rank_year", O.sql(f"""
@@ -215,7 +215,7 @@ SELECT country, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd,
        CAST(row_number() OVER (ORDER BY sum(value_usd) DESC, sum(quantity_kg) DESC, country) AS INTEGER) AS rank
 FROM facts WHERE year = {RANK_YEAR} AND product = '{RANK_PRODUCT}' GROUP BY country"""))
 def q_rank_year(spark, sf_dir):
-    return R.year_ranking(raw_statements(spark, sf_dir), RANK_YEAR, RANK_PRODUCT)[0]
+    return R.year_ranking(statement_table(spark, sf_dir), RANK_YEAR, RANK_PRODUCT)[0]
 
 
 @register("mean_value", O.sql(f"""
@@ -223,7 +223,7 @@ SELECT round(avg(value_usd), 6) AS mean_value_usd FROM (
   SELECT country, sum(value_usd) AS value_usd FROM facts
   WHERE year = {RANK_YEAR} AND product = '{RANK_PRODUCT}' GROUP BY country)"""))
 def q_mean_value(spark, sf_dir):
-    mean = R.year_ranking(raw_statements(spark, sf_dir), RANK_YEAR, RANK_PRODUCT)[1]
+    mean = R.year_ranking(statement_table(spark, sf_dir), RANK_YEAR, RANK_PRODUCT)[1]
     return mean.select(F.round("mean_value_usd", 6).alias("mean_value_usd"))
 
 
@@ -233,7 +233,7 @@ SELECT product, year, sum(value_usd) AS value_usd, sum(quantity_kg) AS quantity_
        {O.grouped('sum(quantity_kg)', 'quantity_table')} AS quantity_label
 FROM facts GROUP BY product, year"""))
 def q_product_totals_by_year(spark, sf_dir):
-    return R.product_year_table(raw_statements(spark, sf_dir))
+    return R.product_year_table(statement_table(spark, sf_dir))
 
 
 # --- unit price -------------------------------------------------------------------------------------
@@ -324,7 +324,7 @@ def q_labels_grouped(spark, sf_dir):
            FROM (SELECT DISTINCT product FROM observed), (SELECT max(year) AS m FROM raw))
 SELECT product, year FROM grid EXCEPT SELECT product, year FROM observed"""))
 def q_missing_periods(spark, sf_dir):
-    return missing_periods(raw_statements(spark, sf_dir), FIRST_EXPECTED_YEAR)
+    return missing_periods(statement_table(spark, sf_dir), FIRST_EXPECTED_YEAR)
 
 
 @register("page_list_rows", """
@@ -343,14 +343,14 @@ def q_page_list_rows(spark, sf_dir):
 SELECT 'Brasil' AS origin, country AS destination, sum(quantity_kg) AS litres, sum(value_usd) AS value_usd
 FROM facts GROUP BY country"""))
 def q_export_summary(spark, sf_dir):
-    return R.export_summary(raw_statements(spark, sf_dir))
+    return R.export_summary(statement_table(spark, sf_dir))
 
 
 @register("last_n_years", O.sql(f"""
 SELECT country, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd FROM facts
 WHERE year > (SELECT max(year) FROM facts) - {RECENT_YEARS} GROUP BY country"""))
 def q_last_n_years(spark, sf_dir):
-    return R.last_n_years(raw_statements(spark, sf_dir), RECENT_YEARS)
+    return R.last_n_years(statement_table(spark, sf_dir), RECENT_YEARS)
 
 
 def queries() -> dict[str, Query]:

@@ -37,7 +37,12 @@ def country_product_report(lines: DataFrame, country: str, products: Sequence[st
 
     ``lines`` is a raw-line table (``product, year, raw_data``).
     """
-    fields = split_line(_products(lines, products), quote_aware=quote_aware)
+    lines = _products(lines, products)
+    if '"' not in country:
+        # a line whose country field contains the needle contains it too: cheap
+        # pre-filter on the raw text before any field is parsed
+        lines = lines.filter(F.lower(F.col("raw_data")).contains(country.lower()))
+    fields = split_line(lines, quote_aware=quote_aware)
     facts = clean_statements(fields, parse="digits", missing="positive", totals=True)
     facts = filter_country_like(facts, country)
     if check:

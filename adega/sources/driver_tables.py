@@ -26,15 +26,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adega.sources.statements import COUNTRY, MISSING_MARK, PRODUCT, QUANTITY, TOTAL_LABEL, VALUE, YEAR
+from adega.sources.materialize import fingerprint, materialized
+from adega.sources.statements import (
+    COUNTRY, MISSING_MARK, PRODUCT, QUANTITY, TOTAL_LABEL, VALUE, YEAR, scan_statements)
+from adega.sources.writers import write_statements
 
 # Masking rule of the fixture (see module docstring).
 MISSING_EVERY = 7
 ZERO_QUANTITY_EVERY = 11
 
 
+STATEMENT_SOURCES = ("lineitem", "orders", "customer", "nation", "region", "part")
+ADAPTER_VERSION = "statements-v1"
+
+
+def table_path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def trade_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,15 +86,48 @@ def _masked(base: DataFrame) -> tuple[Column, Column]:
     return quantity.cast("bigint"), value.cast("bigint")
 
 
+def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joined line items with the masked cell values ``q`` and ``v`` (integers,
+    null = missing): ``product, year, country, via, state, group_code, q, v``."""
+    quantity, value = _masked(base := trade_base(spark, sf_dir))
+    return base.select(PRODUCT, YEAR, COUNTRY, "via", "state", "group_code",
+                       quantity.alias("q"), value.alias("v"))
+
+
+def _key(spark: SparkSession, sf_dir: str) -> str:
+    return fingerprint(spark, [table_path(sf_dir, t) for t in STATEMENT_SOURCES], ADAPTER_VERSION)
+
+
+def cells_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """:func:`raw_cells` ingested once into parquet in the shared scratch folder:
+    the joins run once, and both the statement text and the customs rows are
+    derived from this table."""
+    return materialized(
+        spark, "trade-cells", _key(spark, sf_dir),
+        build=lambda: raw_cells(spark, sf_dir),
+        write=lambda df, path: df.write.mode("overwrite").parquet(path),
+        read=lambda path: spark.read.parquet(path),
+        refresh=refresh)
+
+
 def pt_br(col: Column) -> Column:
-    """Integer -> ``1.234.567``; null -> the missing mark."""
+    """Integer -> ``1.234.567``; null -> the missing mark.  ``col`` is referenced
+    once, so the expression stays small when Catalyst inlines it into a filter."""
     return F.coalesce(F.translate(F.format_number(col, 0), ",", "."), F.lit(MISSING_MARK))
 
 
-def raw_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statement text: ``product, year, country, quantity_kg, value_usd``."""
-    quantity, value = _masked(base := trade_base(spark, sf_dir))
-    cells = base.select(PRODUCT, YEAR, COUNTRY, quantity.alias("q"), value.alias("v"))
+def csv_line(*cols: str) -> Column:
+    """Fields joined by commas; a field holding a comma or quote is quoted (RFC 4180)."""
+    def field(c: str) -> Column:
+        v = F.col(c)
+        return F.when(v.rlike('[",\\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))) \
+            .otherwise(v)
+    return F.concat_ws(",", *[field(c) for c in cols])
+
+
+def statements_from_cells(cells: DataFrame) -> DataFrame:
+    """Statement text ``product, year, country, quantity_kg, value_usd``: one
+    line per cell row plus one ``Total`` line per (product, year)."""
     rows = cells.select(PRODUCT, YEAR, COUNTRY, pt_br(F.col("q")).alias(QUANTITY),
                         pt_br(F.col("v")).alias(VALUE))
     totals = (cells.where(F.col("q").isNotNull())
@@ -93,14 +137,34 @@ def raw_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(totals)
 
 
+def raw_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statement text computed lazily from the benchmark tables."""
+    return statements_from_cells(raw_cells(spark, sf_dir))
+
+
+def statement_table(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """The statement text, ingested once from :func:`cells_table` into a parquet
+    table partitioned by product and year in the shared scratch folder, then
+    scanned.  Scans prune partitions (product/year filters), columns, and row
+    groups (country filters) and never repeat the joins."""
+    return materialized(
+        spark, "statements", _key(spark, sf_dir),
+        build=lambda: statements_from_cells(cells_table(spark, sf_dir)),
+        write=lambda df, path: write_statements(df, path, mode="overwrite", fmt="parquet"),
+        read=lambda path: scan_statements(spark, path, layout="hive", fmt="parquet"),
+        refresh=refresh)
+
+
 def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each statement line as one CSV string ``raw_data`` with product and year."""
-    raw = raw_statements(spark, sf_dir)
-    return raw.select(PRODUCT, YEAR, F.to_csv(F.struct(COUNTRY, QUANTITY, VALUE)).alias("raw_data"))
+    raw = statement_table(spark, sf_dir)
+    return raw.select(PRODUCT, YEAR, csv_line(COUNTRY, QUANTITY, VALUE).alias("raw_data"))
 
 
-def customs_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customs table: ``country, state, group_code, via, net_kg, fob_usd``."""
-    quantity, value = _masked(base := trade_base(spark, sf_dir))
-    return base.select(COUNTRY, "state", "group_code", "via",
-                       quantity.cast("double").alias("net_kg"), value.cast("double").alias("fob_usd"))
+def customs_rows(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """Customs table ``country, state, group_code, via, net_kg, fob_usd`` read
+    from :func:`cells_table`; country/state/group filters reach the parquet
+    reader."""
+    cells = cells_table(spark, sf_dir, refresh)
+    return cells.select(COUNTRY, "state", "group_code", "via",
+                        F.col("q").cast("double").alias("net_kg"), F.col("v").cast("double").alias("fob_usd"))

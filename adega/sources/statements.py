@@ -75,20 +75,24 @@ def _with_flow(df: DataFrame, flow: str | None) -> DataFrame:
 
 def scan_statements(spark: SparkSession, root: str, products: Sequence[str] | None = None, *,
                     flow: str | None = None, layout: str = "files",
-                    encoding: str = "UTF-8") -> DataFrame:
+                    encoding: str = "UTF-8", fmt: str = "csv") -> DataFrame:
     """Read statement CSVs into ``product, year, country, quantity_kg, value_usd``
     (measures still text; see :func:`adega.operators.clean.clean_statements`).
 
     The schema is fixed (no inference pass over the files); quoted country names
-    that contain commas are honoured by the CSV reader.
+    that contain commas are honoured by the CSV reader.  ``fmt='parquet'``
+    reads a columnar copy in the ``hive`` layout.
     """
     reader = (spark.read.option("header", True).option("encoding", encoding)
               .option("mode", "PERMISSIVE"))
     if layout == "hive":
         schema = StructType(STATEMENT_SCHEMA.fields + [
             StructField(PRODUCT, StringType(), True), StructField(YEAR, IntegerType(), True)])
-        df = reader.schema(schema).option("basePath", root).csv(
-            _glob(root, [f"{PRODUCT}={p}" for p in products] if products else None, "*"))
+        paths = _glob(root, [f"{PRODUCT}={p}" for p in products] if products else None, "*")
+        if fmt == "csv":
+            df = reader.schema(schema).option("basePath", root).csv(paths)
+        else:
+            df = spark.read.schema(schema).option("basePath", root).format(fmt).load(paths)
         df = df.select(PRODUCT, YEAR, COUNTRY, QUANTITY, VALUE)
     elif layout == "files":
         raw = reader.schema(FILE_SCHEMA).csv(_glob(root, products, "*.csv"))

@@ -3,27 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from adega.sources.statements import COUNTRY, PRODUCT, QUANTITY, VALUE, YEAR
 
 
-def write_statements(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """Write ``product, year, country, quantity_kg, value_usd`` as CSV under
-    ``path/product=<p>/year=<y>/``, UTF-8 with a header line.
+def write_statements(df: DataFrame, path: str, mode: str = "errorifexists", fmt: str = "csv") -> str:
+    """Write ``product, year, country, quantity_kg, value_usd`` under
+    ``path/product=<p>/year=<y>/``: CSV (UTF-8, header line) like the source
+    files, or ``fmt='parquet'`` for a columnar copy that later scans prune by
+    column and by row-group statistics.
 
     Partitioning by product and year gives one directory per statement, and a
     later year or product filter prunes directories instead of reading them.
-    Rows are range-partitioned on (product, year, row hash) first: each task then
-    writes to one or two statements, and a statement holding a large share of
-    the rows is split over as many tasks as its size needs (the hash is
-    deterministic, so a re-run task writes the same rows).
+    Rows are first rebalanced on (product, year) (``REBALANCE`` hint): each task
+    then writes one statement, AQE merges small statements into fewer tasks and
+    splits a statement that holds a large share of the rows into
+    advisory-sized pieces, without a sampling pass over the input.
     """
-    (df.select(PRODUCT, YEAR, COUNTRY, QUANTITY, VALUE)
-       .repartitionByRange(PRODUCT, YEAR, F.xxhash64(COUNTRY, QUANTITY, VALUE))
-       .write.mode(mode)
-       .partitionBy(PRODUCT, YEAR)
-       .option("header", True)
-       .option("encoding", "UTF-8")
-       .csv(path))
+    writer = (df.select(PRODUCT, YEAR, COUNTRY, QUANTITY, VALUE)
+              .hint("rebalance", PRODUCT, YEAR)
+              .write.mode(mode)
+              .partitionBy(PRODUCT, YEAR))
+    if fmt == "csv":
+        writer.option("header", True).option("encoding", "UTF-8").csv(path)
+    else:
+        writer.format(fmt).save(path)
     return path
