@@ -56,7 +56,7 @@ def top_country_series(annual: DataFrame, n: int = 10, value: str = VALUE) -> Da
               .orderBy(F.desc("cumulative"), F.asc(COUNTRY))
               .limit(n)
               .select(COUNTRY))
-    return annual.join(F.broadcast(ranked), COUNTRY, "left_semi")
+    return annual.join(F.broadcast(ranked), COUNTRY, "left_semi").select(*annual.columns)
 
 
 def rank_year(facts: DataFrame, year: int, product: str | None = None,
