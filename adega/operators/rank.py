@@ -48,15 +48,18 @@ def top_country_series(annual: DataFrame, n: int = 10, value: str = VALUE) -> Da
     """All yearly rows of the ``n`` countries with the largest cumulative value
     (a missing yearly value counts as zero).
 
-    The top list is at most ``n`` rows by construction, so it is broadcast into a
-    left-semi join: the yearly table is not shuffled again.
+    One pass over ``annual``: the cumulative value is a window partitioned by
+    country, and countries are ranked with ``dense_rank`` over (cumulative desc,
+    country), so every year of a country shares its rank.  ``annual`` is already
+    aggregated to one row per (year, country), so the ranking window holds at most
+    countries x years rows whatever the size of the statements behind it; the
+    input is scanned and shuffled once (a broadcast top-N join would read it twice).
     """
-    ranked = (annual.groupBy(COUNTRY)
-              .agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("cumulative"))
-              .orderBy(F.desc("cumulative"), F.asc(COUNTRY))
-              .limit(n)
-              .select(COUNTRY))
-    return annual.join(F.broadcast(ranked), COUNTRY, "left_semi").select(*annual.columns)
+    cumulative = F.coalesce(F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(Window.partitionBy(COUNTRY)),
+                            F.lit(0.0))
+    ranked = annual.withColumn("_cumulative", cumulative).withColumn(
+        "_rank", F.dense_rank().over(Window.orderBy(F.desc("_cumulative"), F.asc(COUNTRY))))
+    return ranked.filter(F.col("_rank") <= n).select(*annual.columns)
 
 
 def rank_year(facts: DataFrame, year: int, product: str | None = None,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from adega.functions import labels as L
 from adega.operators.clean import clean_statements, filter_country, split_line
 from adega.operators.coverage import missing_periods, union_all
+from adega.operators.present import series_table
 from adega.operators.rank import top_countries, top_per_year
 from adega.operators.totals import (
     distinct_years, totals_by_country, totals_by_product_year, totals_by_year, totals_by_year_country,
@@ -24,7 +25,7 @@ from adega.plans import reports as R
 from adega.session import scratch_path
 from adega.sources.driver_tables import customs_rows, statement_lines, statement_table, table
 from adega.sources.pages import extract_rows
-from adega.sources.statements import COUNTRY, PRODUCT, QUANTITY, VALUE, YEAR, scan_statements
+from adega.sources.statements import COUNTRY, PRODUCT, QUANTITY, VALUE, YEAR, scan_lines, scan_statements
 from adega.sources.writers import write_statements
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +94,15 @@ def q_csv_roundtrip_totals(spark, sf_dir):
     return totals_by_product_year(clean_statements(scanned))
 
 
+@register("lines_roundtrip_totals", O.sql("""
+SELECT product, year, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd, count(*) AS rows
+FROM facts GROUP BY product, year"""))
+def q_lines_roundtrip_totals(spark, sf_dir):
+    path = write_statements(statement_table(spark, sf_dir), scratch_path(spark, "statement-lines"))
+    fields = split_line(scan_lines(spark, path, layout="hive"))
+    return totals_by_product_year(clean_statements(fields, parse="digits"))
+
+
 @register("union_products", O.sql("""
 SELECT * FROM facts WHERE product < 'N' UNION ALL SELECT * FROM facts WHERE product >= 'N'"""))
 def q_union_products(spark, sf_dir):
@@ -146,6 +156,18 @@ def q_country_series(spark, sf_dir):
     return R.country_series(statement_table(spark, sf_dir), SERIES_COUNTRY)
 
 
+@register("country_series_long", O.sql(f"""
+, series AS (SELECT year, sum(quantity_kg) AS q, sum(value_usd) AS v FROM facts
+             WHERE country = '{SERIES_COUNTRY}' GROUP BY year)
+SELECT year, 'quantity_kg' AS measure, q AS amount, {O.quantity_millions('q')} AS label FROM series
+UNION ALL
+SELECT year, 'value_usd' AS measure, v AS amount, {O.value_millions('v')} AS label FROM series"""))
+def q_country_series_long(spark, sf_dir):
+    series = R.country_series(statement_table(spark, sf_dir), SERIES_COUNTRY)
+    return series_table(series, [QUANTITY, VALUE], {QUANTITY: L.label_quantity_millions(QUANTITY),
+                                                    VALUE: L.label_value_millions(VALUE)})
+
+
 @register("top30_value", O.sql("""
 SELECT country, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd FROM facts GROUP BY country
 ORDER BY value_usd DESC, quantity_kg DESC, country LIMIT 30"""))
@@ -200,6 +222,18 @@ def q_chart_rank_table(spark, sf_dir):
     return R.annual_top(statement_table(spark, sf_dir), VALUE, 15)
 
 
+@register("chart_rank_table_quantity", O.sql(f"""
+SELECT year, country, quantity_kg, value_usd, rank, CAST(rank - 1 AS INTEGER) AS bar_index,
+       quantity_kg * 1.01 AS label_x, max(quantity_kg) OVER (PARTITION BY year) * 1.2 AS axis_max,
+       {O.quantity_millions('quantity_kg')} AS label
+FROM (SELECT year, country, quantity_kg, value_usd,
+             CAST(row_number() OVER (PARTITION BY year ORDER BY quantity_kg DESC, value_usd DESC, country)
+                  AS INTEGER) AS rank
+      FROM yearly QUALIFY rank <= 15)"""))
+def q_chart_rank_table_quantity(spark, sf_dir):
+    return R.annual_top(statement_table(spark, sf_dir), QUANTITY, 15)
+
+
 @register("top10_series", O.sql("""
 , annual AS (SELECT year, country, sum(value_usd) AS value_usd FROM parsed WHERE country <> 'Total'
              GROUP BY year, country),

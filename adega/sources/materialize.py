@@ -41,12 +41,23 @@ def fingerprint(spark: SparkSession, paths: Sequence[str], salt: str = "") -> st
     return digest.hexdigest()[:16]
 
 
+_SCANS: dict[tuple[str, str], DataFrame] = {}
+
+
 def materialized(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame],
                  write: Callable[[DataFrame, str], object], read: Callable[[str], DataFrame],
                  refresh: bool = False) -> DataFrame:
     """Read ``<scratch>/<name>-<key>``, writing it from ``build()`` first if it is
-    not complete yet (or always, with ``refresh``)."""
+    not complete yet (or always, with ``refresh``).
+
+    The written table never changes under its name, so the scan DataFrame (and
+    with it the file listing and partition discovery) is kept per application and
+    reused by later calls; a rebuild replaces it."""
     path = f"{scratch_dir(spark)}/{name}-{key}"
+    slot = (spark.sparkContext.applicationId, path)
     if refresh or not path_exists(spark, f"{path}/_SUCCESS"):
+        _SCANS.pop(slot, None)
         write(build(), path)
-    return read(path)
+    if slot not in _SCANS:
+        _SCANS[slot] = read(path)
+    return _SCANS[slot]

@@ -109,15 +109,25 @@ def scan_statements(spark: SparkSession, root: str, products: Sequence[str] | No
 
 
 def scan_lines(spark: SparkSession, root: str, products: Sequence[str] | None = None, *,
-               encoding: str = "UTF-8", flow: str | None = None) -> DataFrame:
+               encoding: str = "UTF-8", flow: str | None = None, layout: str = "files") -> DataFrame:
     """Each data line of the statement files as one string ``raw_data`` (header
-    skipped, quotes kept verbatim), with ``product`` and ``year`` from the path.
+    skipped, quotes kept verbatim), with ``product`` and ``year`` from the path
+    (``layout='files'``) or from hive partitions (``layout='hive'``).
 
     ``encoding`` defaults to UTF-8, which is what the files are; pass
     ``"ISO-8859-1"`` to reproduce a Latin-1 reading.
     """
-    raw = (spark.read.schema(LINE_SCHEMA).option("header", True).option("sep", "\n")
-           .option("quote", "").option("encoding", encoding)
-           .csv(_glob(root, products, "*.csv")))
-    df = raw.select(product_from_path().alias(PRODUCT), year_from_path().alias(YEAR), "raw_data")
+    reader = (spark.read.option("header", True).option("sep", "\n")
+              .option("quote", "").option("encoding", encoding))
+    if layout == "hive":
+        schema = StructType(LINE_SCHEMA.fields + [
+            StructField(PRODUCT, StringType(), True), StructField(YEAR, IntegerType(), True)])
+        raw = reader.schema(schema).option("basePath", root).csv(
+            _glob(root, [f"{PRODUCT}={p}" for p in products] if products else None, "*"))
+        df = raw.select(PRODUCT, YEAR, "raw_data")
+    elif layout == "files":
+        raw = reader.schema(LINE_SCHEMA).csv(_glob(root, products, "*.csv"))
+        df = raw.select(product_from_path().alias(PRODUCT), year_from_path().alias(YEAR), "raw_data")
+    else:
+        raise ValueError(f"unknown layout {layout!r}")
     return _with_flow(df, flow)
