@@ -26,9 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adega.sources.materialize import fingerprint, materialized
+from adega.sources.materialize import ensure_written, fingerprint, materialized
 from adega.sources.statements import (
-    COUNTRY, MISSING_MARK, PRODUCT, QUANTITY, TOTAL_LABEL, VALUE, YEAR, scan_statements)
+    COUNTRY, MISSING_MARK, PRODUCT, QUANTITY, TOTAL_LABEL, VALUE, YEAR, scan_lines, scan_statements)
 from adega.sources.writers import write_statements
 
 # Masking rule of the fixture (see module docstring).
@@ -116,15 +116,6 @@ def pt_br(col: Column) -> Column:
     return F.coalesce(F.translate(F.format_number(col, 0), ",", "."), F.lit(MISSING_MARK))
 
 
-def csv_line(*cols: str) -> Column:
-    """Fields joined by commas; a field holding a comma or quote is quoted (RFC 4180)."""
-    def field(c: str) -> Column:
-        v = F.col(c)
-        return F.when(v.rlike('[",\\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))) \
-            .otherwise(v)
-    return F.concat_ws(",", *[field(c) for c in cols])
-
-
 def statements_from_cells(cells: DataFrame) -> DataFrame:
     """Statement text ``product, year, country, quantity_kg, value_usd``: one
     line per cell row plus one ``Total`` line per (product, year)."""
@@ -155,10 +146,20 @@ def statement_table(spark: SparkSession, sf_dir: str, refresh: bool = False) ->
         refresh=refresh)
 
 
+def statement_files(spark: SparkSession, sf_dir: str, refresh: bool = False) -> str:
+    """Path of the statement text written once as CSV files (one folder per
+    product and year, header line, quoting where needed), like the files the
+    statistics site publishes."""
+    return ensure_written(spark, "statement-files", _key(spark, sf_dir),
+                          build=lambda: statement_table(spark, sf_dir),
+                          write=lambda df, path: write_statements(df, path, mode="overwrite", fmt="csv"),
+                          refresh=refresh)
+
+
 def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each statement line as one CSV string ``raw_data`` with product and year."""
-    raw = statement_table(spark, sf_dir)
-    return raw.select(PRODUCT, YEAR, csv_line(COUNTRY, QUANTITY, VALUE).alias("raw_data"))
+    """Each statement line as one string ``raw_data`` with product and year: the
+    CSV statement files read line by line with :func:`scan_lines`."""
+    return scan_lines(spark, statement_files(spark, sf_dir), layout="hive")
 
 
 def customs_rows(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:

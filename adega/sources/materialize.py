@@ -12,6 +12,7 @@ present only once its ``_SUCCESS`` marker exists.
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,22 +43,32 @@ def fingerprint(spark: SparkSession, paths: Sequence[str], salt: str = "") -> st
 
 
 _SCANS: dict[tuple[str, str], DataFrame] = {}
+_LOCK = threading.RLock()  # one writer per table when a driver runs queries from several threads
+
+
+def ensure_written(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame],
+                   write: Callable[[DataFrame, str], object], refresh: bool = False) -> str:
+    """Path ``<scratch>/<name>-<key>``, written from ``build()`` first if it is
+    not complete yet (or always, with ``refresh``)."""
+    path = f"{scratch_dir(spark)}/{name}-{key}"
+    with _LOCK:
+        if refresh or not path_exists(spark, f"{path}/_SUCCESS"):
+            _SCANS.pop((spark.sparkContext.applicationId, path), None)
+            write(build(), path)
+    return path
 
 
 def materialized(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame],
                  write: Callable[[DataFrame, str], object], read: Callable[[str], DataFrame],
                  refresh: bool = False) -> DataFrame:
-    """Read ``<scratch>/<name>-<key>``, writing it from ``build()`` first if it is
-    not complete yet (or always, with ``refresh``).
+    """Scan of :func:`ensure_written`'s table.
 
     The written table never changes under its name, so the scan DataFrame (and
     with it the file listing and partition discovery) is kept per application and
     reused by later calls; a rebuild replaces it."""
-    path = f"{scratch_dir(spark)}/{name}-{key}"
+    path = ensure_written(spark, name, key, build, write, refresh)
     slot = (spark.sparkContext.applicationId, path)
-    if refresh or not path_exists(spark, f"{path}/_SUCCESS"):
-        _SCANS.pop(slot, None)
-        write(build(), path)
-    if slot not in _SCANS:
-        _SCANS[slot] = read(path)
-    return _SCANS[slot]
+    with _LOCK:
+        if slot not in _SCANS:
+            _SCANS[slot] = read(path)
+        return _SCANS[slot]

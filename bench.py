@@ -21,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from adega.plans import catalog  # noqa: E402
 from adega.session import build_session  # noqa: E402
-from adega.sources.driver_tables import cells_table, statement_table  # noqa: E402
+from adega.sources.driver_tables import cells_table, statement_files, statement_table  # noqa: E402
 
 
 def main() -> None:
@@ -43,9 +43,11 @@ def main() -> None:
         queries["top30_value"](spark, smoke).write.format("noop").mode("overwrite").save()
 
     timings: dict[str, float] = {}
-    # ingest: the joined cells, then the statement text rendered from them, each
-    # written once to the scratch folder; every query below scans these tables
-    for name, ingest in (("ingest_cells", cells_table), ("ingest_statements", statement_table)):
+    # ingest: the joined cells, the statement text rendered from them (parquet) and
+    # the same text as CSV statement files, each written once to the scratch
+    # folder; every query below scans these tables
+    for name, ingest in (("ingest_cells", cells_table), ("ingest_statements", statement_table),
+                         ("ingest_statement_files", statement_files)):
         t0 = time.perf_counter()
         ingest(spark, sf_dir, refresh=True)
         timings[name] = round(time.perf_counter() - t0, 3)
