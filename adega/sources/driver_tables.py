@@ -16,7 +16,8 @@ from this text so they run the real parsing path.
 
 Join plan: nation and region (fixed 25 and 5 rows) are joined to customers
 first, customers to orders, and that order dimension to line items on the
-order key; parts join last on the part key.  Catalyst prunes every column the
+order key (a sort-merge join: both sides grow with the data); parts join last
+on the part key.  Catalyst prunes every column the
 query does not use; AQE turns a join into a broadcast only when the measured
 side is under the broadcast threshold and splits skewed join partitions.
 """
@@ -63,7 +64,11 @@ def trade_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
                                  "l_extendedprice", "l_returnflag")
     parts = t("part").select("p_partkey", "p_type", "p_size")
-    rows = (lines.join(order_dim, F.col("l_orderkey") == F.col("o_orderkey"))
+    # fact-to-fact join: both sides grow with the data, so it is a sort-merge join
+    # on the order key (AQE still splits skewed partitions); without the hint the
+    # planner's product-of-inputs size estimate for the order dimension can make it
+    # broadcast the line items instead
+    rows = (lines.join(order_dim.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(parts, F.col("l_partkey") == F.col("p_partkey")))
     return rows.select(
         F.col("n_name").alias(COUNTRY),

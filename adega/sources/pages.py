@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from adega.functions.lookup import map_values
+from adega.session import spread
 
 _SKIP_TEXT = {"script", "style", "template"}
 
@@ -135,14 +136,6 @@ def extract_rows(pages: DataFrame, row_tag: str = "tr", cell_tags: Sequence[str]
     return source.mapInPandas(explode_pages, schema)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when the scan yields fewer
-    partitions than cores (a small table in one file or row group); a large,
-    already well-split input is left as it is, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def cells_to_columns(rows: DataFrame, names: Sequence[str], cells_col: str = "cells") -> DataFrame:
     """Positional cells -> named columns; a short (ragged) row gives nulls."""
     keep = [c for c in rows.columns if c != cells_col]

@@ -1,7 +1,8 @@
 """Benchmark: run every catalog query at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
 Each query is executed in full with the ``noop`` sink (every row is produced,
-nothing is pulled to the driver).  A warm-up query on the smallest tables runs
+nothing is pulled to the driver), $BENCH_REPEAT times (default 3); the median
+is reported.  A warm-up query on the smallest tables runs
 first so JVM start-up and code generation are not charged to the timings; the
 one-time ingest of the statement and customs tables is timed as its own entry.  Prints one JSON line:
 ``{"metric", "value" (sum of query seconds), "unit", "queries", "sf", ...}``.
@@ -27,7 +28,7 @@ from adega.sources.driver_tables import cells_table, statement_files, statement_
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "1"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     spark = build_session(f"local[{cpus}]", app_name="adega-bench", shuffle_partitions=int(cpus) * 2,
                           conf={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
