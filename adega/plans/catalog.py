@@ -150,7 +150,7 @@ def q_country_products_by_year(spark, sf_dir):
 @register("country_series", O.sql(f"""
 SELECT year, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd,
        {O.quantity_millions('sum(quantity_kg)')} AS quantity_label,
-       {O.value_millions('sum(value_usd)')} AS value_label
+       {O.value_millions('sum(value_usd)')} AS value_label, sum(value_usd) * 1.05 AS value_label_y
 FROM facts WHERE country = '{SERIES_COUNTRY}' GROUP BY year"""))
 def q_country_series(spark, sf_dir):
     return R.country_series(statement_table(spark, sf_dir), SERIES_COUNTRY)

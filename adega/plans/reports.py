@@ -55,17 +55,19 @@ def country_product_report(lines: DataFrame, country: str, products: Sequence[st
 
 
 def country_series(statements: DataFrame, country: str, products: Sequence[str] | None = None,
-                   check: bool = False) -> DataFrame:
+                   check: bool = False, label_lift: float = 0.05) -> DataFrame:
     """Yearly quantity and value of one exact country over the products, with
-    million/billion labels.  The country filter runs before the aggregate (and
-    reaches the scan)."""
+    million/billion labels and the height of the value label on the line chart
+    (value x 1.05).  The country filter runs before the aggregate (and reaches
+    the scan)."""
     facts = filter_country(clean_statements(_products(statements, products)), country)
     if check:
         require_rows(facts, f"no rows for country {country!r}")
     return (totals_by_year(facts, ordered=False)
             .select(YEAR, QUANTITY, VALUE,
                     label_quantity_millions(QUANTITY).alias("quantity_label"),
-                    label_value_millions(VALUE).alias("value_label"))
+                    label_value_millions(VALUE).alias("value_label"),
+                    (F.col(VALUE) * F.lit(1.0 + label_lift)).alias("value_label_y"))
             .orderBy(YEAR))
 
 
