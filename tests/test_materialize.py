@@ -1,0 +1,61 @@
+import os
+import tempfile
+import time
+
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
+from adega.sources.driver_tables import pt_br, statements_from_cells
+from adega.sources.materialize import fingerprint, materialized
+from adega.sources.statements import scan_statements
+from adega.sources.writers import write_statements
+from tests.conftest import IMPORT_PRODUCTS, IMPORT_ROOT, rows
+
+
+def test_materialized_builds_once_and_refreshes(spark):
+    builds = []
+
+    def build():
+        builds.append(1)
+        return spark.range(5).withColumnRenamed("id", "x")
+
+    key = f"t{time.time_ns()}"
+    write = lambda df, path: df.write.mode("overwrite").parquet(path)
+    read = lambda path: spark.read.parquet(path)
+    first = materialized(spark, "unit", key, build, write, read)
+    second = materialized(spark, "unit", key, build, write, read)
+    assert first.count() == second.count() == 5 and len(builds) == 1
+    materialized(spark, "unit", key, build, write, read, refresh=True)
+    assert len(builds) == 2
+
+
+def test_fingerprint_follows_input_changes(spark):
+    folder = tempfile.mkdtemp(prefix="adega-fp-")
+    path = os.path.join(folder, "t.parquet")
+    spark.range(3).write.parquet(path)
+    before = fingerprint(spark, [path], "v")
+    assert fingerprint(spark, [path], "v") == before
+    assert fingerprint(spark, [path], "other") != before
+    spark.range(10).write.mode("overwrite").parquet(path)
+    assert fingerprint(spark, [path], "v") != before
+
+
+def test_written_parquet_is_sorted_by_country_within_files(spark):
+    src = scan_statements(spark, IMPORT_ROOT, IMPORT_PRODUCTS)
+    path = write_statements(src, tempfile.mkdtemp(prefix="adega-sorted-") + "/out", fmt="parquet")
+    files = [os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")]
+    assert files
+    for f in files:
+        countries = pq.read_table(f, columns=["country"]).column("country").to_pylist()
+        assert countries == sorted(countries)
+
+
+def test_pt_br_and_statement_shape(spark):
+    cells = spark.createDataFrame(
+        [("P", 2000, "A", 1234567, 2500), ("P", 2000, "B", None, None), ("P", 2000, "C", 0, 7)],
+        "product string, year int, country string, q bigint, v bigint")
+    got = sorted(rows(statements_from_cells(cells), "country", "quantity_kg", "value_usd"))
+    assert got == [("A", "1.234.567", "2.500"), ("B", "-", "-"), ("C", "0", "7"),
+                   ("Total", "1.234.567", "2.507")]
+    big = spark.createDataFrame([(9223372036854775807,), (999,)], "x bigint")
+    assert rows(big.select(pt_br(F.col("x")))) == [("9.223.372.036.854.775.807",), ("999",)]
