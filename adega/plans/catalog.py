@@ -382,7 +382,7 @@ def q_export_summary(spark, sf_dir):
 
 @register("last_n_years", O.sql(f"""
 SELECT country, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd FROM facts
-WHERE year > (SELECT max(year) FROM facts) - {RECENT_YEARS} GROUP BY country"""))
+WHERE year > (SELECT max(year) FROM raw) - {RECENT_YEARS} GROUP BY country"""))
 def q_last_n_years(spark, sf_dir):
     return R.last_n_years(statement_table(spark, sf_dir), RECENT_YEARS)
 

@@ -131,9 +131,10 @@ def export_summary(statements: DataFrame, origin: str = "Brasil") -> DataFrame:
 
 
 def last_n_years(statements: DataFrame, n: int = 15) -> DataFrame:
-    """Per-country totals over the latest ``n`` years present in the data.  The
-    latest year is a scalar subquery, so the bound is read once and the
-    year predicate is applied at the scan."""
-    facts = clean_statements(statements)
-    latest = facts.agg(F.max(YEAR)).scalar()
-    return totals_by_country(facts.filter(F.col(YEAR) > latest - F.lit(n)))
+    """Per-country totals over the latest ``n`` statement years.  The latest
+    year is a scalar subquery over the statements' year column alone (a
+    partition column in the hive layout, so no data column is read); it is
+    evaluated once and the year predicate is applied at the scan."""
+    latest = statements.agg(F.max(YEAR)).scalar()
+    facts = clean_statements(statements.filter(F.col(YEAR) > latest - F.lit(n)))
+    return totals_by_country(facts)

@@ -21,6 +21,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # whole web pages travel to Python in Arrow batches: keep a batch to 1,000 rows
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
