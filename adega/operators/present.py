@@ -12,16 +12,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adega.sources.statements import COUNTRY, YEAR
+from adega.operators.rank import display_order
+from adega.sources.statements import YEAR
 
 
 def chart_table(df: DataFrame, measure: str, label: Column, *,
                 partition_by: Sequence[str] = (), order_by: Sequence[Column] | None = None,
                 label_offset: float = 0.01, bound_factor: float = 1.2) -> DataFrame:
-    """Add ``bar_index`` (0-based position in display order), ``label_x``
+    """Add ``bar_index`` (0-based position in the ranking order of
+    :func:`adega.operators.rank.display_order` unless ``order_by`` is given), ``label_x``
     (measure x (1 + offset)), ``axis_max`` (largest measure of the panel x
     factor) and ``label``."""
-    order = list(order_by) if order_by else [F.desc_nulls_last(measure), F.asc(COUNTRY)]
+    order = list(order_by) if order_by else display_order(df, measure)
     ordered = Window.partitionBy(*partition_by).orderBy(*order)
     panel = Window.partitionBy(*partition_by)
     return df.select(

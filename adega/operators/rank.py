@@ -17,7 +17,9 @@ def _other(measure: str) -> str:
     return QUANTITY if measure == VALUE else VALUE
 
 
-def _order(df: DataFrame, measure: str):
+def display_order(df: DataFrame, measure: str):
+    """Total order of a ranking: measure desc, the other measure desc (when the
+    frame has it), country asc."""
     keys = [F.desc_nulls_last(measure)]
     if _other(measure) in df.columns:
         keys.append(F.desc_nulls_last(_other(measure)))
@@ -30,7 +32,7 @@ def top_countries(totals: DataFrame, n: int = 30, by: str = VALUE) -> DataFrame:
     ``orderBy + limit`` plans as ``TakeOrderedAndProject``: each task keeps its
     own top ``n`` and only those rows travel, whatever the input size.
     """
-    return totals.orderBy(*_order(totals, by)).limit(n)
+    return totals.orderBy(*display_order(totals, by)).limit(n)
 
 
 def top_per_year(yearly: DataFrame, measure: str = VALUE, n: int = 15) -> DataFrame:
@@ -40,7 +42,7 @@ def top_per_year(yearly: DataFrame, measure: str = VALUE, n: int = 15) -> DataFr
     ``row_number() <= n`` lets Spark add a partial ``WindowGroupLimit`` before
     the shuffle, so at most ``n`` rows per year and task are exchanged.
     """
-    w = Window.partitionBy(YEAR).orderBy(*_order(yearly, measure))
+    w = Window.partitionBy(YEAR).orderBy(*display_order(yearly, measure))
     return yearly.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
@@ -71,4 +73,4 @@ def rank_year(facts: DataFrame, year: int, product: str | None = None,
     if product is not None:
         cond = cond & (F.col(PRODUCT) == F.lit(product))
     totals = totals_by_country(facts.filter(cond))
-    return totals.withColumn("rank", F.row_number().over(Window.orderBy(*_order(totals, measure))))
+    return totals.withColumn("rank", F.row_number().over(Window.orderBy(*display_order(totals, measure))))

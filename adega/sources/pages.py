@@ -32,11 +32,12 @@ class _RowCollector(HTMLParser):
     def __init__(self, row_tag: str, cell_tags: Sequence[str]):
         super().__init__(convert_charrefs=True)
         self.row_tag, self.cell_tags = row_tag, set(cell_tags)
-        self.rows: list[tuple[int, list[str]]] = []
-        self._open: list[list] = []   # stack of [start_index, cells, open_cell_chunks | None]
+        self.rows: list[tuple[int, int | None, list[str]]] = []
+        self._open: list[list] = []   # stack of [start_index, cells, open_cell_chunks | None, table_no]
         self._started = 0
         self._skip = 0
-        self._tables: list[int] = []  # open-row depth at each open <table>
+        self._tables: list[tuple[int, int]] = []  # (open-row depth, table number) of each open <table>
+        self._table_count = 0
 
     def _close_cell(self, row):
         if row[2] is not None:
@@ -46,15 +47,16 @@ class _RowCollector(HTMLParser):
     def _close_row(self):
         row = self._open.pop()
         self._close_cell(row)
-        self.rows.append((row[0], row[1]))
+        self.rows.append((row[0], row[3], row[1]))
 
     def handle_starttag(self, tag, attrs):
         if tag in _SKIP_TEXT:
             self._skip += 1
         elif tag == "table":
-            self._tables.append(len(self._open))
+            self._tables.append((len(self._open), self._table_count))
+            self._table_count += 1
         elif tag == self.row_tag:
-            self._open.append([self._started, [], None])
+            self._open.append([self._started, [], None, self._tables[-1][1] if self._tables else None])
             self._started += 1
         elif tag in self.cell_tags and self._open:
             row = self._open[-1]
@@ -65,7 +67,7 @@ class _RowCollector(HTMLParser):
         if tag in _SKIP_TEXT:
             self._skip = max(0, self._skip - 1)
         elif tag == "table" and self._tables:
-            depth = self._tables.pop()
+            depth, _ = self._tables.pop()
             while len(self._open) > depth:  # rows left open end with their table
                 self._close_row()
         elif tag == self.row_tag and self._open:
@@ -81,16 +83,17 @@ class _RowCollector(HTMLParser):
         if chunks is not None and text:
             chunks.append(text)
 
-    def finish(self) -> list[list[str]]:
+    def finish(self) -> list[tuple[int | None, list[str]]]:
         self.close()
         while self._open:
             self._close_row()
-        return [cells for _, cells in sorted(self.rows, key=lambda r: r[0])]
+        return [(table_no, cells) for _, table_no, cells in sorted(self.rows, key=lambda r: r[0])]
 
 
-def rows_of_page(html: str | None, row_tag: str = "tr",
-                 cell_tags: Sequence[str] = ("th", "td")) -> list[list[str]]:
-    """Rows of one page as lists of stripped cell texts (empty list on bad input)."""
+def table_rows_of_page(html: str | None, row_tag: str = "tr",
+                       cell_tags: Sequence[str] = ("th", "td")) -> list[tuple[int | None, list[str]]]:
+    """Rows of one page as (number of the innermost enclosing ``<table>`` in
+    document order, or None; stripped cell texts).  Empty on bad input."""
     if not html:
         return []
     try:
@@ -101,11 +104,19 @@ def rows_of_page(html: str | None, row_tag: str = "tr",
         return []
 
 
+def rows_of_page(html: str | None, row_tag: str = "tr",
+                 cell_tags: Sequence[str] = ("th", "td")) -> list[list[str]]:
+    """Rows of one page as lists of stripped cell texts (empty list on bad input)."""
+    return [cells for _, cells in table_rows_of_page(html, row_tag, cell_tags)]
+
+
 def extract_rows(pages: DataFrame, row_tag: str = "tr", cell_tags: Sequence[str] = ("th", "td"), *,
                  id_col: str = "page_id", html_col: str = "html",
                  carry: Sequence[str] = ()) -> DataFrame:
-    """``(page_id, *carry, row_no, cells array<string>)``: one output row per
-    table row, ``row_no`` counting the rows of a page from 0 in document order.
+    """``(page_id, *carry, row_no, table_no, table_row_no, cells array<string>)``:
+    one output row per table row, ``row_no`` counting the rows of a page from 0 in
+    document order, ``table_no`` the innermost enclosing ``<table>`` (0-based,
+    null outside tables) and ``table_row_no`` the row's position in that table.
 
     Pages are processed independently, so the work spreads over the input
     partitions without a shuffle; only the id, ``carry`` and html columns go to
@@ -115,20 +126,29 @@ def extract_rows(pages: DataFrame, row_tag: str = "tr", cell_tags: Sequence[str]
     carried = [pages.schema[c] for c in carry]
     schema = StructType([StructField(id_col, LongType(), True), *carried,
                          StructField("row_no", IntegerType(), False),
+                         StructField("table_no", IntegerType(), True),
+                         StructField("table_row_no", IntegerType(), True),
                          StructField("cells", ArrayType(StringType(), True), True)])
     tag, cells_tags = row_tag.lower(), tuple(t.lower() for t in cell_tags)
     out_cols = [id_col, *carry]
 
     def explode_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            picks, nos, cells = [], [], []
+            picks, nos, tables, in_table, cells = [], [], [], [], []
             for i, html in enumerate(batch[html_col]):
-                for no, row in enumerate(rows_of_page(html, tag, cells_tags)):
+                seen: dict[int, int] = {}
+                for no, (table_no, row) in enumerate(table_rows_of_page(html, tag, cells_tags)):
                     picks.append(i)
                     nos.append(no)
+                    tables.append(table_no)
+                    in_table.append(None if table_no is None else seen.get(table_no, 0))
+                    if table_no is not None:
+                        seen[table_no] = seen.get(table_no, 0) + 1
                     cells.append(row)
             out = batch[out_cols].iloc[picks].reset_index(drop=True)
             out["row_no"] = pd.Series(nos, dtype="int32")
+            out["table_no"] = pd.Series(tables, dtype="Int32")
+            out["table_row_no"] = pd.Series(in_table, dtype="Int32")
             out["cells"] = pd.Series(cells, dtype=object)
             yield out
 
@@ -150,17 +170,20 @@ IMPORT_PRODUCT_CODES = {"01": "table_wine", "02": "foaming_wine", "03": "fresh_g
 
 
 def pages_to_statements(pages: DataFrame, product_codes: dict[str, str] | None = None, *,
-                        skip_header: bool = True) -> DataFrame:
+                        table_no: int | None = None, skip_header: bool = True) -> DataFrame:
     """Statement tables scraped into pages -> ``product, year, country,
     quantity_kg, value_usd`` (text measures, ready for ``clean_statements``).
 
-    Year and product come from the page URL (``ano=`` and ``subopcao=subopt_NN``);
+    Year and product come from the page URL (``ano=`` and ``subopcao=subopt_NN``).
+    ``table_no`` keeps the rows of one table of the page (all tables when None);
     the first row of each table (its header) is dropped when ``skip_header``.
     """
     codes = product_codes or EXPORT_PRODUCT_CODES
     rows = extract_rows(pages, "tr", ("th", "td"), carry=("url",))
+    if table_no is not None:
+        rows = rows.filter(F.col("table_no") == F.lit(table_no))
     if skip_header:
-        rows = rows.filter(F.col("row_no") > 0)
+        rows = rows.filter(F.col("table_row_no") > 0)
     code = F.regexp_extract("url", r"subopcao=subopt_(\d+)", 1)
     return cells_to_columns(rows, ["country", "quantity_kg", "value_usd"]).select(
         map_values(code, codes).alias("product"),

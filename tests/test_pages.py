@@ -42,7 +42,8 @@ def test_list_rows():
 def test_extract_rows_and_cells_to_columns(spark):
     pages = spark.createDataFrame([(1, "u", TABLE), (2, "v", "<p>none</p>")], "page_id long, url string, html string")
     extracted = extract_rows(pages)
-    assert extracted.columns == ["page_id", "row_no", "cells"]
+    assert extracted.columns == ["page_id", "row_no", "table_no", "table_row_no", "cells"]
+    assert rows(extracted.select("table_no").distinct()) == [(0,)]
     assert extracted.count() == 6
     cols = cells_to_columns(extracted.filter("row_no = 4"), ["country", "quantity_kg", "value_usd"])
     assert rows(cols, "country", "quantity_kg", "value_usd") == [("Só um", None, None)]
@@ -63,3 +64,17 @@ def test_page_list_rows_on_driver_pages(spark):
     df = q_page_list_rows(spark, "/root/testdata/sf0.001")
     assert df.columns == ["page_id", "row_no", "cell_no", "cell"]
     assert df.count() > 0 and df.filter("row_no <> 0").count() == 0
+
+
+def test_table_numbers_and_table_choice(spark):
+    from adega.sources.pages import table_rows_of_page
+    html = ("<table><tr><td>menu</td></tr></table>"
+            "<table><tr><th>Países</th><th>Q</th><th>V</th></tr><tr><td>Chile</td><td>1.000</td><td>2.000</td></tr>"
+            "</table><ul><li>x</li></ul>")
+    assert table_rows_of_page(html) == [(0, ["menu"]), (1, ["Países", "Q", "V"]), (1, ["Chile", "1.000", "2.000"])]
+    assert table_rows_of_page(html, "ul", ("li",)) == [(None, ["x"])]
+    url = "http://site.example/index.php?ano=2020&opcao=opt_05&subopcao=subopt_01"
+    pages = spark.createDataFrame([(1, url, html)], "page_id long, url string, html string")
+    from adega.sources.pages import IMPORT_PRODUCT_CODES
+    st = pages_to_statements(pages, IMPORT_PRODUCT_CODES, table_no=1)
+    assert rows(st) == [("table_wine", 2020, "Chile", "1.000", "2.000")]
