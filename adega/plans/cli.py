@@ -90,6 +90,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--out", help="write the result here instead of printing it")
     p.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     p.add_argument("--show", type=int, default=50, help="rows to print when --out is not given")
+    p.add_argument("--explain", action="store_true", help="print the formatted physical plan instead of running")
     p.add_argument("--master", help="Spark master (spark-submit normally provides it)")
     return p
 
@@ -102,6 +103,9 @@ def run(spark: SparkSession, argv: Sequence[str]) -> DataFrame | None:
                                flow=a.flow).awaitTermination()
         return None
     df = REPORTS[a.report](spark, a)
+    if a.explain:
+        df.explain("formatted")
+        return df
     if a.out:
         writer = df.write.mode("overwrite")
         (writer.option("header", True).csv(a.out) if a.format == "csv" else writer.parquet(a.out))
@@ -114,5 +118,5 @@ def main(argv: Sequence[str] | None = None) -> None:
     a = parser().parse_args(args)
     spark = build_session(a.master, app_name=f"adega-{a.report}")
     df = run(spark, args)
-    if df is not None and not a.out:
+    if df is not None and not a.out and not a.explain:
         df.show(a.show, truncate=False)
