@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adega.functions import labels as L
-from adega.operators.clean import clean_statements, filter_country, split_line
+from adega.operators.clean import clean_statements, split_line
 from adega.operators.coverage import missing_periods, union_all
 from adega.operators.present import series_table
 from adega.operators.rank import top_countries, top_per_year

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from adega.functions.numbers import parse_digits, parse_locale_number
 from tests.conftest import rows

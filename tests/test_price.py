@@ -1,5 +1,5 @@
 from adega.functions.lookup import MODE_COLOURS_ARGENTINA, MODE_COLOURS_SPAIN, map_values
-from adega.operators.price import price_scatter_rows, unit_price_by_mode, with_unit_price
+from adega.operators.price import unit_price_by_mode, with_unit_price
 from adega.plans.reports import unit_price_report
 from tests.conftest import rows
 
