@@ -21,8 +21,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # whole web pages travel to Python in Arrow batches: keep a batch to 1,000 rows
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # whole web pages travel to Python in Arrow batches: cut a batch at 64 MB as
+    # well as at the default 10,000 rows, so large pages do not build huge batches
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
 

@@ -120,8 +120,9 @@ def extract_rows(pages: DataFrame, row_tag: str = "tr", cell_tags: Sequence[str]
 
     Pages are processed independently, so the work spreads over the input
     partitions without a shuffle; only the id, ``carry`` and html columns go to
-    Python.  Size Arrow batches for large pages with
-    ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    Python.  Arrow batches are bounded by ``spark.sql.execution.arrow.maxRecordsPerBatch``
+    and ``spark.sql.execution.arrow.maxBytesPerBatch`` (set to 64 MB by
+    :func:`adega.session.build_session`).
     """
     carried = [pages.schema[c] for c in carry]
     schema = StructType([StructField(id_col, LongType(), True), *carried,

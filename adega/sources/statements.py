@@ -53,7 +53,9 @@ def _glob(root: str, products: Sequence[str] | None, leaf: str) -> str:
 
 
 def _path() -> Column:
-    return F.try_url_decode(F.col("_metadata.file_path"))
+    """The file's path, URI escapes decoded (a literal ``+`` is kept: it is
+    escaped first because URL decoding would turn it into a space)."""
+    return F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
 def year_from_path(path: Column | None = None, pattern: str = YEAR_FILE_PATTERN) -> Column:

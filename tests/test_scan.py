@@ -69,3 +69,12 @@ def test_write_then_scan_hive_layout_roundtrip(spark):
         assert sorted(rows(back)) == sorted(rows(src))
         pruned = scan_statements(spark, path, ["table_wine"], layout="hive", fmt=fmt).filter(F.col("year") == 2024)
         assert pruned.count() == 70
+
+
+def test_path_columns_survive_spaces_and_plus(spark):
+    root = tempfile.mkdtemp(prefix="adega-names-")
+    for name in ("vinho fino", "suco+uva"):
+        os.makedirs(f"{root}/{name}")
+        shutil.copy(f"{EXPORT_ROOT}/table_wine/dados_2024.csv", f"{root}/{name}/dados_2024.csv")
+    df = scan_statements(spark, root)
+    assert sorted(rows(df.select("product", "year").distinct())) == [("suco+uva", 2024), ("vinho fino", 2024)]
