@@ -55,14 +55,34 @@ def scratch_dir(spark: SparkSession) -> str:
     from the session.  Only when nothing is configured (local tests) is a folder
     created and registered as the checkpoint directory.
     """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="adega-checkpoint-"))
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no JVM-side context (e.g. Spark Connect): a local folder for tests
+        return _local_scratch()
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="adega-checkpoint-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+_LOCAL_SCRATCH: list[str] = []
+
+
+def _local_scratch() -> str:
+    if not _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="adega-checkpoint-"))
+    return _LOCAL_SCRATCH[0]
+
+
+def application_id(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:
+        return spark.conf.get("spark.app.id", "session")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused path under the scratch folder."""
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -73,5 +93,9 @@ def spread(df: DataFrame) -> DataFrame:
     partitions than cores (a small table in one file or row group).  A large,
     already well-split input is returned unchanged, without a shuffle; the
     round-robin is retry-safe (rows are sorted before assignment by default)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        partitions = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. Spark Connect): leave the scan as it is
+        return df
+    return df.repartition(cores) if partitions < cores else df

@@ -12,12 +12,13 @@ present only once its ``_SUCCESS`` marker exists.
 from __future__ import annotations
 
 import hashlib
+import os
 import threading
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adega.session import scratch_dir
+from adega.session import application_id, scratch_dir
 
 
 def _hadoop_fs(spark: SparkSession, path: str):
@@ -27,7 +28,14 @@ def _hadoop_fs(spark: SparkSession, path: str):
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _hadoop_fs(spark, path)
+    try:
+        fs, p = _hadoop_fs(spark, path)
+    except Exception:  # no JVM access: ask the data source instead
+        try:
+            spark.read.format("text").load(path).schema
+            return True
+        except Exception:
+            return False
     return bool(fs.exists(p))
 
 
@@ -35,7 +43,13 @@ def fingerprint(spark: SparkSession, paths: Sequence[str], salt: str = "") -> st
     """Short hash of each input's path, total size and latest modification time."""
     digest = hashlib.sha256(salt.encode())
     for path in paths:
-        fs, p = _hadoop_fs(spark, path)
+        try:
+            fs, p = _hadoop_fs(spark, path)
+        except Exception:  # no JVM access: local file metadata, else the path alone
+            local = path[len("file:"):] if path.startswith("file:") else path
+            stat = os.stat(local) if os.path.exists(local) else None
+            digest.update(f"{path}|{stat.st_size if stat else ''}|{stat.st_mtime_ns if stat else ''};".encode())
+            continue
         status = fs.getFileStatus(p)
         size = fs.getContentSummary(p).getLength() if status.isDirectory() else status.getLen()
         digest.update(f"{fs.makeQualified(p).toString()}|{size}|{status.getModificationTime()};".encode())
@@ -53,7 +67,7 @@ def ensure_written(spark: SparkSession, name: str, key: str, build: Callable[[],
     path = f"{scratch_dir(spark)}/{name}-{key}"
     with _LOCK:
         if refresh or not path_exists(spark, f"{path}/_SUCCESS"):
-            _SCANS.pop((spark.sparkContext.applicationId, path), None)
+            _SCANS.pop((application_id(spark), path), None)
             write(build(), path)
     return path
 
@@ -67,7 +81,7 @@ def materialized(spark: SparkSession, name: str, key: str, build: Callable[[], D
     with it the file listing and partition discovery) is kept per application and
     reused by later calls; a rebuild replaces it."""
     path = ensure_written(spark, name, key, build, write, refresh)
-    slot = (spark.sparkContext.applicationId, path)
+    slot = (application_id(spark), path)
     with _LOCK:
         if slot not in _SCANS:
             _SCANS[slot] = read(path)
