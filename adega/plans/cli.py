@@ -21,6 +21,7 @@ from adega.session import build_session
 from adega.sources.customs import scan_customs
 from adega.sources.pages import EXPORT_PRODUCT_CODES, IMPORT_PRODUCT_CODES, pages_to_statements
 from adega.sources.statements import scan_lines, scan_statements
+from adega.sources.writers import write_statements
 from adega.streaming import ingest_statement_files
 
 COLOURS = {"argentina": MODE_COLOURS_ARGENTINA, "spain": MODE_COLOURS_SPAIN}
@@ -63,7 +64,7 @@ REPORTS = {
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="adega", description=__doc__.splitlines()[0])
-    p.add_argument("report", choices=sorted([*REPORTS, "ingest"]))
+    p.add_argument("report", choices=sorted([*REPORTS, "ingest", "all"]))
     p.add_argument("--root", help="statement folder (one sub-folder per product)")
     p.add_argument("--layout", default="files", choices=["files", "hive", "hive-parquet"])
     p.add_argument("--products", nargs="*", help="product folders to read (default: all)")
@@ -95,6 +96,25 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+# Reports that need no country/year/customs argument, written by ``all``.
+ALL_REPORTS = {
+    "annual_top_value": ("annual-top", ["--measure", "value_usd"]),
+    "annual_top_quantity": ("annual-top", ["--measure", "quantity_kg"]),
+    "top_series": ("top-series", []),
+    "overall_top_value": ("overall-top", ["--measure", "value_usd"]),
+    "overall_top_quantity": ("overall-top", ["--measure", "quantity_kg"]),
+    "product_table": ("product-table", []),
+    "summary": ("summary", []),
+    "last_years": ("last-years", []),
+    "missing": ("missing", []),
+}
+
+
+def _write(df: DataFrame, out: str, fmt: str) -> None:
+    writer = df.write.mode("overwrite")
+    writer.option("header", True).csv(out) if fmt == "csv" else writer.parquet(out)
+
+
 def run(spark: SparkSession, argv: Sequence[str]) -> DataFrame | None:
     """Build the report DataFrame for ``argv`` (and write it when ``--out``)."""
     a = parser().parse_args(list(argv))
@@ -102,13 +122,23 @@ def run(spark: SparkSession, argv: Sequence[str]) -> DataFrame | None:
         ingest_statement_files(spark, a.root, a.target, products=a.products, checkpoint=a.checkpoint,
                                flow=a.flow).awaitTermination()
         return None
+    if a.report == "all":
+        if not a.out:
+            raise SystemExit("all: --out is required")
+        base = [x for x in argv if x != "all"]
+        for name, (report, extra) in ALL_REPORTS.items():
+            sub = parser().parse_args([report, *base, *extra])
+            _write(REPORTS[report](spark, sub), f"{a.out.rstrip('/')}/{name}", a.format)
+        return None
     df = REPORTS[a.report](spark, a)
     if a.explain:
         df.explain("formatted")
         return df
     if a.out:
-        writer = df.write.mode("overwrite")
-        (writer.option("header", True).csv(a.out) if a.format == "csv" else writer.parquet(a.out))
+        if a.report == "pages":  # statement files, one folder per product and year
+            write_statements(df, a.out, mode="overwrite", fmt=a.format)
+        else:
+            _write(df, a.out, a.format)
     return df
 
 

@@ -22,3 +22,14 @@ def test_cli_writes_output(spark):
     out = tempfile.mkdtemp(prefix="adega-cli-") + "/top"
     run(spark, ["annual-top", "--root", IMPORT_ROOT, "--n", "5", "--out", out])
     assert spark.read.parquet(out).count() == 16 * 5
+
+
+def test_cli_all_writes_every_report(spark):
+    import os
+    out = tempfile.mkdtemp(prefix="adega-cli-all-")
+    run(spark, ["all", "--root", IMPORT_ROOT, "--out", out, "--first-year", "2009"])
+    assert sorted(os.listdir(out)) == sorted(["annual_top_value", "annual_top_quantity", "top_series",
+                                              "overall_top_value", "overall_top_quantity", "product_table",
+                                              "summary", "last_years", "missing"])
+    assert spark.read.parquet(f"{out}/overall_top_value").count() == 30
+    assert spark.read.parquet(f"{out}/missing").count() == 0
