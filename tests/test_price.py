@@ -35,3 +35,22 @@ def test_unit_price_report_and_colours(spark):
 def test_map_values(spark):
     df = spark.createDataFrame([("RODOVIARIA",), ("AEREA",), ("MARITIMA",), (None,)], "via string")
     assert rows(df.select(map_values("via", MODE_COLOURS_ARGENTINA))) == [("blue",), ("red",), (None,), (None,)]
+
+
+def test_scan_customs_from_sheet_export_and_parquet(spark):
+    import os
+    import tempfile
+    from adega.sources.customs import scan_customs
+    folder = tempfile.mkdtemp(prefix="adega-customs-")
+    csv_path = os.path.join(folder, "sheet.csv")
+    with open(csv_path, "w", encoding="utf-8") as fh:
+        fh.write("Países,UF do Produto,Código CUCI Grupo,Via,Quilograma Líquido,Valor US$ FOB,Extra\n")
+        fh.write("Espanha,Rio Grande do Sul,48,MARITIMA,100,500,x\n")
+        fh.write("Espanha,Rio Grande do Sul,n/a,AEREA,10,200,y\n")
+    df = scan_customs(spark, csv_path, "csv", original_headers=True)
+    assert df.columns == ["country", "state", "group_code", "via", "net_kg", "fob_usd"]
+    assert rows(df) == [("Espanha", "Rio Grande do Sul", 48, "MARITIMA", 100.0, 500.0),
+                        ("Espanha", "Rio Grande do Sul", None, "AEREA", 10.0, 200.0)]
+    pq_path = os.path.join(folder, "customs.parquet")
+    df.write.parquet(pq_path)
+    assert rows(scan_customs(spark, pq_path)) == rows(df)
