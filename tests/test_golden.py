@@ -119,7 +119,7 @@ def test_r1_spain(spark):
     _r1(spark, "espanha", R1_SPAIN)
 
 
-def test_r1_reference_split_gives_same_numbers(spark):
+def test_r1_plain_split_gives_same_numbers(spark):
     lines = scan_lines(spark, EXPORT_ROOT, EXPORT_PRODUCTS)
     a = R.country_product_report(lines, "argentina", GRAPES, quote_aware=False)
     b = R.country_product_report(lines, "argentina", GRAPES)
