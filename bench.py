@@ -5,7 +5,9 @@ nothing is pulled to the driver), $BENCH_REPEAT times (default 3); the median
 is reported.  A warm-up query on the smallest tables runs
 first so JVM start-up and code generation are not charged to the timings; the
 one-time ingest of the statement and customs tables is timed as its own entry.  Prints one JSON line:
-``{"metric", "value" (sum of query seconds), "unit", "queries", "sf", ...}``.
+``{"metric", "value" (sum of query seconds), "unit", "queries", "sf", ...}``;
+``reference_scale`` adds the report families timed over the original statement
+files (not part of ``value``).
 """
 
 from __future__ import annotations
@@ -22,7 +24,33 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from adega.plans import catalog  # noqa: E402
 from adega.session import build_session  # noqa: E402
+from adega.plans import reports as R  # noqa: E402
 from adega.sources.driver_tables import cells_table, statement_files, statement_table  # noqa: E402
+from adega.sources.statements import scan_lines, scan_statements  # noqa: E402
+
+FIXTURES = os.path.join(os.path.dirname(os.path.abspath(__file__)), "tests", "fixtures")
+
+
+def reference_scale_reports(spark):
+    """The report families over the original statement files (tests/fixtures:
+    144 CSVs, 11,552 rows): the data scale the original scripts run at."""
+    exp, imp = os.path.join(FIXTURES, "export"), os.path.join(FIXTURES, "import")
+    ex = lambda: scan_statements(spark, exp)
+    im = lambda: scan_statements(spark, imp)
+    return {
+        "r1_country_products": lambda: R.country_product_report(scan_lines(spark, exp), "argentina",
+                                                                ["fresh_grapes", "grape_juice"]),
+        "r2_country_series": lambda: R.country_series(ex(), "Países Baixos"),
+        "r3_country_series": lambda: R.country_series(im(), "Chile"),
+        "r4_annual_top_value": lambda: R.annual_top(ex(), "value_usd", 15),
+        "r4_annual_top_quantity": lambda: R.annual_top(ex(), "quantity_kg", 15),
+        "r5_top_series": lambda: R.top_country_value_series(ex(), 10),
+        "r6_top_series": lambda: R.top_country_value_series(im(), 10),
+        "r7_overall_top": lambda: R.overall_top(ex(), 30, "value_usd"),
+        "r8_overall_top": lambda: R.overall_top(im(), 30, "value_usd"),
+        "r9_year_ranking": lambda: R.year_ranking(ex(), 2024, "table_wine")[0],
+        "r10_product_table": lambda: R.product_year_table(ex(), ["table_wine"]),
+    }
 
 
 def main() -> None:
@@ -63,6 +91,17 @@ def main() -> None:
         timings[name] = round(statistics.median(runs), 3)
         print(f"{name}: {timings[name]}s", file=sys.stderr, flush=True)
 
+    reference_scale: dict[str, float] = {}
+    if os.environ.get("BENCH_REFERENCE_SCALE", "1") == "1" and os.path.isdir(FIXTURES):
+        for name, build in reference_scale_reports(spark).items():
+            runs = []
+            for _ in range(repeat):
+                t0 = time.perf_counter()
+                build().write.format("noop").mode("overwrite").save()
+                runs.append(time.perf_counter() - t0)
+            reference_scale[name] = round(statistics.median(runs), 3)
+            print(f"{name}: {reference_scale[name]}s", file=sys.stderr, flush=True)
+
     match = re.search(r"sf([0-9.]+)$", sf_dir)
     print(json.dumps({
         "metric": "catalog_total_seconds",
@@ -72,6 +111,7 @@ def main() -> None:
         "sf": float(match.group(1)) if match else sf_dir,
         "cpus": int(cpus),
         "repeat": repeat,
+        "reference_scale": reference_scale,
     }))
     spark.stop()
 
