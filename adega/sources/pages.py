@@ -90,10 +90,11 @@ class _RowCollector(HTMLParser):
         return [(table_no, cells) for _, table_no, cells in sorted(self.rows, key=lambda r: r[0])]
 
 
-def table_rows_of_page(html: str | None, row_tag: str = "tr",
-                       cell_tags: Sequence[str] = ("th", "td")) -> list[tuple[int | None, list[str]]]:
+def table_rows_of_page(html: str | None, row_tag: str = "tr", cell_tags: Sequence[str] = ("th", "td"),
+                       on_error=None) -> list[tuple[int | None, list[str]]]:
     """Rows of one page as (number of the innermost enclosing ``<table>`` in
-    document order, or None; stripped cell texts).  Empty on bad input."""
+    document order, or None; stripped cell texts).  A page that cannot be parsed
+    gives no rows and calls ``on_error`` (if given)."""
     if not html:
         return []
     try:
@@ -101,6 +102,8 @@ def table_rows_of_page(html: str | None, row_tag: str = "tr",
         collector.feed(html)
         return collector.finish()
     except Exception:  # tolerate broken markup: the page contributes no rows
+        if on_error is not None:
+            on_error()
         return []
 
 
@@ -112,7 +115,7 @@ def rows_of_page(html: str | None, row_tag: str = "tr",
 
 def extract_rows(pages: DataFrame, row_tag: str = "tr", cell_tags: Sequence[str] = ("th", "td"), *,
                  id_col: str = "page_id", html_col: str = "html",
-                 carry: Sequence[str] = ()) -> DataFrame:
+                 carry: Sequence[str] = (), failures=None) -> DataFrame:
     """``(page_id, *carry, row_no, table_no, table_row_no, cells array<string>)``:
     one output row per table row, ``row_no`` counting the rows of a page from 0 in
     document order, ``table_no`` the innermost enclosing ``<table>`` (0-based,
@@ -122,7 +125,9 @@ def extract_rows(pages: DataFrame, row_tag: str = "tr", cell_tags: Sequence[str]
     partitions without a shuffle; only the id, ``carry`` and html columns go to
     Python.  Arrow batches are bounded by ``spark.sql.execution.arrow.maxRecordsPerBatch``
     and ``spark.sql.execution.arrow.maxBytesPerBatch`` (set to 64 MB by
-    :func:`adega.session.build_session`).
+    :func:`adega.session.build_session`).  Pass a Spark accumulator as
+    ``failures`` to count pages that could not be parsed (read it after an action;
+    a retried task can count a page twice).
     """
     carried = [pages.schema[c] for c in carry]
     schema = StructType([StructField(id_col, LongType(), True), *carried,
@@ -132,13 +137,14 @@ def extract_rows(pages: DataFrame, row_tag: str = "tr", cell_tags: Sequence[str]
                          StructField("cells", ArrayType(StringType(), True), True)])
     tag, cells_tags = row_tag.lower(), tuple(t.lower() for t in cell_tags)
     out_cols = [id_col, *carry]
+    on_error = (lambda: failures.add(1)) if failures is not None else None
 
     def explode_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             picks, nos, tables, in_table, cells = [], [], [], [], []
             for i, html in enumerate(batch[html_col]):
                 seen: dict[int, int] = {}
-                for no, (table_no, row) in enumerate(table_rows_of_page(html, tag, cells_tags)):
+                for no, (table_no, row) in enumerate(table_rows_of_page(html, tag, cells_tags, on_error)):
                     picks.append(i)
                     nos.append(no)
                     tables.append(table_no)
@@ -171,7 +177,7 @@ IMPORT_PRODUCT_CODES = {"01": "table_wine", "02": "foaming_wine", "03": "fresh_g
 
 
 def pages_to_statements(pages: DataFrame, product_codes: dict[str, str] | None = None, *,
-                        table_no: int | None = None, skip_header: bool = True) -> DataFrame:
+                        table_no: int | None = None, skip_header: bool = True, failures=None) -> DataFrame:
     """Statement tables scraped into pages -> ``product, year, country,
     quantity_kg, value_usd`` (text measures, ready for ``clean_statements``).
 
@@ -180,7 +186,7 @@ def pages_to_statements(pages: DataFrame, product_codes: dict[str, str] | None =
     the first row of each table (its header) is dropped when ``skip_header``.
     """
     codes = product_codes or EXPORT_PRODUCT_CODES
-    rows = extract_rows(pages, "tr", ("th", "td"), carry=("url",))
+    rows = extract_rows(pages, "tr", ("th", "td"), carry=("url",), failures=failures)
     if table_no is not None:
         rows = rows.filter(F.col("table_no") == F.lit(table_no))
     if skip_header:

@@ -78,3 +78,17 @@ def test_table_numbers_and_table_choice(spark):
     from adega.sources.pages import IMPORT_PRODUCT_CODES
     st = pages_to_statements(pages, IMPORT_PRODUCT_CODES, table_no=1)
     assert rows(st) == [("table_wine", 2020, "Chile", "1.000", "2.000")]
+
+
+def test_parse_failures_are_counted():
+    from adega.sources.pages import table_rows_of_page
+    seen = []
+    assert table_rows_of_page(12345, on_error=lambda: seen.append(1)) == []  # not text: parser raises
+    assert seen == [1]
+
+
+def test_failure_accumulator_on_spark(spark):
+    acc = spark.sparkContext.accumulator(0)
+    pages = spark.createDataFrame([(1, "u", TABLE)], "page_id long, url string, html string")
+    assert extract_rows(pages, failures=acc).count() == 6
+    assert acc.value == 0
