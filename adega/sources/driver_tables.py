@@ -17,9 +17,16 @@ from this text so they run the real parsing path.
 Join plan: nation and region (fixed 25 and 5 rows) are joined to customers
 first, customers to orders, and that order dimension to line items on the
 order key (a sort-merge join: both sides grow with the data); parts join last
-on the part key.  Catalyst prunes every column the
-query does not use; AQE turns a join into a broadcast only when the measured
-side is under the broadcast threshold and splits skewed join partitions.
+on the part key.  Catalyst prunes every column the query does not use; AQE
+turns a join into a broadcast only when the measured side is under the
+broadcast threshold and splits skewed join partitions.
+
+Ingest, each step written once under ``spark.checkpoint.dir`` and keyed by a
+fingerprint of the input tables: :func:`cells_table` (the joins, numbers per
+line item) -> :func:`statement_table` (statement text as parquet, partitioned
+by product and year) -> :func:`statement_files` (the same text as CSV
+statement files, only when a raw-line query asks for them).  The customs rows
+are read from the cells table.
 """
 
 from __future__ import annotations
