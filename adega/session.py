@@ -77,10 +77,16 @@ def _local_scratch() -> str:
 
 
 def application_id(spark: SparkSession) -> str:
+    """Identifies this session: application id plus the session's own id, so two
+    sessions of one application (``newSession()``) never share DataFrames."""
     try:
-        return spark.sparkContext.applicationId
+        app = spark.sparkContext.applicationId
     except Exception:
-        return spark.conf.get("spark.app.id", "session")
+        app = spark.conf.get("spark.app.id", "app")
+    try:
+        return f"{app}/{spark._jsparkSession.sessionUUID()}"
+    except Exception:
+        return f"{app}/{id(spark)}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
