@@ -193,6 +193,17 @@ def q_top30_value_chart(spark, sf_dir):
     return R.overall_top(statement_table(spark, sf_dir), 30, VALUE)
 
 
+@register("top30_quantity_chart", O.sql(f"""
+SELECT country, quantity_kg, value_usd,
+       CAST(row_number() OVER (ORDER BY quantity_kg DESC, value_usd DESC, country) - 1 AS INTEGER) AS bar_index,
+       quantity_kg * 1.0 AS label_x, max(quantity_kg) OVER () * 1.1 AS axis_max,
+       {O.grouped('quantity_kg', 'quantity_table')} AS label
+FROM (SELECT country, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd FROM facts GROUP BY country
+      ORDER BY quantity_kg DESC, value_usd DESC, country LIMIT 30)"""))
+def q_top30_quantity_chart(spark, sf_dir):
+    return R.overall_top(statement_table(spark, sf_dir), 30, QUANTITY)
+
+
 def _top15_sql(measure: str, other: str) -> str:
     return O.sql(f"""
 SELECT year, country, quantity_kg, value_usd,
