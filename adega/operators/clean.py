@@ -33,7 +33,7 @@ def split_line(df: DataFrame, col: str = "raw_data", *, quote_aware: bool = True
     fields = [F.get(parts, i) for i in range(len(names))]
     if quote_aware:
         ddl = ", ".join(f"f{i} STRING" for i in range(len(names)))
-        parsed = F.from_csv(line, ddl)
+        parsed = F.from_csv(line, ddl, {"escape": '"'})  # RFC 4180: a quote inside quotes is doubled
         quoted = line.contains('"')
         fields = [F.when(quoted, parsed[f"f{i}"]).otherwise(F.nullif(f, F.lit("")))
                   for i, f in enumerate(fields)]

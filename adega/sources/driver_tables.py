@@ -45,7 +45,7 @@ ZERO_QUANTITY_EVERY = 11
 
 
 STATEMENT_SOURCES = ("lineitem", "orders", "customer", "nation", "region", "part")
-ADAPTER_VERSION = "statements-v2"
+ADAPTER_VERSION = "statements-v3"
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -86,6 +86,7 @@ def scan_statements(spark: SparkSession, root: str, products: Sequence[str] | No
     reads a columnar copy in the ``hive`` layout.
     """
     reader = (spark.read.option("header", True).option("encoding", encoding)
+              .option("escape", '"')  # RFC 4180: a quote inside a quoted field is doubled
               .option("mode", "PERMISSIVE"))
     if layout == "hive":
         schema = StructType(STATEMENT_SCHEMA.fields + [

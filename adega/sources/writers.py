@@ -30,7 +30,7 @@ def write_statements(df: DataFrame, path: str, mode: str = "errorifexists", fmt:
               .write.mode(mode)
               .partitionBy(PRODUCT, YEAR))
     if fmt == "csv":
-        writer.option("header", True).option("encoding", "UTF-8").csv(path)
+        writer.option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
     else:
         writer.format(fmt).save(path)
     return path

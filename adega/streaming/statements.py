@@ -31,7 +31,7 @@ def stream_statements(spark: SparkSession, root: str, products: Sequence[str] |
                       flow: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming counterpart of ``scan_statements(layout='files')``: text
     statements ``product, year, country, quantity_kg, value_usd`` (+ ``flow``)."""
-    reader = spark.readStream.schema(FILE_SCHEMA).option("header", True)
+    reader = spark.readStream.schema(FILE_SCHEMA).option("header", True).option("escape", '"')
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(f"{root.rstrip('/')}/*/*.csv")
