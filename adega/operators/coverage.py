@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adega.sources.statements import PRODUCT, YEAR
@@ -37,18 +37,23 @@ def missing_periods(facts: DataFrame, first_year: int, last_year: int | None = N
                     products: DataFrame | None = None) -> DataFrame:
     """(product, year) pairs of the expected grid with no statement row.
 
-    ``products`` defaults to the products present in ``facts``; ``last_year``
-    defaults to the latest year in ``facts`` (a scalar subquery, evaluated once
-    and broadcast by the planner).  The observed side is reduced to distinct
-    (product, year) pairs before the anti-join, so only a handful of rows per
-    task are shuffled.
+    One pass over ``facts``: the years present are gathered per product
+    (``collect_set``, combined map-side; a set holds at most one entry per year),
+    the expected years are ``sequence(first_year, last_year)`` and the gaps are
+    their ``array_except``.  ``last_year`` defaults to the latest year in
+    ``facts``, taken over the per-product rows (one row per product).
+    ``products`` adds products that have no row at all.
     """
-    observed = facts.select(PRODUCT, YEAR).where(F.col(YEAR).isNotNull()).distinct()
-    if products is None:
-        products = observed.select(PRODUCT).distinct()
-    hi = F.lit(last_year) if last_year is not None else facts.agg(F.max(YEAR)).scalar()
-    grid = expected_grid(products, F.lit(first_year), hi)
-    return grid.join(observed, [PRODUCT, YEAR], "left_anti")
+    present = (facts.select(PRODUCT, YEAR).where(F.col(YEAR).isNotNull())
+               .groupBy(PRODUCT).agg(F.collect_set(YEAR).alias("_years")))
+    if products is not None:
+        present = (products.select(PRODUCT).distinct()
+                   .join(present, PRODUCT, "left")
+                   .select(PRODUCT, F.coalesce("_years", F.array().cast("array<int>")).alias("_years")))
+    hi = F.lit(last_year) if last_year is not None else F.max(F.array_max("_years")).over(Window.partitionBy())
+    bounded = present.withColumn("_last", hi)
+    expected = F.sequence(F.lit(first_year), F.col("_last"))
+    return bounded.select(PRODUCT, F.explode(F.array_except(expected, "_years")).alias(YEAR))
 
 
 def request_grid(spark: SparkSession, first_year: int, last_year: int, product_codes: dict[str, str],

@@ -91,3 +91,10 @@ def test_chart_and_series_tables(spark):
                          "value_usd": label_value_millions("value_usd")})
     assert long.columns == ["year", "measure", "amount", "label"] and long.count() == 32
     assert preview(yearly, 5).count() == 5
+
+
+def test_missing_periods_lists_products_without_any_row(spark):
+    facts = scan_statements(spark, IMPORT_ROOT, ["table_wine"])
+    products = spark.createDataFrame([("table_wine",), ("brandy",)], "product string")
+    got = sorted(rows(missing_periods(facts, 2023, 2024, products=products)))
+    assert got == [("brandy", 2023), ("brandy", 2024)]
