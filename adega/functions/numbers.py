@@ -14,26 +14,27 @@ from adega.functions._col import as_col
 
 
 def parse_locale_number(col: Column | str, thousands: str = ".",
-                        decimal: str | None = None) -> Column:
+                        decimal: str | None = None, dtype: str = "double") -> Column:
     """Brazilian-style number text -> double; anything non-numeric -> null.
 
     ``1.167.696`` -> 1167696.0, ``6`` -> 6.0, ``-`` -> null.  With
     ``decimal=','`` the comma becomes the decimal point (``1.234,5`` -> 1234.5).
     This is the intended pt-BR meaning of the text: a separator is never read
-    as a decimal point.
+    as a decimal point.  ``dtype`` may be a decimal type (``"decimal(20,2)"``)
+    for exact sums beyond 2^53.
     """
     text = as_col(col)
     if thousands:  # literal replacement: no regex engine per row
         text = F.replace(text, F.lit(thousands), F.lit(""))
     if decimal and decimal != ".":
         text = F.replace(text, F.lit(decimal), F.lit("."))
-    return text.try_cast("double")
+    return text.try_cast(dtype)
 
 
-def parse_digits(col: Column | str) -> Column:
+def parse_digits(col: Column | str, dtype: str = "double") -> Column:
     """Keep only digits and commas, turn the comma into a decimal point, cast.
 
     ``"1.783"`` -> 1783.0, ``" 12,5 "`` -> 12.5, ``-`` -> null.
     """
     kept = F.regexp_replace(as_col(col), "[^0-9,]", "")
-    return F.replace(kept, F.lit(","), F.lit(".")).try_cast("double")
+    return F.replace(kept, F.lit(","), F.lit(".")).try_cast(dtype)

@@ -66,18 +66,19 @@ def apply_missing_policy(df: DataFrame, policy: str = "drop",
 
 def clean_statements(df: DataFrame, *, missing: str = "drop", parse: str = "locale",
                      decimal: str | None = None, totals: bool = False,
-                     measures: Sequence[str] = (QUANTITY, VALUE)) -> DataFrame:
+                     measures: Sequence[str] = (QUANTITY, VALUE), dtype: str = "double") -> DataFrame:
     """Text statements -> typed facts.
 
     ``parse='locale'`` drops thousands dots (``1.167.696`` -> 1167696.0; with
     ``decimal=','`` a comma is the decimal point); ``parse='digits'`` keeps only
     digits and commas.  Then the missing-value policy, then the total line is
-    removed unless ``totals=True``.
+    removed unless ``totals=True``.  ``dtype`` is ``double`` (exact for whole
+    numbers below 2^53) or a decimal type such as ``decimal(20,2)``.
     """
     if parse == "locale":
-        conv = lambda c: parse_locale_number(c, ".", decimal)
+        conv = lambda c: parse_locale_number(c, ".", decimal, dtype)
     elif parse == "digits":
-        conv = parse_digits
+        conv = lambda c: parse_digits(c, dtype)
     else:
         raise ValueError(f"parse must be 'locale' or 'digits', got {parse!r}")
     typed = df.select(*[conv(c).alias(c) if c in measures else F.col(c) for c in df.columns])

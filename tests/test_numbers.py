@@ -39,3 +39,15 @@ def test_parse_is_ansi_safe(spark):
     df = spark.createDataFrame([("-",), ("x.y",)], "t string")
     assert rows(df.select(parse_locale_number("t").alias("a"), parse_digits("t").alias("b"))) == \
         [(None, None), (None, None)]
+
+
+def test_decimal_measures(spark):
+    from decimal import Decimal
+    from adega.operators.clean import clean_statements
+    df = spark.createDataFrame([("p", 2000, "A", "9.007.199.254.740.993", "1.234,5"), ("p", 2000, "B", "1", "-")],
+                               "product string, year int, country string, quantity_kg string, value_usd string")
+    typed = clean_statements(df, missing="keep", decimal=",", dtype="decimal(20,2)")
+    assert dict(typed.dtypes)["quantity_kg"] == "decimal(20,2)"
+    got = rows(typed.agg({"quantity_kg": "sum"}))
+    assert got == [(Decimal("9007199254740994.00"),)]  # exact beyond 2^53
+    assert rows(typed.filter("country = 'A'"), "value_usd") == [(Decimal("1234.50"),)]
