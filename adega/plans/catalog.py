@@ -26,7 +26,7 @@ from adega.session import scratch_path
 from adega.sources.driver_tables import customs_rows, statement_lines, statement_table, table
 from adega.sources.pages import extract_rows
 from adega.sources.statements import COUNTRY, PRODUCT, QUANTITY, VALUE, YEAR, scan_lines, scan_statements
-from adega.sources.writers import write_statements
+from adega.sources.writers import write_statement_files, write_statements
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, tuple[Query, str | None]] = {}
@@ -94,6 +94,14 @@ def q_csv_roundtrip_totals(spark, sf_dir):
     return totals_by_product_year(clean_statements(scanned))
 
 
+@register("flat_files_roundtrip_totals", O.sql("""
+SELECT product, year, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd, count(*) AS rows
+FROM facts GROUP BY product, year"""))
+def q_flat_files_roundtrip_totals(spark, sf_dir):
+    root = write_statement_files(statement_table(spark, sf_dir), scratch_path(spark, "statement-flat"))
+    return totals_by_product_year(clean_statements(scan_statements(spark, root)))
+
+
 @register("lines_roundtrip_totals", O.sql("""
 SELECT product, year, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd, count(*) AS rows
 FROM facts GROUP BY product, year"""))

@@ -34,3 +34,44 @@ def write_statements(df: DataFrame, path: str, mode: str = "errorifexists", fmt:
     else:
         writer.format(fmt).save(path)
     return path
+
+
+def write_statement_files(df: DataFrame, root: str) -> str:
+    """Write one CSV per statement as ``root/<product>/dados_<year>.csv`` -- the
+    layout the download step produces and ``scan_statements(layout='files')``
+    reads.
+
+    The rows are written partitioned by product and year with each statement in
+    a single task (one file per statement is the format; a very large statement
+    therefore lands in one task), then each statement's part file is renamed into
+    place.  The renames are file-system metadata operations on the driver, one
+    per statement, never a data copy; the staging folder starts with ``_`` so
+    scans ignore it.
+    """
+    import uuid
+    from urllib.parse import unquote
+
+    root = root.rstrip("/")
+    staging = f"{root}/_staging-{uuid.uuid4().hex}"
+    (df.select(PRODUCT, YEAR, COUNTRY, QUANTITY, VALUE)
+       .repartition(PRODUCT, YEAR)
+       .sortWithinPartitions(PRODUCT, YEAR, COUNTRY)
+       .write.partitionBy(PRODUCT, YEAR)
+       .option("header", True).option("encoding", "UTF-8").option("escape", '"')
+       .csv(staging))
+    jvm = df.sparkSession.sparkContext._jvm
+    path_cls = jvm.org.apache.hadoop.fs.Path
+    fs = path_cls(staging).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    for product_dir in fs.listStatus(path_cls(staging)):
+        name = product_dir.getPath().getName()
+        if not product_dir.isDirectory() or not name.startswith(f"{PRODUCT}="):
+            continue
+        product = unquote(name.split("=", 1)[1])
+        for year_dir in fs.listStatus(product_dir.getPath()):
+            year = unquote(year_dir.getPath().getName().split("=", 1)[1])
+            parts = [f.getPath() for f in fs.listStatus(year_dir.getPath())
+                     if f.getPath().getName().startswith("part-")]
+            target_dir = path_cls(f"{root}/{product}")
+            fs.mkdirs(target_dir)
+            fs.rename(parts[0], path_cls(f"{root}/{product}/dados_{year}.csv"))
+    return root

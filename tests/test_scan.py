@@ -78,3 +78,13 @@ def test_path_columns_survive_spaces_and_plus(spark):
         shutil.copy(f"{EXPORT_ROOT}/table_wine/dados_2024.csv", f"{root}/{name}/dados_2024.csv")
     df = scan_statements(spark, root)
     assert sorted(rows(df.select("product", "year").distinct())) == [("suco+uva", 2024), ("vinho fino", 2024)]
+
+
+def test_write_statement_files_flat_layout_roundtrip(spark):
+    from adega.sources.writers import write_statement_files
+    src = scan_statements(spark, IMPORT_ROOT, IMPORT_PRODUCTS)
+    root = write_statement_files(src, tempfile.mkdtemp(prefix="adega-flat-") + "/files")
+    assert sorted(p for p in os.listdir(root) if not p.startswith("_")) == sorted(IMPORT_PRODUCTS)
+    assert sorted(os.listdir(f"{root}/table_wine")) == [f"dados_{y}.csv" for y in range(2009, 2025)]
+    back = scan_statements(spark, root)
+    assert sorted(rows(back)) == sorted(rows(src))
