@@ -45,8 +45,8 @@ def write_statement_files(df: DataFrame, root: str) -> str:
     a single task (one file per statement is the format; a very large statement
     therefore lands in one task), then each statement's part file is renamed into
     place.  The renames are file-system metadata operations on the driver, one
-    per statement, never a data copy; the staging folder starts with ``_`` so
-    scans ignore it.
+    per statement, never a data copy (through the Hadoop FileSystem API of a
+    classic session); the staging folder starts with ``_`` so scans ignore it.
     """
     import uuid
     from urllib.parse import unquote
