@@ -52,22 +52,31 @@ def _glob(root: str, products: Sequence[str] | None, leaf: str) -> str:
     return f"{root}/{{{','.join(products)}}}/{leaf}"
 
 
-def _path() -> Column:
-    """The file's path, URI escapes decoded (a literal ``+`` is kept: it is
-    escaped first because URL decoding would turn it into a space)."""
-    return F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+def _decoded(text: Column) -> Column:
+    """URI escapes decoded; a literal ``+`` is kept (escaped first, because URL
+    decoding would turn it into a space)."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def _path_parts() -> tuple[Column, Column]:
+    """(folder name, file name) of the row's file: split once, then only the two
+    short components are handled per row, never the whole path."""
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    return F.element_at(parts, -2), F.element_at(parts, -1)
 
 
 def year_from_path(path: Column | None = None, pattern: str = YEAR_FILE_PATTERN) -> Column:
     """Year taken from the file name (``dados_2024.csv`` -> 2024); null when the
-    name does not match (no error under ANSI mode)."""
-    path = _path() if path is None else path
-    return F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")).try_cast("int")
+    name does not match (no error under ANSI mode).  ``path`` may be a full path
+    or just the file name."""
+    name = _path_parts()[1] if path is None else path
+    return F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")).try_cast("int")
 
 
 def product_from_path(path: Column | None = None) -> Column:
     """Product = name of the directory holding the file."""
-    path = _path() if path is None else path
+    if path is None:
+        return _decoded(_path_parts()[0])
     return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
 
 

@@ -35,8 +35,7 @@ def stream_statements(spark: SparkSession, root: str, products: Sequence[str] |
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(f"{root.rstrip('/')}/*/*.csv")
-    path = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    df = raw.select(product_from_path(path).alias(PRODUCT), year_from_path(path).alias(YEAR),
+    df = raw.select(product_from_path().alias(PRODUCT), year_from_path().alias(YEAR),
                     F.col(f"`{FILE_HEADER[0]}`").alias(COUNTRY), F.col(f"`{FILE_HEADER[1]}`").alias(QUANTITY),
                     F.col(f"`{FILE_HEADER[2]}`").alias(VALUE))
     if products:
