@@ -57,6 +57,7 @@ def write_statement_files(df: DataFrame, root: str) -> str:
        .repartition(PRODUCT, YEAR)
        .sortWithinPartitions(PRODUCT, YEAR, COUNTRY)
        .write.partitionBy(PRODUCT, YEAR)
+       .option("maxRecordsPerFile", 0)  # one file per statement, whatever the session sets
        .option("header", True).option("encoding", "UTF-8").option("escape", '"')
        .csv(staging))
     jvm = df.sparkSession.sparkContext._jvm
@@ -71,7 +72,9 @@ def write_statement_files(df: DataFrame, root: str) -> str:
             year = unquote(year_dir.getPath().getName().split("=", 1)[1])
             parts = [f.getPath() for f in fs.listStatus(year_dir.getPath())
                      if f.getPath().getName().startswith("part-")]
-            target_dir = path_cls(f"{root}/{product}")
-            fs.mkdirs(target_dir)
-            fs.rename(parts[0], path_cls(f"{root}/{product}/dados_{year}.csv"))
+            if len(parts) != 1:
+                raise RuntimeError(f"expected one file for {product}/{year}, found {len(parts)}")
+            fs.mkdirs(path_cls(f"{root}/{product}"))
+            if not fs.rename(parts[0], path_cls(f"{root}/{product}/dados_{year}.csv")):
+                raise RuntimeError(f"could not move the {product}/{year} statement into place")
     return root
