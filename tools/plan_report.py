@@ -42,6 +42,8 @@ def bracketed(line: str, key: str) -> str | None:
 def table_name(path: str) -> str:
     """Last path component above any partition folders, without hash suffixes."""
     parts = [p for p in path.rstrip("/").split("/") if p and "=" not in p]
+    if len(parts) >= 3 and re.fullmatch(r"dados_\d{4}\.csv", parts[-1]):  # flat layout: root/<product>/<file>
+        parts = parts[:-2]
     name = parts[-1] if parts else path
     return re.sub(r"-[0-9a-f]{16,32}$", "", re.sub(r"\.parquet$", "", name))
 
