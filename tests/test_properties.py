@@ -51,3 +51,18 @@ def test_written_statement_files_scan_back(spark, names):
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in src.collect())
     lines = split_line(scan_lines(spark, path, layout="hive")).select("country").collect()
     assert sorted(r[0] for r in lines) == sorted(names)
+
+
+@settings(max_examples=2, deadline=None)
+@given(NAMES)
+def test_flat_statement_files_scan_back(spark, names):
+    import tempfile
+    from adega.sources.statements import scan_lines, scan_statements
+    from adega.sources.writers import write_statement_files
+    src = spark.createDataFrame([("p", 2001, n, "7", "8") for n in names],
+                                "product string, year int, country string, quantity_kg string, value_usd string")
+    root = write_statement_files(src, tempfile.mkdtemp(prefix="adega-flatprop-") + "/files")
+    back = scan_statements(spark, root)
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in src.collect())
+    fields = split_line(scan_lines(spark, root)).select("year", "country").collect()
+    assert sorted(r[1] for r in fields) == sorted(names) and {r[0] for r in fields} == {2001}
