@@ -100,11 +100,14 @@ def scan_statements(spark: SparkSession, root: str, products: Sequence[str] | No
     if layout == "hive":
         schema = StructType(STATEMENT_SCHEMA.fields + [
             StructField(PRODUCT, StringType(), True), StructField(YEAR, IntegerType(), True)])
-        paths = _glob(root, [f"{PRODUCT}={p}" for p in products] if products else None, "*")
+        # the root itself, not a glob: partition discovery finds product=/year=
+        # folders and a product list becomes a partition filter (directory pruning)
         if fmt == "csv":
-            df = reader.schema(schema).option("basePath", root).csv(paths)
+            df = reader.schema(schema).csv(root)
         else:
-            df = spark.read.schema(schema).option("basePath", root).format(fmt).load(paths)
+            df = spark.read.schema(schema).format(fmt).load(root)
+        if products:
+            df = df.filter(F.col(PRODUCT).isin(list(products)))
         df = df.select(PRODUCT, YEAR, COUNTRY, QUANTITY, VALUE)
     elif layout == "files":
         raw = reader.schema(FILE_SCHEMA).csv(_glob(root, products, "*.csv"))
@@ -134,8 +137,9 @@ def scan_lines(spark: SparkSession, root: str, products: Sequence[str] | None =
     if layout == "hive":
         schema = StructType(LINE_SCHEMA.fields + [
             StructField(PRODUCT, StringType(), True), StructField(YEAR, IntegerType(), True)])
-        raw = reader.schema(schema).option("basePath", root).csv(
-            _glob(root, [f"{PRODUCT}={p}" for p in products] if products else None, "*"))
+        raw = reader.schema(schema).csv(root)
+        if products:
+            raw = raw.filter(F.col(PRODUCT).isin(list(products)))
         df = raw.select(PRODUCT, YEAR, "raw_data")
     elif layout == "files":
         raw = reader.schema(LINE_SCHEMA).csv(_glob(root, products, "*.csv"))
