@@ -15,6 +15,16 @@ from pyspark.sql import functions as F
 from adega.llm.common import table
 from adega.llm.lines import drop_frequent_lines
 from adega.llm.mixing import plan_mix
+from adega.llm.packing import pack
+from adega.llm.token_ids import tokenizer_path
+from adega.llm.token_store import read_token_file, write_token_file
+from adega.session import scratch_path
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "llm-token-file")
+    write_token_file(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return read_token_file(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +37,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_ids": op4_token_ids,
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
+    "op10_packing": op10_packing,
 }
 
 #: characters stripped from a line's ends, as DuckDB text
