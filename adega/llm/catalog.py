@@ -16,11 +16,18 @@ from adega.llm.common import table
 from adega.llm.lines import drop_frequent_lines
 from adega.llm.mixing import plan_mix
 from adega.llm.packing import pack
+from adega.llm.quality import is_held_out, train, with_scores
 from adega.llm.token_ids import tokenizer_path
 from adega.llm.token_store import read_token_file, write_token_file
 from adega.session import scratch_path
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, rows = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = with_scores(rows, model, statistics="statistics")
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "llm-token-file")
     write_token_file(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
@@ -43,6 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op4_token_ids": op4_token_ids,
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
