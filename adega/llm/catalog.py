@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adega.llm.common import table
+from adega.llm.licenses import PHRASES, scan
 from adega.llm.lines import drop_frequent_lines
 from adega.llm.mixing import plan_mix
+from adega.llm.ngram_join import similar_components
 from adega.llm.packing import pack
 from adega.llm.quality import is_held_out, train, with_scores
 from adega.llm.token_ids import tokenizer_path
@@ -28,6 +30,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents"), words=4, threshold=(85, 100))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "llm-token-file")
     write_token_file(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), end_id=2)
@@ -44,6 +50,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -51,9 +62,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op3_ngram_join": op3_ngram_join,
     "op4_token_ids": op4_token_ids,
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
+    "op9_licenses": op9_licenses,
     "op10_packing": op10_packing,
 }
 
