@@ -21,6 +21,8 @@ from adega.llm.packing import pack
 from adega.llm.quality import is_held_out, train, with_scores
 from adega.llm.token_ids import tokenizer_path
 from adega.llm.token_store import read_token_file, write_token_file
+from adega.llm.topk import top_inner_products
+from adega.llm.vectors import similar_vectors
 from adega.session import scratch_path
 
 
@@ -60,12 +62,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_ngram_join": op3_ngram_join,
     "op4_token_ids": op4_token_ids,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_mixing": op6_mixing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_topk": op8_topk,
     "op9_licenses": op9_licenses,
     "op10_packing": op10_packing,
 }
@@ -86,4 +98,15 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY row, doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL}
+OP8_SQL = """
+WITH usable AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM usable q JOIN usable c ON c.row <> q.row AND len(c.x) = len(q.x) WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op8_topk": OP8_SQL}
