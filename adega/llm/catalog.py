@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adega.llm.common import table
-from adega.llm.licenses import PHRASES, scan
+from adega.llm.extract import extract
+from adega.llm.licenses import scan
 from adega.llm.lines import drop_frequent_lines
 from adega.llm.mixing import plan_mix
 from adega.llm.ngram_join import similar_components
@@ -26,6 +27,10 @@ from adega.llm.vectors import similar_vectors
 from adega.session import scratch_path
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, rows = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     scored = with_scores(rows, model, statistics="statistics")
@@ -71,6 +76,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_quality": op2_quality,
     "op3_ngram_join": op3_ngram_join,
     "op4_token_ids": op4_token_ids,

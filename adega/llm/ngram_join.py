@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adega.llm.common import stored
+from adega.llm.common import free_name, stored
 from adega.llm.components import connected_components
 
 _U = np.uint64
@@ -145,7 +145,7 @@ def _bands(num: int, den: int, upto: int) -> tuple[Band, ...]:
 
 def bands_of(size: int, num: int, den: int) -> list[Band]:
     """The set's own band, and the next if a partner of the set can be in it."""
-    bands = _bands(num, den, 1 << max(10, (size * den // num + 1).bit_length()))
+    bands = _bands(num, den, 1 << max(10, (size * den // num).bit_length() + 1))
     k = next(b.index for b in bands if size <= b.high)
     own = [bands[k]] if bands[k].differ else []
     return own + ([bands[k + 1]] if size * den // num >= bands[k + 1].low and bands[k + 1].differ else [])
@@ -298,6 +298,32 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     return named.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5,
+                  threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """``docs`` with one row of each component of :func:`similar_components`: that of
+    the smallest doc_id (of equal ids, the smallest set key; of equal rows, any one).
+    Rows without shingles belong to no group and stay.  All columns are kept."""
+    slim = stored(_keys(docs, text, doc_id, words), "join-keys")
+    links = stored(similar_links(docs, slim, text, doc_id, words, threshold), "join-links")
+    nodes = slim.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    named = nodes.join(connected_components(links).withColumnRenamed("node", "key"), "key", "left")
+    key, chosen_id, chosen_key = (free_name(docs, f"join_{n}") for n in ("key", "chosen_id", "chosen_key"))
+    chosen = named.groupBy(F.coalesce("root", "key").alias("root")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first"))
+    chosen = chosen.select(F.col("first.doc_id").alias(chosen_id), F.col("first.key").alias(chosen_key))
+
+    @F.pandas_udf("long")
+    def keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_key(shingle_set(t, words)) for t in texts], dtype="Int64")
+
+    keyed = docs.withColumn(key, keys(F.col(text)))
+    # a key names one set, so it is the join's key; rows of that set with other ids go
+    met = keyed.where(F.col(key).isNotNull()).join(chosen, F.col(key) == F.col(chosen_key)).where(
+        F.col(doc_id).cast("long").eqNullSafe(F.col(chosen_id)))
+    kept = met.dropDuplicates([key]).select(*docs.columns)
+    return kept.unionByName(keyed.where(F.col(key).isNull()).select(*docs.columns))
+
+
 def similar_links(docs: DataFrame, slim: DataFrame, text: str, doc_id: str, words: int, threshold: tuple[int, int],
                   every_link: bool = False) -> DataFrame:
     """Verified links ``(a, b)`` between nodes (keys of distinct sets), enough for the
