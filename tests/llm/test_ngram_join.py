@@ -1,0 +1,154 @@
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from adega.llm import ngram_join
+from adega.llm.catalog import QUERIES
+from adega.llm.components import connected_components
+from adega.llm.ngram_join import bands_of, one_per_group, shingle_set, signatures, similar_components
+from tests_llm_helpers import AWKWARD, documents, prose
+
+BLANKS = " \t\n\x0b\f\r"
+LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
+
+
+def brute_set(text, n):
+    words = (text or "").translate(LOWER).translate(str.maketrans(BLANKS, " " * len(BLANKS))).split(" ")
+    words = [w for w in words if w]
+    return {tuple(words[k: k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def brute(rows, n, num, den):
+    sets = [brute_set(t, n) for _, t, *_ in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            i = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and den * i >= num * (len(sets[a]) + len(sets[b]) - i):
+                parent[find(a)] = find(b)
+    name = {}
+    for k, (i, *_) in enumerate(rows):
+        name.setdefault(find(k), []).append(i)
+    least = {r: min((i for i in ids if i is not None), default=None) for r, ids in name.items()}
+    return sorted(((i, len(sets[k]), least[find(k)]) for k, (i, *_) in enumerate(rows)), key=str)
+
+
+def edited(rng, text, share):
+    words = text.split(" ")
+    for _ in range(max(1, int(len(words) * share))):
+        k = rng.randrange(len(words))
+        rng.choice([lambda: words.insert(k, f"new{rng.random()}"), lambda: words.pop(k) if len(words) > 1 else None,
+                    lambda: words.__setitem__(k, f"other{rng.random()}")])()
+    return " ".join(words)
+
+
+def test_shingles_follow_the_definition():
+    for _, t, *_ in AWKWARD:
+        for n in (1, 4, 5):
+            assert len(shingle_set(t, n)) == len(brute_set(t, n))
+    assert (shingle_set("A b\tC", 5) == shingle_set("a B c", 5)).all() and len(shingle_set("É x", 1)) == 2
+    assert not np.array_equal(shingle_set("É", 1), shingle_set("é", 1))
+
+
+def common_band(a, b, num, den):
+    return [x for x in bands_of(len(a), num, den) if x in bands_of(len(b), num, den)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from([(85, 100), (80, 100), (1, 2)]), st.integers(1, 700), st.randoms(use_true_random=False))
+def test_similar_sets_share_a_signature_or_are_short_of_tolerance(threshold, size, rng):
+    num, den = threshold
+    base = np.array(rng.sample(range(1 << 60), size + 300), np.uint64)
+    a = np.unique(base[:size])
+    # the largest change that keeps the pair a link: drop some, add some
+    drop = rng.randint(0, max(0, size - -(-size * num // den)))
+    kept = size - drop
+    add = max(0, min(250, (kept * den) // num - size))
+    add = rng.randint(0, add)
+    b = np.unique(np.concatenate([np.array(rng.sample(list(a), kept), np.uint64), base[size: size + add]]))
+    assert den * kept >= num * (size + add)
+    if np.array_equal(a, b):
+        return
+    shared = False
+    for band in common_band(a, b, num, den):
+        (sa, ok_a), (sb, ok_b) = signatures(a, band), signatures(b, band)
+        shared |= bool(np.intersect1d(sa, sb).size) or not (ok_a and ok_b)
+    assert shared
+
+
+def test_components_of_planted_groups(spark):
+    rng = random.Random(5)
+    rows = []
+    for group in range(25):
+        base = prose(rng, rng.choice([1, 2, 4, 6, 9, 15, 30, 60, 200, 500]))
+        for k in range(rng.randint(1, 8)):
+            rows.append((len(rows), rng.choice([base, base.upper(), edited(rng, base, rng.choice([0.01, 0.03, 0.05, 0.2]))]), "en", "a"))
+    hot = prose(rng, 40)
+    rows += [(1000 + k, edited(rng, hot, 0.02), "en", "a") for k in range(60)]
+    passage = prose(rng, 30)
+    rows += [(2000 + k, passage + " " + prose(rng, rng.randint(3, 20)), "en", "a") for k in range(60)]
+    rng.shuffle(rows)
+    for words, threshold in ((4, (85, 100)), (5, (80, 100))):
+        want = brute(rows, words, *threshold)
+        for every in (False, True):
+            got = similar_components(documents(spark, rows, extra=False), words=words, threshold=threshold, every_link=every)
+            assert sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_awkward_rows(spark, awkward, no_documents):
+    got = similar_components(awkward, words=4, threshold=(85, 100))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(AWKWARD, 4, 85, 100)
+    assert similar_components(no_documents).count() == 0 and one_per_group(no_documents).count() == 0
+    kept = one_per_group(awkward)
+    assert kept.columns == awkward.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, None, 5, 6, 8], key=str)
+
+
+def test_sets_short_of_tolerance_are_compared_with_their_band(spark):
+    rng = random.Random(2)
+    rows = []
+    for k in range(150):  # 9 or 10 shingles in two segments: now and then one is empty, here in every tenth pair
+        base = prose(rng, 12)
+        while k % 10 == 0 and all(signatures(shingle_set(base, 4), band)[1] for band in bands_of(9, 85, 100)):
+            base = prose(rng, 12)
+        rows += [(2 * k, base, "en", "a"), (2 * k + 1, base + " more", "en", "a")]
+    docs = documents(spark, rows, extra=False)
+    signed = ngram_join._shared_signatures(docs, "text", 4, 85, 100)
+    assert signed.where("short").count() > 0
+    got = similar_components(docs, words=4, threshold=(85, 100))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 4, 85, 100)
+
+
+@pytest.mark.parametrize("links", [[], [(1, 1)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 30)] + [(50, 51), (51, 52), (52, 50)]])
+def test_connected_components(spark, links):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        if a != b:
+            parent[b] = a
+    want = sorted((x, find(x)) for x in parent if any(x in e and e[0] != e[1] for e in links))
+    got = connected_components(spark.createDataFrame(links, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_query_matches_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = QUERIES["op3_ngram_join"](spark, sf)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute(rows, 4, 85, 100)

@@ -1,0 +1,82 @@
+import zlib
+
+import numpy as np
+
+from adega.llm.catalog import QUERIES
+from adega.llm.quality import FEATURES, fit_moments, is_held_out, labelled, text_statistics, train, with_scores
+from tests_llm_helpers import AWKWARD, documents
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_statistics_are_defined_for_every_text():
+    for _, t, *_ in AWKWARD:
+        x = text_statistics(t)
+        assert len(x) == len(FEATURES) and np.isfinite(x).all()
+    assert text_statistics(None) == text_statistics("")
+
+
+def test_score_is_the_quotient_of_two_gaussians():
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(0, 1, (400, 3)) @ rng.normal(size=(3, 3)), rng.normal(1, 2, (300, 3))
+    n = np.array([400.0, 300.0])
+    model = fit_moments(n, np.array([a.sum(0), b.sum(0)]), np.array([a.T @ a, b.T @ b]), 0.2, 0.1)
+    covariances = []
+    own = [np.cov(x.T, bias=True) for x in (a, b)]
+    pooled = (own[0] * 400 + own[1] * 300) / 700
+    for c in own:
+        c = 0.8 * c + 0.2 * pooled
+        covariances.append(0.9 * c + 0.1 * np.trace(c) / 3 * np.eye(3))
+    x = rng.normal(size=(50, 3))
+
+    def density(x, m, c):
+        return np.exp(-0.5 * np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)) / np.sqrt(np.linalg.det(c))
+
+    p0, p1 = density(x, a.mean(0), covariances[0]) * 400, density(x, b.mean(0), covariances[1]) * 300
+    assert np.allclose(model.scores(x), p1 / (p0 + p1))
+
+
+def test_labels_to_learn_from(spark):
+    rows = [(k, k % 2, 0) for k in range(30)] + [(1, 0, 0), (2, 0, 1), (None, 1, 0), (40, None, 0), (41, 7, 0)]
+    got = {tuple(r) for r in labelled(spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()}
+    assert got == {(k, k % 2) for k in range(30) if k != 1 and zlib.crc32(str(k).encode()) % 3 != 1}
+    ids = spark.createDataFrame([(None,), (1,), (2,), (-5,)], "doc_id long")
+    want = [False] + [zlib.crc32(str(k).encode()) % 3 == 1 for k in (1, 2, -5)]
+    assert [r[0] for r in ids.select(is_held_out(ids["doc_id"])).collect()] == want
+
+
+def test_awkward_rows_and_too_few_labels(spark, awkward, no_documents):
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model, rows = train(awkward, empty)
+    out = with_scores(awkward, model)
+    assert {r["score_"] for r in out.collect()} == {0.5} and {r["predicted_"] for r in out.collect()} == {1}
+    assert out.columns[: len(awkward.columns)] == awkward.columns and rows.count() == len(AWKWARD)
+    one = spark.createDataFrame([(k, 1, 0) for k in range(1, 9)], "doc_id long, quality int, toxic int")
+    assert all(r["score_"] > 0.5 for r in with_scores(awkward, train(awkward, one)[0]).collect())
+    assert with_scores(no_documents, train(no_documents, empty)[0]).count() == 0
+
+
+def test_held_out_accuracy(spark):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = QUERIES["op2_quality"](spark, SF).collect()
+    assert len(rows) == 1000 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+    assert len(held) > 100 and np.mean([a == b for a, b in held]) >= 0.98
+
+
+def test_scores_from_texts_equal_scores_from_statistics(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model, rows = train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    a = {r["doc_id"]: r["score"] for r in with_scores(docs, model).collect()}
+    b = {r["doc_id"]: r["score"] for r in with_scores(rows, model, statistics="statistics").collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_ids_sources_and_languages_change_no_score(spark):
+    rows = [(k, f"some words {k % 3} here", "en", "a") for k in range(9)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(9)], "doc_id long, quality int, toxic int")
+    model, _ = train(documents(spark, rows, extra=False), labels)
+    other = documents(spark, [(k + 100, t, "xx", None) for k, t, *_ in rows], extra=False)
+    a = [r["score"] for r in with_scores(documents(spark, rows, extra=False), model).orderBy("doc_id").collect()]
+    assert a == [r["score"] for r in with_scores(other, model).orderBy("doc_id").collect()]
