@@ -4,7 +4,7 @@ All rolling word bigrams of all texts are joined, as 64-bit hashes, to the bigra
 positions in license templates.  A hit votes for its diagonal (text position minus
 template position); votes are summed per text, template and diagonal, neighbouring
 diagonals are merged into spans (words may have been put in or left out), and a
-span is verified with the text's own words, which each hit carries.
+span is verified by the words that its hits have in common with the template.
 
 Templates are this module's constants, so the side that is broadcast never grows.
 """
@@ -87,17 +87,16 @@ def scan(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[str, str]]
                                      lambda a, b: F.xxhash64(a, b)).alias("grams")))
     read = docs.select(*key, pairs.alias("p")).select("t1", "t2", "p.words", F.posexplode("p.grams").alias("pos", "gram"))
     hits = read.join(F.broadcast(grams), "gram")
-    # the words that stand where the template's words would; positions before the text's start don't count
-    begin = F.col("pos") - F.col("at")
-    here = F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.size("wanted") + F.least(begin, F.lit(0)))
-    there = F.slice("wanted", 1 - F.least(begin, F.lit(0)), F.size("wanted"))
-    equal = F.filter(F.sequence(F.lit(0), F.size(here) - 1), lambda i: F.element_at(here, i + 1) == F.element_at(there, i + 1))
+    # the hash is verified with the words themselves; these expressions stay inside generated
+    # code, so a long text's word array is never copied to its hits
+    same = [F.element_at("words", F.col("pos") + k) == F.element_at("wanted", F.col("at") + k) for k in (1, 2)]
     voted = (
-        hits.withColumn("diagonal", begin)
-        .withColumn("same", F.transform(equal, lambda i: i - F.least(begin, F.lit(0))))  # template positions verified
-        .groupBy("t1", "t2", "template", "label", "exact", "diagonal")
-        # copies of a text vote alike: distinct text positions are the votes
-        .agg(F.first("same").alias("same"), F.countDistinct("pos").alias("votes"), F.first(F.size("wanted")).alias("length")))
+        hits.where(same[0] & same[1])
+        .select("t1", "t2", "template", "label", "exact", (F.col("pos") - F.col("at")).alias("diagonal"), "at", F.size("wanted").alias("length"))
+        .groupBy("t1", "t2", "template", "label", "exact", "length", "diagonal")
+        # copies of a text vote alike: the distinct template positions are the votes
+        .agg(F.collect_set("at").alias("votes")))
+    voted = voted.withColumn("same", F.array_distinct(F.concat("votes", F.transform("votes", lambda at: at + 1))))  # words verified
     found = _spans(voted, coverage, drift)
 
     names = {n: free_name(docs, n) for n in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
@@ -119,7 +118,7 @@ def _spans(voted: DataFrame, coverage: float, drift: int) -> DataFrame:
     merged = voted.withColumn("new", new).withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     spans = merged.groupBy("t1", "t2", "template", "label", "exact", "span").agg(
         F.min(F.col("diagonal") + F.array_min("same")).alias("start"), F.max(F.col("diagonal") + F.array_max("same") + 1).alias("end"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("same")))).alias("matched"), F.first("length").alias("length"))
+        F.size(F.array_distinct(F.flatten(F.collect_list("same")))).alias("matched"), F.max("length").alias("length"))
     spans = spans.withColumn("share", F.col("matched") / F.col("length"))
     spans = spans.where(F.when(F.col("exact"), F.col("share") == 1.0).otherwise(
         F.col("share") >= F.when(F.col("length") < 10, 1.0).otherwise(coverage)))
