@@ -23,23 +23,24 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject (score >= 0.5)."""
+    docs = docs.select(*COLUMNS)
     model, _ = train(docs, table(spark, sf_dir, "labels"))
     return with_scores(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten or more documents go; ``n_chars`` follows the text."""
-    return drop_frequent_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    return drop_frequent_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8)."""
-    return one_per_group(docs).select(*COLUMNS)
+    return one_per_group(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, range-sorted by training position."""
-    return mixed(docs).select(*COLUMNS)
+    return mixed(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
