@@ -38,7 +38,7 @@ LOCAL_RUN = 32
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 400_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
