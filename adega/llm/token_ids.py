@@ -43,10 +43,10 @@ class _Blank(Exception):
 class PieceEncoder(dict):
     """Cache: piece after a space (or at the start, see ``first``) -> id bytes.
 
-    ``width`` is the bytes of one id (little-endian unsigned).  ``limit`` bounds
-    the cache's entries; a full cache is emptied and fills again."""
+    ``width`` is the bytes of one id (little-endian unsigned).  ``limit`` bounds the
+    entries: a full cache becomes the old one, whose pieces come back when asked for."""
 
-    def __init__(self, path: str, width: int = 4, limit: int = 1_000_000):
+    def __init__(self, path: str, width: int = 4, limit: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -59,6 +59,7 @@ class PieceEncoder(dict):
         self.space = " " if self.tokenizer.encode("a a", add_special_tokens=False).ids != 2 * self.tokenizer.encode("a", add_special_tokens=False).ids else ""
         self.line = self.library("\n")
         self.first: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.symbols = _byte_symbols()
 
     def letters(self, word: str, space: str) -> bytes:
@@ -86,6 +87,13 @@ class PieceEncoder(dict):
         return got
 
     def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.get(piece)
+        if got is not None:
+            self[piece] = got
+            return got
         if _EDGE.search(piece):
             raise _Blank
         if "\n" in piece:
@@ -94,8 +102,6 @@ class PieceEncoder(dict):
             for part in rest:
                 out += (self.line, self.at_start(part))
             return b"".join(out)
-        if len(self) >= self.limit:
-            self.clear()
         if not self.space and _CASED.fullmatch(piece) and (low := piece.lower()) != piece:
             got = self[low]
         elif _LETTERS.fullmatch(piece):
