@@ -3,12 +3,10 @@
 The reports format numbers on the driver one at a time; here every label is a
 JVM expression (``when`` chain + ``format_string``) evaluated next to the data.
 
-Rounding: the figure is scaled and rounded half-to-even on its exact decimal
-value (``bround`` on ``decimal(38,10)``) before ``format_string`` sees it, so
-``2.5M`` prints ``$2M`` and ``1.25K`` prints ``1.2K`` as Python's formatter does
-for exactly representable ties.  For ties that binary floating point cannot
-represent (``2.675``) Python rounds the nearest double instead; the decimal rule
-is the deterministic choice.
+Rounding is that of a formatter that prints the double quotient ``value / divisor``
+to a fixed number of decimals: the quotient's exact binary value is rounded to the
+nearest figure, and to the even one only if it lies exactly between two.  So 1150
+prints ``$1.1K`` (1.15 as a double is a little less) and 2450 prints ``$2.5K``.
 """
 
 from __future__ import annotations
@@ -54,14 +52,28 @@ GROUPED_FORMATS = {  # single-format labels of printed tables and bar ends
 }
 # ---------------------------------------------------------------------------
 
-_DECIMAL = "decimal(38,10)"
+#: splits a double into two halves of 26 bits, whose products are exact
+_SPLIT = 134217729.0
 
 
 def _scaled(value: Column, divisor: float, digits: int) -> Column:
-    exact = value.try_cast(_DECIMAL)
-    if divisor != 1:
-        exact = exact / F.lit(int(divisor))
-    return F.bround(exact, digits).cast("double")
+    """``value / divisor`` as a double, rounded to ``digits`` decimals.
+
+    With ``q`` the quotient and ``k = floor(q * 10**digits)``, ``q`` lies above or
+    below the middle of ``k`` and ``k + 1`` by the sign of ``q * 2 * 10**digits -
+    (2 * k + 1)``; the product's rounding error is computed from halves, so the sign
+    is that of the exact difference."""
+    q = value.cast("double") / F.lit(float(divisor)) if divisor != 1 else value.cast("double")
+    scale = float(10 ** digits)
+    twice = F.lit(2.0 * scale)
+    k = F.floor(q * F.lit(scale)).cast("double")
+    product = q * twice
+    high = q * F.lit(_SPLIT) - (q * F.lit(_SPLIT) - q)
+    low = q - high  # the factor 2 * 10**digits has few bits: both partial products are exact
+    error = (high * twice - product) + low * twice
+    above = (product - (F.lit(2.0) * k + F.lit(1.0))) + error
+    up = (above > 0) | ((above == 0) & (F.pmod(k, F.lit(2.0)) == 1))
+    return (k + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(scale)
 
 
 def tiered_label(col: Column | str, tiers) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adega.functions.numbers import parse_digits, parse_locale_number
@@ -17,6 +17,17 @@ from adega.sources.statements import COUNTRY, QUANTITY, TOTAL_LABEL, VALUE
 MISSING_POLICIES = ("drop", "positive", "keep")
 
 
+def computed_once(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``df`` with the columns ``values`` put in, each computed once per row.
+
+    As a plain projection the optimiser would copy the expressions into every later
+    filter on them (text parsed twice).  A one-element ``inline`` keeps them where
+    they are, and filters on the other columns still move below it to the scan."""
+    rest = [c for c in df.columns if c not in values]
+    made = df.select(*rest, F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
+    return made.select(*df.columns, *[n for n in values if n not in df.columns])
+
+
 def split_line(df: DataFrame, col: str = "raw_data", *, quote_aware: bool = True,
                names: Sequence[str] = (COUNTRY, QUANTITY, VALUE)) -> DataFrame:
     """Split a whole CSV line into named text fields (country trimmed).
@@ -38,8 +49,8 @@ def split_line(df: DataFrame, col: str = "raw_data", *, quote_aware: bool = True
         fields = [F.when(quoted, parsed[f"f{i}"]).otherwise(F.nullif(f, F.lit("")))
                   for i, f in enumerate(fields)]
     fields[0] = F.trim(fields[0])
-    keep = [c for c in df.columns if c != col]
-    return df.select(*keep, *[f.alias(n) for f, n in zip(fields, names)])
+    split = computed_once(df, dict(zip(names, fields)))
+    return split.select(*[c for c in split.columns if c != col])
 
 
 def drop_totals(df: DataFrame, col: str = COUNTRY, label: str = TOTAL_LABEL) -> DataFrame:
@@ -81,9 +92,10 @@ def clean_statements(df: DataFrame, *, missing: str = "drop", parse: str = "loca
         conv = lambda c: parse_digits(c, dtype)
     else:
         raise ValueError(f"parse must be 'locale' or 'digits', got {parse!r}")
-    typed = df.select(*[conv(c).alias(c) if c in measures else F.col(c) for c in df.columns])
-    typed = apply_missing_policy(typed, missing, measures)
-    return typed if totals else drop_totals(typed)
+    if not totals:
+        df = drop_totals(df)  # on the text: reaches the scan
+    typed = computed_once(df, {c: conv(c) for c in measures})
+    return apply_missing_policy(typed, missing, measures)
 
 
 def filter_country(df: DataFrame, country: str, col: str = COUNTRY) -> DataFrame:

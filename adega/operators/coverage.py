@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adega.sources.statements import PRODUCT, YEAR
@@ -39,20 +39,19 @@ def missing_periods(facts: DataFrame, first_year: int, last_year: int | None = N
 
     One pass over ``facts``: the years present are gathered per product
     (``collect_set``, combined map-side; a set holds at most one entry per year),
-    the expected years are ``sequence(first_year, last_year)`` and the gaps are
-    their ``array_except``.  ``last_year`` defaults to the latest year in
-    ``facts``, taken over the per-product rows (one row per product).
-    ``products`` adds products that have no row at all.
+    the expected years are ``first_year`` to ``last_year`` and the gaps are their
+    ``array_except``.  ``last_year`` defaults to the latest year in ``facts`` (a
+    scalar subquery over the year column); nothing is expected if it lies before
+    ``first_year`` or ``facts`` has no year.  ``products`` adds products to those of
+    ``facts``: one without any row misses every year.
     """
-    present = (facts.select(PRODUCT, YEAR).where(F.col(YEAR).isNotNull())
-               .groupBy(PRODUCT).agg(F.collect_set(YEAR).alias("_years")))
+    rows = facts.select(PRODUCT, YEAR)
     if products is not None:
-        present = (products.select(PRODUCT).distinct()
-                   .join(present, PRODUCT, "left")
-                   .select(PRODUCT, F.coalesce("_years", F.array().cast("array<int>")).alias("_years")))
-    hi = F.lit(last_year) if last_year is not None else F.max(F.array_max("_years")).over(Window.partitionBy())
-    bounded = present.withColumn("_last", hi)
-    expected = F.sequence(F.lit(first_year), F.col("_last"))
+        rows = rows.unionByName(products.select(PRODUCT, F.lit(None).cast("int").alias(YEAR)))
+    present = rows.groupBy(PRODUCT).agg(F.collect_set(YEAR).alias("_years"))  # a set leaves nulls out
+    last = F.lit(last_year) if last_year is not None else facts.agg(F.max(YEAR)).scalar()
+    bounded = present.select(PRODUCT, "_years", last.alias("_last")).where(F.col("_last") >= F.lit(first_year))
+    expected = F.sequence(F.lit(first_year), F.greatest(F.col("_last"), F.lit(first_year)))
     return bounded.select(PRODUCT, F.explode(F.array_except(expected, "_years")).alias(YEAR))
 
 

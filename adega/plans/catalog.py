@@ -14,17 +14,18 @@ from pyspark.sql import functions as F
 
 from adega.functions import labels as L
 from adega.operators.clean import clean_statements, split_line
-from adega.operators.coverage import missing_periods, union_all
-from adega.operators.present import series_table
+from adega.operators.coverage import expected_grid, missing_periods, union_all
+from adega.operators.present import preview, series_table
 from adega.operators.rank import top_countries, top_per_year
 from adega.operators.totals import (
     distinct_years, totals_by_country, totals_by_product_year, totals_by_year, totals_by_year_country,
     value_by_year_country)
 from adega.plans import oracle as O
 from adega.plans import reports as R
-from adega.session import scratch_path
-from adega.sources.driver_tables import customs_rows, statement_lines, statement_table, table
-from adega.sources.pages import extract_rows
+from adega.sources.customs import scan_customs
+from adega.sources.driver_tables import (
+    PAGE_CODES, customs_rows, customs_sheet, derived_path, statement_lines, statement_pages, statement_table, table)
+from adega.sources.pages import cells_to_columns, extract_rows, pages_to_statements
 from adega.sources.statements import COUNTRY, PRODUCT, QUANTITY, VALUE, YEAR, scan_lines, scan_statements
 from adega.sources.writers import write_statement_files, write_statements
 
@@ -40,6 +41,8 @@ CUSTOMS_COUNTRY, CUSTOMS_STATE, CUSTOMS_GROUPS = "NATION_3", "EUROPE", (48, 57,
 SCATTER_COLOURS = {"R": "navy", "A": "crimson"}
 FIRST_EXPECTED_YEAR = 1992
 RECENT_YEARS = 3
+HOLE_PRODUCT, HOLE_YEAR = "PROMO", 1995
+AFTER_THE_DATA = 2010
 
 
 def register(name: str, oracle: str | None):
@@ -89,7 +92,7 @@ def q_totals_reconciliation(spark, sf_dir):
 SELECT product, year, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd, count(*) AS rows
 FROM facts GROUP BY product, year"""))
 def q_csv_roundtrip_totals(spark, sf_dir):
-    path = write_statements(statement_table(spark, sf_dir), scratch_path(spark, "statements"))
+    path = derived_path(spark, sf_dir, "roundtrip-csv", write_statements)
     scanned = scan_statements(spark, path, layout="hive")
     return totals_by_product_year(clean_statements(scanned))
 
@@ -98,7 +101,7 @@ def q_csv_roundtrip_totals(spark, sf_dir):
 SELECT product, year, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd, count(*) AS rows
 FROM facts GROUP BY product, year"""))
 def q_flat_files_roundtrip_totals(spark, sf_dir):
-    root = write_statement_files(statement_table(spark, sf_dir), scratch_path(spark, "statement-flat"))
+    root = derived_path(spark, sf_dir, "roundtrip-flat", write_statement_files)
     return totals_by_product_year(clean_statements(scan_statements(spark, root)))
 
 
@@ -106,7 +109,7 @@ def q_flat_files_roundtrip_totals(spark, sf_dir):
 SELECT product, year, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd, count(*) AS rows
 FROM facts GROUP BY product, year"""))
 def q_lines_roundtrip_totals(spark, sf_dir):
-    path = write_statements(statement_table(spark, sf_dir), scratch_path(spark, "statement-lines"))
+    path = derived_path(spark, sf_dir, "roundtrip-lines", write_statements)
     fields = split_line(scan_lines(spark, path, layout="hive"))
     return totals_by_product_year(clean_statements(fields, parse="digits"))
 
@@ -380,6 +383,98 @@ def q_missing_periods(spark, sf_dir):
     return missing_periods(statement_table(spark, sf_dir), FIRST_EXPECTED_YEAR)
 
 
+_GRID = """
+, observed AS (SELECT DISTINCT product, year FROM raw WHERE NOT ({hole})),
+  grid AS (SELECT product, CAST(unnest(generate_series({first}, m)) AS INTEGER) AS year
+           FROM (SELECT DISTINCT product FROM raw), (SELECT max(year) AS m FROM raw))
+SELECT product, year FROM grid EXCEPT SELECT product, year FROM observed"""
+
+
+@register("missing_periods_hole", O.sql(_GRID.format(first=FIRST_EXPECTED_YEAR, hole=f"product = '{HOLE_PRODUCT}' AND year = {HOLE_YEAR}")))
+def q_missing_periods_hole(spark, sf_dir):
+    statements = statement_table(spark, sf_dir)
+    hole = (F.col(PRODUCT) == HOLE_PRODUCT) & (F.col(YEAR) == HOLE_YEAR)
+    return missing_periods(statements.filter(~hole), FIRST_EXPECTED_YEAR, products=statements.select(PRODUCT).distinct())
+
+
+@register("missing_periods_after_data", O.sql(_GRID.format(first=AFTER_THE_DATA, hole="FALSE")))
+def q_missing_periods_after_data(spark, sf_dir):
+    return missing_periods(statement_table(spark, sf_dir), AFTER_THE_DATA)
+
+
+@register("expected_grid", O.sql(f"""
+SELECT product, CAST(unnest(generate_series({FIRST_EXPECTED_YEAR}, 1998)) AS INTEGER) AS year
+FROM (SELECT DISTINCT product FROM raw)"""))
+def q_expected_grid(spark, sf_dir):
+    products = statement_table(spark, sf_dir).select(PRODUCT).distinct()
+    return expected_grid(products, FIRST_EXPECTED_YEAR, 1998, descending=True)
+
+
+@register("preview_top_values", O.sql("""
+SELECT country, sum(value_usd) AS value_usd FROM facts GROUP BY country ORDER BY value_usd DESC, country LIMIT 5"""))
+def q_preview_top_values(spark, sf_dir):
+    return preview(totals_by_country(facts(spark, sf_dir)).select(COUNTRY, VALUE).orderBy(F.desc(VALUE), COUNTRY), 5)
+
+
+@register("country_series_checked", O.sql(f"""
+SELECT year, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd
+FROM facts WHERE country = '{SERIES_COUNTRY}' GROUP BY year"""))
+def q_country_series_checked(spark, sf_dir):
+    return R.country_series(statement_table(spark, sf_dir), SERIES_COUNTRY, check=True).select(YEAR, QUANTITY, VALUE)
+
+
+@register("label_for_measures", O.sql(f"""
+SELECT year, country, {O.currency('value_usd')} AS value_label, {O.quantity('quantity_kg')} AS quantity_label,
+       {O.value_millions('value_usd')} AS value_millions, {O.quantity_millions('quantity_kg')} AS quantity_millions
+FROM yearly"""))
+def q_label_for_measures(spark, sf_dir):
+    yearly = totals_by_year_country(facts(spark, sf_dir))
+    return yearly.select(YEAR, COUNTRY, L.label_for(VALUE).alias("value_label"), L.label_for(QUANTITY).alias("quantity_label"),
+                         L.label_for(VALUE, "millions").alias("value_millions"),
+                         L.label_for(QUANTITY, "millions").alias("quantity_millions"))
+
+
+@register("top30_value_decimal", O.sql("""
+SELECT country, CAST(sum(TRY_CAST(replace(quantity_kg, '.', '') AS DECIMAL(20,2))) AS BIGINT) AS quantity_kg,
+       CAST(sum(TRY_CAST(replace(value_usd, '.', '') AS DECIMAL(20,2))) AS BIGINT) AS value_usd
+FROM raw WHERE quantity_kg <> '-' AND value_usd <> '-' AND country <> 'Total' GROUP BY country
+ORDER BY value_usd DESC, quantity_kg DESC, country LIMIT 30"""))
+def q_top30_value_decimal(spark, sf_dir):
+    top = R.overall_top(statement_table(spark, sf_dir), 30, VALUE, dtype="decimal(20,2)")
+    return top.select(COUNTRY, F.col(QUANTITY).cast("bigint").alias(QUANTITY), F.col(VALUE).cast("bigint").alias(VALUE))
+
+
+def _sheet_unit_price(fmt: str):
+    def query(spark, sf_dir):
+        customs = scan_customs(spark, customs_sheet(spark, sf_dir, fmt), fmt, original_headers=True)
+        means = R.unit_price_report(customs, CUSTOMS_COUNTRY, CUSTOMS_STATE, CUSTOMS_GROUPS, SCATTER_COLOURS)[1]
+        return means.select("via", F.round("mean_unit_price", 6).alias("mean_unit_price"), "label")
+    return query
+
+
+for _fmt in ("csv", "parquet"):
+    register(f"unit_price_sheet_{_fmt}", _unit_price_sql(_CUSTOMS_FILTER))(_sheet_unit_price(_fmt))
+
+
+@register("pages_to_statements_totals", O.sql("""
+SELECT product, year, country, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd
+FROM facts GROUP BY product, year, country"""))
+def q_pages_to_statements_totals(spark, sf_dir):
+    statements = pages_to_statements(statement_pages(spark, sf_dir), PAGE_CODES)
+    return clean_statements(statements).select(PRODUCT, YEAR, COUNTRY, QUANTITY, VALUE)
+
+
+@register("page_list_columns", """
+SELECT page_id, cells[1] AS first, cells[2] AS second
+FROM (SELECT page_id,
+             list_transform(regexp_extract_all(html, '<li>(.*?)</li>', 1),
+                            lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g'))) AS cells
+      FROM pages)""")
+def q_page_list_columns(spark, sf_dir):
+    rows = extract_rows(table(spark, sf_dir, "pages"), "ul", ("li",))
+    return cells_to_columns(rows, ["first", "second"]).select("page_id", "first", "second")
+
+
 @register("page_list_rows", """
 SELECT page_id, CAST(0 AS INTEGER) AS row_no, CAST(generate_subscripts(cells, 1) - 1 AS INTEGER) AS cell_no,
        unnest(cells) AS cell

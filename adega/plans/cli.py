@@ -4,7 +4,8 @@
 Each subcommand reads statement files (``--root``: one folder per product with
 ``dados_<year>.csv`` files, or a hive-layout copy with ``--layout hive``), runs
 one report and either writes the result (``--out``, parquet or CSV, distributed
-write) or prints its first ``--show`` rows.
+write) or prints all its rows (``--show`` prints fewer; reports with a row per
+input row need ``--out`` or ``--show``).
 """
 
 from __future__ import annotations
@@ -19,13 +20,22 @@ from adega.operators.coverage import missing_periods
 from adega.plans import reports as R
 from adega.session import build_session
 from adega.sources.customs import scan_customs
-from adega.sources.pages import EXPORT_PRODUCT_CODES, IMPORT_PRODUCT_CODES, pages_to_statements
-from adega.sources.statements import scan_lines, scan_statements
+from adega.sources.pages import pages_to_statements
+from adega.sources.statements import as_lines, scan_lines, scan_statements
 from adega.sources.writers import write_statements
 from adega.streaming import ingest_statement_files
 
 COLOURS = {"argentina": MODE_COLOURS_ARGENTINA, "spain": MODE_COLOURS_SPAIN}
-CODES = {"export": EXPORT_PRODUCT_CODES, "import": IMPORT_PRODUCT_CODES}
+#: options a report can't do without
+REQUIRED = {
+    "country-products": ("root", "country"), "country-series": ("root", "country"), "annual-top": ("root",),
+    "top-series": ("root",), "overall-top": ("root",), "year-ranking": ("root", "year"), "year-mean": ("root", "year"),
+    "product-table": ("root",), "summary": ("root",), "last-years": ("root",), "missing": ("root",),
+    "unit-price": ("customs",), "price-scatter": ("customs",), "pages": ("pages",), "ingest": ("root", "target"),
+    "all": ("root", "out"),
+}
+#: reports with a row per input row
+UNBOUNDED = ("price-scatter", "pages")
 
 
 def _statements(spark: SparkSession, a) -> DataFrame:
@@ -35,22 +45,24 @@ def _statements(spark: SparkSession, a) -> DataFrame:
 
 
 def _lines(spark: SparkSession, a) -> DataFrame:
+    if a.layout == "hive-parquet":  # a columnar copy: its cells as the lines they came from
+        return as_lines(_statements(spark, a))
     return scan_lines(spark, a.root, a.products, encoding=a.encoding,
                       layout="hive" if a.layout == "hive" else "files")
 
 
 REPORTS = {
     "country-products": lambda s, a: R.country_product_report(_lines(s, a), a.country, a.products,
-                                                              quote_aware=not a.plain_split, check=True),
-    "country-series": lambda s, a: R.country_series(_statements(s, a), a.country, check=True),
-    "annual-top": lambda s, a: R.annual_top(_statements(s, a), a.measure, a.n or 15),
-    "top-series": lambda s, a: R.top_country_value_series(_statements(s, a), a.n or 10),
-    "overall-top": lambda s, a: R.overall_top(_statements(s, a), a.n or 30, a.measure),
-    "year-ranking": lambda s, a: R.year_ranking(_statements(s, a), a.year, a.product)[0],
-    "year-mean": lambda s, a: R.year_ranking(_statements(s, a), a.year, a.product)[1],
-    "product-table": lambda s, a: R.product_year_table(_statements(s, a), a.products),
-    "summary": lambda s, a: R.export_summary(_statements(s, a), a.origin),
-    "last-years": lambda s, a: R.last_n_years(_statements(s, a), a.n or 15),
+                                                              quote_aware=not a.plain_split, check=True, dtype=a.dtype),
+    "country-series": lambda s, a: R.country_series(_statements(s, a), a.country, check=True, dtype=a.dtype),
+    "annual-top": lambda s, a: R.annual_top(_statements(s, a), a.measure, a.n or 15, dtype=a.dtype),
+    "top-series": lambda s, a: R.top_country_value_series(_statements(s, a), a.n or 10, dtype=a.dtype),
+    "overall-top": lambda s, a: R.overall_top(_statements(s, a), a.n or 30, a.measure, dtype=a.dtype),
+    "year-ranking": lambda s, a: R.year_ranking(_statements(s, a), a.year, a.product, dtype=a.dtype)[0],
+    "year-mean": lambda s, a: R.year_ranking(_statements(s, a), a.year, a.product, dtype=a.dtype)[1],
+    "product-table": lambda s, a: R.product_year_table(_statements(s, a), a.products, dtype=a.dtype),
+    "summary": lambda s, a: R.export_summary(_statements(s, a), a.origin, dtype=a.dtype),
+    "last-years": lambda s, a: R.last_n_years(_statements(s, a), a.n or 15, dtype=a.dtype),
     "missing": lambda s, a: missing_periods(_statements(s, a), a.first_year, a.last_year),
     "unit-price": lambda s, a: R.unit_price_report(
         scan_customs(s, a.customs, a.customs_format, original_headers=a.original_headers),
@@ -58,7 +70,7 @@ REPORTS = {
     "price-scatter": lambda s, a: R.unit_price_report(
         scan_customs(s, a.customs, a.customs_format, original_headers=a.original_headers),
         a.country, a.state, a.groups, COLOURS[a.colours])[0],
-    "pages": lambda s, a: pages_to_statements(s.read.parquet(a.pages), CODES[a.flow]),
+    "pages": lambda s, a: pages_to_statements(s.read.parquet(a.pages)),
 }
 
 
@@ -85,12 +97,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--groups", nargs="*", type=int)
     p.add_argument("--colours", default="spain", choices=sorted(COLOURS))
     p.add_argument("--pages", help="parquet table page_id, url, html")
-    p.add_argument("--flow", default="export", choices=sorted(CODES))
+    p.add_argument("--flow", help="ingest: flow written with every row")
     p.add_argument("--target", help="ingest: facts table path")
     p.add_argument("--checkpoint", help="ingest: streaming checkpoint path")
     p.add_argument("--out", help="write the result here instead of printing it")
     p.add_argument("--format", default="parquet", choices=["parquet", "csv"])
-    p.add_argument("--show", type=int, default=50, help="rows to print when --out is not given")
+    p.add_argument("--show", type=int, help="rows to print when --out is not given (default: all)")
+    p.add_argument("--dtype", default="double", help="type of the measures, e.g. decimal(20,2)")
     p.add_argument("--explain", action="store_true", help="print the formatted physical plan instead of running")
     p.add_argument("--master", help="Spark master (spark-submit normally provides it)")
     return p
@@ -115,19 +128,26 @@ def _write(df: DataFrame, out: str, fmt: str) -> None:
     writer.option("header", True).csv(out) if fmt == "csv" else writer.parquet(out)
 
 
+def parse(argv: Sequence[str]) -> argparse.Namespace:
+    """Arguments with the report's required options checked."""
+    p = parser()
+    a = p.parse_args(list(argv))
+    for option in REQUIRED[a.report]:
+        if getattr(a, option) is None:
+            p.error(f"{a.report}: --{option} is required")
+    return a
+
+
 def run(spark: SparkSession, argv: Sequence[str]) -> DataFrame | None:
     """Build the report DataFrame for ``argv`` (and write it when ``--out``)."""
-    a = parser().parse_args(list(argv))
+    a = parse(argv)
     if a.report == "ingest":
         ingest_statement_files(spark, a.root, a.target, products=a.products, checkpoint=a.checkpoint,
                                flow=a.flow).awaitTermination()
         return None
     if a.report == "all":
-        if not a.out:
-            raise SystemExit("all: --out is required")
-        base = [x for x in argv if x != "all"]
         for name, (report, extra) in ALL_REPORTS.items():
-            sub = parser().parse_args([report, *base, *extra])
+            sub = parser().parse_args([report, *extra], argparse.Namespace(**{**vars(a), "report": report}))
             _write(REPORTS[report](spark, sub), f"{a.out.rstrip('/')}/{name}", a.format)
         return None
     df = REPORTS[a.report](spark, a)
@@ -145,8 +165,10 @@ def run(spark: SparkSession, argv: Sequence[str]) -> DataFrame | None:
 def main(argv: Sequence[str] | None = None) -> None:
     import sys
     args = list(sys.argv[1:] if argv is None else argv)
-    a = parser().parse_args(args)
+    a = parse(args)
+    if a.report in UNBOUNDED and not (a.out or a.show or a.explain):
+        raise SystemExit(f"{a.report}: --out or --show is required, it has a row per input row")
     spark = build_session(a.master, app_name=f"adega-{a.report}")
     df = run(spark, args)
     if df is not None and not a.out and not a.explain:
-        df.show(a.show, truncate=False)
+        df.show(a.show or max(1, df.count()), truncate=False)

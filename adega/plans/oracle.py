@@ -2,17 +2,13 @@
 
 The common table expressions rebuild, in SQL, the statement text that
 :mod:`adega.sources.driver_tables` renders with Spark, then parse it the same way.
-Label expressions are generated from the same tier tables as the Spark labels.
+Nothing here is taken from the code under test: masks, tiers and formats are
+written out, and labels are DuckDB's own ``printf`` of the double quotient.
 """
 
 from __future__ import annotations
 
-from adega.functions.labels import (
-    AXIS_MILLIONS_TIERS, CURRENCY_TIERS, GROUPED_FORMATS, QUANTITY_MILLIONS_TIERS, QUANTITY_TIERS,
-    VALUE_MILLIONS_TIERS)
-from adega.sources.driver_tables import MISSING_EVERY, ZERO_QUANTITY_EVERY
-
-CTES = f"""
+CTES = """
 WITH base AS (
   SELECT n.n_name AS country,
          CAST(year(o.o_orderdate) AS INTEGER) AS year,
@@ -30,20 +26,20 @@ WITH base AS (
 ),
 cells AS (
   SELECT product, year, country, via, state, group_code,
-         CASE WHEN mask_key % {MISSING_EVERY} = 0 THEN NULL
-              WHEN mask_key % {ZERO_QUANTITY_EVERY} = 0 THEN 0 ELSE quantity END AS q,
-         CASE WHEN mask_key % {MISSING_EVERY} = 0 THEN NULL ELSE value END AS v
+         CASE WHEN mask_key % 7 = 0 THEN NULL
+              WHEN mask_key % 11 = 0 THEN 0 ELSE quantity END AS q,
+         CASE WHEN mask_key % 7 = 0 THEN NULL ELSE value END AS v
   FROM base
 ),
 raw AS (
   SELECT product, year, country,
-         CASE WHEN q IS NULL THEN '-' ELSE replace(format('{{:,}}', q), ',', '.') END AS quantity_kg,
-         CASE WHEN v IS NULL THEN '-' ELSE replace(format('{{:,}}', v), ',', '.') END AS value_usd
+         CASE WHEN q IS NULL THEN '-' ELSE replace(format('{:,}', q), ',', '.') END AS quantity_kg,
+         CASE WHEN v IS NULL THEN '-' ELSE replace(format('{:,}', v), ',', '.') END AS value_usd
   FROM cells
   UNION ALL
   SELECT product, year, 'Total' AS country,
-         replace(format('{{:,}}', CAST(sum(q) AS BIGINT)), ',', '.') AS quantity_kg,
-         replace(format('{{:,}}', CAST(sum(v) AS BIGINT)), ',', '.') AS value_usd
+         replace(format('{:,}', CAST(sum(q) AS BIGINT)), ',', '.') AS quantity_kg,
+         replace(format('{:,}', CAST(sum(v) AS BIGINT)), ',', '.') AS value_usd
   FROM cells WHERE q IS NOT NULL GROUP BY product, year
 ),
 parsed AS (
@@ -79,31 +75,37 @@ yearly AS (
 """
 
 
-def _scaled(expr: str, divisor: float, digits: int) -> str:
-    exact = f"CAST({expr} AS DECIMAL(38,10))"
-    if divisor != 1:
-        exact = f"({exact} * CAST({1 / divisor:.9f} AS DECIMAL(18,9)))"
-    return f"CAST(round_even({exact}, {digits}) AS DOUBLE)"
+def currency(x: str) -> str:
+    return f"""CASE WHEN {x} IS NULL THEN NULL
+      WHEN {x} >= 1000000000 THEN printf('$%.2fB', ({x}) / 1e9)
+      WHEN {x} >= 1000000 THEN printf('$%.2fM', ({x}) / 1e6)
+      WHEN {x} >= 1000 THEN printf('$%.1fK', ({x}) / 1e3) ELSE printf('$%.2f', CAST({x} AS DOUBLE)) END"""
+
+
+def quantity(x: str) -> str:
+    return f"""CASE WHEN {x} IS NULL THEN NULL
+      WHEN {x} >= 1000000 THEN printf('%.2fM Kg', ({x}) / 1e6)
+      WHEN {x} >= 1000 THEN printf('%.1fK Kg', ({x}) / 1e3) ELSE printf('%.0f Kg', CAST({x} AS DOUBLE)) END"""
+
+
+def value_millions(x: str) -> str:
+    return f"""CASE WHEN {x} IS NULL THEN NULL
+      WHEN {x} >= 1000000000 THEN printf('$%,.1fB', ({x}) / 1e9) ELSE printf('$%,.0fM', ({x}) / 1e6) END"""
 
 
-def tiered(expr: str, tiers) -> str:
-    *bounded, (_, divisor, digits, fmt) = tiers
-    out = f"printf('{fmt}', {_scaled(expr, divisor, digits)})"
-    for bound, divisor, digits, fmt in reversed(bounded):
-        out = f"CASE WHEN {expr} >= {bound!r} THEN printf('{fmt}', {_scaled(expr, divisor, digits)}) ELSE {out} END"
-    return f"CASE WHEN {expr} IS NULL THEN NULL ELSE {out} END"
+def quantity_millions(x: str) -> str:
+    return f"""CASE WHEN {x} IS NULL THEN NULL
+      WHEN {x} >= 1000000000 THEN printf('%,.1fB Kg', ({x}) / 1e9) ELSE printf('%,.0fM Kg', ({x}) / 1e6) END"""
 
 
-def grouped(expr: str, style: str) -> str:
-    fmt, digits = GROUPED_FORMATS[style]
-    return f"CASE WHEN {expr} IS NULL THEN NULL ELSE printf('{fmt}', {_scaled(expr, 1, digits)}) END"
+def axis_millions(x: str) -> str:
+    return f"""CASE WHEN {x} IS NULL THEN NULL
+      WHEN {x} >= 1000000000 THEN printf('$%.1fB', ({x}) / 1e9) ELSE printf('$%.0fM', ({x}) / 1e6) END"""
 
 
-currency = lambda e: tiered(e, CURRENCY_TIERS)
-quantity = lambda e: tiered(e, QUANTITY_TIERS)
-value_millions = lambda e: tiered(e, VALUE_MILLIONS_TIERS)
-quantity_millions = lambda e: tiered(e, QUANTITY_MILLIONS_TIERS)
-axis_millions = lambda e: tiered(e, AXIS_MILLIONS_TIERS)
+def grouped(x: str, style: str) -> str:
+    fmt = {"value_table": "US$ %,.2f", "quantity_table": "%,.0f Kg", "value_bar": "$%,.0f", "unit_price": "US$ %.2f"}[style]
+    return f"CASE WHEN {x} IS NULL THEN NULL ELSE printf('{fmt}', CAST({x} AS DOUBLE)) END"
 
 
 def sql(body: str) -> str:

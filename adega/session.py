@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -52,30 +52,23 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
 
     On a cluster this must name storage every executor can reach, so it is read
-    from the session.  Only when nothing is configured (local tests) is a folder
-    created and registered as the checkpoint directory.
+    from the session.  Only a local master without one (tests) gets a folder of its
+    own, registered as the checkpoint directory; any other master is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     try:
         sc = spark.sparkContext
-    except Exception:  # no JVM-side context (e.g. Spark Connect): a local folder for tests
-        return _local_scratch()
+    except Exception as no_context:  # Spark Connect: nothing says which folder is shared
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share") from no_context
     if not sc.getCheckpointDir():
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="adega-checkpoint-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
-_LOCAL_SCRATCH: list[str] = []
-
-
-def _local_scratch() -> str:
-    if not _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="adega-checkpoint-"))
-    return _LOCAL_SCRATCH[0]
-
-
 def application_id(spark: SparkSession) -> str:
     """Identifies this session: application id plus the session's own id, so two
     sessions of one application (``newSession()``) never share DataFrames."""
@@ -92,16 +85,3 @@ def application_id(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused path under the scratch folder."""
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when the scan yields fewer
-    partitions than cores (a small table in one file or row group).  A large,
-    already well-split input is returned unchanged, without a shuffle; the
-    round-robin is retry-safe (rows are sorted before assignment by default)."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        partitions = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. Spark Connect): leave the scan as it is
-        return df
-    return df.repartition(cores) if partitions < cores else df

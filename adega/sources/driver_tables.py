@@ -34,6 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adega.sources.customs import CUSTOMS_HEADER
 from adega.sources.materialize import ensure_written, fingerprint, materialized
 from adega.sources.statements import (
     COUNTRY, MISSING_MARK, PRODUCT, QUANTITY, TOTAL_LABEL, VALUE, YEAR, scan_lines, scan_statements)
@@ -170,6 +171,55 @@ def statement_files(spark: SparkSession, sf_dir: str, refresh: bool = False) ->
                           refresh=refresh)
 
 
+def derived_path(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """Path of a copy of the statement table, written once per input by
+    ``write(statements, path)`` (round trips through a sink)."""
+    return ensure_written(spark, name, _key(spark, sf_dir), build=lambda: statement_table(spark, sf_dir), write=write)
+
+
+#: statement pages: option and product code per page, by year parity
+PAGE_CODES = {("opt_06", "01"): "ECONOMY", ("opt_06", "02"): "LARGE", ("opt_06", "03"): "MEDIUM",
+              ("opt_06", "04"): "PROMO", ("opt_06", "05"): "SMALL", ("opt_06", "06"): "STANDARD",
+              ("opt_05", "01"): "STANDARD", ("opt_05", "02"): "SMALL", ("opt_05", "03"): "PROMO",
+              ("opt_05", "04"): "MEDIUM", ("opt_05", "05"): "LARGE", ("opt_05", "06"): "ECONOMY"}
+
+
+def statement_pages(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
+    """Web pages ``page_id, url, html`` rendered from the statement table: one per
+    product and year (even years under one option, odd years under the other) with
+    a menu table, the statement table (one row per country: a page stays small
+    whatever the data) and a footer table, inside a layout table."""
+    def build() -> DataFrame:
+        facts = cells_table(spark, sf_dir).where(F.col("q").isNotNull())
+        country = facts.groupBy(PRODUCT, YEAR, COUNTRY).agg(F.sum("q").alias("q"), F.sum("v").alias("v"))
+        row = F.format_string("<tr><td>%s</td><td>%s</td><td> %s </td></tr>", F.col(COUNTRY), pt_br(F.col("q")), pt_br(F.col("v")))
+        page = country.groupBy(PRODUCT, YEAR).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("rows"))
+        option = F.when(F.col(YEAR) % 2 == 0, "opt_06").otherwise("opt_05")
+        code = F.lit(None)
+        for (opt, number), product in PAGE_CODES.items():
+            code = F.when((option == opt) & (F.col(PRODUCT) == product), number).otherwise(code)
+        url = F.format_string("http://statistics.example/index.php?ano=%d&opcao=%s&subopcao=subopt_%s", F.col(YEAR), option, code)
+        html = F.concat(
+            F.lit("<html><body><table><tr><td><table><tr><td>Menu</td><td>Home</td></tr><tr><td>About</td><td>1.000</td></tr></table>"
+                  "</td></tr><tr><td><table><thead><tr><th>Países</th><th>Quantidade (Kg)</th><th>Valor (US$)</th></tr></thead>"),
+            F.col("rows"), F.lit("</table><table><tr><td>Source</td><td>10</td><td>20</td></tr>"
+                                 "<tr><td>Footer</td><td>1</td><td>2</td></tr></table></td></tr></table><![endif]></body></html>"))
+        return page.select(F.xxhash64(PRODUCT, YEAR).alias("page_id"), url.alias("url"), html.alias("html"))
+
+    return materialized(spark, "statement-pages", _key(spark, sf_dir) + "-1", build=build,
+                        write=lambda df, path: df.write.parquet(path), read=lambda path: spark.read.parquet(path), refresh=refresh)
+
+
+def customs_sheet(spark: SparkSession, sf_dir: str, fmt: str) -> str:
+    """Path of the customs rows written once under the sheet's own headers."""
+    def write(df: DataFrame, path: str) -> None:
+        names = {api: header for header, api in CUSTOMS_HEADER.items()}
+        sheet = df.select(*[F.col(c).alias(names[c]) for c in df.columns])
+        sheet.write.option("header", True).csv(path) if fmt == "csv" else sheet.write.parquet(path)
+
+    return ensure_written(spark, f"customs-sheet-{fmt}", _key(spark, sf_dir), build=lambda: customs_rows(spark, sf_dir), write=write)
+
+
 def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each statement line as one string ``raw_data`` with product and year: the
     CSV statement files read line by line with :func:`scan_lines`."""

@@ -4,16 +4,17 @@ An ingest job (for example rendering statement text from the benchmark tables)
 is written once under ``spark.checkpoint.dir`` and later queries scan the
 written table: its lineage is cut (an executor loss re-reads files instead of
 recomputing joins) and repeated reports do not repeat the ingest.  The table
-name carries a fingerprint of the inputs (path, size, modification time), so
-changed inputs produce a new table instead of stale results.  A table counts as
-present only once its ``_SUCCESS`` marker exists.
+name carries a fingerprint of the input files (path, length, modification time),
+so changed inputs produce a new table instead of stale results.  A table is written
+to a private path and renamed into place: it is there whole or not at all, also
+when two applications share the folder.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,31 +29,20 @@ def _hadoop_fs(spark: SparkSession, path: str):
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        fs, p = _hadoop_fs(spark, path)
-    except Exception:  # no JVM access: ask the data source instead
-        try:
-            spark.read.format("text").load(path).schema
-            return True
-        except Exception:
-            return False
+    fs, p = _hadoop_fs(spark, path)
     return bool(fs.exists(p))
 
 
 def fingerprint(spark: SparkSession, paths: Sequence[str], salt: str = "") -> str:
-    """Short hash of each input's path, total size and latest modification time."""
+    """Short hash of each input's files: path, length and modification time."""
     digest = hashlib.sha256(salt.encode())
     for path in paths:
-        try:
-            fs, p = _hadoop_fs(spark, path)
-        except Exception:  # no JVM access: local file metadata, else the path alone
-            local = path[len("file:"):] if path.startswith("file:") else path
-            stat = os.stat(local) if os.path.exists(local) else None
-            digest.update(f"{path}|{stat.st_size if stat else ''}|{stat.st_mtime_ns if stat else ''};".encode())
-            continue
-        status = fs.getFileStatus(p)
-        size = fs.getContentSummary(p).getLength() if status.isDirectory() else status.getLen()
-        digest.update(f"{fs.makeQualified(p).toString()}|{size}|{status.getModificationTime()};".encode())
+        fs, p = _hadoop_fs(spark, path)
+        found, files = [], fs.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath().toString()}|{f.getLen()}|{f.getModificationTime()};")
+        digest.update("".join([path, *sorted(found)]).encode())
     return digest.hexdigest()[:16]
 
 
@@ -66,9 +56,19 @@ def ensure_written(spark: SparkSession, name: str, key: str, build: Callable[[],
     not complete yet (or always, with ``refresh``)."""
     path = f"{scratch_dir(spark)}/{name}-{key}"
     with _LOCK:
-        if refresh or not path_exists(spark, f"{path}/_SUCCESS"):
+        if refresh or not path_exists(spark, path):
             _SCANS.pop((application_id(spark), path), None)
-            write(build(), path)
+            private = f"{path}-{uuid.uuid4().hex}"
+            write(build(), private)
+            fs, source = _hadoop_fs(spark, private)
+            _, target = _hadoop_fs(spark, path)
+            if refresh and fs.exists(target):
+                fs.delete(target, True)
+            # the rename commits; if another application was first, its table is the same
+            if fs.exists(target) or not fs.rename(source, target):
+                fs.delete(source, True)
+                if not fs.exists(target):
+                    raise RuntimeError(f"could not move {name} into place")
     return path
 
 

@@ -4,8 +4,8 @@ Pages arrive as a DataFrame ``(page_id, url, html)``.  Extraction runs in the
 executors through ``mapInPandas`` (Arrow batches of pages, one parse per page);
 the per-page helper is the standard-library HTML tokenizer plus a small state
 machine, so nothing but the page text crosses into Python.  Every page is
-parsed whole; a page that fails to parse yields no rows instead of failing the
-job.
+parsed whole; if a page cannot be parsed to its end, the rows read so far are kept
+and carry the reason in ``page_error``.
 """
 
 from __future__ import annotations
@@ -14,12 +14,11 @@ from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from adega.functions.lookup import map_values
-from adega.session import spread
 
 _SKIP_TEXT = {"script", "style", "template"}
 
@@ -39,7 +38,12 @@ class _RowCollector(HTMLParser):
         self._tables: list[tuple[int, int]] = []  # (open-row depth, table number) of each open <table>
         self._table_count = 0
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...`` outside foreign content is a bogus comment, not an error."""
+        return self.parse_bogus_comment(i)
+
     def _close_cell(self, row):
+        self._skip = 0  # an unclosed <template> ends with its cell
         if row[2] is not None:
             row[1].append("".join(row[2]))
             row[2] = None
@@ -84,7 +88,6 @@ class _RowCollector(HTMLParser):
             chunks.append(text)
 
     def finish(self) -> list[tuple[int | None, list[str]]]:
-        self.close()
         while self._open:
             self._close_row()
         return [(table_no, cells) for _, table_no, cells in sorted(self.rows, key=lambda r: r[0])]
@@ -93,18 +96,19 @@ class _RowCollector(HTMLParser):
 def table_rows_of_page(html: str | None, row_tag: str = "tr", cell_tags: Sequence[str] = ("th", "td"),
                        on_error=None) -> list[tuple[int | None, list[str]]]:
     """Rows of one page as (number of the innermost enclosing ``<table>`` in
-    document order, or None; stripped cell texts).  A page that cannot be parsed
-    gives no rows and calls ``on_error`` (if given)."""
+    document order, or None; stripped cell texts).  If the page cannot be parsed to
+    its end, the rows read so far are returned and ``on_error`` (if given) is called
+    with the reason."""
     if not html:
         return []
+    collector = _RowCollector(row_tag, cell_tags)
     try:
-        collector = _RowCollector(row_tag, cell_tags)
         collector.feed(html)
-        return collector.finish()
-    except Exception:  # tolerate broken markup: the page contributes no rows
+        collector.close()
+    except Exception as broken:  # markup beyond the tokenizer: keep what was read
         if on_error is not None:
-            on_error()
-        return []
+            on_error(f"{type(broken).__name__}: {broken}")
+    return collector.finish()
 
 
 def rows_of_page(html: str | None, row_tag: str = "tr",
@@ -116,8 +120,8 @@ def rows_of_page(html: str | None, row_tag: str = "tr",
 def extract_rows(pages: DataFrame, row_tag: str = "tr", cell_tags: Sequence[str] = ("th", "td"), *,
                  id_col: str = "page_id", html_col: str = "html",
                  carry: Sequence[str] = (), failures=None) -> DataFrame:
-    """``(page_id, *carry, row_no, table_no, table_row_no, cells array<string>)``:
-    one output row per table row, ``row_no`` counting the rows of a page from 0 in
+    """``(page_id, *carry, row_no, table_no, table_row_no, cells array<string>,
+    page_error)``: one output row per table row, ``row_no`` counting the rows of a page from 0 in
     document order, ``table_no`` the innermost enclosing ``<table>`` (0-based,
     null outside tables) and ``table_row_no`` the row's position in that table.
 
@@ -125,26 +129,35 @@ def extract_rows(pages: DataFrame, row_tag: str = "tr", cell_tags: Sequence[str]
     partitions without a shuffle; only the id, ``carry`` and html columns go to
     Python.  Arrow batches are bounded by ``spark.sql.execution.arrow.maxRecordsPerBatch``
     and ``spark.sql.execution.arrow.maxBytesPerBatch`` (set to 64 MB by
-    :func:`adega.session.build_session`).  Pass a Spark accumulator as
-    ``failures`` to count pages that could not be parsed (read it after an action;
-    a retried task can count a page twice).
+    :func:`adega.session.build_session`).  ``page_error`` is null, or says why the
+    page was read only in part; a page broken before its first row gives one row
+    without cells that carries it.  Split sizes are the reader's
+    (``spark.sql.files.maxPartitionBytes``).  Pass a Spark accumulator as
+    ``failures`` to count broken pages as well (a retried task can count twice).
     """
     carried = [pages.schema[c] for c in carry]
     schema = StructType([StructField(id_col, LongType(), True), *carried,
                          StructField("row_no", IntegerType(), False),
                          StructField("table_no", IntegerType(), True),
                          StructField("table_row_no", IntegerType(), True),
-                         StructField("cells", ArrayType(StringType(), True), True)])
+                         StructField("cells", ArrayType(StringType(), True), True),
+                         StructField("page_error", StringType(), True)])
     tag, cells_tags = row_tag.lower(), tuple(t.lower() for t in cell_tags)
     out_cols = [id_col, *carry]
-    on_error = (lambda: failures.add(1)) if failures is not None else None
 
     def explode_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            picks, nos, tables, in_table, cells = [], [], [], [], []
+            picks, nos, tables, in_table, cells, errors = [], [], [], [], [], []
             for i, html in enumerate(batch[html_col]):
                 seen: dict[int, int] = {}
-                for no, (table_no, row) in enumerate(table_rows_of_page(html, tag, cells_tags, on_error)):
+                broken: list[str] = []
+                found = table_rows_of_page(html, tag, cells_tags, broken.append)
+                if broken:
+                    if failures is not None:
+                        failures.add(1)
+                    found = found or [(None, None)]
+                for no, (table_no, row) in enumerate(found):
+                    errors.append(broken[0] if broken else None)
                     picks.append(i)
                     nos.append(no)
                     tables.append(table_no)
@@ -157,9 +170,10 @@ def extract_rows(pages: DataFrame, row_tag: str = "tr", cell_tags: Sequence[str]
             out["table_no"] = pd.Series(tables, dtype="Int32")
             out["table_row_no"] = pd.Series(in_table, dtype="Int32")
             out["cells"] = pd.Series(cells, dtype=object)
+            out["page_error"] = pd.Series(errors, dtype=object)
             yield out
 
-    source = spread(pages.select(F.col(id_col).cast("long").alias(id_col), *carry, html_col))
+    source = pages.select(F.col(id_col).cast("long").alias(id_col), *carry, html_col)
     return source.mapInPandas(explode_pages, schema)
 
 
@@ -174,26 +188,45 @@ EXPORT_OPTION, IMPORT_OPTION = "opt_06", "opt_05"
 EXPORT_PRODUCT_CODES = {"01": "table_wine", "02": "foaming_wine", "03": "fresh_grapes", "04": "grape_juice"}
 IMPORT_PRODUCT_CODES = {"01": "table_wine", "02": "foaming_wine", "03": "fresh_grapes",
                         "04": "raisins_grapes", "05": "grape_juice"}
+PRODUCT_CODES = {**{(EXPORT_OPTION, code): name for code, name in EXPORT_PRODUCT_CODES.items()},
+                 **{(IMPORT_OPTION, code): name for code, name in IMPORT_PRODUCT_CODES.items()}}
+
+
+# First cells of the statement table's header row.
+TABLE_HEADER = ("Países", "Quantidade (Kg)", "Valor (US$)")
 
 
-def pages_to_statements(pages: DataFrame, product_codes: dict[str, str] | None = None, *,
-                        table_no: int | None = None, skip_header: bool = True, failures=None) -> DataFrame:
+def pages_to_statements(pages: DataFrame, product_codes: dict[tuple[str, str], str] | None = None, *,
+                        header: Sequence[str] | None = TABLE_HEADER, failures=None) -> DataFrame:
     """Statement tables scraped into pages -> ``product, year, country,
     quantity_kg, value_usd`` (text measures, ready for ``clean_statements``).
 
-    Year and product come from the page URL (``ano=`` and ``subopcao=subopt_NN``).
-    ``table_no`` keeps the rows of one table of the page (all tables when None);
-    the first row of each table (its header) is dropped when ``skip_header``.
+    The statement table of a page is the one whose first row is ``header`` (blanks
+    at the ends and case ignored); menus, layout tables and footers are other
+    tables.  With ``header=None`` every table counts.  The header row is dropped.
+    Year, flow and product come from the page URL (``ano=``, ``opcao=opt_NN`` and
+    ``subopcao=subopt_NN``): ``product_codes`` maps (option, code) to the product
+    and defaults to both flows.  A page with rows but an unknown option or code
+    fails the job instead of giving nameless rows.
     """
-    codes = product_codes or EXPORT_PRODUCT_CODES
+    codes = product_codes or PRODUCT_CODES
     rows = extract_rows(pages, "tr", ("th", "td"), carry=("url",), failures=failures)
-    if table_no is not None:
-        rows = rows.filter(F.col("table_no") == F.lit(table_no))
-    if skip_header:
-        rows = rows.filter(F.col("table_row_no") > 0)
+    if header is not None:
+        # the table number of the header row, on every row of its page
+        first = F.slice("cells", 1, len(header))
+        is_header = (F.col("table_row_no") == 0) & (
+            F.transform(first, lambda c: F.lower(F.trim(c))) == F.array(*[F.lit(h.lower()) for h in header]))
+        of_page = Window.partitionBy("page_id", "url")
+        rows = rows.withColumn("_statement_table", F.min(F.when(is_header, F.col("table_no"))).over(of_page))
+        rows = rows.filter(F.col("table_no") == F.col("_statement_table"))
+    rows = rows.filter(F.col("table_row_no") > 0)
+    option = F.regexp_extract("url", r"opcao=(opt_\d+)", 1)
     code = F.regexp_extract("url", r"subopcao=subopt_(\d+)", 1)
+    product = map_values(F.concat(option, F.lit("/"), code), {f"{o}/{c}": name for (o, c), name in codes.items()})
+    known = F.when(product.isNotNull(), product).otherwise(
+        F.raise_error(F.concat(F.lit("no product for the page "), F.coalesce("url", F.lit("without url")))).cast("string"))
     return cells_to_columns(rows, ["country", "quantity_kg", "value_usd"]).select(
-        map_values(code, codes).alias("product"),
+        known.alias("product"),
         F.nullif(F.regexp_extract("url", r"ano=(\d{4})", 1), F.lit("")).try_cast("int").alias("year"),
         "country", "quantity_kg", "value_usd",
     )

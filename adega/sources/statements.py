@@ -3,19 +3,20 @@
 A statement is one CSV per (flow, product, year) with three text columns
 (country, quantity in kg, value in US$).  Two on-disk layouts are read:
 
-* ``files`` -- ``<root>/<product>/dados_<year>.csv``: product and year live only in
-  the path, so they are recovered from ``_metadata.file_path``;
+* ``files`` -- ``<root>/<product>/dados_<year>.csv`` (or numbered parts of a large
+  statement, ``dados_<year>_<n>.csv``): product and year live only in the path, so they are recovered from ``_metadata.file_path``;
 * ``hive``  -- ``<root>/product=<p>/year=<y>/part-*.csv`` as written by
   :func:`adega.sources.writers.write_statements`; Spark's partition discovery
   supplies both columns and a filter on them prunes whole directories.
 
-All products of a root are read by **one** scan over a brace glob instead of a
+All products of a root are read by **one** scan over a list of paths instead of a
 union of per-product scans, so Catalyst plans one file listing and one set of
 splits, and later filters are pushed into that single scan.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 # Fixed values of the statement files.
 # ---------------------------------------------------------------------------
 FILE_HEADER = ("Países", "Quantidade (Kg)", "Valor (US$)")
-YEAR_FILE_PATTERN = r"dados_(\d{4})\.csv"
+YEAR_FILE_PATTERN = r"dados_(\d{4})(?:_\d+)?\.csv"
 MISSING_MARK = "-"
 TOTAL_LABEL = "Total"
 # ---------------------------------------------------------------------------
@@ -43,13 +44,13 @@ STATEMENT_SCHEMA = StructType([
 LINE_SCHEMA = StructType([StructField("raw_data", StringType(), True)])
 
 
-def _glob(root: str, products: Sequence[str] | None, leaf: str) -> str:
+def _paths(root: str, products: Sequence[str] | None, leaf: str) -> list[str]:
+    """One path per product, names taken literally (glob characters escaped); a
+    product without a folder fails the scan, alone or in a list."""
     root = root.rstrip("/")
     if not products:
-        return f"{root}/*/{leaf}"
-    if len(products) == 1:
-        return f"{root}/{products[0]}/{leaf}"
-    return f"{root}/{{{','.join(products)}}}/{leaf}"
+        return [f"{root}/*/{leaf}"]
+    return [f"{root}/{re.sub(r'([][{}*?,^])', r'\\\1', p)}/{leaf}" for p in dict.fromkeys(products)]
 
 
 def _decoded(text: Column) -> Column:
@@ -86,17 +87,19 @@ def _with_flow(df: DataFrame, flow: str | None) -> DataFrame:
 
 def scan_statements(spark: SparkSession, root: str, products: Sequence[str] | None = None, *,
                     flow: str | None = None, layout: str = "files",
-                    encoding: str = "UTF-8", fmt: str = "csv") -> DataFrame:
+                    encoding: str = "UTF-8", fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """Read statement CSVs into ``product, year, country, quantity_kg, value_usd``
     (measures still text; see :func:`adega.operators.clean.clean_statements`).
 
     The schema is fixed (no inference pass over the files); quoted country names
     that contain commas are honoured by the CSV reader.  ``fmt='parquet'``
-    reads a columnar copy in the ``hive`` layout.
+    reads a columnar copy in the ``hive`` layout.  ``multi_line`` reads quoted
+    fields with line breaks (files are then not split, so it is off by default).
     """
     reader = (spark.read.option("header", True).option("encoding", encoding)
               .option("escape", '"')  # RFC 4180: a quote inside a quoted field is doubled
-              .option("mode", "PERMISSIVE"))
+              .option("mode", "PERMISSIVE").option("multiLine", multi_line)
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     if layout == "hive":
         schema = StructType(STATEMENT_SCHEMA.fields + [
             StructField(PRODUCT, StringType(), True), StructField(YEAR, IntegerType(), True)])
@@ -110,7 +113,7 @@ def scan_statements(spark: SparkSession, root: str, products: Sequence[str] | No
             df = df.filter(F.col(PRODUCT).isin(list(products)))
         df = df.select(PRODUCT, YEAR, COUNTRY, QUANTITY, VALUE)
     elif layout == "files":
-        raw = reader.schema(FILE_SCHEMA).csv(_glob(root, products, "*.csv"))
+        raw = reader.schema(FILE_SCHEMA).csv(_paths(root, products, "*.csv"))
         df = raw.select(
             product_from_path().alias(PRODUCT),
             year_from_path().alias(YEAR),
@@ -142,8 +145,17 @@ def scan_lines(spark: SparkSession, root: str, products: Sequence[str] | None =
             raw = raw.filter(F.col(PRODUCT).isin(list(products)))
         df = raw.select(PRODUCT, YEAR, "raw_data")
     elif layout == "files":
-        raw = reader.schema(LINE_SCHEMA).csv(_glob(root, products, "*.csv"))
+        raw = reader.schema(LINE_SCHEMA).csv(_paths(root, products, "*.csv"))
         df = raw.select(product_from_path().alias(PRODUCT), year_from_path().alias(YEAR), "raw_data")
     else:
         raise ValueError(f"unknown layout {layout!r}")
     return _with_flow(df, flow)
+
+
+def as_lines(statements: DataFrame) -> DataFrame:
+    """Statement columns as raw lines ``product, year, raw_data``, the country
+    quoted where it holds a comma or a quote (for reports that read lines)."""
+    quoted = F.concat(F.lit('"'), F.replace(F.col(COUNTRY), F.lit('"'), F.lit('""')), F.lit('"'))
+    country = F.when(F.col(COUNTRY).rlike('[",]'), quoted).otherwise(F.col(COUNTRY))
+    cells = [F.coalesce(c, F.lit("")) for c in (country, F.col(QUANTITY), F.col(VALUE))]
+    return statements.select(PRODUCT, YEAR, F.concat_ws(",", *cells).alias("raw_data"))

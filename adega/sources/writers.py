@@ -1,13 +1,45 @@
-"""Statement sink: partitioned CSV or parquet that :func:`scan_statements` reads back."""
+"""Statement sinks: partitioned CSV or parquet, and flat statement files, that
+:func:`scan_statements` reads back."""
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from adega.sources.statements import COUNTRY, PRODUCT, QUANTITY, VALUE, YEAR
 
+#: renames of one sink that run at a time (each waits for the file system)
+RENAME_THREADS = 32
+
+
+def _csv_rows(df: DataFrame, line_breaks: bool) -> DataFrame:
+    """The statement columns; a line break inside a cell, which a line-by-line
+    reader would take for a row's end, fails the job unless ``line_breaks``."""
+    rows = df.select(PRODUCT, YEAR, COUNTRY, QUANTITY, VALUE)
+    if line_breaks:
+        return rows
+    broken = F.col(COUNTRY).rlike(r"[\r\n]")
+    message = F.concat(F.lit("line break in a country name (write with line_breaks=True, read with multi_line=True): "),
+                       F.col(COUNTRY))
+    return rows.withColumn(COUNTRY, F.when(broken, F.raise_error(message).cast("string")).otherwise(F.col(COUNTRY)))
+
+
+def _csv_options(writer):
+    return (writer.option("header", True).option("encoding", "UTF-8").option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
+def _partitioned(rows: DataFrame):
+    return (rows.hint("rebalance", PRODUCT, YEAR).sortWithinPartitions(PRODUCT, YEAR, COUNTRY)
+            .write.partitionBy(PRODUCT, YEAR))
 
-def write_statements(df: DataFrame, path: str, mode: str = "errorifexists", fmt: str = "csv") -> str:
+
+def write_statements(df: DataFrame, path: str, mode: str = "errorifexists", fmt: str = "csv",
+                     line_breaks: bool = False) -> str:
     """Write ``product, year, country, quantity_kg, value_usd`` under
     ``path/product=<p>/year=<y>/``: CSV (UTF-8, header line) like the source
     files, or ``fmt='parquet'`` for a columnar copy that later scans prune by
@@ -23,58 +55,63 @@ def write_statements(df: DataFrame, path: str, mode: str = "errorifexists", fmt:
     Within each task rows are sorted by (product, year, country): the writer needs
     the partition order anyway, and the country order keeps each parquet row
     group to a narrow country range, so a country filter skips row groups.
+
+    Blanks at the ends of cells are kept.  In CSV a country with a line break
+    fails the write unless ``line_breaks`` (then read with ``multi_line=True``).
     """
-    writer = (df.select(PRODUCT, YEAR, COUNTRY, QUANTITY, VALUE)
-              .hint("rebalance", PRODUCT, YEAR)
-              .sortWithinPartitions(PRODUCT, YEAR, COUNTRY)
-              .write.mode(mode)
-              .partitionBy(PRODUCT, YEAR))
     if fmt == "csv":
-        writer.option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
+        _csv_options(_partitioned(_csv_rows(df, line_breaks)).mode(mode)).csv(path)
     else:
-        writer.format(fmt).save(path)
+        _partitioned(df.select(PRODUCT, YEAR, COUNTRY, QUANTITY, VALUE)).mode(mode).format(fmt).save(path)
     return path
 
 
-def write_statement_files(df: DataFrame, root: str) -> str:
-    """Write one CSV per statement as ``root/<product>/dados_<year>.csv`` -- the
-    layout the download step produces and ``scan_statements(layout='files')``
-    reads.
+def write_statement_files(df: DataFrame, root: str, line_breaks: bool = False) -> str:
+    """Write CSV files as ``root/<product>/dados_<year>.csv`` -- the layout the
+    download step produces and ``scan_statements(layout='files')`` reads.
 
-    The rows are written partitioned by product and year with each statement in
-    a single task (one file per statement is the format; a very large statement
-    therefore lands in one task), then each statement's part file is renamed into
-    place.  The renames are file-system metadata operations on the driver, one
-    per statement, never a data copy (through the Hadoop FileSystem API of a
-    classic session); the staging folder starts with ``_`` so scans ignore it.
-    """
-    import uuid
-    from urllib.parse import unquote
+    The rows are rebalanced on (product, year), so a statement that holds a large
+    share of the rows is written by several tasks; its files are numbered
+    (``dados_<year>_<n>.csv``).  The staged files are then renamed into place, a
+    few at a time: one metadata operation per file through the Hadoop FileSystem of
+    a classic session, never a data copy on a file system that renames.  The staging
+    folder starts with ``_``, so scans ignore it, and is removed at the end.
 
+    The layout has no place for a null product or year, or for a product whose name
+    holds ``/``: such rows fail the write before anything is renamed.  Blanks and
+    line breaks are treated as in :func:`write_statements`.
+    """
     root = root.rstrip("/")
     staging = f"{root}/_staging-{uuid.uuid4().hex}"
-    (df.select(PRODUCT, YEAR, COUNTRY, QUANTITY, VALUE)
-       .repartition(PRODUCT, YEAR)
-       .sortWithinPartitions(PRODUCT, YEAR, COUNTRY)
-       .write.partitionBy(PRODUCT, YEAR)
-       .option("maxRecordsPerFile", 0)  # one file per statement, whatever the session sets
-       .option("header", True).option("encoding", "UTF-8").option("escape", '"')
-       .csv(staging))
+    rows = _csv_rows(df, line_breaks)
+    nowhere = F.col(PRODUCT).isNull() | F.col(YEAR).isNull() | F.col(PRODUCT).contains("/")
+    message = F.concat(F.lit("no statement file for product "), F.coalesce(F.col(PRODUCT), F.lit("null")),
+                       F.lit(", year "), F.coalesce(F.col(YEAR).cast("string"), F.lit("null")))
+    rows = rows.withColumn(PRODUCT, F.when(nowhere, F.raise_error(message).cast("string")).otherwise(F.col(PRODUCT)))
+    _csv_options(_partitioned(rows)).csv(staging)
     jvm = df.sparkSession.sparkContext._jvm
-    path_cls = jvm.org.apache.hadoop.fs.Path
-    fs = path_cls(staging).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
-    for product_dir in fs.listStatus(path_cls(staging)):
-        name = product_dir.getPath().getName()
-        if not product_dir.isDirectory() or not name.startswith(f"{PRODUCT}="):
-            continue
-        product = unquote(name.split("=", 1)[1])
-        for year_dir in fs.listStatus(product_dir.getPath()):
-            year = unquote(year_dir.getPath().getName().split("=", 1)[1])
-            parts = [f.getPath() for f in fs.listStatus(year_dir.getPath())
-                     if f.getPath().getName().startswith("part-")]
-            if len(parts) != 1:
-                raise RuntimeError(f"expected one file for {product}/{year}, found {len(parts)}")
-            fs.mkdirs(path_cls(f"{root}/{product}"))
-            if not fs.rename(parts[0], path_cls(f"{root}/{product}/dados_{year}.csv")):
-                raise RuntimeError(f"could not move the {product}/{year} statement into place")
+    path_of = jvm.org.apache.hadoop.fs.Path
+    fs = path_of(staging).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+
+    def moves(year_dir):
+        year_path = year_dir.getPath()
+        product = unquote(year_path.getParent().getName().split("=", 1)[1])
+        year = unquote(year_path.getName().split("=", 1)[1])
+        parts = sorted(f.getPath().getName() for f in fs.listStatus(year_path) if f.getPath().getName().startswith("part-"))
+        names = [f"dados_{year}.csv"] if len(parts) == 1 else [f"dados_{year}_{n}.csv" for n in range(1, len(parts) + 1)]
+        return [(f"{year_path}/{part}", product, name) for part, name in zip(parts, names)]
+
+    def move(item):
+        part, product, name = item
+        if not fs.rename(path_of(part), path_of(f"{root}/{product}", name)):
+            raise RuntimeError(f"could not move {product}/{name} into place")
+
+    products = [d for d in fs.listStatus(path_of(staging)) if d.isDirectory() and d.getPath().getName().startswith(f"{PRODUCT}=")]
+    with ThreadPoolExecutor(RENAME_THREADS) as pool:
+        for product_dir in products:
+            fs.mkdirs(path_of(root, unquote(product_dir.getPath().getName().split("=", 1)[1])))
+        years = [y for found in pool.map(lambda d: list(fs.listStatus(d.getPath())), products) for y in found]
+        planned = [item for found in pool.map(moves, years) for item in found]
+        list(pool.map(move, planned))
+    fs.delete(path_of(staging), True)
     return root

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from adega.operators.clean import clean_statements
-from adega.session import scratch_path
 from adega.sources.statements import (
     COUNTRY, FILE_HEADER, FILE_SCHEMA, FLOW, PRODUCT, QUANTITY, VALUE, YEAR, product_from_path, year_from_path)
 
@@ -48,12 +47,12 @@ def ingest_statement_files(spark: SparkSession, root: str, target: str, *,
                            checkpoint: str | None = None, missing: str = "drop",
                            available_now: bool = True) -> StreamingQuery:
     """Start the ingest query: new statement files under ``root`` -> cleaned
-    facts appended to the parquet table at ``target``.  The checkpoint defaults to
-    a fresh folder under ``spark.checkpoint.dir``; pass the same one on every run
-    to continue where the previous run stopped."""
+    facts appended to the parquet table at ``target``.  The checkpoint
+    defaults to the folder ``<target>-checkpoint`` beside the table, the same on
+    every run, so a later run continues where the previous one stopped."""
     facts = clean_statements(stream_statements(spark, root, products, flow=flow), missing=missing)
     writer = (facts.writeStream.format("parquet")
-              .option("checkpointLocation", checkpoint or scratch_path(spark, "ingest-checkpoint"))
+              .option("checkpointLocation", checkpoint or f"{target.rstrip('/')}-checkpoint")
               .partitionBy(PRODUCT, YEAR)
               .outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

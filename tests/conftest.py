@@ -16,6 +16,7 @@ from adega.session import build_session  # noqa: E402
 FIXTURES = os.path.join(ROOT, "tests", "fixtures")
 EXPORT_ROOT = os.path.join(FIXTURES, "export")
 IMPORT_ROOT = os.path.join(FIXTURES, "import")
+# Folder names of the statement copies in tests/fixtures.
 EXPORT_PRODUCTS = ["foaming_wine", "fresh_grapes", "grape_juice", "table_wine"]
 IMPORT_PRODUCTS = ["foaming_wine", "fresh_grapes", "grape_juice", "raisins_grapes", "table_wine"]
 SMOKE_DIR = "/root/testdata/sf0.001"

@@ -33,3 +33,35 @@ def test_cli_all_writes_every_report(spark):
                                               "summary", "last_years", "missing"])
     assert spark.read.parquet(f"{out}/overall_top_value").count() == 30
     assert spark.read.parquet(f"{out}/missing").count() == 0
+
+
+def test_cli_checks_required_options():
+    import pytest
+    from adega.plans.cli import main, parse
+    for argv in (["year-ranking", "--root", "x"], ["all", "--root", "x"], ["country-series", "--root", "x"], ["ingest", "--root", "x"]):
+        with pytest.raises(SystemExit):
+            parse(argv)
+    with pytest.raises(SystemExit, match="row per input row"):
+        main(["price-scatter", "--customs", "x"])
+
+
+def test_cli_reads_lines_from_a_columnar_copy(spark):
+    from adega.sources.statements import scan_statements
+    from adega.sources.writers import write_statements
+    root = write_statements(scan_statements(spark, EXPORT_ROOT), tempfile.mkdtemp(prefix="adega-cli-") + "/copy", fmt="parquet")
+    micro = run(spark, ["country-products", "--root", root, "--layout", "hive-parquet", "--country", "argentina",
+                        "--products", "foaming_wine", "table_wine"])
+    assert rows(micro.filter("year = 2009"), "quantity_kg", "value_usd") == [(162.0, 4523.0)]
+
+
+def test_cli_all_keeps_an_argument_that_is_called_all(spark):
+    out = tempfile.mkdtemp(prefix="adega-cli-all-")
+    run(spark, ["all", "--root", IMPORT_ROOT, "--out", out, "--origin", "all", "--dtype", "decimal(20,2)"])
+    assert {r["origin"] for r in spark.read.parquet(f"{out}/summary").collect()} == {"all"}
+    assert dict(spark.read.parquet(f"{out}/summary").dtypes)["value_usd"].startswith("decimal")
+
+
+def test_cli_prints_every_row_of_a_report(spark, capsys):
+    from adega.plans.cli import main
+    main(["top-series", "--root", IMPORT_ROOT])
+    assert capsys.readouterr().out.count("\n|") - 1 == 160

@@ -98,3 +98,13 @@ def test_missing_periods_lists_products_without_any_row(spark):
     products = spark.createDataFrame([("table_wine",), ("brandy",)], "product string")
     got = sorted(rows(missing_periods(facts, 2023, 2024, products=products)))
     assert got == [("brandy", 2023), ("brandy", 2024)]
+
+
+def test_missing_periods_adds_products_and_never_counts_down(spark):
+    facts = spark.createDataFrame([("x", 2005), ("x", 2007), ("y", 2006), ("y", None)], "product string, year int")
+    z = spark.createDataFrame([("z",)], "product string")
+    assert sorted(rows(missing_periods(facts, 2005))) == [("x", 2006), ("y", 2005), ("y", 2007)]
+    assert sorted(rows(missing_periods(facts, 2006, products=z))) == [("x", 2006), ("y", 2007), ("z", 2006), ("z", 2007)]
+    assert rows(missing_periods(facts, 2010)) == rows(missing_periods(facts, 2010, products=z)) == []
+    assert rows(missing_periods(facts, 2008, 2007)) == [] and rows(missing_periods(facts.limit(0), 2000, products=z)) == []
+    assert rows(missing_periods(facts.limit(0), 2000, 2000, products=z)) == [("z", 2000)]

@@ -58,3 +58,17 @@ def test_label_for_picks_by_name(spark):
     assert rows(df.select(L.label_for("value_usd"), L.label_for("quantity_kg"),
                           L.label_for("value_usd", "millions"), L.label_for("quantity_kg", "millions"))) == \
         [("$2.50M", "2.50M Kg", "$2M", "2M Kg")]
+
+
+@pytest.mark.parametrize("value", [1150.0, 2450.0, 1015000.0, 2675000.0, 1250.0, 0.125, 2.675, 1.005, 999.995, 0.5, 1.5, 2.5, 1e15 + 50,
+                                   4503599627370497.5, 123456789.0, 1005000000.0, 1e9 + 5e6, 49.999999999999996])
+def test_labels_round_as_the_double_quotient_does(spark, value):
+    """Ties and near ties against Python's formatter on the same quotient."""
+    def tier(tiers):
+        return next((d, n, f) for bound, d, n, f in tiers if bound is None or value >= bound)
+
+    for fn, tiers in ((L.label_currency, L.CURRENCY_TIERS), (L.label_quantity, L.QUANTITY_TIERS),
+                      (L.label_value_millions, L.VALUE_MILLIONS_TIERS), (L.label_axis_millions, L.AXIS_MILLIONS_TIERS)):
+        divisor, digits, fmt = tier(tiers)
+        number = f"{value / divisor:,.{digits}f}" if "," in fmt else f"{value / divisor:.{digits}f}"
+        assert label_of(spark, fn, value) == fmt.replace(f"%,.{digits}f", number).replace(f"%.{digits}f", number)

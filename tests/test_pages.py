@@ -42,7 +42,7 @@ def test_list_rows():
 def test_extract_rows_and_cells_to_columns(spark):
     pages = spark.createDataFrame([(1, "u", TABLE), (2, "v", "<p>none</p>")], "page_id long, url string, html string")
     extracted = extract_rows(pages)
-    assert extracted.columns == ["page_id", "row_no", "table_no", "table_row_no", "cells"]
+    assert extracted.columns == ["page_id", "row_no", "table_no", "table_row_no", "cells", "page_error"]
     assert rows(extracted.select("table_no").distinct()) == [(0,)]
     assert extracted.count() == 6
     cols = cells_to_columns(extracted.filter("row_no = 4"), ["country", "quantity_kg", "value_usd"])
@@ -75,16 +75,15 @@ def test_table_numbers_and_table_choice(spark):
     assert table_rows_of_page(html, "ul", ("li",)) == [(None, ["x"])]
     url = "http://site.example/index.php?ano=2020&opcao=opt_05&subopcao=subopt_01"
     pages = spark.createDataFrame([(1, url, html)], "page_id long, url string, html string")
-    from adega.sources.pages import IMPORT_PRODUCT_CODES
-    st = pages_to_statements(pages, IMPORT_PRODUCT_CODES, table_no=1)
+    st = pages_to_statements(pages, header=("Países", "Q", "V"))
     assert rows(st) == [("table_wine", 2020, "Chile", "1.000", "2.000")]
 
 
 def test_parse_failures_are_counted():
     from adega.sources.pages import table_rows_of_page
     seen = []
-    assert table_rows_of_page(12345, on_error=lambda: seen.append(1)) == []  # not text: parser raises
-    assert seen == [1]
+    assert table_rows_of_page(12345, on_error=seen.append) == []  # not text: parser raises
+    assert len(seen) == 1
 
 
 def test_failure_accumulator_on_spark(spark):
@@ -92,3 +91,36 @@ def test_failure_accumulator_on_spark(spark):
     pages = spark.createDataFrame([(1, "u", TABLE)], "page_id long, url string, html string")
     assert extract_rows(pages, failures=acc).count() == 6
     assert acc.value == 0
+
+
+def page_frame(spark, pages):
+    return spark.createDataFrame(pages, "page_id long, url string, html string")
+
+
+def test_rows_before_broken_markup_are_kept_and_the_page_is_marked(spark):
+    table = "<table><tr><td>a</td><td>b</td></tr></table>"
+    assert rows_of_page(table + "<![foo>z" + table) == [["a", "b"], ["a", "b"]]
+    got = extract_rows(page_frame(spark, [(1, "u", table), (2, "u", table + "<![foo>z")])).collect()
+    assert [(r["page_id"], r["cells"], r["page_error"]) for r in got] == [(1, ["a", "b"], None), (2, ["a", "b"], None)]
+
+
+def test_unclosed_template_ends_with_its_cell():
+    html = "<table><tr><td>a<template>x</td><td>b</td></tr><tr><td>c</td></tr></table>"
+    assert rows_of_page(html) == [["a", "b"], ["c"]]
+
+
+def test_statement_table_is_found_by_its_header_in_a_layout_table(spark):
+    html = ("<table><tr><td><table><tr><td>Menu</td><td>1</td><td>2</td></tr><tr><td>Home</td><td>3</td><td>4</td></tr></table></td></tr>"
+            "<tr><td>" + TABLE + "</td></tr><tr><td><table><tr><td>Foot</td></tr><tr><td>Line</td><td>5</td><td>6</td></tr></table></td></tr></table>")
+    url = "http://site.example/index.php?ano=2024&opcao={}&subopcao=subopt_0{}"
+    pages = page_frame(spark, [(1, url.format("opt_06", 4), html), (2, url.format("opt_05", 4), html), (3, url.format("opt_05", 5), html)])
+    facts = clean_statements(pages_to_statements(pages))
+    assert sorted(set(rows(facts, "product"))) == [("grape_juice",), ("raisins_grapes",)]
+    assert sorted(set(rows(facts, "country"))) == [("Alemanha, República Democrática",), ("Argélia",)] and facts.count() == 6
+
+
+def test_unknown_product_code_fails(spark):
+    import pytest
+    pages = page_frame(spark, [(1, "http://site.example/index.php?ano=2024&opcao=opt_06&subopcao=subopt_09", TABLE)])
+    with pytest.raises(Exception, match="no product for the page"):
+        pages_to_statements(pages).collect()

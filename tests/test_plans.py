@@ -54,3 +54,28 @@ def test_page_extraction_runs_in_arrow_batches_without_shuffle_by_key(spark):
     p = plan(spark, "page_list_rows")
     assert "MapInPandas" in p or "MapInArrow" in p
     assert "Exchange hashpartitioning" not in p
+
+
+@pytest.mark.parametrize("name", ["totals_by_country", "country_products_by_year"])
+def test_each_measure_is_parsed_once(spark, name):
+    p = plan(spark, name).split("Initial Plan")[0]
+    assert p.count("try_cast") == 2 or p.lower().count("cast(") <= 4, p
+
+
+def test_flat_writer_rebalances_instead_of_one_task_per_statement():
+    import inspect
+    from adega.sources import writers
+    assert "repartition(" not in inspect.getsource(writers) and 'hint("rebalance"' in inspect.getsource(writers)
+
+
+def test_round_trips_are_written_once(spark):
+    from adega.sources import materialize
+    for name in ("csv_roundtrip_totals", "flat_files_roundtrip_totals", "lines_roundtrip_totals"):
+        catalog.queries()[name](spark, SMOKE_DIR)
+    import os
+    from adega.session import scratch_dir
+    folder = scratch_dir(spark).removeprefix("file:")
+    before = sorted(os.listdir(folder))
+    for name in ("csv_roundtrip_totals", "flat_files_roundtrip_totals", "lines_roundtrip_totals"):
+        catalog.queries()[name](spark, SMOKE_DIR)
+    assert sorted(os.listdir(folder)) == before and materialize

@@ -89,3 +89,50 @@ def test_write_statement_files_flat_layout_roundtrip(spark):
         [f"dados_{y}.csv" for y in range(2009, 2025)]
     back = scan_statements(spark, root)
     assert sorted(rows(back)) == sorted(rows(src))
+
+
+def test_product_names_are_taken_literally(spark):
+    import pytest
+    from adega.sources.writers import write_statement_files
+    names = ["a,b", "c", "{d}", "e*", "[f]"]
+    df = spark.createDataFrame([(n, 2000, "X", "1", "2") for n in names], "product string, year int, country string, quantity_kg string, value_usd string")
+    root = write_statement_files(df, tempfile.mkdtemp(prefix="adega-names-") + "/files")
+    for asked in (["a,b", "c"], ["{d}"], ["e*", "[f]"], names):
+        assert sorted(r["product"] for r in scan_statements(spark, root, asked).collect()) == sorted(asked)
+    for asked in (["nothing"], ["c", "nothing"]):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            scan_statements(spark, root, asked)
+
+
+def test_flat_writer_refuses_what_the_layout_cannot_hold(spark):
+    import pytest
+    from adega.sources.writers import write_statement_files, write_statements
+    schema = "product string, year int, country string, quantity_kg string, value_usd string"
+    folder = tempfile.mkdtemp(prefix="adega-refuse-")
+    for k, row in enumerate([("a/b", 2000, "X", "1", "2"), (None, 2000, "X", "1", "2"), ("a", None, "X", "1", "2"), ("a", 2000, "X\nY", "1", "2")]):
+        with pytest.raises(Exception):
+            write_statement_files(spark.createDataFrame([row], schema), f"{folder}/{k}")
+    hive = write_statements(spark.createDataFrame([("a/b", 2000, " X ", "1", "2"), (None, 2000, "Y", "1", "2")], schema), f"{folder}/hive")
+    assert sorted(rows(scan_statements(spark, hive, layout="hive"), "product", "country"), key=str) == sorted([("a/b", " X "), (None, "Y")], key=str)
+    broken = spark.createDataFrame([("a", 2000, "X\nY", "1", "2")], schema)
+    with pytest.raises(Exception, match="line break"):
+        write_statements(broken, f"{folder}/hive2")
+    lines = write_statements(broken, f"{folder}/hive3", line_breaks=True)
+    assert rows(scan_statements(spark, lines, layout="hive", multi_line=True), "country") == [("X\nY",)]
+
+
+def test_flat_writer_numbers_the_parts_of_a_large_statement(spark):
+    import os
+    from pyspark.sql import functions as F
+    from adega.sources.writers import write_statement_files
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        df = spark.range(60000).select(F.lit("p").alias("product"), F.lit(2000).alias("year"), F.concat(F.lit("C"), F.sha2(F.col("id").cast("string"), 256)).alias("country"),
+                                       F.lit("1").alias("quantity_kg"), F.lit("2").alias("value_usd"))
+        root = write_statement_files(df, tempfile.mkdtemp(prefix="adega-parts-") + "/files")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    names = [n for n in os.listdir(f"{root}/p") if n.endswith(".csv")]
+    assert len(names) > 1 and "dados_2000_1.csv" in names and os.listdir(root) == ["p"]
+    assert scan_statements(spark, root).groupBy("product", "year").count().collect()[0][2] == 60000

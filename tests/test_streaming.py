@@ -33,3 +33,12 @@ def test_incremental_ingest_is_exactly_once(spark):
 
     ingest_statement_files(spark, landing, target, checkpoint=checkpoint).awaitTermination()  # nothing new
     assert spark.read.parquet(target).count() == expected.count()
+
+
+def test_default_checkpoint_continues_where_the_last_run_stopped(spark):
+    base = tempfile.mkdtemp(prefix="adega-stream-")
+    landing, target = f"{base}/landing", f"{base}/facts"
+    for year in (2023, 2024):
+        _copy(landing, "table_wine", year)
+        ingest_statement_files(spark, landing, target).awaitTermination()
+        assert spark.read.parquet(target).count() == clean_statements(scan_statements(spark, landing)).count()
