@@ -494,6 +494,18 @@ def q_export_summary(spark, sf_dir):
     return R.export_summary(statement_table(spark, sf_dir))
 
 
+@register("value_trend", O.sql("""
+SELECT country, count(*) AS years, round(regr_slope(value_usd, CAST(year AS DOUBLE)), 2) AS slope,
+       max(year) AS last_year, max(year) + 1 AS projected_year,
+       round(regr_intercept(value_usd, CAST(year AS DOUBLE))
+             + regr_slope(value_usd, CAST(year AS DOUBLE)) * (max(year) + 1), 2) AS projected
+FROM yearly GROUP BY country"""))
+def q_value_trend(spark, sf_dir):
+    trend = R.value_trend(statement_table(spark, sf_dir))
+    return trend.select(COUNTRY, "years", F.round("slope", 2).alias("slope"), "last_year", "projected_year",
+                        F.round("projected", 2).alias("projected"))
+
+
 @register("last_n_years", O.sql(f"""
 SELECT country, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd FROM facts
 WHERE year > (SELECT max(year) FROM raw) - {RECENT_YEARS} GROUP BY country"""))

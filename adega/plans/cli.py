@@ -30,7 +30,7 @@ COLOURS = {"argentina": MODE_COLOURS_ARGENTINA, "spain": MODE_COLOURS_SPAIN}
 REQUIRED = {
     "country-products": ("root", "country"), "country-series": ("root", "country"), "annual-top": ("root",),
     "top-series": ("root",), "overall-top": ("root",), "year-ranking": ("root", "year"), "year-mean": ("root", "year"),
-    "product-table": ("root",), "summary": ("root",), "last-years": ("root",), "missing": ("root",),
+    "product-table": ("root",), "summary": ("root",), "last-years": ("root",), "trend": ("root",), "missing": ("root",),
     "unit-price": ("customs",), "price-scatter": ("customs",), "pages": ("pages",), "ingest": ("root", "target"),
     "all": ("root", "out"),
 }
@@ -63,6 +63,7 @@ REPORTS = {
     "product-table": lambda s, a: R.product_year_table(_statements(s, a), a.products, dtype=a.dtype),
     "summary": lambda s, a: R.export_summary(_statements(s, a), a.origin, dtype=a.dtype),
     "last-years": lambda s, a: R.last_n_years(_statements(s, a), a.n or 15, dtype=a.dtype),
+    "trend": lambda s, a: R.value_trend(_statements(s, a), a.measure, a.n or 1, dtype=a.dtype),
     "missing": lambda s, a: missing_periods(_statements(s, a), a.first_year, a.last_year),
     "unit-price": lambda s, a: R.unit_price_report(
         scan_customs(s, a.customs, a.customs_format, original_headers=a.original_headers),

@@ -25,6 +25,7 @@ from adega.operators.rank import rank_year, top_countries, top_country_series, t
 from adega.operators.totals import (
     mean_value, totals_by_country, totals_by_product_year, totals_by_year, totals_by_year_country,
     value_by_year_country)
+from adega.operators.trend import linear_trend
 from adega.sources.statements import COUNTRY, PRODUCT, QUANTITY, VALUE, YEAR
 
 
@@ -132,6 +133,11 @@ def export_summary(statements: DataFrame, origin: str = "Brasil", dtype: str = "
                          F.col(QUANTITY).alias("litres"), F.col(VALUE).alias(VALUE))
 
 
+def value_trend(statements: DataFrame, measure: str = VALUE, ahead: int = 1, dtype: str = "double") -> DataFrame:
+    """Least-squares trend of each country's yearly totals and its projection."""
+    return linear_trend(totals_by_year_country(clean_statements(statements, dtype=dtype)), measure, ahead=ahead)
+
+
 def last_n_years(statements: DataFrame, n: int = 15, dtype: str = "double") -> DataFrame:
     """Per-country totals over the latest ``n`` statement years.  The latest
     year is a scalar subquery over the statements' year column alone (a

@@ -108,3 +108,15 @@ def test_missing_periods_adds_products_and_never_counts_down(spark):
     assert rows(missing_periods(facts, 2010)) == rows(missing_periods(facts, 2010, products=z)) == []
     assert rows(missing_periods(facts, 2008, 2007)) == [] and rows(missing_periods(facts.limit(0), 2000, products=z)) == []
     assert rows(missing_periods(facts.limit(0), 2000, 2000, products=z)) == [("z", 2000)]
+
+
+def test_linear_trend_against_least_squares(spark):
+    import numpy as np
+    from adega.operators.trend import linear_trend
+    data = {"a": [(2000, 1.0), (2001, 3.0), (2002, 4.0), (2005, 9.0)], "b": [(2001, 5.0)], "c": [(2000, 2.0), (2001, None), (2002, 2.0)]}
+    df = spark.createDataFrame([(c, y, v) for c, own in data.items() for y, v in own], "country string, year int, value_usd double")
+    got = {r["country"]: r for r in linear_trend(df, ahead=2).collect()}
+    slope, level = np.polyfit(*zip(*data["a"]), 1)
+    assert abs(got["a"]["slope"] - slope) < 1e-9 and abs(got["a"]["projected"] - (slope * 2007 + level)) < 1e-6
+    assert got["a"]["projected_year"] == 2007 and got["b"]["slope"] is None and got["b"]["projected"] is None
+    assert got["c"]["years"] == 2 and got["c"]["slope"] == 0 and got["c"]["projected"] == 2
