@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 _MARKUP = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAME = re.compile("[a-z]+")
+_NAME = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
 #: elements whose content is no page text
 SKIPPED = frozenset("script style noscript template textarea title iframe svg math object select option datalist canvas audio video head".split())
@@ -44,6 +45,14 @@ HINTS = {
     "main": "article content main post entry story text body articlebody hentry page",
 }
 _HINT_OF = {word: hint for hint, words in HINTS.items() for word in words.split()}
+#: words that also tell when they begin a longer one (commentlist, sidebarLeft)
+_STEMS = tuple(w for w in _HINT_OF if len(w) >= 6 and _HINT_OF[w] not in ("main", "hidden"))
+
+
+@lru_cache(maxsize=4096)
+def _hint(word: str) -> str | None:
+    word = word.lower()
+    return _HINT_OF.get(word) or next((_HINT_OF[w] for w in _STEMS if word.startswith(w)), None)
 
 
 @dataclass
@@ -128,10 +137,10 @@ def _hints(attributes: str) -> tuple[str, ...]:
     found = []
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id", "role", "aria-label", "itemprop"):
-                found += [_HINT_OF[w] for w in _NAME.findall(value) if w in _HINT_OF]
-            elif name in ("hidden",) or name == "aria-hidden" and value == "true" or name == "style" and "none" in value:
+                found += [hint for hint in map(_hint, _NAME.findall(value)) if hint]
+            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "none" in value.lower():
                 found.append("hidden")
     return tuple(dict.fromkeys(found))
 

@@ -77,6 +77,12 @@ def test_furniture_goes_and_the_article_stays():
     assert main_text(page, default_model()) == "Title & more\nFirst paragraph of the text.\nSecond one."
 
 
+def test_names_are_read_in_pieces():
+    page = """<body><div id="adBox"><p>Some words to sell.</p></div><ol class="commentlist"><li><p>Nice text here.</p></li></ol>
+    <div class="sidebarLeft"><p>Words on the side here.</p></div><article><h1>Head</h1><p>Text of it.</p></article></body>"""
+    assert main_text(page, default_model()) == "Head\nText of it."
+
+
 def test_rows_and_columns(spark):
     page = "<body><nav><a href=/>x</a></nav><article><h1>Hé</h1><p>Some text.</p></article></body>"
     rows = [(1, "u", page, "mine"), (1, "u", page, "mine"), (2, None, None, "mine"), (None, "v", "", None), (3, "w", "<nav>only</nav>", "")]
