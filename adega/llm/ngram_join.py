@@ -6,10 +6,11 @@ segments could be given tolerances whose sum is over H, at least one segment
 differs by less than its tolerance.  Tolerance 1 is met by equal segments, 2 also
 by segments that are one deletion apart; so a set indexes its segments' contents
 and, where the band's allocation says so, their one-deletion neighbourhoods.  The
-allocation (how many segments, how many with deletions, how small a content may
-be before it is passed over as too common) is the cheapest in signatures that
-leaves sets enough tolerance.  Sets that a chance layout leaves short of it are
-compared with their whole band.  Every candidate is verified on the exact sets.
+allocation (how many segments, how many with deletions) is the cheapest in
+signatures that leaves sets enough tolerance although empty segments, which are met
+everywhere, are passed over.  Sets that a chance layout leaves short of it are
+compared with their whole band.  Candidates whose bucket counts already differ too
+much are dropped; every other one is verified on the exact sets.
 
 Equal sets are one node.  For components, a bucket of equal signatures isn't
 expanded into pairs: nodes are linked to bucket pivots first, and only pairs from
@@ -92,50 +93,40 @@ class Band:
     differ: int  # H
     segments: int  # m
     deletions: int  # segments that have one-deletion neighbourhoods: the first ones
-    least: int  # a signature's content has at least so many shingles
 
 
-def _allocate(reach: int, high: int, differ: int) -> tuple[int, int, int]:
-    """(segments, deletions, least) of a band: the fewest signatures such that the
-    tolerance lost to contents that are too small stays within the slack by six
-    standard deviations; if none does, the allocation that comes closest."""
+def _allocate(reach: int, high: int, differ: int) -> tuple[int, int]:
+    """(segments, deletions) of a band: the fewest signatures such that the tolerance
+    lost to segments that are empty, or too small for a deletion, stays within the
+    slack by six standard deviations; if none does, the allocation that comes closest."""
     if differ <= 1:
-        return 1, differ, 1  # one segment, the whole set: it can't be too small
+        return 1, differ  # one segment, the whole set: it can't be too small
     best, closest = None, None
-    for least in (2, 1):
-        for m in range(max(1, (differ + 2) // 2), int(1.6 * differ) + 4):
-            p = _small(reach, m, least + 1)  # probability of contents of 0, 1, ..., least shingles
-            none, one = sum(p[:least]), p[least]
-            for q in sorted({0, m // 4, m // 2, m}):
-                mean = q * (2 * none + one) + (m - q) * none
-                spread = (q * (4 * none + one) + (m - q) * none) ** 0.5
-                slack = m + q - (differ + 1)
-                if slack < 0:
-                    continue
-                cost = m + q * high / m
-                if slack >= mean + 6 * spread and (best is None or cost < best[0]):
-                    best = (cost, m, q, least)
-                margin = (slack - mean) / (spread + 1e-9)
-                if closest is None or margin > closest[0]:
-                    closest = (margin, m, q, least)
-        if best:
-            return best[1:]
-    return closest[1:]
-
-
-def _small(n: int, m: int, upto: int) -> list[float]:
-    p, out = (1 - 1 / m) ** n if m > 1 else float(n == 0), []
-    for k in range(upto):
-        out.append(p)
-        p *= (n - k) / (k + 1) / (m - 1) if m > 1 else 0.0
-    return out
+    for m in range(max(1, (differ + 2) // 2), int(1.3 * differ) + 8):
+        none = (1 - 1 / m) ** reach if m > 1 else 0.0  # probability of an empty segment, and of one shingle
+        one = none * reach / (m - 1) if m > 1 else 0.0
+        if best and m > best[0]:
+            break  # costs more however few deletions
+        for q in sorted({0, m // 4, m // 2, m}):
+            mean = q * (2 * none + one) + (m - q) * none
+            spread = (q * (4 * none + one) + (m - q) * none) ** 0.5
+            slack = m + q - (differ + 1)
+            if slack < 0:
+                continue
+            cost = m + q * high / m
+            if slack >= mean + 6 * spread and (best is None or cost < best[0]):
+                best = (cost, m, q)
+            margin = (slack - mean) / (spread + 1e-9)
+            if closest is None or margin > closest[0]:
+                closest = (margin, m, q)
+    return (best or closest)[1:]
 
 
 @lru_cache(maxsize=64)
 def _bands(num: int, den: int, upto: int) -> tuple[Band, ...]:
     out, low = [], 1
     while low <= upto:
-        high = low * den * den // (num * num)  # the next band starts beyond two steps of the threshold
+        high = low * den // num  # a partner is in the same band or in a neighbouring one
         reach = -(-low * num // den)
         differ = 2 * high * (den - num) // (den + num)
         out.append(Band(len(out), low, high, reach, differ, *_allocate(reach, high, differ)))
@@ -165,41 +156,65 @@ def signatures(shingles: np.ndarray, band: Band) -> tuple[np.ndarray, bool]:
     total = np.zeros(m, _U)
     total[filled] = np.add.reduceat(spread, at[filled])
     place = _mix(np.arange(m, dtype=_U) + salt)
-    whole = np.flatnonzero(count >= band.least)
-    out = [total[whole] ^ place[whole]]
-    tolerance = len(whole)
+    out = [total[filled] ^ place[filled]]  # an empty segment is met everywhere: it is passed over
+    tolerance = len(filled)
     if q:
-        apart = (segment < q) & (count[segment] > band.least)
+        apart = (segment < q) & (count[segment] > 1)
         out.append((total[segment[apart]] - spread[apart]) ^ place[segment[apart]])
-        tolerance += int((count[:q] > band.least).sum())
+        tolerance += int((count[:q] > 1).sum())
     return _mix(np.concatenate(out)), tolerance > band.differ
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Shingles per bucket, 255 at most: two sets differ in as many shingles as their
+    sketches at least."""
+    return np.minimum(np.bincount((shingles >> _U(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
+
+
 def _keys(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
-    """``doc_id, n_shingles, key`` per row."""
+    """``doc_id, n_shingles, key, sketch`` per row."""
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, words) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
-                                "key": pd.array([set_key(s) for s in sets], "Int64")})
+                                "key": pd.array([set_key(s) for s in sets], "Int64"), "sketch": [sketch(s) for s in sets]})
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(
-        keys, "doc_id long, n_shingles long, key long")
+        keys, "doc_id long, n_shingles long, key long, sketch binary")
 
 
 def _shared_signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> DataFrame:
     """``sig, key, short`` of all signatures that at least two nodes have; ``short``
     rows name a node (key) that must be compared with its whole band (sig).
 
-    A batch's signatures travel as binary arrays, dealt by bits of the signature; a
-    signature that a batch holds many times is known to be shared and only one of
-    its nodes travels on, so a common signature sends a row per batch at most."""
+    Signatures travel in lots as binary arrays, dealt by bits of the signature; a
+    signature that a lot holds many times is known to be shared and only one of
+    its nodes travels on, so a common signature sends an entry per lot at most."""
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deals = 16 * width
 
+    def lot(sigs: list, keys: list) -> Iterator[tuple]:
+        sig, key = np.concatenate(sigs), np.concatenate(keys)
+        order = np.argsort(sig, kind="stable")
+        sig, key = sig[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        run = np.diff(np.append(first, len(sig)))
+        many = np.repeat(run > LOCAL_RUN, run)
+        keep = ~many
+        keep[first] = True
+        for kind, mask in ((1, many), (0, keep)):
+            s, k = sig[mask], key[mask]
+            deal = (s % _U(deals)).astype(np.int64)
+            order = np.argsort(deal, kind="stable")
+            deal, s, k = deal[order], s[order], k[order]
+            cut = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1]])) if len(deal) else []
+            for a, b in zip(cut, np.append(cut[1:], len(deal))):
+                yield deal[a], kind, s[a:b].tobytes(), k[a:b].tobytes()
+
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=["deal", "kind", "sigs", "keys"])
         for batch in batches:
-            seen, sigs, keys, rows = set(), [], [], []
+            seen, sigs, keys, held = set(), [], [], 0
             for t in batch["text"]:
                 s = shingle_set(t, words)
                 key = set_key(s)
@@ -210,27 +225,14 @@ def _shared_signatures(docs: DataFrame, text: str, words: int, num: int, den: in
                     got, enough = signatures(s, band)
                     sigs.append(got)
                     keys.append(np.full(len(got), key, np.int64))
+                    held += len(got)
                     if not enough:
-                        rows.append((key % deals, 2, np.array([band.index], np.int64).tobytes(), np.array([key], np.int64).tobytes()))
+                        yield frame([(key % deals, 2, np.array([band.index], np.int64).tobytes(), np.array([key], np.int64).tobytes())])
+                if held > 1 << 19:
+                    yield frame(list(lot(sigs, keys)))
+                    sigs, keys, held = [], [], 0
             if sigs:
-                sig, key = np.concatenate(sigs), np.concatenate(keys)
-                order = np.argsort(sig, kind="stable")
-                sig, key = sig[order], key[order]
-                first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-                run = np.diff(np.append(first, len(sig)))
-                many = np.repeat(run > LOCAL_RUN, run)
-                keep = ~many
-                keep[first] = True
-                deal = (sig % _U(deals)).astype(np.int64)
-                for kind, mask in ((1, many), (0, keep)):
-                    d, s, k = deal[mask], sig[mask], key[mask]
-                    order = np.argsort(d, kind="stable")
-                    d, s, k = d[order], s[order], k[order]
-                    cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else []
-                    for a, b in zip(cut, np.append(cut[1:], len(d))):
-                        rows.append((d[a], kind, s[a:b].tobytes(), k[a:b].tobytes()))
-            for a in range(0, len(rows), 4096):
-                yield pd.DataFrame(rows[a: a + 4096], columns=["deal", "kind", "sigs", "keys"])
+                yield frame(list(lot(sigs, keys)))
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sigs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -257,6 +259,19 @@ def _shared_signatures(docs: DataFrame, text: str, words: int, num: int, den: in
     return dealt.repartition(width, "deal").mapInPandas(shared, "sig long, key long, short boolean").distinct()
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sizes and sketches leave room for a link."""
+    @F.pandas_udf("boolean")
+    def room(na: pd.Series, nb: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
+        a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, 64).astype(np.int64) for x in (sa, sb))
+        na, nb = na.to_numpy(np.int64), nb.to_numpy(np.int64)
+        apart = np.maximum(np.abs(a - b).sum(axis=1), np.abs(na - nb))
+        return pd.Series((den + num) * apart <= (den - num) * (na + nb))
+
+    side = lambda x: sketches.select(F.col("key").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(room("na", "nb", "sa", "sb")).select(*pairs.columns)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` of nodes whose sets are similar enough."""
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -332,14 +347,15 @@ def similar_links(docs: DataFrame, slim: DataFrame, text: str, doc_id: str, word
     signed = stored(_shared_signatures(docs, text, words, num, den), "join-signatures")
     shared = signed.where("not short").select("sig", "key")
     short = signed.where("short").select(F.col("sig").alias("band"), "key")
-    any_short = bool(short.take(1))
-    # the texts of nodes that share a signature, one document each
+    sketches = slim.where("key is not null").groupBy("key").agg(F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
+    # sets short of tolerance: every node of the band that isn't too different already
+    in_band = short.withColumnRenamed("key", "a").join(_band_rows(slim, num, den).withColumnRenamed("key", "b"), "band")
+    short_pairs = stored(_possible(in_band.where("a <> b").select("a", "b"), sketches, num, den), "join-short")
+    # the texts of nodes that can be asked for, one document each
     nodes = slim.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = shared.select("key").distinct()
-    if any_short:
-        wanted = None  # a whole band is compared: any node can be asked for
-    reps = nodes.join(wanted, "key") if wanted is not None else nodes
-    texts = stored(_texts(docs, reps, text, doc_id, words), "join-texts")
+    wanted = shared.select("key").unionByName(short_pairs.select(F.col("a").alias("key"))).unionByName(
+        short_pairs.select(F.col("b").alias("key"))).distinct()
+    texts = stored(_texts(docs, nodes.join(wanted, "key"), text, doc_id, words), "join-texts")
 
     def pairs_of(rows: DataFrame) -> DataFrame:
         """All pairs of a bucket's nodes that are in different components."""
@@ -354,6 +370,7 @@ def similar_links(docs: DataFrame, slim: DataFrame, text: str, doc_id: str, word
             # a node's pivot is its buckets' smallest root; of several pivots, the one met most often
             pivot = state.groupBy("sig").agg(F.min(F.struct("root", "key")).alias("p"), F.max("root").alias("most")).where("p.root < most")
             met = state.join(pivot, "sig").where("root > p.root").groupBy("root", F.col("p.key").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("n"))
+            met = _possible(met, sketches, num, den)
             best = met.groupBy("b" if turn == 0 else "root").agg(F.max(F.struct("n", "a", *(["b"] if turn else []))).alias("best"))
             pick = stored(best.select(F.col("best.a").alias("a"), F.col("b") if turn == 0 else F.col("best.b").alias("b")), "join-picks")
             tried = pick if tried is None else tried.unionByName(pick)
@@ -366,12 +383,12 @@ def similar_links(docs: DataFrame, slim: DataFrame, text: str, doc_id: str, word
     # buckets that still hold several components
     open_ = state.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
     rest = pairs_of(stored(state.join(open_, "sig"), "join-open"))
-    if any_short:
-        sizes = stored(_band_rows(slim, num, den), "join-bands")
-        rest = rest.unionByName(short.withColumnRenamed("key", "a").join(sizes.withColumnRenamed("key", "b"), "band").where("a <> b").select("a", "b"))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if tried is not None:
         rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+    rest = _possible(rest, sketches, num, den).unionByName(
+        short_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    rest = stored(rest, "join-rest")
     last = _verified(rest, texts, words, num, den)
     return last if found is None else found.unionByName(last)
 
