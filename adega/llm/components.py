@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from adega.llm.common import stored
@@ -21,8 +21,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     def ordered(e: DataFrame) -> DataFrame:
         return e.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
-    now = stored(ordered(links), "stars")
-    state = _state(now)
+    now, state = _written(ordered(links))
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -31,13 +30,17 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = small_in.groupBy("u").agg(F.min("v").alias("m"))
         small = small_in.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
             least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = stored(ordered(small), "stars")
-        before, state = state, _state(now)
+        before = state
+        now, state = _written(ordered(small))
         if state == before:
             break
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links in the shared folder, with their count and checksum, which are
+    observed while they are written (a task that runs twice can only cost a round)."""
+    seen = Observation()
+    kept = stored(links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "stars")
+    return kept, (seen.get["n"], seen.get["sum"])
