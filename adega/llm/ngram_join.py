@@ -12,6 +12,9 @@ everywhere, are passed over.  Sets that a chance layout leaves short of it are
 compared with their whole band.  Candidates whose bucket counts already differ too
 much are dropped; every other one is verified on the exact sets.
 
+Similar sets share more signatures than one; a node therefore leaves out as many of
+its commonest signatures as it can spare (text that many documents have in common).
+
 Equal sets are one node.  For components, a bucket of equal signatures isn't
 expanded into pairs: nodes are linked to bucket pivots first, and only pairs from
 different components of the same bucket are compared afterwards.
@@ -26,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adega.llm.common import free_name, stored
@@ -142,6 +145,18 @@ def bands_of(size: int, num: int, den: int) -> list[Band]:
     return own + ([bands[k + 1]] if size * den // num >= bands[k + 1].low and bands[k + 1].differ else [])
 
 
+def spare_signatures(size: int, filled: int, band: Band, num: int, den: int) -> int:
+    """How many signatures a set may leave out of a band without segment deletions.
+
+    A link of the set differs in at most D shingles, so at least ``c = filled - D``
+    of its segments are equal to the partner's.  If either side leaves out at most
+    ``(c - 1) // 2`` of its own, one equal segment remains that neither left out."""
+    if band.deletions:
+        return 0
+    partner = min(band.high, size * den // num)
+    return max(0, (filled - (den - num) * (size + partner) // (den + num) - 1) // 2)
+
+
 def signatures(shingles: np.ndarray, band: Band) -> tuple[np.ndarray, bool]:
     """Signatures of a set in a band, and whether its tolerances cover the band's H."""
     m, q = band.segments, band.deletions
@@ -184,8 +199,9 @@ def _keys(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
 
 
 def _shared_signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> DataFrame:
-    """``sig, key, short`` of all signatures that at least two nodes have; ``short``
-    rows name a node (key) that must be compared with its whole band (sig).
+    """``sig, key, info, short`` of all signatures that at least two nodes have;
+    ``info`` is the band and how many signatures the node may leave out in it;
+    ``short`` rows name a node (key) that must be compared with its whole band (sig).
 
     Signatures travel in lots as binary arrays, dealt by bits of the signature; a
     signature that a lot holds many times is known to be shared and only one of
@@ -193,28 +209,28 @@ def _shared_signatures(docs: DataFrame, text: str, words: int, num: int, den: in
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deals = 16 * width
 
-    def lot(sigs: list, keys: list) -> Iterator[tuple]:
-        sig, key = np.concatenate(sigs), np.concatenate(keys)
+    def lot(sigs: list, keys: list, infos: list) -> Iterator[tuple]:
+        sig, key, info = np.concatenate(sigs), np.concatenate(keys), np.concatenate(infos)
         order = np.argsort(sig, kind="stable")
-        sig, key = sig[order], key[order]
+        sig, key, info = sig[order], key[order], info[order]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         run = np.diff(np.append(first, len(sig)))
         many = np.repeat(run > LOCAL_RUN, run)
         keep = ~many
         keep[first] = True
         for kind, mask in ((1, many), (0, keep)):
-            s, k = sig[mask], key[mask]
+            s, k, i = sig[mask], key[mask], info[mask]
             deal = (s % _U(deals)).astype(np.int64)
             order = np.argsort(deal, kind="stable")
-            deal, s, k = deal[order], s[order], k[order]
+            deal, s, k, i = deal[order], s[order], k[order], i[order]
             cut = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1]])) if len(deal) else []
             for a, b in zip(cut, np.append(cut[1:], len(deal))):
-                yield deal[a], kind, s[a:b].tobytes(), k[a:b].tobytes()
+                yield deal[a], kind, s[a:b].tobytes(), k[a:b].tobytes(), i[a:b].tobytes()
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = lambda rows: pd.DataFrame(rows, columns=["deal", "kind", "sigs", "keys"])
+        frame = lambda rows: pd.DataFrame(rows, columns=["deal", "kind", "sigs", "keys", "infos"])
         for batch in batches:
-            seen, sigs, keys, held = set(), [], [], 0
+            seen, sigs, keys, infos, held = set(), [], [], [], 0
             for t in batch["text"]:
                 s = shingle_set(t, words)
                 key = set_key(s)
@@ -225,38 +241,54 @@ def _shared_signatures(docs: DataFrame, text: str, words: int, num: int, den: in
                     got, enough = signatures(s, band)
                     sigs.append(got)
                     keys.append(np.full(len(got), key, np.int64))
+                    infos.append(np.full(len(got), band.index << 20 | min(spare_signatures(len(s), len(got), band, num, den), (1 << 20) - 1), np.int32))
                     held += len(got)
                     if not enough:
-                        yield frame([(key % deals, 2, np.array([band.index], np.int64).tobytes(), np.array([key], np.int64).tobytes())])
+                        yield frame([(key % deals, 2, np.array([band.index], np.int64).tobytes(), np.array([key], np.int64).tobytes(), np.zeros(1, np.int32).tobytes())])
                 if held > 1 << 19:
-                    yield frame(list(lot(sigs, keys)))
-                    sigs, keys, held = [], [], 0
+                    yield frame(list(lot(sigs, keys, infos)))
+                    sigs, keys, infos, held = [], [], [], 0
             if sigs:
-                yield frame(list(lot(sigs, keys)))
+                yield frame(list(lot(sigs, keys, infos)))
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sigs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        sigs, keys, infos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for batch in batches:
-            for kind, s, k in zip(batch["kind"], batch["sigs"], batch["keys"]):
-                s, k = np.frombuffer(s, np.int64), np.frombuffer(k, np.int64)
+            for kind, s, k, i in zip(batch["kind"], batch["sigs"], batch["keys"], batch["infos"]):
+                s, k, i = np.frombuffer(s, np.int64), np.frombuffer(k, np.int64), np.frombuffer(i, np.int32)
                 if kind:
-                    yield pd.DataFrame({"sig": s, "key": k, "short": kind == 2})
+                    yield pd.DataFrame({"sig": s, "key": k, "info": i, "short": kind == 2})
                 else:
                     sigs.append(s)
                     keys.append(k)
-        sig, key = np.concatenate(sigs), np.concatenate(keys)
+                    infos.append(i)
+        sig, key, info = np.concatenate(sigs), np.concatenate(keys), np.concatenate(infos)
         order = np.lexsort((key, sig))
-        sig, key = sig[order], key[order]
+        sig, key, info = sig[order], key[order], info[order]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-        sig, key = sig[new], key[new]
+        sig, key, info = sig[new], key[new], info[new]
         same = np.zeros(len(sig) + 1, bool)
         same[1:-1] = sig[1:] == sig[:-1]
         rows = same[1:] | same[:-1]
-        yield pd.DataFrame({"sig": sig[rows], "key": key[rows], "short": False})
+        yield pd.DataFrame({"sig": sig[rows], "key": key[rows], "info": info[rows], "short": False})
+
+    dealt = docs.select(F.col(text).alias("text")).mapInPandas(index, "deal long, kind int, sigs binary, keys binary, infos binary")
+    return dealt.repartition(width, "deal").mapInPandas(shared, "sig long, key long, info int, short boolean").distinct()
+
 
-    dealt = docs.select(F.col(text).alias("text")).mapInPandas(index, "deal long, kind int, sigs binary, keys binary")
-    return dealt.repartition(width, "deal").mapInPandas(shared, "sig long, key long, short boolean").distinct()
+def _without_common(rows: DataFrame) -> DataFrame:
+    """``sig, key, degree``: each node leaves out the commonest signatures it can
+    spare in each band; ``degree`` is the number of rows that it meets in the rest."""
+    counts = rows.groupBy("sig").agg(F.count("*").alias("n"))
+    by_band = Window.partitionBy("key", F.shiftright("info", 20)).orderBy(F.desc("n"), "sig")
+    left = (rows.join(counts, "sig").withColumn("place", F.row_number().over(by_band))
+            .where(F.col("place") > F.col("info").bitwiseAND((1 << 20) - 1)).select("sig", "key"))
+    left = stored(left, "join-left")
+    counts = left.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
+    met = left.join(counts, "sig")
+    degrees = met.groupBy("key").agg(F.sum("n").alias("degree"))
+    return met.select("sig", "key").join(degrees, "key")
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
@@ -345,7 +377,7 @@ def similar_links(docs: DataFrame, slim: DataFrame, text: str, doc_id: str, word
     components, or all of them with ``every_link``."""
     num, den = threshold
     signed = stored(_shared_signatures(docs, text, words, num, den), "join-signatures")
-    shared = signed.where("not short").select("sig", "key")
+    shared = stored(_without_common(signed.where("not short")), "join-shared")
     short = signed.where("short").select(F.col("sig").alias("band"), "key")
     sketches = slim.where("key is not null").groupBy("key").agg(F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
     # sets short of tolerance: every node of the band that isn't too different already
@@ -367,17 +399,20 @@ def similar_links(docs: DataFrame, slim: DataFrame, text: str, doc_id: str, word
     if not every_link:
         state = shared.withColumn("root", F.col("key"))
         for turn in range(2):
-            # a node's pivot is its buckets' smallest root; of several pivots, the one met most often
-            pivot = state.groupBy("sig").agg(F.min(F.struct("root", "key")).alias("p"), F.max("root").alias("most")).where("p.root < most")
-            met = state.join(pivot, "sig").where("root > p.root").groupBy("root", F.col("p.key").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("n"))
+            # a bucket's pivot is the node that meets most others (an original, among its edited
+            # copies); of several pivots, a node takes the one it met most often
+            pivot = state.groupBy("sig").agg(F.max(F.struct("degree", "key", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+            met = state.join(pivot, "sig").where("root <> p.root").groupBy(F.col("p.key").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("n"))
             met = _possible(met, sketches, num, den)
-            best = met.groupBy("b" if turn == 0 else "root").agg(F.max(F.struct("n", "a", *(["b"] if turn else []))).alias("best"))
-            pick = stored(best.select(F.col("best.a").alias("a"), F.col("b") if turn == 0 else F.col("best.b").alias("b")), "join-picks")
+            if tried is not None:
+                met = met.join(tried.withColumn("old", F.lit(True)), ["a", "b"], "left_anti")
+            best = met.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best"))
+            pick = stored(best.select(F.col("best.a").alias("a"), "b"), "join-picks")
             tried = pick if tried is None else tried.unionByName(pick)
             got = stored(_verified(pick, texts, words, num, den), "join-found")
             found = got if found is None else found.unionByName(got)
             roots = stored(connected_components(found), "join-roots")
-            state = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+            state = stored(shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "join-state")
     else:
         state = shared.withColumn("root", F.col("key"))
     # buckets that still hold several components
