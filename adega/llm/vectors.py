@@ -2,7 +2,8 @@
 
 In each pass every vector gets the bits of 64 random projections, most significant
 first; vectors are range-sorted by label and bits, so that similar vectors, whose
-leading bits mostly agree, come to stand near each other; each vector is compared
+leading bits mostly agree, come to stand near each other (those with equal bits in a
+random order of the pass); each vector is compared
 with the neighbours in a bounded window before it, also across the borders of the
 sort's partitions.  Pairs over the threshold are links; links of all passes are
 united.  More passes find more: a pair is missed only if no pass brings it together.
@@ -100,7 +101,8 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = 1
                 yield _border(held, part, 0, 0)
 
         ordered = nodes.select("label", "v", "node").mapInPandas(project, keys)
-        order = ["pass", "label", "bits", "node"]
+        # equal bits fall in an order of the pass's own, so that each pass brings other copies together
+        order = ["pass", "label", "bits", F.xxhash64("pass", "node"), "node"]
         ordered = ordered.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
         got = stored(ordered.mapInPandas(compare, f"a long, b long, border int, side int, at int, {keys}"), "vector-pass")
 

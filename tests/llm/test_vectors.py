@@ -74,6 +74,22 @@ def test_planted_groups_and_a_hot_label(spark):
     assert sum(got[k][2] == want[k][2] for k in got) >= 0.98 * len(got)
 
 
+def hot_group(size, noise, others, dim=64, seed=7):
+    """Rows of one group of near copies and of unrelated vectors, and each row's true number of links."""
+    rng = np.random.default_rng(seed)
+    near = rng.normal(size=dim) + rng.normal(size=(size, dim)) * noise
+    v = np.concatenate([near, rng.normal(size=(others, dim))]).astype(np.float32)
+    unit = v / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    return [(k, x, 0) for k, x in enumerate(v)], (unit @ unit.T >= 0.93).sum(axis=1) - 1
+
+
+def test_copies_with_equal_bits_meet_others_in_every_pass(spark):
+    rows, want = hot_group(970, 1e-4, 100)
+    got = {r["vec_id"]: r["n_links"] for r in similar_vectors(table(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(got[k] <= want[k] for k in got)
+    assert sum(got.values()) >= 0.9 * want.sum()
+
+
 def test_recall_against_brute_force_on_the_table(spark):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     want = {r[0]: r for r in brute_links(rows, 0.93)}
