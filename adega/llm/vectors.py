@@ -7,6 +7,12 @@ random order of the pass); each vector is compared
 with the neighbours in a bounded window before it, also across the borders of the
 sort's partitions.  Pairs over the threshold are links; links of all passes are
 united.  More passes find more: a pair is missed only if no pass brings it together.
+
+The windows alone would miss links of a group that is much larger than a window, so
+vectors with links far out in their windows (crowded ones) are counted exactly: all
+vectors of their component are cut into blocks, and every block with crowded vectors is
+compared with every block of the component by matrix products, which give numbers of
+links and no pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +30,8 @@ from adega.llm.components import connected_components
 
 #: rows of one matrix product
 _CHUNK = 256
+#: vectors of one block of a component with crowded vectors
+BLOCK = 1024
 
 
 def usable(embedding: Column) -> Column:
@@ -33,8 +41,9 @@ def usable(embedding: Column) -> Column:
 
 
 def _links(group: np.ndarray, node: np.ndarray, unit: np.ndarray, start: int, window: int, threshold: float, split: int = 0):
-    """Links of the rows from ``start`` on with the ``window`` rows before each; with
-    ``split``, only those between a row before it and one from it on."""
+    """Links of the rows from ``start`` on with the ``window`` rows before each, and
+    whether they lie more than half a window apart; with ``split``, only those between
+    a row before it and one from it on."""
     out = []
     for a in range(start, len(unit), _CHUNK):
         b, low = min(a + _CHUNK, len(unit)), max(0, a - window)
@@ -44,9 +53,9 @@ def _links(group: np.ndarray, node: np.ndarray, unit: np.ndarray, start: int, wi
         good = (j < i) & (i - j <= window) & (group[i] == group[j]).all(axis=1)
         if split:
             good &= (j < split) & (i >= split)
-        out.append(np.stack([node[i[good]], node[j[good]]]))
-    pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    return pd.DataFrame({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
+        out.append(np.stack([node[i[good]], node[j[good]], (i - j)[good] > window // 2]))
+    pairs = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+    return pd.DataFrame({"a": pairs[:2].min(axis=0), "b": pairs[:2].max(axis=0), "far": pairs[2]})
 
 
 def similar_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = 16, window: int = 128, passes_per_job: int = 4,
@@ -59,7 +68,12 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = 1
     or holds null or non-finite components links with nothing.  Equal vectors of a
     label are one node, linked with each other, however many; repeated rows count as
     rows.  A null vec_id takes part but names no component that has another id.
-    Only the three named columns are read; an empty table gives no rows."""
+    Only the three named columns are read; an empty table gives no rows.
+
+    Links are found by passes, except that those of crowded vectors, which have
+    ``passes / 2`` links or more in the far halves of their windows, are counted
+    exactly within their component; a component's blocks make a number of block pairs
+    that grows with its square."""
     spark = vectors.sparkSession
     kind = "<f4" if dict(vectors.dtypes)[embedding] == "array<float>" else "<f8"
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("v"))
@@ -104,7 +118,7 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = 1
         # equal bits fall in an order of the pass's own, so that each pass brings other copies together
         order = ["pass", "label", "bits", F.xxhash64("pass", "node"), "node"]
         ordered = ordered.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-        got = stored(ordered.mapInPandas(compare, f"a long, b long, border int, side int, at int, {keys}"), "vector-pass")
+        got = stored(ordered.mapInPandas(compare, f"a long, b long, far long, border int, side int, at int, {keys}"), "vector-pass")
 
         def across(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values(["side", "at"], ignore_index=True)
@@ -112,14 +126,24 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = 1
             return _links(*_arrays(rows, kind), split, window, threshold, split) if 0 < split < len(rows) else _links(
                 np.zeros((0, 2)), np.zeros(0, np.int64), np.zeros((0, 1)), 0, window, threshold)
 
-        pairs = got.where("border is null").select("a", "b").unionByName(
-            got.where("border is not null").groupBy("border").applyInPandas(across, "a long, b long"))
+        pairs = got.where("border is null").select("a", "b", "far").unionByName(
+            got.where("border is not null").groupBy("border").applyInPandas(across, "a long, b long, far long"))
         found = pairs if found is None else found.unionByName(pairs)
-    links = stored(found.distinct(), "vector-links")
-    roots = connected_components(links)
+    links = stored(found.groupBy("a", "b").agg(F.sum("far").alias("far")), "vector-links")
+    roots = connected_components(links.select("a", "b"))
     weights = nodes.select("node", "weight")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
+    crowded = stored(both.groupBy(F.col("a").alias("node")).agg(F.sum("far").alias("far")).where(F.col("far") >= max(1, passes // 2))
+                     .select("node"), "vector-crowded")
+    counted = None
+    if not crowded.isEmpty():
+        counted = _count_links(nodes, roots, crowded, kind, threshold)
+        # those of a crowded vector are all counted there
+        both = (both.join(crowded.withColumnRenamed("node", "a"), "a", "left_anti")
+                .join(crowded.withColumnRenamed("node", "b"), "b", "left_anti"))
     linked = both.join(weights.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("others"))
+    if counted is not None:
+        linked = linked.unionByName(counted).groupBy("node").agg(F.sum("others").alias("others"))
     info = (weights.join(linked, "node", "left").join(roots, "node", "left")
             .select("node", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")))
     named = rows.select("vec_id", "node").join(info, "node", "left")
@@ -129,6 +153,51 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = 1
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def _count_links(nodes: DataFrame, roots: DataFrame, crowded: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """``(node, others)``: rows linked with each vector of a component that has crowded
+    vectors, for the crowded ones all, for the others those of crowded vectors.  A pair
+    of blocks is one row, and the pairs are dealt by their second block."""
+    flagged = roots.join(crowded.withColumn("crowded", F.lit(True)), "node", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    flagged = flagged.join(flagged.where("crowded").select("root").distinct(), "root", "left_semi")
+    sizes = flagged.groupBy("root", "crowded").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    members = (flagged.join(sizes, ["root", "crowded"]).join(nodes.select("node", "weight", "v"), "node")
+               .withColumn("block", F.pmod(F.xxhash64("node"), "n").cast("int")))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(rows["v"].to_list()).astype(kind)
+        return pd.DataFrame({"root": rows["root"].iloc[:1], "crowded": rows["crowded"].iloc[:1], "block": rows["block"].iloc[:1],
+                             "node": [rows["node"].to_numpy("<i8").tobytes()], "weight": [rows["weight"].to_numpy("<i8").tobytes()],
+                             "v": [v.tobytes()]})
+
+    blocks = stored(members.select("root", "crowded", "block", "node", "weight", "v").groupBy("root", "crowded", "block").applyInPandas(
+        pack, "root long, crowded boolean, block int, node binary, weight binary, v binary"), "vector-blocks")
+
+    def side(s: str, *names: str) -> DataFrame:
+        return blocks.select("root", *[F.col(c).alias(f"{c}_{s}") for c in ("crowded", "block", *names)])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                mine, theirs = np.frombuffer(r.node_s, "<i8"), np.frombuffer(r.node_t, "<i8")
+                weight, x, y = np.frombuffer(r.weight_t, "<i8").astype(float), _unit(r.v_s, len(mine), kind), _unit(r.v_t, len(theirs), kind)
+                others = np.zeros(len(mine), np.int64)
+                for a in range(0, len(mine), _CHUNK):
+                    near = (x[a: a + _CHUNK] @ y.T >= threshold) & (mine[a: a + _CHUNK, None] != theirs)
+                    others[a: a + _CHUNK] = near @ weight
+                yield pd.DataFrame({"node": mine, "others": others})
+
+    pairs = side("s").join(side("t"), "root").where("crowded_s or crowded_t")
+    pairs = pairs.join(side("s", "node", "v"), ["root", "crowded_s", "block_s"]).join(side("t", "node", "weight", "v"), ["root", "crowded_t", "block_t"])
+    return pairs.select("node_s", "v_s", "node_t", "weight_t", "v_t").mapInPandas(count, "node long, others long")
+
+
+def _unit(raw: bytes, n: int, kind: str) -> np.ndarray:
+    """Vectors of a block, of length 1, in double precision."""
+    wide = np.frombuffer(raw, kind).reshape(n, -1).astype(float)
+    wide /= np.abs(wide).max(axis=1, keepdims=True)  # huge components don't overflow
+    return wide / np.sqrt((wide * wide).sum(axis=1, keepdims=True))
+
+
 def _arrays(rows: pd.DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, node, unit vector) of sorted rows; shorter vectors are filled up with
     zeros, their length is part of the group."""
@@ -152,4 +221,4 @@ def _link_rows(links: pd.DataFrame) -> pd.DataFrame:
 
 def _border(rows: pd.DataFrame, border: int, side: int, at: int) -> pd.DataFrame:
     rows = rows.assign(border=border, side=side, at=np.arange(at, at + len(rows)))
-    return rows.assign(a=pd.array([pd.NA] * len(rows), "Int64"), b=pd.array([pd.NA] * len(rows), "Int64"))
+    return rows.assign(**{c: pd.array([pd.NA] * len(rows), "Int64") for c in ("a", "b", "far")})

@@ -90,6 +90,17 @@ def test_copies_with_equal_bits_meet_others_in_every_pass(spark):
     assert sum(got.values()) >= 0.9 * want.sum()
 
 
+def test_links_of_a_group_far_larger_than_the_windows_are_counted_exactly(spark):
+    rows, want = hot_group(3000, 0.2, 200)
+    rows += [(len(rows) + k, rows[k][1], 0) for k in range(40)]  # equal rows count as rows
+    unit = np.stack([v for _, v, _ in rows]).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    got = {r["vec_id"]: tuple(r) for r in similar_vectors(table(spark, rows)).collect()}
+    assert [got[k][1] for k in range(len(rows))] == want.tolist()
+    assert {got[k][2] for k in range(3000)} == {0}
+
+
 def test_recall_against_brute_force_on_the_table(spark):
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     want = {r[0]: r for r in brute_links(rows, 0.93)}
