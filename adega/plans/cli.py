@@ -71,7 +71,7 @@ REPORTS = {
     "price-scatter": lambda s, a: R.unit_price_report(
         scan_customs(s, a.customs, a.customs_format, original_headers=a.original_headers),
         a.country, a.state, a.groups, COLOURS[a.colours])[0],
-    "pages": lambda s, a: pages_to_statements(s.read.parquet(a.pages)),
+    "pages": lambda s, a: pages_to_statements(s.read.parquet(a.pages), **({"header": a.header} if a.header else {})),
 }
 
 
@@ -98,6 +98,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--groups", nargs="*", type=int)
     p.add_argument("--colours", default="spain", choices=sorted(COLOURS))
     p.add_argument("--pages", help="parquet table page_id, url, html")
+    p.add_argument("--header", nargs="+", help="pages: cells of the statement tables' header row")
     p.add_argument("--flow", help="ingest: flow written with every row")
     p.add_argument("--target", help="ingest: facts table path")
     p.add_argument("--checkpoint", help="ingest: streaming checkpoint path")

@@ -119,7 +119,7 @@ def rows_of_page(html: str | None, row_tag: str = "tr",
 
 def extract_rows(pages: DataFrame, row_tag: str = "tr", cell_tags: Sequence[str] = ("th", "td"), *,
                  id_col: str = "page_id", html_col: str = "html",
-                 carry: Sequence[str] = (), failures=None) -> DataFrame:
+                 carry: Sequence[str] = (), failures=None, empty_pages: bool = False) -> DataFrame:
     """``(page_id, *carry, row_no, table_no, table_row_no, cells array<string>,
     page_error)``: one output row per table row, ``row_no`` counting the rows of a page from 0 in
     document order, ``table_no`` the innermost enclosing ``<table>`` (0-based,
@@ -131,7 +131,8 @@ def extract_rows(pages: DataFrame, row_tag: str = "tr", cell_tags: Sequence[str]
     and ``spark.sql.execution.arrow.maxBytesPerBatch`` (set to 64 MB by
     :func:`adega.session.build_session`).  ``page_error`` is null, or says why the
     page was read only in part; a page broken before its first row gives one row
-    without cells that carries it.  Split sizes are the reader's
+    without cells that carries it, as with ``empty_pages`` does a page without rows
+    (``page_error`` null).  Split sizes are the reader's
     (``spark.sql.files.maxPartitionBytes``).  Pass a Spark accumulator as
     ``failures`` to count broken pages as well (a retried task can count twice).
     """
@@ -155,6 +156,7 @@ def extract_rows(pages: DataFrame, row_tag: str = "tr", cell_tags: Sequence[str]
                 if broken:
                     if failures is not None:
                         failures.add(1)
+                if broken or empty_pages:
                     found = found or [(None, None)]
                 for no, (table_no, row) in enumerate(found):
                     errors.append(broken[0] if broken else None)
@@ -197,36 +199,55 @@ TABLE_HEADER = ("Países", "Quantidade (Kg)", "Valor (US$)")
 
 
 def pages_to_statements(pages: DataFrame, product_codes: dict[tuple[str, str], str] | None = None, *,
-                        header: Sequence[str] | None = TABLE_HEADER, failures=None) -> DataFrame:
+                        header: Sequence[str] | None = TABLE_HEADER, failures=None, errors: str = "fail") -> DataFrame:
     """Statement tables scraped into pages -> ``product, year, country,
     quantity_kg, value_usd`` (text measures, ready for ``clean_statements``).
 
-    The statement table of a page is the one whose first row is ``header`` (blanks
-    at the ends and case ignored); menus, layout tables and footers are other
-    tables.  With ``header=None`` every table counts.  The header row is dropped.
+    The statement tables of a page are those whose first row is ``header`` (blanks
+    at the ends and case ignored), however many; menus, layout tables and footers are
+    other tables.  With ``header=None`` every table counts.  The header rows are dropped.
     Year, flow and product come from the page URL (``ano=``, ``opcao=opt_NN`` and
     ``subopcao=subopt_NN``): ``product_codes`` maps (option, code) to the product
     and defaults to both flows.  A page with rows but an unknown option or code
     fails the job instead of giving nameless rows.
+
+    A page that was read only in part, or has no statement table, fails the job too.
+    With ``errors="keep"`` it gives its reason in a further column ``page_error``
+    instead: on each row read, or on one row without country and measures (product
+    null if its code is unknown) if there are none; ``clean_statements`` drops such rows,
+    so look at them before.
     """
+    if errors not in ("fail", "keep"):
+        raise ValueError(f"errors: fail or keep, not {errors!r}")
     codes = product_codes or PRODUCT_CODES
-    rows = extract_rows(pages, "tr", ("th", "td"), carry=("url",), failures=failures)
-    if header is not None:
-        # the table number of the header row, on every row of its page
+    # pages may be stored twice, in two versions: each is judged by itself
+    pages = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("_page"))
+    rows = extract_rows(pages, "tr", ("th", "td"), carry=("url", "_page"), failures=failures, empty_pages=True)
+    if header is None:
+        of_statement = F.col("table_no").isNotNull()
+    else:
         first = F.slice("cells", 1, len(header))
         is_header = (F.col("table_row_no") == 0) & (
             F.transform(first, lambda c: F.lower(F.trim(c))) == F.array(*[F.lit(h.lower()) for h in header]))
-        of_page = Window.partitionBy("page_id", "url")
-        rows = rows.withColumn("_statement_table", F.min(F.when(is_header, F.col("table_no"))).over(of_page))
-        rows = rows.filter(F.col("table_no") == F.col("_statement_table"))
-    rows = rows.filter(F.col("table_row_no") > 0)
+        of_statement = F.coalesce(F.max(is_header).over(Window.partitionBy("_page", "table_no")), F.lit(False)) & F.col("table_no").isNotNull()
+    rows = rows.withColumn("_statement", of_statement)
+    rows = rows.withColumn("_data", F.col("_statement") & F.coalesce(F.col("table_row_no") > 0, F.lit(False)))
+    of_page = Window.partitionBy("_page")
+    rows = rows.withColumn("_found", F.max("_statement").over(of_page)).withColumn("_any_data", F.max("_data").over(of_page))
+    rows = rows.withColumn("page_error", F.coalesce("page_error", F.when(~F.col("_found"), F.lit("no statement table"))))
+    if errors == "fail":
+        why = F.concat(F.col("page_error"), F.lit(" in the page "), F.coalesce("url", F.lit("without url")))
+        rows = rows.filter(F.when(F.col("page_error").isNotNull(), F.raise_error(why).cast("boolean")).otherwise(F.col("_data")))
+    else:
+        rows = rows.filter(F.col("_data") | ((F.col("row_no") == 0) & F.col("page_error").isNotNull() & ~F.col("_any_data")))
     option = F.regexp_extract("url", r"opcao=(opt_\d+)", 1)
     code = F.regexp_extract("url", r"subopcao=subopt_(\d+)", 1)
     product = map_values(F.concat(option, F.lit("/"), code), {f"{o}/{c}": name for (o, c), name in codes.items()})
-    known = F.when(product.isNotNull(), product).otherwise(
+    known = F.when(product.isNotNull() | ~F.col("_data"), product).otherwise(
         F.raise_error(F.concat(F.lit("no product for the page "), F.coalesce("url", F.lit("without url")))).cast("string"))
+    rows = rows.withColumn("cells", F.when(F.col("_data"), F.col("cells")))
     return cells_to_columns(rows, ["country", "quantity_kg", "value_usd"]).select(
         known.alias("product"),
         F.nullif(F.regexp_extract("url", r"ano=(\d{4})", 1), F.lit("")).try_cast("int").alias("year"),
-        "country", "quantity_kg", "value_usd",
+        "country", "quantity_kg", "value_usd", *(["page_error"] if errors == "keep" else []),
     )

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from adega.sources.pages import cells_to_columns, extract_rows, pages_to_statements, rows_of_page
 from adega.operators.clean import clean_statements
 from tests.conftest import rows
@@ -124,3 +126,30 @@ def test_unknown_product_code_fails(spark):
     pages = page_frame(spark, [(1, "http://site.example/index.php?ano=2024&opcao=opt_06&subopcao=subopt_09", TABLE)])
     with pytest.raises(Exception, match="no product for the page"):
         pages_to_statements(pages).collect()
+
+
+def test_pages_without_a_statement_table_or_read_in_part_are_not_lost(spark, monkeypatch):
+    import pytest
+    url = "http://site.example/index.php?ano=2024&opcao=opt_06&subopcao=subopt_0"
+    other = TABLE.replace("Quantidade (Kg)", "Quantidade").replace("Países", "País")
+    two = TABLE + TABLE.replace("Argélia", "Chile")
+    good = page_frame(spark, [(1, url + "1", two)])
+    assert sorted(r[0] for r in rows(clean_statements(pages_to_statements(good)), "country")) == [
+        "Alemanha, República Democrática", "Alemanha, República Democrática", "Argélia", "Chile"]
+    for bad in (other, "<table><caption>x</caption><tr><td>Exports</td></tr></table>", "<p>Error 500</p>", None):
+        pages = page_frame(spark, [(1, url + "1", two), (1, url + "1", bad)])  # the same page, stored twice
+        with pytest.raises(Exception, match="no statement table in the page"):
+            pages_to_statements(pages).collect()
+        kept = pages_to_statements(pages, errors="keep").where("page_error is not null")
+        assert rows(kept) == [("table_wine", 2024, None, None, None, "no statement table")]
+    assert pages_to_statements(page_frame(spark, [(1, url + "1", other)]), header=("País", "Quantidade", "Valor (US$)")).count() == 5
+
+
+def test_broken_pages_carry_their_error_into_statements(spark):
+    import pytest
+    url = "http://site.example/index.php?ano=2024&opcao=opt_06&subopcao=subopt_01"
+    pages = page_frame(spark, [(1, url, TABLE)]).select("page_id", "url", F.lit(5).alias("html"))  # not text: parser raises
+    with pytest.raises(Exception, match="in the page http"):
+        pages_to_statements(pages).collect()
+    (row,) = pages_to_statements(pages, errors="keep").collect()
+    assert row["country"] is None and row["page_error"] and row["page_error"] != "no statement table"
