@@ -19,11 +19,14 @@ from adega.llm.lines import drop_frequent_lines
 from adega.llm.mixing import plan_mix
 from adega.llm.ngram_join import similar_components
 from adega.llm.packing import pack
+from adega.llm.pieces import encode_decode
 from adega.llm.quality import is_held_out, train, with_scores
 from adega.llm.token_ids import tokenizer_path
 from adega.llm.token_store import read_token_file, write_token_file
 from adega.llm.topk import top_inner_products
+from adega.llm.vector_codes import codebooks_sha256, compress, label_errors
 from adega.llm.vectors import similar_vectors
+from adega.llm.whitening import fit_whitening, whiten
 from adega.session import scratch_path
 
 
@@ -75,6 +78,31 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096.0)
+    return label_errors(codes).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+                                      F.lit(codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = fit_whitening(vectors, components=16, scale=64.0)
+    if model is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    explained = F.array(*[F.lit(float(x)) for x in model.explained]).cast("array<double>")
+    rows = whiten(vectors, model, scale=64.0).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "value"))
+    return rows.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"),
+                       F.col("deviation").try_cast("long").alias("deviation"), F.col("value").alias("whitened"),
+                       F.get(explained, F.col("place")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    names = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", "n_tokens", F.sha2(names, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality": op2_quality,
@@ -86,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_licenses": op9_licenses,
     "op10_packing": op10_packing,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_whitening": op12_whitening,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 #: characters stripped from a line's ends, as DuckDB text
@@ -115,4 +146,33 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op8_topk": OP8_SQL}
+
+def _code_sql(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """The rounds one after the other, every distance taken."""
+    ctes = [f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label,
+         list_transform(embedding, lambda c: floor({scale} * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+cells AS (SELECT row, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS at, len(x) // {parts} AS width FROM kept),
+parts AS MATERIALIZED (SELECT row, at // width AS part, at % width AS pos, v FROM cells),
+book0 AS MATERIALIZED (SELECT part, row - 1 AS entry, pos, v AS c FROM parts WHERE row <= {entries})"""]
+    for r in range(rounds + 1):
+        ctes.append(f"""near{r} AS MATERIALIZED (
+  SELECT row, part, min(ROW(d, entry)) AS m FROM (
+    SELECT row, part, entry, sum((v - c) * (v - c))::BIGINT AS d FROM parts JOIN book{r} USING (part, pos) GROUP BY ALL) GROUP BY ALL)""")
+        if r < rounds:
+            ctes.append(f"""moved{r} AS (
+  SELECT part, m[2] AS entry, pos, sum(v)::BIGINT AS s, count(*) AS n FROM parts JOIN near{r} USING (row, part) GROUP BY ALL),
+book{r + 1} AS MATERIALIZED (
+  SELECT part, entry, pos, CASE WHEN n IS NULL THEN c ELSE (s - (s % n + n) % n) // n END AS c
+  FROM book{r} LEFT JOIN moved{r} USING (part, entry, pos))""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM (SELECT row, string_agg(printf('%02x', m[2]), '' ORDER BY part) AS code, sum(m[1])::BIGINT AS error FROM near{rounds} GROUP BY row)
+JOIN kept USING (row)"""
+
+
+OP11_SQL = _code_sql(parts=8, entries=16, rounds=6, scale=4096)
+
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op8_topk": OP8_SQL, "op11_vector_codes": OP11_SQL}

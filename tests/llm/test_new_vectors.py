@@ -1,0 +1,196 @@
+"""Code compression and whitening against plain numpy."""
+
+import hashlib
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from adega.llm.catalog import QUERIES
+from adega.llm.vector_codes import Bounds, codebooks_sha256, compress, decoded, label_errors, next_width, squared
+from adega.llm.whitening import cholesky, fit_whitening, solve, whiten
+
+SF = "/root/testdata/sf0.01"
+SCHEMA = "vec_id long, embedding array<float>, label int, code string, error string, x string, v string"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, None if v is None else [None if c is None else float(c) for c in v], k, "x", "x", "x", "x") for i, v, k in rows], SCHEMA)
+
+
+def usable(v):
+    return v is not None and len(v) > 0 and all(c is not None and math.isfinite(c) for c in v)
+
+
+def plain_codes(rows, parts, entries, rounds, scale):
+    kept = sorted(((i, v, k) for i, v, k in rows if usable(v)), key=lambda r: (r[0] is None, r[0] or 0, [float(c) for c in r[1]]))
+    x = np.floor(np.array([v for _, v, _ in kept], np.float32).astype(float) * scale).astype(np.int64)
+    x = x.reshape(len(x), parts, -1)
+    books = [[list(map(int, x[e, p])) for e in range(min(entries, len(x)))] for p in range(parts)]
+
+    def assign():
+        out = []
+        for row in x.tolist():
+            best = [min((sum((a - b) ** 2 for a, b in zip(row[p], c)), e) for e, c in enumerate(books[p])) for p in range(parts)]
+            out.append(best)
+        return out
+
+    for _ in range(rounds):
+        near = assign()
+        for p in range(parts):
+            for e in range(len(books[p])):
+                own = [x[i, p].tolist() for i in range(len(x)) if near[i][p][1] == e]
+                if own:
+                    books[p][e] = [sum(c) // len(own) for c in zip(*own)]
+    near = assign()
+    error = [sum(d for d, _ in n) for n in near]
+    total = {}
+    for (_, _, k), e in zip(kept, error):
+        total[k] = total.get(k, 0) + e
+    digest = hashlib.sha256(",".join(str(c) for p in books for e in p for c in e).encode()).hexdigest()
+    return sorted([(i, "".join(f"{e:02x}" for _, e in n), e, total[k]) for (i, _, k), n, e in zip(kept, near, error)], key=str), digest
+
+
+def coded(df, **how):
+    codes, books = compress(df, **how)
+    out = label_errors(codes).select("vec_id", F.lower(F.hex("code")), "error", "label_error")
+    return sorted(map(tuple, out.collect()), key=str), codebooks_sha256(books)
+
+
+@pytest.mark.parametrize("seed, spread", [(1, 1.0), (2, 0.002)])
+def test_codes_equal_plain_rounds_on_clustered_and_tied_vectors(spark, seed, spread):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((20, 8))
+    rows = [(int(i), (centres[i % 20] * spread + 0.01 * spread * rng.standard_normal(8)).tolist(), int(i % 3) or None) for i in range(700)]
+    rows += [(i, v, 7) for i, v, _ in rows[:150]]  # repeated rows
+    rows += [(None, rows[5][1], 1), (900, None, 1), (901, [], 1), (902, [1.0] * 7 + [None], 1), (903, [math.nan] + [0.0] * 7, 1), (904, [math.inf] + [0.0] * 7, 1)]
+    how = {"parts": 4, "entries": 16, "rounds": 5, "scale": 4096.0}
+    assert coded(table(spark, rows), **how) == plain_codes(rows, **how)
+
+
+def test_few_rows_and_no_rows(spark):
+    rows = [(3, [0.5, -0.5], None), (1, [0.1, 0.2], 4), (1, [0.1, 0.1], 4)]
+    for take in (1, 2, 3):
+        how = {"parts": 2, "entries": 16, "rounds": 2, "scale": 10.0}
+        assert coded(table(spark, rows[:take]), **how) == plain_codes(rows[:take], **how)
+    codes, books = compress(table(spark, [(1, None, 2)]), parts=2)
+    assert codes.count() == 0 and codes.columns == ["vec_id", "label", "code", "error"] and books.text() == ""
+    assert label_errors(codes).count() == 0
+    for bad in ([(1, [1.0, 2.0, 3.0], 1)], [(1, [1.0, 2.0], 1), (2, [1.0] * 4, 1)], [(1, [1e30, 0.0], 1)]):
+        with pytest.raises(Exception):  # noqa: B017
+            compress(table(spark, bad), parts=2)[0].count()
+
+
+def test_decoded_codes_lie_at_their_error(spark):
+    rows = [(i, [math.sin(i * j + 1) for j in range(8)], 0) for i in range(300)]
+    codes, books = compress(table(spark, rows), parts=4, entries=8, rounds=3)
+    for r in decoded(codes, books).collect():
+        x = np.floor(np.array(rows[r["vec_id"]][1], np.float32).astype(float) * 4096)
+        assert round(np.square(np.array(r["vector"]) * 4096 - x).sum()) == r["error"]
+
+
+def test_bounds_save_distances_and_never_change_an_assignment():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.integers(-40, 40, (400, 3)), rng.integers(-3, 3, (200, 3))])
+    entries = rng.integers(-40, 40, (16, 3))
+    for b in (1, 2, 4, 15):
+        state, e, spared = Bounds.fresh(squared(x, entries), b), entries, 0
+        for turn in range(8):
+            to = e + rng.integers(-3, 4, e.shape) // (turn + 1)
+            moved = np.nextafter(np.sqrt(np.square(to - e).sum(axis=1)), np.inf)
+            e = to
+            needed = state.follow(x, e, moved)
+            exact = squared(x, e)
+            assert (state.entry == exact.argmin(axis=1)).all() and needed.sum() == len(x)
+            far = np.sqrt(exact.astype(float))
+            assert (state.upper >= far[np.arange(len(x)), state.entry]).all()
+            assert (np.diff(state.lower, axis=1) >= 0).all()
+            for j in range(b):
+                assert (state.lower[:, j] <= far[np.arange(len(x)), state.listed[:, j]] + 1e-4).all()
+            spared += needed[0]
+        assert spared > len(x)  # of 8 rounds
+    assert next_width(np.array([90, 5, 0, 0, 0, 0]), 4, 16) == 2 and next_width(np.array([10, 5, 5, 5, 5, 70]), 4, 16) == 8
+
+
+def test_whole_table_codes_equal_plain_rounds(spark):
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    want, digest = plain_codes(rows, 8, 16, 6, 4096.0)
+    got = QUERIES["op11_vector_codes"](spark, SF).collect()
+    assert sorted([(r["vec_id"], r["code"], r["error"], r["label_error"]) for r in got], key=str) == want
+    assert {r["codebooks_sha256"] for r in got} == {digest}
+
+
+def plain_whitening(rows, scale, components=16):
+    x = np.array([np.floor(np.array(v, np.float32).astype(float) * scale).astype(int) for _, v, _ in rows if usable(v)])
+    fit = np.unique(x, axis=0)
+    n, s = len(fit), fit.sum(axis=0)
+    a = (n * fit - s) / n
+    _, singular, axes = np.linalg.svd(a, full_matrices=False)
+    e = singular ** 2 / n
+    kept = min(components, int((singular > 1e-11 * max(singular[0], 1e-300)).sum()))
+    z = (n * x - s) / n @ axes[:kept].T / np.sqrt(e[:kept])
+    return n, [sum(int(c) ** 2 for c in row) for row in n * x - s], z, e[:kept] / e.sum()
+
+
+def check_whitening(spark, rows, scale=64.0):
+    df = table(spark, rows)
+    model = fit_whitening(df, scale=scale)
+    n, deviation, z, explained = plain_whitening(rows, scale)
+    got = whiten(df.where("vec_id is not null"), model, scale=scale).orderBy("vec_id").collect()
+    assert model.n == n and np.allclose(model.explained, explained, rtol=1e-9)
+    assert [int(r["deviation"]) for r in got] == deviation
+    own = np.array([r["whitened"] for r in got])
+    assert own.shape == z.shape
+    own *= np.sign((own * z).sum(axis=0))
+    assert np.abs(own - z).max() < 1e-6 and model.identity_error < 1e-8
+    return model
+
+
+def test_whitening_equals_a_singular_value_decomposition(spark):
+    rng = np.random.default_rng(3)
+    far = rng.standard_normal((500, 6)) * [100, 10, 1, 1, 0.5, 0.1] + [4000, -4000, 0, 0, 0, 3]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(far)]
+    check_whitening(spark, rows + [(i + 1000, v, 0) for i, v, _ in rows[:400]])  # copies count once
+    model = check_whitening(spark, [(i, [*v, 0.25, v[0]], 0) for i, v, _ in rows])  # a constant and a repeated dimension
+    assert len(model.values) == 6
+
+
+def test_whitening_of_badly_conditioned_rows(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(-500_000, 500_000, 300)
+    rows = [(i, [float(b), float(b + rng.integers(0, 2)), float(rng.integers(0, 2))], 0) for i, b in enumerate(base)]
+    check_whitening(spark, rows, scale=64.0)
+
+
+def test_whitening_of_awkward_rows(spark):
+    rows = [(1, None, 0), (2, [], 0), (3, [1, None], 0), (4, [math.nan, 1], 0), (5, [0.5, 1], 0), (None, [0.25, 1], 0), (5, [0.5, 1], 1), (6, [0.75, 0], 0)]
+    model = fit_whitening(table(spark, rows))
+    out = whiten(table(spark, rows), model)
+    assert sorted([r["vec_id"] for r in out.collect()], key=str) == [5, 5, 6, None] and model.n == 3 and len(model.values) == 2
+    assert fit_whitening(table(spark, [])) is None and fit_whitening(table(spark, rows[:4])) is None
+    alone = table(spark, [(1, [0.5, 1], 0), (2, [0.5, 1], 0)])
+    assert len(fit_whitening(alone).values) == 0 and [r["whitened"] for r in whiten(alone, fit_whitening(alone)).collect()] == [[], []]
+    with pytest.raises(Exception):  # noqa: B017
+        fit_whitening(table(spark, [(1, [1.0], 0), (2, [1.0, 2.0], 0)]))
+    huge = whiten(table(spark, [(1, [0.0], 0)]), fit_whitening(table(spark, [(1, [1.0], 0), (2, [1e6], 0)]), scale=64.0)).collect()
+    assert int(huge[0]["deviation"]) == (64 + 64 * 10 ** 6) ** 2
+
+
+def test_triangular_solve_and_shift():
+    rng = np.random.default_rng(1)
+    a = rng.standard_normal((50, 4))
+    r = cholesky(a.T @ a, shifted=False)
+    assert np.allclose(solve(a, r) @ r, a) and np.allclose(r, np.triu(r))
+    assert np.isfinite(cholesky(np.array([[1.0, 1.0], [1.0, 1.0]]), shifted=False)).all()
+
+
+def test_whole_table_whitening(spark):
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()]
+    n, deviation, z, explained = plain_whitening(rows, 64.0)
+    got = QUERIES["op12_whitening"](spark, SF).orderBy("vec_id", "component").collect()
+    own = np.array([r["whitened"] for r in got]).reshape(len(rows), -1)
+    own *= np.sign((own * z).sum(axis=0))
+    assert np.abs(own - z).max() < 1e-7 and {r["n"] for r in got} == {n}
+    assert [r["deviation"] for r in got[::16]] == deviation
+    assert np.allclose([r["explained"] for r in got[:16]], explained, rtol=1e-9) and got[0]["identity_error"] < 1e-8
