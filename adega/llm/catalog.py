@@ -153,8 +153,8 @@ def _code_sql(parts: int, entries: int, rounds: int, scale: int) -> str:
   SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label,
          list_transform(embedding, lambda c: floor({scale} * c::DOUBLE)::BIGINT) AS x FROM embeddings
   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
-cells AS (SELECT row, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS at, len(x) // {parts} AS width FROM kept),
-parts AS MATERIALIZED (SELECT row, at // width AS part, at % width AS pos, v FROM cells),
+cells AS (SELECT row, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS place, len(x) // {parts} AS width FROM kept),
+parts AS MATERIALIZED (SELECT row, place // width AS part, place % width AS pos, v FROM cells),
 book0 AS MATERIALIZED (SELECT part, row - 1 AS entry, pos, v AS c FROM parts WHERE row <= {entries})"""]
     for r in range(rounds + 1):
         ctes.append(f"""near{r} AS MATERIALIZED (
