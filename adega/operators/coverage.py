@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adega.sources.pages import page_keys
 from adega.sources.statements import PRODUCT, YEAR
 
 
@@ -59,8 +60,31 @@ def request_grid(spark: SparkSession, first_year: int, last_year: int, product_c
                  base_url: str, option: str) -> DataFrame:
     """Download plan of the statistics site: one row per (year, product) from the
     latest year down, with the page URL.  Input is configuration, not data."""
-    products = spark.createDataFrame(list(product_codes.items()), "code string, product string")
-    grid = products.select("code", PRODUCT, F.explode(F.sequence(F.lit(last_year), F.lit(first_year),
-                                                                 F.lit(-1))).alias(YEAR))
-    url = F.format_string(f"{base_url}?ano=%d&opcao={option}&subopcao=subopt_%s", F.col(YEAR), F.col("code"))
-    return grid.select(YEAR, PRODUCT, "code", url.alias("url"))
+    products = spark.createDataFrame([(option, c, p) for c, p in product_codes.items()], "option string, code string, product string")
+    return request_urls(products, first_year, last_year, base_url).select(YEAR, PRODUCT, "code", "url")
+
+
+def request_urls(products: DataFrame, first_year: int | Column, last_year: int | Column, base_url: str) -> DataFrame:
+    """Every page that should exist: ``option, code, product, year, url``, for each row of
+    ``products`` (``option``, ``code``, ``product``) from the latest year down."""
+    lo, hi = (F.lit(y) if isinstance(y, int) else y for y in (first_year, last_year))
+    years = F.when(hi >= lo, F.sequence(F.greatest(hi, lo), lo, F.lit(-1)))  # explode of null: no rows
+    grid = products.select("option", "code", PRODUCT, F.explode(years).alias(YEAR))
+    url = F.format_string("%s?ano=%d&opcao=%s&subopcao=subopt_%s", F.lit(base_url), F.col(YEAR), F.col("option"), F.col("code"))
+    return grid.withColumn("url", url)
+
+
+def fetch_plan(products: DataFrame, landed: DataFrame, first_year: int | Column, last_year: int | Column, base_url: str,
+               empty: Column | None = None) -> DataFrame:
+    """Pages still to be fetched: :func:`request_urls` without those that ``landed``
+    (rows with a ``url``) has, whatever the order or number of its URL's parameters.
+
+    Keys are read from the landed URLs and made distinct before the anti join, so
+    that a product whose pages landed many times costs one key; URLs that name no page
+    are passed over.  ``empty`` marks landed rows that don't count (a page of
+    length 0, an error page): their page is fetched again unless another copy landed."""
+    rows = landed if empty is None else landed.where(~F.coalesce(empty, F.lit(False)))
+    keys = dict(zip(("option", "code", YEAR), page_keys(F.col("url"))))
+    have = rows.select(*[c.alias(name) for name, c in keys.items()]).dropna().distinct()
+    return request_urls(products, first_year, last_year, base_url).join(have, ["option", "code", YEAR], "left_anti").select(
+        "option", "code", PRODUCT, YEAR, "url")

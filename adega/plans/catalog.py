@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from adega.functions import labels as L
 from adega.operators.clean import clean_statements, split_line
-from adega.operators.coverage import expected_grid, missing_periods, union_all
+from adega.operators.coverage import expected_grid, fetch_plan, missing_periods, request_urls, union_all
 from adega.operators.present import preview, series_table
 from adega.operators.rank import top_countries, top_per_year
 from adega.operators.totals import (
@@ -24,7 +24,8 @@ from adega.plans import oracle as O
 from adega.plans import reports as R
 from adega.sources.customs import scan_customs
 from adega.sources.driver_tables import (
-    PAGE_CODES, customs_rows, customs_sheet, derived_path, statement_lines, statement_pages, statement_table, table)
+    PAGE_CODES, PAGE_URL, customs_rows, customs_sheet, derived_path, page_code, statement_lines, statement_pages,
+    statement_table, table)
 from adega.sources.pages import cells_to_columns, extract_rows, pages_to_statements
 from adega.sources.statements import COUNTRY, PRODUCT, QUANTITY, VALUE, YEAR, scan_lines, scan_statements
 from adega.sources.writers import write_statement_files, write_statements
@@ -460,8 +461,42 @@ for _fmt in ("csv", "parquet"):
 SELECT product, year, country, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd
 FROM facts GROUP BY product, year, country"""))
 def q_pages_to_statements_totals(spark, sf_dir):
-    statements = pages_to_statements(statement_pages(spark, sf_dir), PAGE_CODES)
-    return clean_statements(statements).select(PRODUCT, YEAR, COUNTRY, QUANTITY, VALUE)
+    facts_of_pages = clean_statements(pages_to_statements(statement_pages(spark, sf_dir), PAGE_CODES))
+    return facts_of_pages.groupBy(PRODUCT, YEAR, COUNTRY).agg(F.sum(QUANTITY).alias(QUANTITY), F.sum(VALUE).alias(VALUE))
+
+
+#: option, code and product of every page, in SQL
+_CODES = ", ".join(f"('{o}', '{c}', '{p}')" for (o, c), p in PAGE_CODES.items())
+_REQUESTS = f"""
+, codes AS (SELECT * FROM (VALUES {_CODES}) AS t(option, code, product) WHERE product IN (SELECT product FROM raw)),
+  requests AS (SELECT option, code, product, CAST(unnest(generate_series({FIRST_EXPECTED_YEAR - 2}, (SELECT max(year) FROM raw))) AS INTEGER) AS year
+               FROM codes),
+  urls AS (SELECT *, printf('http://statistics.example/index.php?ano=%d&opcao=%s&subopcao=subopt_%s', year, option, code) AS url FROM requests)"""
+
+
+def _requests(spark, sf_dir):
+    """(products with their codes, latest year) of the statement table."""
+    statements = statement_table(spark, sf_dir)
+    names = statements.select(PRODUCT).distinct()
+    codes = spark.createDataFrame([(o, c, p) for (o, c), p in PAGE_CODES.items()], "option string, code string, product string")
+    return codes.join(names, PRODUCT), statements.agg(F.max(YEAR)).scalar()
+
+
+@register("request_grid_urls", O.sql(_REQUESTS + " SELECT option, code, product, year, url FROM urls"))
+def q_request_grid_urls(spark, sf_dir):
+    products, last = _requests(spark, sf_dir)
+    return request_urls(products, FIRST_EXPECTED_YEAR - 2, last, PAGE_URL.split("?")[0])
+
+
+@register("fetch_plan_missing_pages", O.sql(_REQUESTS + f""",
+  landed AS (SELECT DISTINCT product, year, CASE WHEN year % 2 = 0 THEN 'opt_06' ELSE 'opt_05' END AS option FROM raw
+             WHERE NOT (product = '{HOLE_PRODUCT}' AND year = {HOLE_YEAR}))
+SELECT option, code, product, year, url FROM urls ANTI JOIN landed USING (option, product, year)"""))
+def q_fetch_plan(spark, sf_dir):
+    products, last = _requests(spark, sf_dir)
+    option, code = page_code(F.lit(HOLE_PRODUCT), F.lit(HOLE_YEAR))
+    lost = F.col("url").contains(F.format_string("ano=%d&opcao=%s&subopcao=subopt_%s&", F.lit(HOLE_YEAR), option, code))
+    return fetch_plan(products, statement_pages(spark, sf_dir), FIRST_EXPECTED_YEAR - 2, last, PAGE_URL.split("?")[0], empty=lost)
 
 
 @register("page_list_columns", """

@@ -184,32 +184,45 @@ PAGE_CODES = {("opt_06", "01"): "ECONOMY", ("opt_06", "02"): "LARGE", ("opt_06",
               ("opt_05", "04"): "MEDIUM", ("opt_05", "05"): "LARGE", ("opt_05", "06"): "ECONOMY"}
 
 
+#: table rows of a rendered page, on average
+PAGE_ROWS = 200
+PAGE_URL = "http://statistics.example/index.php?ano=%d&opcao=%s&subopcao=subopt_%s"
+
+
+def page_code(product: Column, year: Column) -> tuple[Column, Column]:
+    """(option, code) under which a product's pages of a year are published."""
+    option = F.when(year % 2 == 0, "opt_06").otherwise("opt_05")
+    code = F.lit(None)
+    for (opt, number), name in PAGE_CODES.items():
+        code = F.when((option == opt) & (product == name), number).otherwise(code)
+    return option, code
+
+
 def statement_pages(spark: SparkSession, sf_dir: str, refresh: bool = False) -> DataFrame:
-    """Web pages ``page_id, url, html`` rendered from the statement table: one per
-    product and year (even years under one option, odd years under the other) with
-    a menu table, two statement tables (together one row per country: a page stays small
-    whatever the data) and a footer table, inside a layout table."""
+    """Web pages ``page_id, url, html`` rendered from the line items: every line item is
+    one table row, a product and year has as many pages as its rows need (even years
+    under one option, odd years under the other).  A page has a menu table, two
+    statement tables and a footer table, inside a layout table."""
     def build() -> DataFrame:
-        facts = cells_table(spark, sf_dir).where(F.col("q").isNotNull())
-        country = facts.groupBy(PRODUCT, YEAR, COUNTRY).agg(F.sum("q").alias("q"), F.sum("v").alias("v"))
+        cells = cells_table(spark, sf_dir)
+        sizes = cells.groupBy(PRODUCT, YEAR).agg(F.ceil(F.count("*") / F.lit(PAGE_ROWS)).alias("pages"))
+        dealt = F.xxhash64(COUNTRY, "via", "state", "group_code", "q", "v")
         row = F.format_string("<tr><td>%s</td><td>%s</td><td> %s </td></tr>", F.col(COUNTRY), pt_br(F.col("q")), pt_br(F.col("v")))
-        half = F.length(COUNTRY) % 2
-        page = country.groupBy(PRODUCT, YEAR).agg(*[
-            F.array_join(F.array_sort(F.collect_list(F.when(half == k, row))), "\n").alias(f"rows{k}") for k in (0, 1)])
-        option = F.when(F.col(YEAR) % 2 == 0, "opt_06").otherwise("opt_05")
-        code = F.lit(None)
-        for (opt, number), product in PAGE_CODES.items():
-            code = F.when((option == opt) & (F.col(PRODUCT) == product), number).otherwise(code)
-        url = F.format_string("http://statistics.example/index.php?ano=%d&opcao=%s&subopcao=subopt_%s", F.col(YEAR), option, code)
+        rows = cells.join(sizes, [PRODUCT, YEAR]).select(
+            PRODUCT, YEAR, F.pmod(dealt, F.col("pages")).alias("page"), (F.length(COUNTRY) % 2).alias("half"), row.alias("row"))
+        page = rows.groupBy(PRODUCT, YEAR, "page").agg(*[
+            F.array_join(F.array_sort(F.collect_list(F.when(F.col("half") == k, F.col("row")))), "\n").alias(f"rows{k}") for k in (0, 1)])
+        option, code = page_code(F.col(PRODUCT), F.col(YEAR))
+        url = F.format_string(PAGE_URL + "&pagina=%d", F.col(YEAR), option, code, F.col("page") + 1)
         head = "<thead><tr><th>Países</th><th>Quantidade (Kg)</th><th>Valor (US$)</th></tr></thead>"
         html = F.concat(
             F.lit("<html><body><table><tr><td><table><tr><td>Menu</td><td>Home</td></tr><tr><td>About</td><td>1.000</td></tr></table>"
                   "</td></tr><tr><td><table>" + head),
             F.col("rows0"), F.lit("</table><table>" + head), F.col("rows1"), F.lit("</table><table><tr><td>Source</td><td>10</td><td>20</td></tr>"
                                  "<tr><td>Footer</td><td>1</td><td>2</td></tr></table></td></tr></table><![endif]></body></html>"))
-        return page.select(F.xxhash64(PRODUCT, YEAR).alias("page_id"), url.alias("url"), html.alias("html"))
+        return page.select(F.xxhash64(PRODUCT, YEAR, "page").alias("page_id"), url.alias("url"), html.alias("html"))
 
-    return materialized(spark, "statement-pages", _key(spark, sf_dir) + "-2", build=build,
+    return materialized(spark, "statement-pages", _key(spark, sf_dir) + "-3", build=build,
                         write=lambda df, path: df.write.parquet(path), read=lambda path: spark.read.parquet(path), refresh=refresh)
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -198,6 +198,36 @@ PRODUCT_CODES = {**{(EXPORT_OPTION, code): name for code, name in EXPORT_PRODUCT
 TABLE_HEADER = ("Países", "Quantidade (Kg)", "Valor (US$)")
 
 
+def statement_rows_of_page(html: str | None, header: Sequence[str] | None = TABLE_HEADER,
+                           on_error=None) -> tuple[list[list[str]], str | None]:
+    """Data rows of all statement tables of one page, in document order, and what is
+    wrong with the page (None: nothing).
+
+    A table is a statement if its first row begins with ``header`` (blanks at the ends
+    and case ignored); with ``header=None`` every table is one."""
+    broken: list[str] = []
+    wanted = None if header is None else [h.lower() for h in header]
+    statements: dict[int, bool] = {}  # table -> is it a statement?
+    data = []
+    for table_no, cells in table_rows_of_page(html, on_error=broken.append):
+        if table_no is None:
+            continue
+        if table_no not in statements:  # its first row
+            statements[table_no] = wanted is None or [c.strip().lower() for c in cells[: len(wanted)]] == wanted
+        elif statements[table_no]:
+            data.append(cells)
+    if broken and on_error is not None:
+        on_error(broken[0])
+    return data, broken[0] if broken else None if any(statements.values()) else "no statement table"
+
+
+def page_keys(url: Column) -> tuple[Column, Column, Column]:
+    """(option, product code, year) that a page's URL asks for: ``opcao=opt_NN``,
+    ``subopcao=subopt_NN``, ``ano=``; null where the URL doesn't say."""
+    found = lambda pattern: F.nullif(F.regexp_extract(url, pattern, 1), F.lit(""))
+    return found(r"opcao=(opt_\d+)"), found(r"subopcao=subopt_(\d+)"), found(r"ano=(\d{4})(?!\d)").try_cast("int")
+
+
 def pages_to_statements(pages: DataFrame, product_codes: dict[tuple[str, str], str] | None = None, *,
                         header: Sequence[str] | None = TABLE_HEADER, failures=None, errors: str = "fail") -> DataFrame:
     """Statement tables scraped into pages -> ``product, year, country,
@@ -206,8 +236,8 @@ def pages_to_statements(pages: DataFrame, product_codes: dict[tuple[str, str], s
     The statement tables of a page are those whose first row is ``header`` (blanks
     at the ends and case ignored), however many; menus, layout tables and footers are
     other tables.  With ``header=None`` every table counts.  The header rows are dropped.
-    Year, flow and product come from the page URL (``ano=``, ``opcao=opt_NN`` and
-    ``subopcao=subopt_NN``): ``product_codes`` maps (option, code) to the product
+    Year, flow and product come from the page URL (:func:`page_keys`):
+    ``product_codes`` maps (option, code) to the product
     and defaults to both flows.  A page with rows but an unknown option or code
     fails the job instead of giving nameless rows.
 
@@ -216,38 +246,32 @@ def pages_to_statements(pages: DataFrame, product_codes: dict[tuple[str, str], s
     instead: on each row read, or on one row without country and measures (product
     null if its code is unknown) if there are none; ``clean_statements`` drops such rows,
     so look at them before.
-    """
+
+    A page is decided on where it is parsed, one after the other: rows leave the
+    Python function with the page's verdict, and nothing is shuffled."""
     if errors not in ("fail", "keep"):
         raise ValueError(f"errors: fail or keep, not {errors!r}")
     codes = product_codes or PRODUCT_CODES
-    # pages may be stored twice, in two versions: each is judged by itself
-    pages = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("_page"))
-    rows = extract_rows(pages, "tr", ("th", "td"), carry=("url", "_page"), failures=failures, empty_pages=True)
-    if header is None:
-        of_statement = F.col("table_no").isNotNull()
-    else:
-        first = F.slice("cells", 1, len(header))
-        is_header = (F.col("table_row_no") == 0) & (
-            F.transform(first, lambda c: F.lower(F.trim(c))) == F.array(*[F.lit(h.lower()) for h in header]))
-        of_statement = F.coalesce(F.max(is_header).over(Window.partitionBy("_page", "table_no")), F.lit(False)) & F.col("table_no").isNotNull()
-    rows = rows.withColumn("_statement", of_statement)
-    rows = rows.withColumn("_data", F.col("_statement") & F.coalesce(F.col("table_row_no") > 0, F.lit(False)))
-    of_page = Window.partitionBy("_page")
-    rows = rows.withColumn("_found", F.max("_statement").over(of_page)).withColumn("_any_data", F.max("_data").over(of_page))
-    rows = rows.withColumn("page_error", F.coalesce("page_error", F.when(~F.col("_found"), F.lit("no statement table"))))
+    names = ("country", "quantity_kg", "value_usd")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for url, html in zip(batch["url"], batch["html"]):
+                data, error = statement_rows_of_page(html, header, (lambda _: failures.add(1)) if failures is not None else None)
+                if error is not None and not data:
+                    out.append((url, None, None, None, error, False))
+                for cells in data:
+                    out.append((url, *cells[:3], *[None] * (3 - len(cells)), error, True))
+            yield pd.DataFrame(out, columns=["url", *names, "page_error", "is_row"])
+
+    rows = pages.select("url", "html").mapInPandas(
+        read, "url string, country string, quantity_kg string, value_usd string, page_error string, is_row boolean")
     if errors == "fail":
         why = F.concat(F.col("page_error"), F.lit(" in the page "), F.coalesce("url", F.lit("without url")))
-        rows = rows.filter(F.when(F.col("page_error").isNotNull(), F.raise_error(why).cast("boolean")).otherwise(F.col("_data")))
-    else:
-        rows = rows.filter(F.col("_data") | ((F.col("row_no") == 0) & F.col("page_error").isNotNull() & ~F.col("_any_data")))
-    option = F.regexp_extract("url", r"opcao=(opt_\d+)", 1)
-    code = F.regexp_extract("url", r"subopcao=subopt_(\d+)", 1)
+        rows = rows.filter(F.when(F.col("page_error").isNotNull(), F.raise_error(why).cast("boolean")).otherwise(F.col("is_row")))
+    option, code, year = page_keys(F.col("url"))
     product = map_values(F.concat(option, F.lit("/"), code), {f"{o}/{c}": name for (o, c), name in codes.items()})
-    known = F.when(product.isNotNull() | ~F.col("_data"), product).otherwise(
+    known = F.when(product.isNotNull() | ~F.col("is_row"), product).otherwise(
         F.raise_error(F.concat(F.lit("no product for the page "), F.coalesce("url", F.lit("without url")))).cast("string"))
-    rows = rows.withColumn("cells", F.when(F.col("_data"), F.col("cells")))
-    return cells_to_columns(rows, ["country", "quantity_kg", "value_usd"]).select(
-        known.alias("product"),
-        F.nullif(F.regexp_extract("url", r"ano=(\d{4})", 1), F.lit("")).try_cast("int").alias("year"),
-        "country", "quantity_kg", "value_usd", *(["page_error"] if errors == "keep" else []),
-    )
+    return rows.select(known.alias("product"), year.alias("year"), *names, *(["page_error"] if errors == "keep" else []))
