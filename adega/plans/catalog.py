@@ -27,6 +27,7 @@ from adega.sources.driver_tables import (
     PAGE_CODES, PAGE_URL, customs_rows, customs_sheet, derived_path, page_code, statement_lines, statement_pages,
     statement_table, table)
 from adega.sources.pages import cells_to_columns, extract_rows, pages_to_statements
+from adega.sources.statement_files import missing_statements, statement_presence
 from adega.sources.statements import COUNTRY, PRODUCT, QUANTITY, VALUE, YEAR, scan_lines, scan_statements
 from adega.sources.writers import write_statement_files, write_statements
 
@@ -115,6 +116,40 @@ def q_lines_roundtrip_totals(spark, sf_dir):
     return totals_by_product_year(clean_statements(fields, parse="digits"))
 
 
+@register("latin1_lines_totals", O.sql("""
+SELECT replace(country, 'NATION_', 'NAÇÃO_') AS country, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd
+FROM facts GROUP BY ALL"""))
+def q_latin1_lines_totals(spark, sf_dir):
+    accented = F.replace(F.col(COUNTRY), F.lit("NATION_"), F.lit("NAÇÃO_"))
+    path = derived_path(spark, sf_dir, "roundtrip-latin1", lambda df, to: write_statements(
+        df.withColumn(COUNTRY, accented), to, encoding="ISO-8859-1"))
+    fields = split_line(scan_lines(spark, path, layout="hive", encoding="ISO-8859-1"))
+    return totals_by_country(clean_statements(fields, parse="digits"))
+
+
+#: statements left out of the flat copy, and statements whose file has no row
+_HOLLOW = ((HOLE_PRODUCT, HOLE_YEAR), ("SMALL", HOLE_YEAR + 1)), (("ECONOMY", HOLE_YEAR), ("LARGE", HOLE_YEAR + 2))
+
+
+def _hollow_files(df: DataFrame, root: str) -> str:
+    absent, empty = _HOLLOW
+    left_out = F.concat_ws("/", PRODUCT, YEAR).isin([f"{p}/{y}" for p, y in absent + empty])
+    keys = df.sparkSession.createDataFrame(list(empty), f"{PRODUCT} string, {YEAR} int")
+    return write_statement_files(df.filter(~left_out), root, statements=keys)
+
+
+@register("missing_statement_files", O.sql(f"""
+, present AS (SELECT DISTINCT product, year FROM raw WHERE (product, year) NOT IN (VALUES {', '.join(map(str, _HOLLOW[0]))})
+              UNION VALUES {', '.join(map(str, _HOLLOW[1]))}),
+  grid AS (SELECT product, CAST(unnest(generate_series({FIRST_EXPECTED_YEAR - 1}, m)) AS INTEGER) AS year
+           FROM (SELECT DISTINCT product FROM raw), (SELECT max(year) AS m FROM raw))
+SELECT product, year, 'absent' AS state FROM (SELECT * FROM grid EXCEPT SELECT * FROM present)
+UNION ALL VALUES {', '.join(str((*k, 'empty')) for k in _HOLLOW[1])}"""))
+def q_missing_statement_files(spark, sf_dir):
+    root = derived_path(spark, sf_dir, "hollow-files", _hollow_files)
+    return missing_statements(statement_presence(spark, root), scan_statements(spark, root), FIRST_EXPECTED_YEAR - 1)
+
+
 @register("union_products", O.sql("""
 SELECT * FROM facts WHERE product < 'N' UNION ALL SELECT * FROM facts WHERE product >= 'N'"""))
 def q_union_products(spark, sf_dir):
@@ -548,6 +583,13 @@ def q_last_n_years(spark, sf_dir):
     return R.last_n_years(statement_table(spark, sf_dir), RECENT_YEARS)
 
 
+@register("last_n_years_of_files", O.sql(f"""
+SELECT country, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd FROM facts
+WHERE year > (SELECT max(year) FROM raw) - {RECENT_YEARS} GROUP BY country"""))
+def q_last_n_years_of_files(spark, sf_dir):
+    return R.last_n_years_of_files(spark, derived_path(spark, sf_dir, "roundtrip-flat", write_statement_files), RECENT_YEARS)
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, (fn, _) in CATALOG.items()}
 

@@ -21,6 +21,7 @@ from adega.plans import reports as R
 from adega.session import build_session
 from adega.sources.customs import scan_customs
 from adega.sources.pages import pages_to_statements
+from adega.sources.statement_files import missing_statements, statement_presence
 from adega.sources.statements import as_lines, scan_lines, scan_statements
 from adega.sources.writers import write_statements
 from adega.streaming import ingest_statement_files
@@ -62,9 +63,11 @@ REPORTS = {
     "year-mean": lambda s, a: R.year_ranking(_statements(s, a), a.year, a.product, dtype=a.dtype)[1],
     "product-table": lambda s, a: R.product_year_table(_statements(s, a), a.products, dtype=a.dtype),
     "summary": lambda s, a: R.export_summary(_statements(s, a), a.origin, dtype=a.dtype),
-    "last-years": lambda s, a: R.last_n_years(_statements(s, a), a.n or 15, dtype=a.dtype),
+    "last-years": lambda s, a: (R.last_n_years_of_files(s, a.root, a.n or 15, a.products, dtype=a.dtype) if a.layout == "files"
+                                else R.last_n_years(_statements(s, a), a.n or 15, dtype=a.dtype)),
     "trend": lambda s, a: R.value_trend(_statements(s, a), a.measure, a.n or 1, dtype=a.dtype),
-    "missing": lambda s, a: missing_periods(_statements(s, a), a.first_year, a.last_year),
+    "missing": lambda s, a: (missing_statements(statement_presence(s, a.root, a.products), _statements(s, a), a.first_year, a.last_year)
+                             if a.layout == "files" else missing_periods(_statements(s, a), a.first_year, a.last_year)),
     "unit-price": lambda s, a: R.unit_price_report(
         scan_customs(s, a.customs, a.customs_format, original_headers=a.original_headers),
         a.country, a.state, a.groups, COLOURS[a.colours])[1],

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adega.functions.labels import (
@@ -26,7 +26,8 @@ from adega.operators.totals import (
     mean_value, totals_by_country, totals_by_product_year, totals_by_year, totals_by_year_country,
     value_by_year_country)
 from adega.operators.trend import linear_trend
-from adega.sources.statements import COUNTRY, PRODUCT, QUANTITY, VALUE, YEAR
+from adega.sources.statement_files import latest_years
+from adega.sources.statements import COUNTRY, PRODUCT, QUANTITY, VALUE, YEAR, scan_statements
 
 
 def _products(df: DataFrame, products: Sequence[str] | None) -> DataFrame:
@@ -146,3 +147,13 @@ def last_n_years(statements: DataFrame, n: int = 15, dtype: str = "double") -> D
     latest = statements.agg(F.max(YEAR)).scalar()
     facts = clean_statements(statements.filter(F.col(YEAR) > latest - F.lit(n)), dtype=dtype)
     return totals_by_country(facts)
+
+
+def last_n_years_of_files(spark: SparkSession, root: str, n: int = 15, products: Sequence[str] | None = None,
+                          dtype: str = "double") -> DataFrame:
+    """:func:`last_n_years` of a flat root: the years are found in the file listing and
+    only their files are scanned, ``n`` a product."""
+    years, present = latest_years(spark, root, n, products)
+    if not years:
+        return totals_by_country(clean_statements(scan_statements(spark, root, products).limit(0), dtype=dtype))
+    return totals_by_country(clean_statements(scan_statements(spark, root, present, years=years), dtype=dtype))

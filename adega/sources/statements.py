@@ -44,7 +44,7 @@ STATEMENT_SCHEMA = StructType([
 LINE_SCHEMA = StructType([StructField("raw_data", StringType(), True)])
 
 
-def _paths(root: str, products: Sequence[str] | None, leaf: str) -> list[str]:
+def product_paths(root: str, products: Sequence[str] | None, leaf: str) -> list[str]:
     """One path per product, names taken literally (glob characters escaped); a
     product without a folder fails the scan, alone or in a list."""
     root = root.rstrip("/")
@@ -53,6 +53,13 @@ def _paths(root: str, products: Sequence[str] | None, leaf: str) -> list[str]:
     return [f"{root}/{re.sub(r'([][{}*?,^])', r'\\\1', p)}/{leaf}" for p in dict.fromkeys(products)]
 
 
+def _files_of(years: Sequence[int] | None) -> str:
+    """Glob of a product's statement files, of all years or of some."""
+    if years is None:
+        return "*.csv"
+    return "{" + ",".join(f"dados_{y:04d}.csv,dados_{y:04d}_*.csv" for y in years) + "}"
+
+
 def _decoded(text: Column) -> Column:
     """URI escapes decoded; a literal ``+`` is kept (escaped first, because URL
     decoding would turn it into a space)."""
@@ -87,7 +94,8 @@ def _with_flow(df: DataFrame, flow: str | None) -> DataFrame:
 
 def scan_statements(spark: SparkSession, root: str, products: Sequence[str] | None = None, *,
                     flow: str | None = None, layout: str = "files",
-                    encoding: str = "UTF-8", fmt: str = "csv", multi_line: bool = False) -> DataFrame:
+                    encoding: str = "UTF-8", fmt: str = "csv", multi_line: bool = False,
+                    years: Sequence[int] | None = None) -> DataFrame:
     """Read statement CSVs into ``product, year, country, quantity_kg, value_usd``
     (measures still text; see :func:`adega.operators.clean.clean_statements`).
 
@@ -95,6 +103,8 @@ def scan_statements(spark: SparkSession, root: str, products: Sequence[str] | No
     that contain commas are honoured by the CSV reader.  ``fmt='parquet'``
     reads a columnar copy in the ``hive`` layout.  ``multi_line`` reads quoted
     fields with line breaks (files are then not split, so it is off by default).
+    ``years`` reads the statements of these years only: in the flat layout the other
+    years' files aren't listed as input, in the hive layout their folders are pruned.
     """
     reader = (spark.read.option("header", True).option("encoding", encoding)
               .option("escape", '"')  # RFC 4180: a quote inside a quoted field is doubled
@@ -111,9 +121,11 @@ def scan_statements(spark: SparkSession, root: str, products: Sequence[str] | No
             df = spark.read.schema(schema).format(fmt).load(root)
         if products:
             df = df.filter(F.col(PRODUCT).isin(list(products)))
+        if years is not None:
+            df = df.filter(F.col(YEAR).isin(list(years)))
         df = df.select(PRODUCT, YEAR, COUNTRY, QUANTITY, VALUE)
     elif layout == "files":
-        raw = reader.schema(FILE_SCHEMA).csv(_paths(root, products, "*.csv"))
+        raw = reader.schema(FILE_SCHEMA).csv(product_paths(root, products, _files_of(years)))
         df = raw.select(
             product_from_path().alias(PRODUCT),
             year_from_path().alias(YEAR),
@@ -145,7 +157,7 @@ def scan_lines(spark: SparkSession, root: str, products: Sequence[str] | None =
             raw = raw.filter(F.col(PRODUCT).isin(list(products)))
         df = raw.select(PRODUCT, YEAR, "raw_data")
     elif layout == "files":
-        raw = reader.schema(LINE_SCHEMA).csv(_paths(root, products, "*.csv"))
+        raw = reader.schema(LINE_SCHEMA).csv(product_paths(root, products, "*.csv"))
         df = raw.select(product_from_path().alias(PRODUCT), year_from_path().alias(YEAR), "raw_data")
     else:
         raise ValueError(f"unknown layout {layout!r}")

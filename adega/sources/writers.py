@@ -3,18 +3,12 @@
 
 from __future__ import annotations
 
-import uuid
-from concurrent.futures import ThreadPoolExecutor
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adega.sources.statement_files import write_flat
 from adega.sources.statements import COUNTRY, PRODUCT, QUANTITY, VALUE, YEAR
 
-#: renames of one sink that run at a time (each waits for the file system)
-RENAME_THREADS = 32
-
 
 def _csv_rows(df: DataFrame, line_breaks: bool) -> DataFrame:
     """The statement columns; a line break inside a cell, which a line-by-line
@@ -28,8 +22,8 @@ def _csv_rows(df: DataFrame, line_breaks: bool) -> DataFrame:
     return rows.withColumn(COUNTRY, F.when(broken, F.raise_error(message).cast("string")).otherwise(F.col(COUNTRY)))
 
 
-def _csv_options(writer):
-    return (writer.option("header", True).option("encoding", "UTF-8").option("escape", '"')
+def _csv_options(writer, encoding: str = "UTF-8"):
+    return (writer.option("header", True).option("encoding", encoding).option("escape", '"')
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
@@ -39,9 +33,9 @@ def _partitioned(rows: DataFrame):
 
 
 def write_statements(df: DataFrame, path: str, mode: str = "errorifexists", fmt: str = "csv",
-                     line_breaks: bool = False) -> str:
+                     line_breaks: bool = False, encoding: str = "UTF-8") -> str:
     """Write ``product, year, country, quantity_kg, value_usd`` under
-    ``path/product=<p>/year=<y>/``: CSV (UTF-8, header line) like the source
+    ``path/product=<p>/year=<y>/``: CSV (``encoding``, header line) like the source
     files, or ``fmt='parquet'`` for a columnar copy that later scans prune by
     column and by row-group statistics.
 
@@ -60,58 +54,34 @@ def write_statements(df: DataFrame, path: str, mode: str = "errorifexists", fmt:
     fails the write unless ``line_breaks`` (then read with ``multi_line=True``).
     """
     if fmt == "csv":
-        _csv_options(_partitioned(_csv_rows(df, line_breaks)).mode(mode)).csv(path)
+        _csv_options(_partitioned(_csv_rows(df, line_breaks)).mode(mode), encoding).csv(path)
     else:
         _partitioned(df.select(PRODUCT, YEAR, COUNTRY, QUANTITY, VALUE)).mode(mode).format(fmt).save(path)
     return path
 
 
-def write_statement_files(df: DataFrame, root: str, line_breaks: bool = False) -> str:
+def write_statement_files(df: DataFrame, root: str, line_breaks: bool = False, statements: DataFrame | None = None,
+                          encoding: str = "UTF-8") -> str:
     """Write CSV files as ``root/<product>/dados_<year>.csv`` -- the layout the
     download step produces and ``scan_statements(layout='files')`` reads.
 
-    The rows are rebalanced on (product, year), so a statement that holds a large
-    share of the rows is written by several tasks; its files are numbered
-    (``dados_<year>_<n>.csv``).  The staged files are then renamed into place, a
-    few at a time: one metadata operation per file through the Hadoop FileSystem of
-    a classic session, never a data copy on a file system that renames.  The staging
-    folder starts with ``_``, so scans ignore it, and is removed at the end.
+    A statement larger than the session's advisory partition size is written by several
+    tasks as numbered files (``dados_<year>_<n>.csv``).  Tasks name and write their files, and one rename
+    puts them all in place (see :mod:`adega.sources.statement_files`): ``root`` must be new or
+    empty, and a job that fails leaves nothing there.  ``statements`` (``product,
+    year``) get a file without rows if they have none.
 
     The layout has no place for a null product or year, or for a product whose name
-    holds ``/``: such rows fail the write before anything is renamed.  Blanks and
-    line breaks are treated as in :func:`write_statements`.
+    holds ``/``: such rows fail the write.  Blanks and line breaks are treated as in
+    :func:`write_statements`.
     """
     root = root.rstrip("/")
-    staging = f"{root}/_staging-{uuid.uuid4().hex}"
-    rows = _csv_rows(df, line_breaks)
-    nowhere = F.col(PRODUCT).isNull() | F.col(YEAR).isNull() | F.col(PRODUCT).contains("/")
-    message = F.concat(F.lit("no statement file for product "), F.coalesce(F.col(PRODUCT), F.lit("null")),
-                       F.lit(", year "), F.coalesce(F.col(YEAR).cast("string"), F.lit("null")))
-    rows = rows.withColumn(PRODUCT, F.when(nowhere, F.raise_error(message).cast("string")).otherwise(F.col(PRODUCT)))
-    _csv_options(_partitioned(rows)).csv(staging)
-    jvm = df.sparkSession.sparkContext._jvm
-    path_of = jvm.org.apache.hadoop.fs.Path
-    fs = path_of(staging).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
-
-    def moves(year_dir):
-        year_path = year_dir.getPath()
-        product = unquote(year_path.getParent().getName().split("=", 1)[1])
-        year = unquote(year_path.getName().split("=", 1)[1])
-        parts = sorted(f.getPath().getName() for f in fs.listStatus(year_path) if f.getPath().getName().startswith("part-"))
-        names = [f"dados_{year}.csv"] if len(parts) == 1 else [f"dados_{year}_{n}.csv" for n in range(1, len(parts) + 1)]
-        return [(f"{year_path}/{part}", product, name) for part, name in zip(parts, names)]
-
-    def move(item):
-        part, product, name = item
-        if not fs.rename(path_of(part), path_of(f"{root}/{product}", name)):
-            raise RuntimeError(f"could not move {product}/{name} into place")
-
-    products = [d for d in fs.listStatus(path_of(staging)) if d.isDirectory() and d.getPath().getName().startswith(f"{PRODUCT}=")]
-    with ThreadPoolExecutor(RENAME_THREADS) as pool:
-        for product_dir in products:
-            fs.mkdirs(path_of(root, unquote(product_dir.getPath().getName().split("=", 1)[1])))
-        years = [y for found in pool.map(lambda d: list(fs.listStatus(d.getPath())), products) for y in found]
-        planned = [item for found in pool.map(moves, years) for item in found]
-        list(pool.map(move, planned))
-    fs.delete(path_of(staging), True)
+
+    def named(rows: DataFrame) -> DataFrame:
+        nowhere = F.col(PRODUCT).isNull() | F.col(YEAR).isNull() | F.col(PRODUCT).contains("/") | F.col(PRODUCT).isin("", ".", "..")
+        message = F.concat(F.lit("no statement file for product "), F.coalesce(F.col(PRODUCT), F.lit("null")),
+                           F.lit(", year "), F.coalesce(F.col(YEAR).cast("string"), F.lit("null")))
+        return rows.withColumn(PRODUCT, F.when(nowhere, F.raise_error(message).cast("string")).otherwise(F.col(PRODUCT)))
+
+    write_flat(named(_csv_rows(df, line_breaks)), root, None if statements is None else named(statements), encoding)
     return root
