@@ -8,8 +8,9 @@ by segments that are one deletion apart; so a set indexes its segments' contents
 and, where the band's allocation says so, their one-deletion neighbourhoods.  The
 allocation (how many segments, how many with deletions) is the cheapest in
 signatures that leaves sets enough tolerance although empty segments, which are met
-everywhere, are passed over.  Sets that a chance layout leaves short of it are
-compared with their whole band.  Candidates whose bucket counts already differ too
+everywhere, are passed over.  A set that a chance layout leaves short of it also
+indexes the next layout of the band, and so on until one serves: of two similar sets, the
+one that stops first has the tolerance in a layout that both index.  Candidates whose bucket counts already differ too
 much are dropped; every other one is verified on the exact sets.
 
 Similar sets share more signatures than one; a node therefore leaves out as many of
@@ -36,6 +37,8 @@ from adega.llm.common import free_name, stored
 from adega.llm.components import connected_components
 
 _U = np.uint64
+#: layouts of a band that a set may need: reached only if hashing is broken
+LAYOUTS = 100
 #: equal signatures within one batch beyond which they count as shared at once
 LOCAL_RUN = 32
 
@@ -157,10 +160,11 @@ def spare_signatures(size: int, filled: int, band: Band, num: int, den: int) ->
     return max(0, (filled - (den - num) * (size + partner) // (den + num) - 1) // 2)
 
 
-def signatures(shingles: np.ndarray, band: Band) -> tuple[np.ndarray, bool]:
-    """Signatures of a set in a band, and whether its tolerances cover the band's H."""
+def signatures(shingles: np.ndarray, band: Band, layout: int = 0) -> tuple[np.ndarray, bool]:
+    """Signatures of a set in a layout of a band, and whether its tolerances cover the
+    band's H.  One set of a pair with enough tolerance suffices to find the pair."""
     m, q = band.segments, band.deletions
-    salt = _U(band.index * 0x632BE59BD9B4E019 & (1 << 64) - 1)
+    salt = _U((band.index + (layout << 10)) * 0x632BE59BD9B4E019 & (1 << 64) - 1)
     spread = _mix(shingles ^ salt)
     segment = (spread % _U(m)).astype(np.int64)
     order = np.argsort(segment, kind="stable")
@@ -180,6 +184,21 @@ def signatures(shingles: np.ndarray, band: Band) -> tuple[np.ndarray, bool]:
     return _mix(np.concatenate(out)), tolerance > band.differ
 
 
+def all_signatures(shingles: np.ndarray, band: Band, num: int, den: int) -> tuple[np.ndarray, int]:
+    """Signatures of a set in a band, in as many layouts as it needs, and how many it may
+    leave out (none if it needs several).
+
+    About one random set in a thousand needs a second layout; each further one fails
+    as seldom, independently."""
+    out, enough = [], False
+    while not enough:
+        if len(out) == LAYOUTS:
+            raise RuntimeError(f"a set of {len(shingles)} shingles is short of tolerance in {LAYOUTS} layouts of its band")
+        got, enough = signatures(shingles, band, len(out))
+        out.append(got)
+    return (out[0], spare_signatures(len(shingles), len(out[0]), band, num, den)) if len(out) == 1 else (np.concatenate(out), 0)
+
+
 def sketch(shingles: np.ndarray) -> bytes:
     """Shingles per bucket, 255 at most: two sets differ in as many shingles as their
     sketches at least."""
@@ -199,13 +218,13 @@ def _keys(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
 
 
 def _shared_signatures(docs: DataFrame, text: str, words: int, num: int, den: int) -> DataFrame:
-    """``sig, key, info, short`` of all signatures that at least two nodes have;
-    ``info`` is the band and how many signatures the node may leave out in it;
-    ``short`` rows name a node (key) that must be compared with its whole band (sig).
+    """``sig, key, info`` of all signatures that at least two nodes have;
+    ``info`` is the band and how many signatures the node may leave out in it.
 
     Signatures travel in lots as binary arrays, dealt by bits of the signature; a
     signature that a lot holds many times is known to be shared and only one of
-    its nodes travels on, so a common signature sends an entry per lot at most."""
+    its nodes travels on, so a common signature sends an entry per lot at most.  A task
+    sorts one deal at a time, about a sixteenth of its rows."""
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deals = 16 * width
 
@@ -218,17 +237,17 @@ def _shared_signatures(docs: DataFrame, text: str, words: int, num: int, den: in
         many = np.repeat(run > LOCAL_RUN, run)
         keep = ~many
         keep[first] = True
-        for kind, mask in ((1, many), (0, keep)):
+        for known, mask in ((True, many), (False, keep)):
             s, k, i = sig[mask], key[mask], info[mask]
             deal = (s % _U(deals)).astype(np.int64)
             order = np.argsort(deal, kind="stable")
             deal, s, k, i = deal[order], s[order], k[order], i[order]
             cut = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1]])) if len(deal) else []
             for a, b in zip(cut, np.append(cut[1:], len(deal))):
-                yield deal[a], kind, s[a:b].tobytes(), k[a:b].tobytes(), i[a:b].tobytes()
+                yield deal[a], known, s[a:b].tobytes(), k[a:b].tobytes(), i[a:b].tobytes()
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = lambda rows: pd.DataFrame(rows, columns=["deal", "kind", "sigs", "keys", "infos"])
+        frame = lambda rows: pd.DataFrame(rows, columns=["deal", "known", "sigs", "keys", "infos"])
         for batch in batches:
             seen, sigs, keys, infos, held = set(), [], [], [], 0
             for t in batch["text"]:
@@ -238,30 +257,19 @@ def _shared_signatures(docs: DataFrame, text: str, words: int, num: int, den: in
                     continue
                 seen.add(key)
                 for band in bands_of(len(s), num, den):
-                    got, enough = signatures(s, band)
+                    got, spare = all_signatures(s, band, num, den)
                     sigs.append(got)
                     keys.append(np.full(len(got), key, np.int64))
-                    infos.append(np.full(len(got), band.index << 20 | min(spare_signatures(len(s), len(got), band, num, den), (1 << 20) - 1), np.int32))
+                    infos.append(np.full(len(got), band.index << 20 | min(spare, (1 << 20) - 1), np.int32))
                     held += len(got)
-                    if not enough:
-                        yield frame([(key % deals, 2, np.array([band.index], np.int64).tobytes(), np.array([key], np.int64).tobytes(), np.zeros(1, np.int32).tobytes())])
                 if held > 1 << 19:
                     yield frame(list(lot(sigs, keys, infos)))
                     sigs, keys, infos, held = [], [], [], 0
             if sigs:
                 yield frame(list(lot(sigs, keys, infos)))
 
-    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sigs, keys, infos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for batch in batches:
-            for kind, s, k, i in zip(batch["kind"], batch["sigs"], batch["keys"], batch["infos"]):
-                s, k, i = np.frombuffer(s, np.int64), np.frombuffer(k, np.int64), np.frombuffer(i, np.int32)
-                if kind:
-                    yield pd.DataFrame({"sig": s, "key": k, "info": i, "short": kind == 2})
-                else:
-                    sigs.append(s)
-                    keys.append(k)
-                    infos.append(i)
+    def met(sigs: list, keys: list, infos: list) -> pd.DataFrame:
+        """The signatures of a deal that several nodes have."""
         sig, key, info = np.concatenate(sigs), np.concatenate(keys), np.concatenate(infos)
         order = np.lexsort((key, sig))
         sig, key, info = sig[order], key[order], info[order]
@@ -271,10 +279,28 @@ def _shared_signatures(docs: DataFrame, text: str, words: int, num: int, den: in
         same = np.zeros(len(sig) + 1, bool)
         same[1:-1] = sig[1:] == sig[:-1]
         rows = same[1:] | same[:-1]
-        yield pd.DataFrame({"sig": sig[rows], "key": key[rows], "info": info[rows], "short": False})
+        return pd.DataFrame({"sig": sig[rows], "key": key[rows], "info": info[rows]})
+
+    def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sigs, keys, infos = None, [], [], []
+        for batch in batches:
+            for deal, known, s, k, i in zip(batch["deal"], batch["known"], batch["sigs"], batch["keys"], batch["infos"]):
+                s, k, i = np.frombuffer(s, np.int64), np.frombuffer(k, np.int64), np.frombuffer(i, np.int32)
+                if known:
+                    yield pd.DataFrame({"sig": s, "key": k, "info": i})
+                    continue
+                if deal != now and sigs:
+                    yield met(sigs, keys, infos)
+                    sigs, keys, infos = [], [], []
+                now = deal
+                sigs.append(s)
+                keys.append(k)
+                infos.append(i)
+        if sigs:
+            yield met(sigs, keys, infos)
 
-    dealt = docs.select(F.col(text).alias("text")).mapInPandas(index, "deal long, kind int, sigs binary, keys binary, infos binary")
-    return dealt.repartition(width, "deal").mapInPandas(shared, "sig long, key long, info int, short boolean").distinct()
+    dealt = docs.select(F.col(text).alias("text")).mapInPandas(index, "deal long, known boolean, sigs binary, keys binary, infos binary")
+    return dealt.repartition(width, "deal").sortWithinPartitions("deal").mapInPandas(shared, "sig long, key long, info int").distinct()
 
 
 def _without_common(rows: DataFrame) -> DataFrame:
@@ -377,17 +403,11 @@ def similar_links(docs: DataFrame, slim: DataFrame, text: str, doc_id: str, word
     components, or all of them with ``every_link``."""
     num, den = threshold
     signed = stored(_shared_signatures(docs, text, words, num, den), "join-signatures")
-    shared = stored(_without_common(signed.where("not short")), "join-shared")
-    short = signed.where("short").select(F.col("sig").alias("band"), "key")
+    shared = stored(_without_common(signed), "join-shared")
     sketches = slim.where("key is not null").groupBy("key").agg(F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
-    # sets short of tolerance: every node of the band that isn't too different already
-    in_band = short.withColumnRenamed("key", "a").join(_band_rows(slim, num, den).withColumnRenamed("key", "b"), "band")
-    short_pairs = stored(_possible(in_band.where("a <> b").select("a", "b"), sketches, num, den), "join-short")
     # the texts of nodes that can be asked for, one document each
     nodes = slim.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = shared.select("key").unionByName(short_pairs.select(F.col("a").alias("key"))).unionByName(
-        short_pairs.select(F.col("b").alias("key"))).distinct()
-    texts = stored(_texts(docs, nodes.join(wanted, "key"), text, doc_id, words), "join-texts")
+    texts = stored(_texts(docs, nodes.join(shared.select("key").distinct(), "key"), text, doc_id, words), "join-texts")
 
     def pairs_of(rows: DataFrame) -> DataFrame:
         """All pairs of a bucket's nodes that are in different components."""
@@ -421,23 +441,11 @@ def similar_links(docs: DataFrame, slim: DataFrame, text: str, doc_id: str, word
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if tried is not None:
         rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    rest = _possible(rest, sketches, num, den).unionByName(
-        short_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    rest = stored(rest, "join-rest")
+    rest = stored(_possible(rest, sketches, num, den), "join-rest")
     last = _verified(rest, texts, words, num, den)
     return last if found is None else found.unionByName(last)
 
 
-def _band_rows(slim: DataFrame, num: int, den: int) -> DataFrame:
-    """``band, key`` of every node, for sets that are compared with a whole band."""
-    @F.pandas_udf("array<long>")
-    def bands(sizes: pd.Series) -> pd.Series:
-        return pd.Series([[b.index for b in bands_of(int(n), num, den)] for n in sizes], dtype=object)
-
-    nodes = slim.where("key is not null").groupBy("key").agg(F.max("n_shingles").alias("n"))
-    return nodes.select(F.explode(bands("n")).alias("band"), "key")
-
-
 def _texts(docs: DataFrame, reps: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     """``key, text`` of the nodes' documents (an id may name several rows: the key tells)."""
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,10 +5,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from adega.llm import ngram_join
+
 from adega.llm.catalog import QUERIES
 from adega.llm.components import connected_components
-from adega.llm.ngram_join import bands_of, one_per_group, shingle_set, signatures, similar_components
+from adega.llm.ngram_join import all_signatures, bands_of, one_per_group, set_key, shingle_set, signatures, similar_components, sketch
 from tests_llm_helpers import AWKWARD, documents, prose
 
 BLANKS = " \t\n\x0b\f\r"
@@ -90,7 +90,7 @@ def test_similar_sets_share_a_signature_or_are_short_of_tolerance(threshold, siz
 def test_sketches_bound_the_difference(shared, own_a, own_b, rng):
     base = np.random.default_rng(rng.randint(0, 1 << 30)).integers(0, 1 << 63, shared + own_a + own_b, dtype=np.uint64)
     a, b = np.unique(base[: shared + own_a]), np.unique(np.concatenate([base[:shared], base[shared + own_a:]]))
-    sa, sb = (np.frombuffer(ngram_join.sketch(x), np.uint8).astype(int) for x in (a, b))
+    sa, sb = (np.frombuffer(sketch(x), np.uint8).astype(int) for x in (a, b))
     assert np.abs(sa - sb).sum() <= len(np.setxor1d(a, b))
 
 
@@ -120,19 +120,44 @@ def test_awkward_rows(spark, awkward, no_documents):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, None, 5, 6, 8], key=str)
 
 
-def test_sets_short_of_tolerance_are_compared_with_their_band(spark):
+def is_short(text):
+    shingles = shingle_set(text, 4)
+    return any(not signatures(shingles, band)[1] for band in bands_of(len(shingles), 80, 100))
+
+
+def test_sets_short_of_tolerance_index_further_layouts(spark):
     rng = random.Random(2)
-    rows = []
-    for k in range(150):  # 9 or 10 shingles in two segments: now and then one is empty, here in every tenth pair
-        base = prose(rng, 12)
-        while k % 10 == 0 and all(signatures(shingle_set(base, 4), band)[1] for band in bands_of(9, 85, 100)):
-            base = prose(rng, 12)
-        rows += [(2 * k, base, "en", "a"), (2 * k + 1, base + " more", "en", "a")]
-    docs = documents(spark, rows, extra=False)
-    signed = ngram_join._shared_signatures(docs, "text", 4, 85, 100)
-    assert signed.where("short").count() > 0
-    got = similar_components(docs, words=4, threshold=(85, 100))
-    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 4, 85, 100)
+    rows, both = [], 0
+    for _ in range(5000):  # about one set of 7 shingles in 100 is short
+        base = prose(rng, 10)
+        if not is_short(base):
+            continue
+        shingles = shingle_set(base, 4)
+        assert any(len(all_signatures(shingles, band, 80, 100)[0]) > len(signatures(shingles, band)[0]) for band in bands_of(len(shingles), 80, 100))
+        other = next((t for t in (f"{base} more{k}" for k in range(300)) if is_short(t)), f"{base} more")  # short as well
+        both += is_short(other)
+        rows += [(len(rows), base, "en", "a"), (len(rows) + 1, other, "en", "a")]
+    assert len(rows) > 20 and both > 5
+    rows += [(10_000 + k, prose(rng, 10), "en", "a") for k in range(50)]
+    got = similar_components(documents(spark, rows, extra=False), words=4, threshold=(80, 100))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 4, 80, 100)
+    assert got.where("component_id <> doc_id").count() >= len(rows) // 4
+
+
+def test_a_pair_shares_a_signature_of_a_layout_that_serves():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(7, 60)), dtype=np.uint64))
+        b = np.concatenate([a[int(rng.integers(0, max(1, len(a) // 14))):], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(a) // 14)), dtype=np.uint64)])
+        b = np.unique(b)
+        if 100 * len(np.intersect1d(a, b)) < 85 * len(np.union1d(a, b)):
+            continue
+        bands = {x.index: x for x in bands_of(len(a), 85, 100)} | {x.index: x for x in bands_of(len(b), 85, 100)}
+        met = 0
+        for band in bands.values():
+            if band in bands_of(len(a), 85, 100) and band in bands_of(len(b), 85, 100):
+                met += len(np.intersect1d(all_signatures(a, band, 85, 100)[0], all_signatures(b, band, 85, 100)[0]))
+        assert met or set_key(a) == set_key(b)
 
 
 @pytest.mark.parametrize("links", [[], [(1, 1)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 30)] + [(50, 51), (51, 52), (52, 50)]])
