@@ -36,6 +36,20 @@ def removed(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+_KEPT: dict = {}
+
+
+def kept_by_process(name, make):
+    """What ``make()`` built, kept for the next task of this Python worker.  A worker
+    keeps one such thing: a stage that asks for another, or for none (``name`` None), ends the
+    last one's, so that memory doesn't add up over the stages of a pipeline."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        if name is not None:
+            _KEPT[name] = make()
+    return _KEPT.get(name)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often
     ``body`` uses it (the optimiser may otherwise copy it to each use)."""

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adega.llm.common import free_name, stored
+from adega.llm.common import free_name, kept_by_process, stored
 from adega.llm.components import connected_components
 
 _U = np.uint64
@@ -45,15 +45,12 @@ LOCAL_RUN = 32
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-_WORD_HASHES = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (in place)."""
     x ^= x >> _U(33)
@@ -73,7 +70,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     n = len(parts)
     if not n:
         return np.zeros(0, _U)
-    hashes = np.fromiter(map(_WORD_HASHES.__getitem__, parts), _U, n)
+    hashes = np.fromiter(map(kept_by_process("word hashes", _WordHashes).__getitem__, parts), _U, n)
     k = min(words, n)
     out = np.full(n - k + 1, k, _U)
     for j in range(k):

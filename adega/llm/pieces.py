@@ -16,14 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adega.llm.common import kept_by_process
 from adega.llm.piece_model import MARK, ChunkEncoder, read_vocabulary
 
 #: characters that are encoded, and compared with the library, at a time (a longer text by itself)
 BATCH_CHARS = 1 << 20
 
-_CODECS: dict[str, "Codec"] = {}
-
-
 class Codec:
     """The library's processor and this module's encoder of one model file."""
 
@@ -60,9 +58,7 @@ class Codec:
 
 def codec(path: str) -> Codec:
     """This process's codec of a model file (Python workers are reused)."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return kept_by_process(("codec", path), lambda: Codec(path))
 
 
 def encode_decode(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adega.llm.common import free_name, stored
+from adega.llm.common import free_name, kept_by_process, stored
 
 FEATURES = ("words", "word_length", "upper_words", "marks", "bangs", "bars", "vocabulary", "stutter", "line_length", "digits", "stops",
             "worst")
@@ -90,6 +90,7 @@ def with_statistics(docs: DataFrame, text: str = "text", name: str = "statistics
 
     @F.pandas_udf("array<double>")
     def statistics(texts: pd.Series) -> pd.Series:
+        kept_by_process(None, None)
         return pd.Series([[float(x) for x in text_statistics(t)] for t in texts], dtype=object)
 
     return docs.withColumn(name, statistics(F.col(text)))
@@ -149,6 +150,7 @@ def with_scores(docs: DataFrame, model: QualityModel, statistics: str | None = N
 
     @F.pandas_udf("double")
     def from_text(texts: pd.Series) -> pd.Series:
+        kept_by_process(None, None)
         return pd.Series(model.scores(np.array([text_statistics(t) for t in texts], float).reshape(-1, len(FEATURES))))
 
     value = from_statistics(F.col(statistics)) if statistics else from_text(F.col(text))

@@ -17,6 +17,8 @@ import re
 
 import numpy as np
 
+from adega.llm.common import kept_by_process
+
 #: characters with the Unicode property White_Space (what ``\\s`` means in the tokenizer files)
 WHITE = "\t-\r \x85\xa0  -     　"
 _EDGE = re.compile(f"^[{WHITE}]|[{WHITE}]$|^$")
@@ -26,6 +28,11 @@ _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _CASED = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 _WORD_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([-.,;:!?*#$%&|/()]+)")
 
+#: bytes of an entry besides its characters and ids: two objects and their place in the table
+ENTRY_BYTES = 190
+#: bytes of a cache, if the caller doesn't say
+CACHE_BYTES = 32 << 20
+
 
 def _byte_symbols() -> list[str]:
     """Byte -> symbol of byte-level vocabularies: printable Latin-1 characters stand
@@ -43,17 +50,18 @@ class _Blank(Exception):
 class PieceEncoder(dict):
     """Cache: piece after a space (or at the start, see ``first``) -> id bytes.
 
-    ``width`` is the bytes of one id (little-endian unsigned).  ``limit`` bounds the
-    entries: a full cache becomes the old one, whose pieces come back when asked for."""
+    ``width`` is the bytes of one id (little-endian unsigned).  ``bound`` is the memory of
+    the entries: a full cache becomes the old one, whose pieces come back when asked for,
+    so twice that is held at most."""
 
-    def __init__(self, path: str, width: int = 4, limit: int = 200_000):
+    def __init__(self, path: str, width: int = 4, bound: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(f"<u{width}")
-        self.limit = limit
+        self.bound, self.held, self.held_first = bound, 0, 0
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # does a space belong to the word after it (byte-level) or is it dropped?
         self.space = " " if self.tokenizer.encode("a a", add_special_tokens=False).ids != 2 * self.tokenizer.encode("a", add_special_tokens=False).ids else ""
@@ -79,20 +87,23 @@ class PieceEncoder(dict):
         if got is None:
             if _EDGE.search(piece):
                 raise _Blank
-            if len(self.first) >= self.limit:
+            if self.held_first >= self.bound // 4:
                 self.first.clear()
+                self.held_first = 0
             m = _WORD_MARKS.fullmatch(piece)
             got = self.first[piece] = self.at_start(m[1]) + self.at_start(m[2]) if m else (
                 self.letters(piece, "") if _LETTERS.fullmatch(piece) else self.library(piece))
+            self.held_first += ENTRY_BYTES + len(piece) + len(got)
         return got
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        if self.held >= self.bound:
+            self.old, self.held = dict(self), 0
             self.clear()
         got = self.old.get(piece)
         if got is not None:
             self[piece] = got
+            self.held += ENTRY_BYTES + len(piece) + len(got)
             return got
         if _EDGE.search(piece):
             raise _Blank
@@ -111,6 +122,7 @@ class PieceEncoder(dict):
         else:
             got = self.library(self.space + piece)
         self[piece] = got
+        self.held += ENTRY_BYTES + len(piece) + len(got)
         return got
 
     def encode(self, text: str | None) -> bytes:
@@ -131,16 +143,10 @@ class PieceEncoder(dict):
         return self.library(text)
 
 
-_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
-
-
-def encoder(path: str, width: int = 4) -> PieceEncoder:
+def encoder(path: str, width: int = 4, bound: int = CACHE_BYTES) -> PieceEncoder:
     """This process's encoder of a vocabulary file (Python workers are reused, so
     a cache outlives a task)."""
-    key = (path, width)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, width)
-    return _ENCODERS[key]
+    return kept_by_process(("encoder", path, width, bound), lambda: PieceEncoder(path, width, bound))
 
 
 def tokenizer_path(name: str) -> str:

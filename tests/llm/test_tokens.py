@@ -15,7 +15,7 @@ from adega.session import scratch_path
 from tests_llm_helpers import AWKWARD, documents
 
 BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
-ENCODERS = {p: PieceEncoder(p, limit=50) for p in (BYTE, WORD)}
+ENCODERS = {p: PieceEncoder(p, bound=10_000) for p in (BYTE, WORD)}
 LIBRARY = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
 PIECES = ["a", "B", "word", "Élan", "ß", "ﬁ", "'s", "'", "don't", ".", "...", "|", "$$$", "12", "½", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b",
           "\x1c", "\x85", " ", " ", "​", "é", "İ", "Σ", "漢字", "😀", "<|endoftext|>", "<|startoftext|>", "<|", "_", "-", "\x00"]
@@ -133,3 +133,23 @@ def test_packing_query(spark):
     rows = QUERIES["op10_packing"](spark, "/root/testdata/sf0.001").collect()
     used = check_packed(rows, 2048)
     assert used <= sum(r["length"] for r in rows) / 2048 * 1.03 + 1
+
+
+def test_a_worker_keeps_one_cache_of_bounded_bytes():
+    import sys
+
+    from adega.llm import common
+    from adega.llm.ngram_join import shingle_set
+    from adega.llm.token_ids import encoder
+
+    small = encoder(BYTE, bound=200_000)
+    assert encoder(BYTE, bound=200_000) is small
+    rng = random.Random(1)
+    for _ in range(20):
+        small.encode(" ".join(f"{rng.choice('abcdef')}{rng.randint(0, 10 ** 6)}" for _ in range(400)))
+        entries = [*dict(small).items(), *small.old.items()]
+        assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in entries) + sys.getsizeof(small) + sys.getsizeof(small.old) < 3 * 200_000
+    shingle_set("another stage asks for another cache", 3)
+    assert list(common._KEPT) == ["word hashes"] and encoder(BYTE, bound=200_000) is not small
+    common.kept_by_process(None, None)
+    assert not common._KEPT
