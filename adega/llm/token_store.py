@@ -28,6 +28,9 @@ from adega.session import scratch_path
 #: ids after which a block ends (a longer document has a block of its own)
 BLOCK_IDS = 1 << 18
 
+#: bytes of a worker's cache of encoded pieces
+CACHE_BYTES = 80 << 20
+
 #: control byte -> byte counts of its four ranks
 _COUNTS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 
@@ -69,7 +72,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, te
 
     def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = np.array([end_id], "<u4").tobytes()
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, bound=CACHE_BYTES).encode
         shard, before, names, sizes, out, held = TaskContext.get().partitionId(), 0, [], [], [], 0
         for batch in batches:
             # object dtype keeps null ids null
