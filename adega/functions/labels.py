@@ -59,21 +59,19 @@ _SPLIT = 134217729.0
 def _scaled(value: Column, divisor: float, digits: int) -> Column:
     """``value / divisor`` as a double, rounded to ``digits`` decimals.
 
-    With ``q`` the quotient and ``k = floor(q * 10**digits)``, ``q`` lies above or
-    below the middle of ``k`` and ``k + 1`` by the sign of ``q * 2 * 10**digits -
-    (2 * k + 1)``; the product's rounding error is computed from halves, so the sign
-    is that of the exact difference."""
+    With ``q`` the quotient and ``p = q * 10**digits`` as a double, rounding keeps the
+    order of numbers, so ``p`` is on the same side of the middle between two whole
+    numbers as the exact product, unless it is that middle.  Only then the product's
+    rounding error, computed from halves, says which side is meant."""
     q = value.cast("double") / F.lit(float(divisor)) if divisor != 1 else value.cast("double")
-    scale = float(10 ** digits)
-    twice = F.lit(2.0 * scale)
-    k = F.floor(q * F.lit(scale)).cast("double")
-    product = q * twice
+    scale = F.lit(float(10 ** digits))
+    p = q * scale
+    nearest = F.rint(p)
     high = q * F.lit(_SPLIT) - (q * F.lit(_SPLIT) - q)
-    low = q - high  # the factor 2 * 10**digits has few bits: both partial products are exact
-    error = (high * twice - product) + low * twice
-    above = (product - (F.lit(2.0) * k + F.lit(1.0))) + error
-    up = (above > 0) | ((above == 0) & (F.pmod(k, F.lit(2.0)) == 1))
-    return (k + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / F.lit(scale)
+    low = q - high  # the factor 10**digits has few bits: both partial products are exact
+    error = (high * scale - p) + low * scale
+    at_middle = F.when(error > 0, p + F.lit(0.5)).when(error < 0, p - F.lit(0.5)).otherwise(nearest)
+    return F.when(F.abs(p - nearest) == F.lit(0.5), at_middle).otherwise(nearest) / scale
 
 
 def tiered_label(col: Column | str, tiers) -> Column:

@@ -6,13 +6,13 @@ Every function is ``DataFrame -> DataFrame`` and lazy, except
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from adega.functions.numbers import parse_digits, parse_locale_number
-from adega.sources.statements import COUNTRY, QUANTITY, TOTAL_LABEL, VALUE
+from adega.sources.statements import COUNTRY, MISSING_MARK, PRODUCT, QUANTITY, TOTAL_LABEL, VALUE, YEAR
 
 MISSING_POLICIES = ("drop", "positive", "keep")
 
@@ -49,8 +49,7 @@ def split_line(df: DataFrame, col: str = "raw_data", *, quote_aware: bool = True
         fields = [F.when(quoted, parsed[f"f{i}"]).otherwise(F.nullif(f, F.lit("")))
                   for i, f in enumerate(fields)]
     fields[0] = F.trim(fields[0])
-    split = computed_once(df, dict(zip(names, fields)))
-    return split.select(*[c for c in split.columns if c != col])
+    return df.select(*[c for c in df.columns if c != col and c not in names], *[f.alias(n) for n, f in zip(names, fields)])
 
 
 def drop_totals(df: DataFrame, col: str = COUNTRY, label: str = TOTAL_LABEL) -> DataFrame:
@@ -77,7 +76,8 @@ def apply_missing_policy(df: DataFrame, policy: str = "drop",
 
 def clean_statements(df: DataFrame, *, missing: str = "drop", parse: str = "locale",
                      decimal: str | None = None, totals: bool = False,
-                     measures: Sequence[str] = (QUANTITY, VALUE), dtype: str = "double") -> DataFrame:
+                     measures: Sequence[str] = (QUANTITY, VALUE), dtype: str = "double",
+                     seen: Observation | None = None) -> DataFrame:
     """Text statements -> typed facts.
 
     ``parse='locale'`` drops thousands dots (``1.167.696`` -> 1167696.0; with
@@ -85,19 +85,48 @@ def clean_statements(df: DataFrame, *, missing: str = "drop", parse: str = "loca
     digits and commas.  Then the missing-value policy, then the total line is
     removed unless ``totals=True``.  ``dtype`` is ``double`` (exact for whole
     numbers below 2^53) or a decimal type such as ``decimal(20,2)``.
+
+    A cell that is neither a number nor a missing mark becomes null like a missing one;
+    ``seen`` (an unused ``Observation``) counts, over the rows that are not total
+    lines and as a by-product of the job that reads the facts, ``rows`` and
+    ``unreadable_<measure>``; :func:`unreadable_cells` lists them.
     """
-    if parse == "locale":
-        conv = lambda c: parse_locale_number(c, ".", decimal, dtype)
-    elif parse == "digits":
-        conv = lambda c: parse_digits(c, dtype)
-    else:
-        raise ValueError(f"parse must be 'locale' or 'digits', got {parse!r}")
+    conv = _reader(parse, decimal, dtype)
     if not totals:
         df = drop_totals(df)  # on the text: reaches the scan
-    typed = computed_once(df, {c: conv(c) for c in measures})
+    if seen is not None:
+        df = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[
+            F.count_if(_unreadable(F.col(c), conv)).alias(f"unreadable_{c}") for c in measures])
+    parsed = {c: conv(F.col(c)) for c in measures}
+    # a filter follows unless missing values stay: then the parsing would be copied into it
+    typed = df.withColumns(parsed) if missing == "keep" else computed_once(df, parsed)
     return apply_missing_policy(typed, missing, measures)
 
 
+def _reader(parse: str, decimal: str | None, dtype: str) -> Callable[[Column], Column]:
+    if parse == "locale":
+        return lambda c: parse_locale_number(c, ".", decimal, dtype)
+    if parse == "digits":
+        return lambda c: parse_digits(c, dtype)
+    raise ValueError(f"parse must be 'locale' or 'digits', got {parse!r}")
+
+
+def _unreadable(cell: Column, conv: Callable[[Column], Column]) -> Column:
+    """A cell with text that is neither the missing mark nor a number."""
+    text = F.trim(cell)
+    return F.coalesce((text != "") & (text != F.lit(MISSING_MARK)) & conv(cell).isNull(), F.lit(False))
+
+
+def unreadable_cells(df: DataFrame, *, parse: str = "locale", decimal: str | None = None,
+                     measures: Sequence[str] = (QUANTITY, VALUE), keys: Sequence[str] = (PRODUCT, YEAR), dtype: str = "double") -> DataFrame:
+    """``*keys, measure, cell, rows``: what :func:`clean_statements` can't read as a
+    number, with the number of rows that hold it (total lines included)."""
+    conv = _reader(parse, decimal, dtype)
+    cells = df.select(*keys, F.explode(F.array(*[
+        F.when(_unreadable(F.col(c), conv), F.struct(F.lit(c).alias("measure"), F.col(c).alias("cell"))) for c in measures])).alias("_bad"))
+    return cells.where(F.col("_bad").isNotNull()).groupBy(*keys, "_bad.measure", "_bad.cell").agg(F.count("*").alias("rows"))
+
+
 def filter_country(df: DataFrame, country: str, col: str = COUNTRY) -> DataFrame:
     """Exact country name."""
     return df.filter(F.col(col) == F.lit(country))

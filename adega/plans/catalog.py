@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adega.functions import labels as L
-from adega.operators.clean import clean_statements, split_line
+from adega.operators.clean import clean_statements, split_line, unreadable_cells
 from adega.operators.coverage import expected_grid, fetch_plan, missing_periods, request_urls, union_all
+from adega.operators.positions import with_positions
 from adega.operators.present import preview, series_table
 from adega.operators.rank import top_countries, top_per_year
 from adega.operators.totals import (
@@ -583,6 +584,37 @@ def q_last_n_years(spark, sf_dir):
     return R.last_n_years(statement_table(spark, sf_dir), RECENT_YEARS)
 
 
+@register("annual_top_positions", O.sql("""
+SELECT year, country, rank, row_number() OVER (ORDER BY year, rank) - 1 AS position
+FROM (SELECT year, country, row_number() OVER (PARTITION BY year ORDER BY value_usd DESC, quantity_kg DESC, country)::INTEGER AS rank FROM yearly)
+WHERE rank <= 15"""))
+def q_annual_top_positions(spark, sf_dir):
+    top = R.annual_top(statement_table(spark, sf_dir), VALUE, 15)
+    return with_positions(top.select(YEAR, COUNTRY, "rank"), YEAR, "rank")
+
+
+@register("statement_positions", O.sql("""
+SELECT product, year, country, value_usd,
+       row_number() OVER (ORDER BY value_usd DESC, product, year, country) AS position
+FROM (SELECT product, year, country, sum(value_usd) AS value_usd FROM facts GROUP BY ALL)"""))
+def q_statement_positions(spark, sf_dir):
+    totals = facts(spark, sf_dir).groupBy(PRODUCT, YEAR, COUNTRY).agg(F.sum(VALUE).alias(VALUE))
+    return with_positions(totals, F.desc(VALUE), PRODUCT, YEAR, COUNTRY, first=1)
+
+
+@register("unreadable_cells", O.sql("""
+, spoilt AS (SELECT product, year, country, CASE WHEN quantity_kg LIKE '%3' THEN quantity_kg || 'x' ELSE quantity_kg END AS quantity_kg,
+                    CASE WHEN value_usd LIKE '%77' THEN 'n/d' ELSE value_usd END AS value_usd FROM raw)
+SELECT product, year, 'quantity_kg' AS measure, quantity_kg AS cell, count(*) AS rows FROM spoilt WHERE quantity_kg LIKE '%x' GROUP BY ALL
+UNION ALL
+SELECT product, year, 'value_usd', value_usd, count(*) FROM spoilt WHERE value_usd = 'n/d' GROUP BY ALL"""))
+def q_unreadable_cells(spark, sf_dir):
+    spoilt = statement_table(spark, sf_dir).select(
+        PRODUCT, YEAR, COUNTRY, F.when(F.col(QUANTITY).endswith("3"), F.concat(QUANTITY, F.lit("x"))).otherwise(F.col(QUANTITY)).alias(QUANTITY),
+        F.when(F.col(VALUE).endswith("77"), "n/d").otherwise(F.col(VALUE)).alias(VALUE))
+    return unreadable_cells(spoilt)
+
+
 @register("last_n_years_of_files", O.sql(f"""
 SELECT country, sum(quantity_kg) AS quantity_kg, sum(value_usd) AS value_usd FROM facts
 WHERE year > (SELECT max(year) FROM raw) - {RECENT_YEARS} GROUP BY country"""))
