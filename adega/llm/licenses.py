@@ -3,8 +3,9 @@
 All rolling word bigrams of all texts are joined, as 64-bit hashes, to the bigrams'
 positions in license templates.  A hit votes for its diagonal (text position minus
 template position); votes are summed per text, template and diagonal, neighbouring
-diagonals are merged into spans (words may have been put in or left out), and a
-span is verified by the words that its hits have in common with the template.
+diagonals are merged into spans (words may have been put in or left out, within a
+bound), and a span is verified by the longest chain of its words that rises in the
+template and in the text.
 
 Templates are this module's constants, so the side that is broadcast never grows.
 """
@@ -13,11 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adega.llm.common import ascii_lower, free_name, let
 
+#: units of a window frame over diagonals
+_FRAME = 1 << 20
+
 #: words of a license scan: ASCII letters and digits, and everything beyond ASCII
 WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -55,7 +59,7 @@ PASSAGES: tuple[tuple[str, str], ...] = (
 
 
 def scan(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES,
-         passages: Sequence[tuple[str, str]] = PASSAGES, coverage: float = 0.8, drift: int = 3) -> DataFrame:
+         passages: Sequence[tuple[str, str]] = PASSAGES, coverage: float = 0.8, drift: int = 3, slack: float = 0.25) -> DataFrame:
     """One row per document, all columns kept, with
 
     ``n_words``; ``n_base`` (places of exact phrases); ``first_word`` and
@@ -64,8 +68,9 @@ def scan(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[str, str]]
     ``score`` (1 with an exact phrase, else the best passage's verified share, 0
     without any); ``spans`` (array of label, start, end, share).
 
-    A passage is found where at least ``coverage`` of its words stand in order on
-    diagonals at most ``drift`` apart; passages under ten words must be whole.  A null text is empty: no words, no labels,
+    A passage is found where at least ``coverage`` of its words, each beside a
+    neighbour of the template, stand in the template's order, on diagonals that lie at most ``drift``, or
+    ``slack`` of its length, apart altogether; passages under ten words must be whole.  A null text is empty: no words, no labels,
     score 0.  What is found depends on the text alone, so the result of a text is
     joined to all rows that hold it by a 128-bit hash; repeated rows and ids each
     keep their row.  If ``docs`` already has one of these columns the new one gets
@@ -97,7 +102,7 @@ def scan(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[str, str]]
         # copies of a text vote alike: the distinct template positions are the votes
         .agg(F.collect_set("at").alias("votes")))
     voted = voted.withColumn("same", F.array_distinct(F.concat("votes", F.transform("votes", lambda at: at + 1))))  # words verified
-    found = _spans(voted, coverage, drift)
+    found = _spans(voted, coverage, drift, slack)
 
     names = {n: free_name(docs, n) for n in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
     h1, h2 = free_name(docs, "license_t1"), free_name(docs, "license_t2")
@@ -111,17 +116,48 @@ def scan(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[str, str]]
         F.coalesce("f_score", F.lit(0.0)).alias(names["score"]), F.coalesce("f_spans", none).alias(names["spans"]))
 
 
-def _spans(voted: DataFrame, coverage: float, drift: int) -> DataFrame:
+def _in_order(words: Column, sign: int) -> Column:
+    """Ends of the chains of words that rise in the template and in the text: the k-th
+    entry is the smallest text position at which a chain of k words can end (with
+    ``sign`` -1 everything is seen from the end).  The array's length is that of the longest chain."""
+    # equal template positions follow each other with falling text positions, so a chain takes one of them
+    places = F.array_sort(F.transform(words, lambda w: F.struct((w["at"] * sign).alias("at"), (w["pos"] * -sign).alias("back"))))
+
+    def put(ends: Column, word: Column) -> Column:
+        pos = -word["back"]
+        shorter = F.size(F.filter(ends, lambda e: e < pos))
+        return F.concat(F.slice(ends, 1, shorter), F.array(pos), F.slice(ends, shorter + 2, F.greatest(F.size(ends) - shorter - 1, F.lit(0))))
+
+    return F.aggregate(places, F.array().cast("array<int>"), put)
+
+
+def _spans(voted: DataFrame, coverage: float, drift: int, slack: float) -> DataFrame:
     """Merges neighbouring diagonals, verifies, and gathers the result per text."""
+    text = ["t1", "t2", "template", "label", "exact", "length"]
+    whole = voted.where(F.col("exact") & (F.size("same") == F.col("length"))).select(
+        *text, F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("length")).alias("end"), F.lit(1.0).alias("share"))
+
+    # all diagonals from each one up to ``reach`` further: words that are put in or left out move a
+    # passage by as much altogether.  Diagonals are stretched so that one frame fits all lengths.
+    reach = F.greatest(F.lit(drift), F.floor(F.col("length") * F.lit(slack))).cast("int")
+    stretched = F.col("diagonal") * F.floor(F.lit(_FRAME) / reach)
+    frame = Window.partitionBy("t1", "t2", "template").orderBy(stretched).rangeBetween(0, _FRAME)
+    least = F.when(F.col("length") < 10, F.col("length").cast("double")).otherwise(F.col("length") * F.lit(coverage))
+    near = (voted.where(~F.col("exact")).withColumn("reach", reach).withColumn("hits", F.sum(F.size("same")).over(frame))
+            .withColumn("merged", F.collect_list(F.struct("diagonal", "same")).over(frame)).where(F.col("hits") >= least))
+    words = F.flatten(F.transform("merged", lambda d: F.transform(d["same"], lambda at: F.struct(at.alias("at"), (d["diagonal"] + at).alias("pos")))))
+    # verified: the words that stand in the template's order in the text
+    checked = (near.select(*text, "diagonal", "reach", words.alias("words")).withColumn("ends", _in_order(F.col("words"), 1))
+               .withColumn("share", F.size("ends") / F.col("length")).where(F.size("ends") >= least))
+    checked = checked.select(*text, "diagonal", "reach", "share", (-F.element_at(_in_order(F.col("words"), -1), -1)).alias("start"),
+                             (F.element_at("ends", -1) + 1).alias("end"))
+    # frames that overlap show the same passage: the best of them stands for it
     along = Window.partitionBy("t1", "t2", "template").orderBy("diagonal")
-    new = F.when(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(along) > drift) | F.lag("diagonal").over(along).isNull(), 1).otherwise(0)
-    merged = voted.withColumn("new", new).withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy("t1", "t2", "template", "label", "exact", "span").agg(
-        F.min(F.col("diagonal") + F.array_min("same")).alias("start"), F.max(F.col("diagonal") + F.array_max("same") + 1).alias("end"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("same")))).alias("matched"), F.max("length").alias("length"))
-    spans = spans.withColumn("share", F.col("matched") / F.col("length"))
-    spans = spans.where(F.when(F.col("exact"), F.col("share") == 1.0).otherwise(
-        F.col("share") >= F.when(F.col("length") < 10, 1.0).otherwise(coverage)))
+    fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > F.col("reach"), F.lit(True)).cast("int")
+    grouped = checked.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    best = grouped.groupBy(*text, "span").agg(F.max(F.struct("share", (F.col("start") - F.col("end")).alias("short"), (-F.col("start")).alias("early"))).alias("b"))
+    spans = whole.unionByName(best.select(
+        *text, (-F.col("b.early")).alias("start"), (-F.col("b.early") - F.col("b.short")).alias("end"), F.col("b.share").alias("share")))
     base = F.when(F.col("exact"), F.col("start"))
     label = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     return spans.groupBy("t1", "t2").agg(

@@ -49,6 +49,63 @@ def test_passages_with_changes_are_found_where_they_stand(spark, k):
     assert label not in got[3]["labels"].split(",")
 
 
+GPL = PASSAGES[0][0].split(" ")
+
+
+def labels_of(spark, texts, **how):
+    rows = [(k, t, "en", "a") for k, t in enumerate(texts)]
+    return {r["doc_id"]: (set(filter(None, r["labels"].split(","))), r["score"], r["spans"]) for r in scan(documents(spark, rows, extra=False), phrases=(), **how).collect()}
+
+
+def test_scattered_and_reversed_words_are_no_passage(spark):
+    pairs = [" ".join(GPL[k: k + 2]) for k in range(len(GPL) - 1)]
+    scattered = " ".join(f"{p} filler{k} more{k}" for k, p in enumerate(pairs))
+    backwards = " ".join(reversed(pairs))
+    shuffled = " ".join(pairs[k * 7 % len(pairs)] for k in range(len(pairs)))
+    swapped = " ".join(GPL[15:] + GPL[:15])  # both halves, in the wrong order
+    got = labels_of(spark, [scattered, backwards, shuffled, swapped, " ".join(GPL)])
+    assert [got[k][0] for k in range(4)] == [set()] * 4 and got[4][0] == {"gpl"} and got[4][1] == 1
+
+
+def test_insertions_within_the_bound_are_found_with_their_span(spark):
+    every_fifth = [w for k, w in enumerate(GPL) for w in ([w, "extra"] if k % 5 == 4 else [w])]
+    many = [w for k, w in enumerate(GPL) for w in ([w, "x", "y", "z"] if k % 2 else [w])]
+    twice = GPL + ["between"] * 5 + GPL[:14] + GPL[16:]
+    noisy = ["free", "software"] * 4 + every_fifth + ["this", "program"] * 4
+    got = labels_of(spark, [" ".join(x) for x in (every_fifth, many, twice, noisy)])
+    assert got[0][0] == {"gpl"} and (got[0][2][0]["start"], got[0][2][0]["end"]) == (0, len(every_fifth) - (len(GPL) % 5 == 0))
+    assert got[1][0] == set()
+    assert [(s["start"], s["end"]) for s in got[2][2]] == [(0, len(GPL)), (len(GPL) + 5, 2 * len(GPL) + 3)]
+    assert got[3][0] == {"gpl"} and got[3][2][0]["start"] == 8
+
+
+def longest_chain(words, template):
+    """Words of the template in its order that stand beside a template neighbour (brute force)."""
+    hits = {(k + j, i + j) for i in range(len(words) - 1) for k in range(len(template) - 1) if words[i: i + 2] == template[k: k + 2] for j in (0, 1)}
+    best = {}
+    for at, pos in sorted(hits):
+        best[at, pos] = 1 + max((n for (a, p), n in best.items() if a < at and p < pos), default=0)
+    return max(best.values(), default=0)
+
+
+def test_share_is_that_of_the_longest_chain(spark):
+    import random
+
+    rng = random.Random(4)
+    template = PASSAGES[4][0].split(" ")
+    texts = []
+    for _ in range(60):  # few edits: every diagonal lies within the bound
+        words = list(template)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(words))
+            words[k: k + rng.randint(0, 1)] = [rng.choice(["new", rng.choice(template)])] * rng.randint(0, 1)
+        texts.append(words)
+    got = labels_of(spark, [" ".join(t) for t in texts])
+    for k, t in enumerate(texts):
+        share = longest_chain(t, template) / len(template)
+        assert got[k][1] == pytest.approx(share if share >= 0.8 else 0.0), " ".join(t)
+
+
 def test_no_documents(spark, no_documents):
     assert scan(no_documents).count() == 0
 
