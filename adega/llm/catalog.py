@@ -16,7 +16,7 @@ from adega.llm.common import table
 from adega.llm.extract import extract
 from adega.llm.licenses import scan
 from adega.llm.lines import drop_frequent_lines
-from adega.llm.mixing import plan_mix
+from adega.llm.mixing import by_position, plan_mix
 from adega.llm.ngram_join import similar_components
 from adega.llm.packing import pack
 from adega.llm.pieces import encode_decode
@@ -52,7 +52,7 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    return by_position(plan.select("doc_id", "size", "source_size", "target", "taken", "positions"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

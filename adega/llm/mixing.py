@@ -13,6 +13,7 @@ document at most, and nothing is cut.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -100,6 +101,7 @@ def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id
     ``repeats`` (times the mix takes the document), ``taken`` (= repeats * size)
     and ``positions`` (array<double>, the training time of each repeat, 0 to 1).
 
+    A document is taken at most ``max_repeats`` times, rounded up.
     A null source is a source like any other, last in order.  Documents of size 0
     are never repeated and have no positions.  Repeated rows and ids are documents
     of their own (equal rows may swap their places in the stream, which no result
@@ -136,24 +138,29 @@ def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id
         Window.unboundedPreceding, -1)
     placed = placed.drop("mix_source", "mix_blocks").join(offsets, [rank, block]).withColumn(
         middle, F.col(before) + F.coalesce(F.sum(size).over(in_block), F.lit(0)) + F.col(size) / 2)
-    # passes whose middle lies before the target: middle + (r - 1) * source_size < target
-    passes = F.ceil((F.col(goal) - F.col(middle)) / F.col(total))
-    repeats = F.when(F.col(size) > 0, F.least(F.greatest(passes, F.lit(0)), F.lit(int(max_repeats)))).otherwise(0).cast("int")
-    placed = placed.withColumn(names["repeats"], repeats)
 
-    def at(i: Column) -> Column:
-        share_met = (F.col(middle) + i * F.col(total)) / F.col(goal)
+    def at(share_met: Column) -> Column:
         out = position_in_schedule(share_met, schedules[-1])
         for j, schedule in list(enumerate(schedules))[:-1]:
             out = F.when(F.pmod(F.col(pattern), F.lit(len(schedules))) == j, position_in_schedule(share_met, schedule)).otherwise(out)
         return out
 
-    none = F.array().cast("array<double>")
+    # a pass belongs to the mix if its middle lies before the target: then it has a position
+    met = lambda i: (F.col(middle) + i * F.col(total)) / F.col(goal)
+    passes = F.sequence(F.lit(0), F.lit(math.ceil(max_repeats) - 1))
+    positions = F.filter(F.transform(passes, lambda i: F.when(met(i) < 1, at(met(i)))), lambda p: p.isNotNull())
+    placed = placed.withColumn(names["positions"], F.when(F.col(size) > 0, positions).otherwise(F.array().cast("array<double>")))
+    placed = placed.withColumn(names["repeats"], F.size(names["positions"]))
     return placed.select(
         *docs.columns, size, total, goal, names["repeats"],
-        (F.col(names["repeats"]) * F.col(size)).alias(names["taken"]),
-        F.when(F.col(names["repeats"]) > 0, F.transform(F.sequence(F.lit(0), F.col(names["repeats"]) - 1), at))
-        .otherwise(none).alias(names["positions"]))
+        (F.col(names["repeats"]) * F.col(size)).alias(names["taken"]), names["positions"])
+
+
+def by_position(plan: DataFrame, positions: str = "positions", ties: str = "doc_id") -> DataFrame:
+    """A plan's rows range-sorted by first training position; documents that the mix
+    doesn't take come last.  The plan is written first, so that the sort's sampling reads it again
+    and doesn't repeat the work behind it."""
+    return stored(plan, "mix-plan").orderBy(F.get(positions, F.lit(0)).asc_nulls_last(), ties)
 
 
 def _quoted(name: str) -> str:
@@ -162,7 +169,8 @@ def _quoted(name: str) -> str:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of ``docs`` plus ``position``, a row for each
-    time a document is taken, range-sorted by training position."""
+    time a document is taken, range-sorted by training position; nulls, ties, repeated rows
+    and empty tables as in :func:`plan_mix`, equal positions by doc_id."""
     plan = plan_mix(docs, **options)
     positions = [c for c in plan.columns if c not in docs.columns][-1]
     position = free_name(docs, "position")

@@ -94,5 +94,56 @@ def test_no_documents(spark, no_documents):
     assert plan_mix(no_documents).count() == 0 and mixed(no_documents).count() == 0
 
 
-def test_query(spark):
-    assert QUERIES["op6_mixing"](spark, SMOKE).count() == 200
+def test_fractional_repeats_meet_their_target(spark):
+    rows = [(k, "w " * 10, "en", "ab"[k % 2]) for k in range(200)]
+    plan = plan_mix(documents(spark, rows, extra=False), share=2.5, max_repeats=2.5).collect()
+    assert abs(sum(r["taken"] for r in plan) - 2.5 * 2000) <= 20 and {r["repeats"] for r in plan} == {2, 3}
+
+
+SQL = """
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source)
+SELECT doc_id, size, source_size FROM sized JOIN sources ON sized.source IS NOT DISTINCT FROM sources.source"""
+
+
+def test_query_against_sql_and_brute_force(spark):
+    import duckdb
+
+    got = QUERIES["op6_mixing"](spark, SMOKE).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMOKE}/documents.parquet')")
+    assert sorted((r["doc_id"], r["size"], r["source_size"]) for r in got) == sorted(con.execute(SQL).fetchall())
+    source = dict(con.execute("SELECT doc_id, source FROM documents").fetchall())
+    sizes, taken, most = {}, defaultdict(int), defaultdict(int)
+    for r in got:
+        sizes[source[r["doc_id"]]] = r["source_size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+        most[source[r["doc_id"]]] = max(most[source[r["doc_id"]]], r["size"])
+    target = brute_targets(sizes)
+    for r in got:
+        assert r["target"] == pytest.approx(target[source[r["doc_id"]]]) and r["taken"] == r["size"] * len(r["positions"]) <= 2 * r["size"]
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= most[s] / 2 + 1e-6
+    first = [r["positions"][0] if r["positions"] else 2.0 for r in got]
+    assert first == sorted(first)
+    # the stream rebuilt by hand: a source's documents follow each other, each pass at the middle of its words
+    order = {i: h for i, h in spark.read.parquet(f"{SMOKE}/documents.parquet").selectExpr(
+        "doc_id", "xxhash64(cast(doc_id as string), 77, length(text)) as h").collect()}
+    from adega.llm.mixing import SCHEDULES
+    names = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    for k, s in enumerate(names):
+        schedule, before = SCHEDULES[k % 3], 0
+        t = np.linspace(0, 1, 100_001)
+        demand = np.concatenate([[0], np.cumsum((lambda w: (w[1:] + w[:-1]) / 2)(np.interp(t, *zip(*schedule))))])
+        demand /= demand[-1]
+        for r in sorted((r for r in got if source[r["doc_id"]] == s), key=lambda r: (order[r["doc_id"]], r["doc_id"])):
+            shares = [(before + r["size"] / 2 + p * sizes[s]) / target[s] for p in range(2)] if r["size"] else []
+            assert r["positions"] == pytest.approx([t[np.searchsorted(demand, x)] for x in shares if x < 1], abs=1e-3)
+            before += r["size"]
+
+
+def test_query_integrates_and_range_sorts(spark):
+    plan = QUERIES["op6_mixing"](spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [positions" in plan or "Sort [" in plan
+    whole = plan_mix(spark.read.parquet(f"{SMOKE}/documents.parquet")).select("taken")._jdf.queryExecution().optimizedPlan().toString()
+    assert "SQRT" in whole.upper()  # ``taken`` is read off the positions, so they can't be pruned
