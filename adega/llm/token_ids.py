@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -68,13 +69,17 @@ class PieceEncoder(dict):
         self.line = self.library("\n")
         self.first: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.symbols = _byte_symbols()
+        self.symbols = str.maketrans(dict(enumerate(_byte_symbols())))
+        self.lead = self.space.translate(self.symbols)
+        self.model = self.tokenizer.model
+        self.code = {2: "H", 4: "I"}[width]
 
-    def letters(self, word: str, space: str) -> bytes:
+    def letters(self, word: str, lead: str) -> bytes:
         """Ids of a word of Latin letters, which is one pre-token: the library's
         model is asked directly, with the bytes spelled as byte-level symbols."""
-        marks = "".join(map(self.symbols.__getitem__, (space + word).encode()))
-        return np.array([t.id for t in self.tokenizer.model.tokenize(marks)], dtype=self.dtype).tobytes()
+        # ASCII letters are their own symbols
+        marks = word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols)
+        return array(self.code, [t.id for t in self.model.tokenize(lead + marks)]).tobytes()
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -85,45 +90,48 @@ class PieceEncoder(dict):
             return self[piece]
         got = self.first.get(piece)
         if got is None:
-            if _EDGE.search(piece):
-                raise _Blank
             if self.held_first >= self.bound // 4:
                 self.first.clear()
                 self.held_first = 0
-            m = _WORD_MARKS.fullmatch(piece)
-            got = self.first[piece] = self.at_start(m[1]) + self.at_start(m[2]) if m else (
-                self.letters(piece, "") if _LETTERS.fullmatch(piece) else self.library(piece))
+            if _LETTERS.fullmatch(piece):
+                got = self.letters(piece, "")
+            elif m := _WORD_MARKS.fullmatch(piece):
+                got = self.at_start(m[1]) + self.at_start(m[2])
+            elif _EDGE.search(piece):
+                raise _Blank
+            else:
+                got = self.library(piece)
+            self.first[piece] = got
             self.held_first += ENTRY_BYTES + len(piece) + len(got)
         return got
 
     def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = self.fresh(piece)
         if self.held >= self.bound:
             self.old, self.held = dict(self), 0
             self.clear()
-        got = self.old.get(piece)
-        if got is not None:
-            self[piece] = got
-            self.held += ENTRY_BYTES + len(piece) + len(got)
-            return got
+        self[piece] = got
+        self.held += ENTRY_BYTES + len(piece) + len(got)
+        return got
+
+    def fresh(self, piece: str) -> bytes:
+        """Ids of a piece that isn't known."""
+        if _LETTERS.fullmatch(piece):
+            if not self.space and (low := piece.lower()) != piece:
+                return self[low]
+            return self.letters(piece, self.lead)
+        if m := _WORD_MARKS.fullmatch(piece):
+            return self[m[1]] + self.at_start(m[2])
         if _EDGE.search(piece):
             raise _Blank
         if "\n" in piece:
             head, *rest = piece.split("\n")
-            out = [self[head]]
-            for part in rest:
-                out += (self.line, self.at_start(part))
-            return b"".join(out)
+            return b"".join([self[head], *[x for part in rest for x in (self.line, self.at_start(part))]])
         if not self.space and _CASED.fullmatch(piece) and (low := piece.lower()) != piece:
-            got = self[low]
-        elif _LETTERS.fullmatch(piece):
-            got = self.letters(piece, self.space)
-        elif m := _WORD_MARKS.fullmatch(piece):
-            got = self[m[1]] + self.at_start(m[2])
-        else:
-            got = self.library(self.space + piece)
-        self[piece] = got
-        self.held += ENTRY_BYTES + len(piece) + len(got)
-        return got
+            return self[low]
+        return self.library(self.space + piece)
 
     def encode(self, text: str | None) -> bytes:
         """Id bytes of a whole text (null or empty: none)."""
