@@ -74,6 +74,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, te
         end = np.array([end_id], "<u4").tobytes()
         encode = encoder(tokenizer, bound=CACHE_BYTES).encode
         shard, before, names, sizes, out, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+        seen = _Counts()
         for batch in batches:
             # object dtype keeps null ids null
             for name, body in zip(batch["doc_id"].astype("Int64"), batch["text"]):
@@ -83,30 +84,28 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, te
                 out.append(got)
                 held += len(got) // 4
                 if held >= BLOCK_IDS:
-                    yield _block(shard, before, names, sizes, out)
+                    yield _block(shard, before, names, sizes, out, seen)
                     before, names, sizes, out, held = before + held, [], [], [], 0
         if names:
-            yield _block(shard, before, names, sizes, out)
+            yield _block(shard, before, names, sizes, out, seen)
+        if len(seen.total):  # a row of its own, read without the ids
+            yield pd.DataFrame({"shard": [shard], "before": [before], "n_ids": [0], "doc_ids": [None], "sizes": [None], "ids": [None],
+                                "counts": [seen.total.astype("<i8").tobytes()]})
 
-    schema = "shard int, before long, n_ids long, doc_ids array<bigint>, sizes array<int>, ids binary"
-    ranged.mapInPandas(ids, schema).write.option("compression", "zstd").parquet(stage)
+    schema = "shard int, before long, n_ids long, doc_ids array<bigint>, sizes array<int>, ids binary, counts binary"
+    ranged.mapInPandas(ids, schema).write.parquet(stage)
     staged = spark.read.schema(schema).parquet(stage)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0, np.int64)  # as long as the vocabulary at most
+        seen = _Counts()
         for batch in batches:
-            for raw, n in zip(batch["ids"], batch["n_ids"]):
-                seen = np.bincount(_staged(raw, n))
-                if len(seen) > len(total):
-                    seen[: len(total)] += total
-                    total = seen
-                else:
-                    total[: len(seen)] += seen
-        here = np.flatnonzero(total)
-        yield pd.DataFrame({"id": here, "n": total[here]})
+            for raw in batch["counts"]:
+                seen.add(np.frombuffer(raw, "<i8"))
+        here = np.flatnonzero(seen.total)
+        yield pd.DataFrame({"id": here, "n": seen.total[here]})
 
     # one row per id of the vocabulary at most
-    ranked = (staged.select("ids", "n_ids").mapInPandas(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    ranked = (staged.where("counts is not null").select("counts").mapInPandas(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
               .orderBy(F.desc("n"), "id").select("id").toPandas()["id"].to_numpy(np.int64))
     spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(ranked)), "id": ranked}), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, np.uint32)
@@ -120,6 +119,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, te
             yield batch
 
     schema = "shard int, before long, n_ids long, doc_ids array<bigint>, sizes array<int>, control binary, data binary"
+    staged = staged.where("ids is not null").drop("counts")
     staged.mapInPandas(coded, schema).write.option("compression", "zstd").parquet(f"{path}/blocks")
     running = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     (staged.groupBy("shard").agg(F.sum("n_ids").alias("n"))
@@ -127,16 +127,30 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, te
      .coalesce(1).write.parquet(f"{path}/shards"))
 
 
+class _Counts:
+    """Occurrences by id, an array as long as the vocabulary at most."""
+
+    def __init__(self) -> None:
+        self.total = np.zeros(0, np.int64)
+
+    def add(self, more: np.ndarray) -> None:
+        if len(more) > len(self.total):
+            self.total = np.append(self.total, np.zeros(len(more) - len(self.total), np.int64))
+        self.total[: len(more)] += more
+
+
 def _staged(raw: bytes, n: int) -> np.ndarray:
     """Ids of a staged block: two bytes each if all fit, else four."""
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
 
 
-def _block(shard, before, names, sizes, out) -> pd.DataFrame:
+def _block(shard, before, names, sizes, out, seen: _Counts) -> pd.DataFrame:
     ids = np.frombuffer(b"".join(out), "<u4")
+    seen.add(np.bincount(ids))
     if ids.max() < 1 << 16:  # every document has its end id, so there is one
         ids = ids.astype("<u2")
-    return pd.DataFrame({"shard": [shard], "before": [before], "n_ids": [len(ids)], "doc_ids": [names], "sizes": [sizes], "ids": [ids.tobytes()]})
+    return pd.DataFrame({"shard": [shard], "before": [before], "n_ids": [len(ids)], "doc_ids": [names], "sizes": [sizes], "ids": [ids.tobytes()],
+                         "counts": [None]})
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
