@@ -53,20 +53,21 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> pd.DataFrame:
             if at < len(sizes):  # the successor: the smallest gap that fits
                 gap = sizes[at]
                 first, n = gaps[gap].pop()
-                take = min(n, left)
-                if take < n:
-                    gaps[gap].append((first + take, n - take))
+            else:  # no gap fits: new sequences
+                gap, first, n = capacity, sequences, left
+            # what is left of a gap is the next piece's successor while it fits: gaps are filled in turn
+            per = min(gap // length, left)
+            used = min(n, left // per)
+            take = used * per
+            if gap == capacity:
+                sequences += used
+            else:
+                if used < n:
+                    gaps[gap].append((first + used, n - used))
                 if not gaps[gap]:
                     del gaps[gap], sizes[at]
-                slots.append((length, rank, take, first, 1, capacity - gap))
-                add(gap - length, (first, take))
-            else:  # no gap fits: new sequences, filled with this length
-                per = min(capacity // length, left)
-                n = left // per
-                take = n * per
-                slots.append((length, rank, take, sequences, per, 0))
-                add(capacity - per * length, (sequences, n))
-                sequences += n
+            slots.append((length, rank, take, first, per, capacity - gap))
+            add(gap - per * length, (first, used))
             left, rank = left - take, rank + take
     out = pd.DataFrame(slots, columns=["length", "start", "n", "sequence", "per", "offset"])
     return out.sort_values(["length", "start"], ignore_index=True)
