@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,14 @@ def removed(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def constant_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small constant table as one JSON literal of the plan: no file, no Python worker."""
+    names = [part.strip().split(" ", 1)[0] for part in schema.split(", ")]
+    fields = ", ".join(": ".join(part.strip().split(" ", 1)) for part in schema.split(", "))
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
+
+
 _KEPT: dict = {}
 
 

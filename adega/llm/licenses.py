@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adega.llm.common import ascii_lower, free_name, let
+from adega.llm.common import ascii_lower, constant_rows, free_name, let
 
 #: units of a window frame over diagonals
 _FRAME = 1 << 20
@@ -81,8 +81,8 @@ def scan(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[str, str]]
     key = [F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(7_046_029), body).alias("t2")]
 
     templates = [(p.split(" "), label, True) for p, label in phrases] + [(p.split(" "), label, False) for p, label in passages]
-    grams = spark.createDataFrame(
-        [(k, label, exact, w, i) for k, (w, label, exact) in enumerate(templates) for i in range(len(w) - 1)],
+    grams = constant_rows(
+        spark, [(k, label, exact, w, i) for k, (w, label, exact) in enumerate(templates) for i in range(len(w) - 1)],
         "template int, label string, exact boolean, wanted array<string>, at int",
     ).withColumn("gram", F.xxhash64(F.element_at("wanted", F.col("at") + 1), F.element_at("wanted", F.col("at") + 2)))
 

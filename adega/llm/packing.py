@@ -21,9 +21,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adega.llm.common import stored
+from adega.llm.common import constant_rows, stored
 from adega.llm.token_ids import encoder
 
+#: bytes of a worker's cache of encoded pieces
+CACHE_BYTES = 64 << 20
 #: pieces of one length that a rank block holds on average
 BLOCK_ROWS = 20_000
 
@@ -73,7 +75,8 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> pd.DataFrame:
     return out.sort_values(["length", "start"], ignore_index=True)
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, text: str = "text", doc_id: str = "doc_id",
+             cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Pieces of every whole document: ``doc_id, piece, start, length, ids`` (little-endian
     unsigned 32-bit) and ``ids_crc32``.  A null text is empty: its only id is ``end_id``."""
 
@@ -81,7 +84,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, text:
         import zlib
 
         end = np.array([end_id], "<u4").tobytes()
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, bound=cache_bytes).encode
         for batch in batches:
             rows, held = [], 0
             for name, body in zip(batch["doc_id"].astype("Int64"), batch["text"]):
@@ -106,26 +109,25 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, text: str = "text",
-         doc_id: str = "doc_id") -> DataFrame:
+         doc_id: str = "doc_id", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids, ids_crc32, sequence_id,
     offset``; pieces of a sequence follow each other without gaps from offset 0.
 
     Only the two named columns are read.  A null or empty text is a document of one
     id, the end id.  Repeated rows and ids are documents of their own; equal pieces
     may change places between runs, their number per sequence layout does not.  An
-    empty table gives no pieces."""
-    pieces = stored(tokenise(docs, tokenizer, end_id, capacity, text, doc_id), "pieces")
+    empty table gives no pieces.  ``cache_bytes`` bounds each worker's cache."""
+    pieces = stored(tokenise(docs, tokenizer, end_id, capacity, text, doc_id, cache_bytes), "pieces")
     return place(pieces, capacity)
 
 
 def place(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``."""
-    spark = pieces.sparkSession
     per_length = pieces.groupBy("length").agg(F.count("*").alias("n"))
     counts = {int(r["length"]): int(r["n"]) for r in per_length.collect()}  # capacity rows at most
     slots = best_fit_runs(counts, capacity)
     # pieces of a length are dealt to blocks by hash, so a length that many share is split
-    blocks = spark.createDataFrame([(k, -(-n // BLOCK_ROWS)) for k, n in counts.items()], "length long, blocks long")
+    blocks = constant_rows(pieces.sparkSession, [(k, -(-n // BLOCK_ROWS)) for k, n in counts.items()], "length long, blocks long")
     mixed = F.xxhash64("doc_id", "piece", "ids_crc32")
     dealt = pieces.join(F.broadcast(blocks), "length").withColumn("block", F.pmod(mixed, F.col("blocks"))).drop("blocks")
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -154,7 +156,9 @@ def _lookup(slots: pd.DataFrame, length: Column, rank: Column) -> tuple[Column,
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """The packed sequences: ``sequence_id, n_tokens, doc_ids, ids`` (pieces in place)."""
+    """The packed sequences: ``sequence_id, n_tokens, doc_ids, ids`` (pieces in place).
+    A sequence has one entry of ``doc_ids`` a piece, so a document may appear twice; a null
+    id stays null; repeated rows are pieces of their own; no pieces give no sequences."""
     parts = packed.groupBy("sequence_id").agg(
         F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("parts"))
     joined = F.aggregate("parts", F.lit(b""), lambda out, p: F.concat(out, p["ids"]))

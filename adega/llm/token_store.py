@@ -105,9 +105,10 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, te
         yield pd.DataFrame({"id": here, "n": seen.total[here]})
 
     # one row per id of the vocabulary at most
-    ranked = (staged.where("counts is not null").select("counts").mapInPandas(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-              .orderBy(F.desc("n"), "id").select("id").toPandas()["id"].to_numpy(np.int64))
-    spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(ranked)), "id": ranked}), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
+    by_count = Window.orderBy(F.desc("n"), "id")
+    (staged.where("counts is not null").select("counts").mapInPandas(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+     .select((F.row_number().over(by_count) - 1).cast("long").alias("rank"), "id").coalesce(1).write.parquet(f"{path}/ranks"))
+    ranked = _ids_by_rank(spark, path)
     rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
 
@@ -153,10 +154,18 @@ def _block(shard, before, names, sizes, out, seen: _Counts) -> pd.DataFrame:
                          "counts": [None]})
 
 
+def _ids_by_rank(spark: SparkSession, path: str) -> np.ndarray:
+    rows = spark.read.schema("rank long, id long").parquet(f"{path}/ranks").collect()  # the vocabulary bounds it
+    out = np.zeros(len(rows), np.int64)
+    for rank, name in rows:
+        out[rank] = name
+    return out
+
+
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a token file: ``doc_id``, ``start`` (ids of all documents
     before it), ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit integers)."""
-    ids_of = spark.read.parquet(f"{path}/ranks").orderBy("rank").toPandas()["id"].to_numpy(np.uint32)  # the vocabulary bounds it
+    ids_of = _ids_by_rank(spark, path).astype(np.uint32)
     blocks = spark.read.parquet(f"{path}/blocks")
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adega.llm.common import stored
+from adega.llm.common import constant_rows, stored
 from adega.llm.vectors import usable
 
 #: vectors, and queries, that one task's matrix product takes on average
@@ -64,7 +64,7 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale:
     rings = index.groupBy("dim", "pivot", "ring").agg(
         F.min("distance").alias("near"), F.max("distance").alias("far"), F.max("norm").alias("norm"), F.count("*").alias("n")).toPandas()
     rings = rings.sort_values(["dim", "pivot", "ring"], ignore_index=True).assign(ring_id=np.arange(len(rings)), blocks=lambda r: -(-r["n"] // BLOCK))
-    table = spark.createDataFrame(rings[["dim", "pivot", "ring", "ring_id", "blocks"]].astype("int64"), "dim int, pivot int, ring int, ring_id int, blocks int")
+    table = constant_rows(spark, rings[["dim", "pivot", "ring", "ring_id", "blocks"]].astype("int64").values.tolist(), "dim int, pivot int, ring int, ring_id int, blocks int")
     queries = index.where("is_query")
     shares = max(1, -(-queries.count() // BLOCK))
     # a ring's vectors are dealt to blocks; a block is compared with one share of the queries at a time
