@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents with their places in sequences of 2048 tokens."""
-    return pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048).drop("ids")
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048, cache_bytes=24 << 20).drop("ids")
 
 
 STAGES = [
