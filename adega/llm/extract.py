@@ -102,7 +102,7 @@ def train_chain(pages: Sequence[tuple[Sequence[Sequence[str]], Sequence[int]]],
 
 
 @lru_cache(maxsize=4)
-def default_model(n_pages: int = 600, seed: int = 1) -> ChainModel:
+def default_model(n_pages: int = 900, seed: int = 1) -> ChainModel:
     """The model learnt from ``n_pages`` of the labelled pages."""
     pages = []
     for html, main in labelled_pages(n_pages, seed):

@@ -40,25 +40,45 @@ class _Page:
         attribute = {"": "", ".": f' class="{name.replace("+", " ")}"', "#": f' id="{name}"'}[sign]
         return f"<{tag}{attribute}>{inner}</{tag}>"
 
+    def styled(self, tag: str, inner: str) -> str:
+        """A piece of the article, now and then with a class name for its look that also
+        names page furniture."""
+        if self.rng.random() < (0.12 if tag == "p" else 0.4 if tag == "div" else 0.05):
+            name = self.rng.choice("more intro lead tags-intro top text-body note body-text side-note first related-text page-break wide".split())
+            return f'<{tag} class="{name}">{inner}</{tag}>'
+        return f"<{tag}>{inner}</{tag}>"
+
+    def items(self, tag: str) -> str:
+        return f"<{tag}>" + "".join(f"<li>{self.keep(self.words(2, 16))}</li>" for _ in range(self.rng.randint(2, 5))) + f"</{tag}>"
+
     def article(self) -> str:
         r, out = self.rng, []
         title = f"<h1>{self.keep(self.words(1, 12))}</h1>"
         out.append(f"<header>{title}</header>" if r.random() < 0.2 else title)
-        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
+        for _ in range(r.choice([1, 1, 1, 2, 3, 5, 8, 14])):
             x = r.random()
-            if x < 0.70:
-                out.append(f"<p>{self.keep(self.sentences())}</p>")
-            elif x < 0.76:
-                out.append(f"<h2>{self.keep(self.words(1, 6))}</h2>")
-            elif x < 0.80:
+            if x < 0.10:
+                out.append(f"<p>{self.keep(self.words(1, 6, r.choice('...!?')))}</p>")
+            elif x < 0.55:
+                out.append(self.styled("p", self.keep(self.sentences())))
+            elif x < 0.58:
+                out.append(self.styled("div", self.keep(self.sentences())))
+            elif x < 0.62:
+                name = self.rng.choice("more intro tags-intro top-text note-body side-text related-intro row c1".split())
+                out.append(f'<div class="{name}">' + "".join(f"<p>{self.keep(self.sentences())}</p>" for _ in range(r.randint(1, 2))) + "</div>")
+            elif x < 0.69:
+                out.append(self.styled(r.choice("h2 h2 h3 h3 h4".split()), self.keep(self.words(1, 6))))
+            elif x < 0.73:
                 out.append(f"<blockquote><p>{self.keep(self.sentences(1, 2))}</p></blockquote>")
+            elif x < 0.79:
+                out.append(self.items(r.choice(["ul", "ol", "ol"])))
+            elif x < 0.81:
+                out.append("<dl>" + "".join(f"<dt>{self.keep(self.words(1, 3))}</dt><dd>{self.keep(self.words(3, 14))}</dd>" for _ in range(r.randint(1, 3))) + "</dl>")
             elif x < 0.84:
-                out.append("<ul>" + "".join(f"<li>{self.keep(self.words(2, 9))}</li>" for _ in range(r.randint(2, 4))) + "</ul>")
-            elif x < 0.87:
-                out.append(f"<p>{self.keep(self.words(1, 3, '.'))}</p>")
-            elif x < 0.90:
+                out.append(f'<figure><img src="x.png"><figcaption>{self.keep(self.words(2, 12, r.choice([".", ""])))}</figcaption></figure>')
+            elif x < 0.88:
                 out.append(f"<pre>{self.keep(self.words(3, 12))}</pre>")
-            elif x < 0.92:
+            elif x < 0.91:
                 out.append("<table><tr>" + "".join(f"<td>{self.keep(self.words(1, 3))}</td>" for _ in range(3)) + "</tr></table>")
             else:
                 out.append(r.choice([self.advert, self.related, self.share, self.newsletter])())
@@ -108,15 +128,23 @@ class _Page:
     def html(self) -> str:
         r = self.rng
         before = [f for f in (self.notice, self.site_header, self.menu, self.advert, self.newsletter, self.sidebar) if r.random() < 0.45]
-        after = [f for f in (self.sidebar, self.related, self.comments, self.share, self.newsletter, self.advert, self.notice) if r.random() < 0.35]
+        bare = r.random() < 0.15  # hardly anything but the article
+        after = [] if bare else [f for f in (self.sidebar, self.related, self.comments, self.share, self.newsletter, self.advert, self.notice) if r.random() < 0.35]
         r.shuffle(before)
         r.shuffle(after)
         body = self.article() if r.random() < 0.96 else ""
         if body:
-            body = self.block("article article article main main div.content div.post div#content div.entry-content div.article-body section.story div.main", body)
+            plain = r.random()
+            if plain < 0.12:
+                pass  # straight in the body
+            elif plain < 0.42:  # a container whose name says nothing
+                made = "".join(r.choices(_SYLLABLES, k=2))
+                body = self.block(f"div div div section div.wrap div.col-md-8 div.row div.inner div.{made} div.x{r.randint(1, 99)} div.l-{made}", body)
+            else:
+                body = self.block("article article article main main div.content div.post div#content div.entry-content div.article-body section.story div.main", body)
             if r.random() < 0.25:
-                body = self.block("main div div.container div#page div.wrapper", body)
-        tail = self.footer() if r.random() < 0.8 else ""
+                body = self.block("main div div.container div#page div.wrapper div.wrap div.row", body)
+        tail = self.footer() if not bare and r.random() < 0.8 else ""
         return f"<html><body>{''.join(f() for f in before)}{body}{''.join(f() for f in after)}{tail}</body></html>"
 
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from adega.llm.blocks import page_blocks
 from adega.llm.catalog import QUERIES
@@ -77,6 +78,47 @@ def test_furniture_goes_and_the_article_stays():
     assert main_text(page, default_model()) == "Title & more\nFirst paragraph of the text.\nSecond one."
 
 
+HEAD = '<header><a href="/">Site</a><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav></header>'
+FOOT = "<footer>&copy; 2024 Site name</footer>"
+ARTICLE = ("<h1>Title of this</h1><p>First paragraph of the text, with several words in it.</p>"
+           "<p>Second paragraph follows here, and it is also rather long.</p><p>Third one ends the text.</p>")
+PLAIN = ("Title of this\nFirst paragraph of the text, with several words in it.\nSecond paragraph follows here, and it is also rather long.\n"
+         "Third one ends the text.")
+
+
+@pytest.mark.parametrize("page", [
+    f'<body>{HEAD}<div class="wrap">{ARTICLE}</div></body>', f'<body>{HEAD}<div class="col-md-8">{ARTICLE}</div>{FOOT}</body>',
+    f"<body><div>{ARTICLE}</div>{FOOT}</body>", f"<body>{HEAD}<div>{ARTICLE}</div>{FOOT}</body>", f"<body>{HEAD}<section>{ARTICLE}</section>{FOOT}</body>",
+    f"<body>{ARTICLE}</body>", f"<body>{HEAD}{ARTICLE}{FOOT}</body>",
+    f'<body><div class="cookie-banner"><p>We use cookies. Fine?</p></div>{HEAD}<aside class="sidebar"><p>Buy this now, it is good.</p></aside><div>{ARTICLE}'
+    '<div class="ad">Cheap things for sale here.</div></div><section id="comments"><h3>Comments</h3><p>I liked the text very much, thanks.</p></section>'
+    f"<form><label>Mail</label><button>Go</button></form>{FOOT}</body>"])
+def test_articles_in_containers_whose_names_say_nothing(page):
+    assert main_text(page, default_model()) == PLAIN
+
+
+def test_pieces_of_all_kinds_stay():
+    page = f"""<body>{HEAD}<article><h1>T one</h1><h3>Sub head</h3><p>Some text of the thing here.</p><ol><li>one thing</li><li>two things</li></ol>
+    <h4>Deeper</h4><dl><dt>Term</dt><dd>Meaning of the term</dd></dl><figure><figcaption>A caption of it.</figcaption></figure>
+    <p>The mass is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> in it.</p></article>{FOOT}</body>"""
+    assert main_text(page, default_model()) == ("T one\nSub head\nSome text of the thing here.\none thing\ntwo things\nDeeper\nTerm\nMeaning of the term\n"
+                                                "A caption of it.\nThe mass is E=m in it.")
+    listed = "<body><h1>Title</h1><p>First paragraph of it all.</p><ol><li>one item here</li><li>another item here</li></ol><p>Second paragraph of it all.</p></body>"
+    assert main_text(listed, default_model()).count("\n") == 4
+
+
+@pytest.mark.parametrize("piece", ['<p class="more">{}</p>', '<div class="tags-intro">{}</div>', '<div class="tags-intro"><p>{}</p></div>', '<p class="top">{}</p>'])
+def test_class_names_of_looks_inside_an_article(piece):
+    odd = piece.format("More of this text is standing here.")
+    page = f"<body>{HEAD}<article><h1>T one</h1><p>First paragraph of the text here.</p>{odd}<p>The last one of the text.</p></article>{FOOT}</body>"
+    assert main_text(page, default_model()) == "T one\nFirst paragraph of the text here.\nMore of this text is standing here.\nThe last one of the text."
+
+
+def test_pages_without_an_article_are_empty():
+    for page in ("<nav>only</nav>", '<body><div class="cookie-notice"><p>We use cookies on this site.</p></div></body>', f"<body>{HEAD}{FOOT}</body>"):
+        assert main_text(page, default_model()) == ""
+
+
 def test_names_are_read_in_pieces():
     page = """<body><div id="adBox"><p>Some words to sell.</p></div><ol class="commentlist"><li><p>Nice text here.</p></li></ol>
     <div class="sidebarLeft"><p>Words on the side here.</p></div><article><h1>Head</h1><p>Text of it.</p></article></body>"""
