@@ -69,15 +69,18 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale:
     shares = max(1, -(-queries.count() // BLOCK))
     # a ring's vectors are dealt to blocks; a block is compared with one share of the queries at a time
     members = index.join(F.broadcast(table), ["dim", "pivot", "ring"]).select(
-        "ring_id", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "row", "vec_id", "x")
+        "ring_id", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), "row", "vec_id", "x")
 
-    def expand(asked: DataFrame) -> DataFrame:
+    def expand(asked: DataFrame, name: str) -> DataFrame:
         """Scores of (query row, ring_id) pairs: the best k of each block."""
-        asked = asked.join(F.broadcast(table.select("ring_id", "blocks")), "ring_id").withColumn(
+        asked = stored(asked, f"topk-{name}").join(F.broadcast(table.select("ring_id", "blocks")), "ring_id").withColumn(
             "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         asked = asked.withColumn("share", F.pmod(F.xxhash64("row"), F.lit(shares)).cast("int"))
         keys = ["ring_id", "block", "share"]
+        # a block goes to the shares that ask for its ring, and nowhere if none does
+        wanted = asked.select("ring_id", "block", F.col("share").alias("share")).distinct()
+        have = members.join(wanted, ["ring_id", "block"])
+        asked = asked.join(asking.select("row", "query_id", F.col("x").alias("query_x")), "row")
 
         def best(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
             if not len(ask) or not len(have):
@@ -86,7 +89,7 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale:
             out = []
             for a in range(0, len(ask), 256):
                 part = ask.iloc[a: a + 256]
-                scores = _products(_ints(part["x"]), x)
+                scores = _products(_ints(part["query_x"]), x)
                 for row, name, line in zip(part["row"], part["query_id"], scores):
                     line = np.where(own == row, np.iinfo(np.int64).min, line)
                     if len(line) > k:
@@ -98,7 +101,7 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale:
                     out.append(pd.DataFrame({"query_row": row, "query_id": name, "vec_id": ids[pick], "score": line[pick]}))
             return pd.concat(out)
 
-        return asked.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(
+        return asked.groupBy(*keys).cogroup(have.groupBy(*keys)).applyInPandas(
             best, "query_row long, query_id long, vec_id long, score long")
 
     asking = queries.select("row", F.col("vec_id").alias("query_id"), "dim", "x")
@@ -114,18 +117,18 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale:
                     held = np.cumsum(own["n"].to_numpy()[order])
                     seed = int(np.searchsorted(held, 4 * k + 1)) + 1  # rings that hold enough to set a threshold
                     pick = order[:seed] if first else order[seed:][bound[order[seed:]] >= q.threshold]
-                    yield pd.DataFrame({"row": q.row, "query_id": q.query_id, "x": [q.x] * len(pick), "ring_id": own["ring_id"].to_numpy()[pick]})
+                    yield pd.DataFrame({"row": q.row, "ring_id": own["ring_id"].to_numpy()[pick]})
         return rows_of
 
-    pairs = "row long, query_id long, x binary, ring_id int"
+    pairs = "row long, ring_id int"
     by_score = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
-    seeds = stored(expand(asking.mapInPandas(choose(True), pairs)), "topk-seeds")
+    seeds = stored(expand(asking.mapInPandas(choose(True), pairs), "first"), "topk-seeds")
     kth = (seeds.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).groupBy(F.col("query_row").alias("row"))
            .agg(F.count("*").alias("n"), F.min("score").alias("threshold")))
     lowest = F.lit(-(1 << 63)).cast("long")
     rest = asking.join(kth, "row", "left").withColumn(
         "threshold", F.when(F.col("n") >= k, F.col("threshold")).otherwise(lowest)).drop("n")
-    more = expand(rest.mapInPandas(choose(False), pairs))
+    more = expand(rest.mapInPandas(choose(False), pairs), "rest")
     ranked = seeds.unionByName(more).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
