@@ -17,6 +17,7 @@ links and no pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +59,20 @@ def _links(group: np.ndarray, node: np.ndarray, unit: np.ndarray, start: int, wi
     return pd.DataFrame({"a": pairs[:2].min(axis=0), "b": pairs[:2].max(axis=0), "far": pairs[2]})
 
 
-def similar_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = 16, window: int = 128, passes_per_job: int = 4,
+def passes_for(n: int, window: int, threshold: float, recall: float, least: int = 16) -> int:
+    """Passes that bring an isolated pair at the threshold into one window with probability
+    ``recall``, among ``n`` vectors of a label.
+
+    A random plane separates the pair with probability ``acos(threshold) / pi``; a pass
+    finds it if the bits agree that tell ``n`` vectors into windows: ``agree ** log2(n /
+    window)``.  Closer pairs, and pairs linked through others, are found sooner."""
+    agree = 1 - math.acos(threshold) / math.pi
+    found = agree ** math.log2(max(1.0, n / window))
+    return least if found >= 1 else max(least, math.ceil(math.log(1 - recall) / math.log(1 - found)))
+
+
+def similar_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int | None = None, window: int = 128, passes_per_job: int = 4,
+                    recall: float = 0.95,
                     seed: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """Per row: ``vec_id``, ``n_links`` (other rows linked directly), ``component_id``
     (smallest vec_id reachable, itself included) and ``kept`` (vec_id = component_id).
@@ -70,6 +84,8 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = 1
     rows.  A null vec_id takes part but names no component that has another id.
     Only the three named columns are read; an empty table gives no rows.
 
+    ``passes`` follow the size of the largest label (:func:`passes_for` with ``recall``:
+    16 up to a million vectors, 55 at a thousand million), if not given.
     Links are found by passes, except that those of crowded vectors, which have
     ``passes / 2`` links or more in the far halves of their windows, are counted
     exactly within their component; a component's blocks make a number of block pairs
@@ -81,8 +97,10 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.93, passes: int = 1
     ok = F.coalesce(F.col("label").isNotNull() & usable(F.col("v")) & F.when(usable(F.col("v")), length > 0), F.lit(False))
     rows = rows.withColumn("node", F.when(ok, F.xxhash64("label", "v")))
     nodes = stored(rows.where("node is not null").groupBy("label", "v", "node").agg(F.count("*").alias("weight")), "vector-nodes")
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    n_nodes = sizes[0] or 0
+    passes = passes or passes_for(sizes[1] or 0, window, threshold, recall)
     per_job = min(max(1, passes_per_job), passes)
-    n_nodes = nodes.count()
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a partition should hold several windows
     partitions = max(1, min(width, n_nodes * per_job // (4 * window)))

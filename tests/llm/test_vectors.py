@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from adega.llm.catalog import ORACLE_SQL, QUERIES
 from adega.llm.topk import top_inner_products
-from adega.llm.vectors import similar_vectors
+from adega.llm.vectors import passes_for, similar_vectors
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "vec_id long, embedding array<float>, label int, node string, x string, n_links string, rank string"
@@ -141,3 +141,24 @@ def test_top_query_matches_sql(spark):
     con.execute(f"create view embeddings as select * from read_parquet('{SF}/embeddings.parquet')")
     want = sorted(con.sql(f"select query_id, rank, vec_id, score from ({ORACLE_SQL['op8_topk']})").fetchall())
     assert sorted(map(tuple, QUERIES["op8_topk"](spark, SF).select("query_id", "rank", "vec_id", "score").collect())) == want
+
+
+def test_passes_grow_with_the_label():
+    got = [passes_for(n, 128, 0.93, 0.95) for n in (0, 1, 100, 10_000, 10 ** 6, 10 ** 7, 10 ** 9)]
+    assert got[:4] == [16] * 4 and got == sorted(got) and got[-1] > 40
+    assert passes_for(10 ** 6, 128, 0.93, 0.999) > passes_for(10 ** 6, 128, 0.93, 0.95)
+    # by simulation: isolated pairs at the threshold among random vectors
+    rng = np.random.default_rng(1)
+    n, dim, window = 3000, 32, 16
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((200, dim))
+    side -= (side * x[:200]).sum(axis=1, keepdims=True) * x[:200]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([x, 0.93 * x[:200] + math.sqrt(1 - 0.93 ** 2) * side])
+    found = np.zeros(200, bool)
+    for turn in range(passes_for(len(x), window, 0.93, 0.95, least=1)):
+        bits = np.packbits(x @ rng.standard_normal((dim, 64)) > 0, axis=1).view(">u8").ravel()
+        place = np.argsort(np.argsort(bits, kind="stable"), kind="stable")
+        found |= np.abs(place[:200] - place[n:]) <= window
+    assert found.mean() >= 0.9
