@@ -149,12 +149,13 @@ def spare_signatures(size: int, filled: int, band: Band, num: int, den: int) ->
     """How many signatures a set may leave out of a band without segment deletions.
 
     A link of the set differs in at most D shingles, so at least ``c = filled - D``
-    of its segments are equal to the partner's.  If either side leaves out at most
-    ``(c - 1) // 2`` of its own, one equal segment remains that neither left out."""
+    of its segments are equal to the partner's.  If each side leaves out its
+    ``c - 1`` commonest signatures at most, in one order for all sets, the rarest of the equal
+    ones stays on both sides: at least c - 1 equal ones are commoner."""
     if band.deletions:
         return 0
     partner = min(band.high, size * den // num)
-    return max(0, (filled - (den - num) * (size + partner) // (den + num) - 1) // 2)
+    return max(0, filled - (den - num) * (size + partner) // (den + num) - 1)
 
 
 def signatures(shingles: np.ndarray, band: Band, layout: int = 0) -> tuple[np.ndarray, bool]:

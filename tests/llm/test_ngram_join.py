@@ -184,3 +184,36 @@ def test_query_matches_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = QUERIES["op3_ngram_join"](spark, sf)
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute(rows, 4, 85, 100)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_links_survive_the_signatures_that_nodes_leave_out(seed):
+    """The commonest signatures go on both sides; every link keeps one in common."""
+    rng = np.random.default_rng(seed)
+    passage = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = []
+    for _ in range(25):
+        base = np.concatenate([rng.integers(0, 1 << 63, int(rng.integers(8, 200)), dtype=np.uint64), passage[: int(rng.integers(0, 60))]])
+        for _ in range(int(rng.integers(1, 9))):
+            keep = rng.random(len(base)) > rng.choice([0.0, 0.03, 0.07])
+            sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(base) // 15)), dtype=np.uint64)])))
+    rows = []  # (band, node, signatures, how many may go)
+    for node, s in enumerate(sets):
+        for band in bands_of(len(s), 85, 100):
+            got, spare = all_signatures(s, band, 85, 100)
+            rows.append((band.index, node, np.unique(got), spare))
+    names, counts = np.unique(np.concatenate([r[2] for r in rows]), return_counts=True)
+    count = dict(zip(names.tolist(), counts.tolist()))
+    kept, gone = {}, 0
+    for _, node, got, spare in rows:
+        shared = sorted((x for x in got.tolist() if count[x] > 1), key=lambda x: (-count[x], np.int64(np.uint64(x).view(np.int64))))
+        gone += min(spare, len(shared))
+        kept.setdefault(node, set()).update(shared[spare:])
+    links = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            inter = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * inter >= 85 * (len(sets[a]) + len(sets[b]) - inter) and set_key(sets[a]) != set_key(sets[b]):
+                links += 1
+                assert kept[a] & kept[b], (len(sets[a]), len(sets[b]), inter)
+    assert links > 20 and gone > 100
