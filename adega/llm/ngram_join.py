@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adega.llm.common import free_name, kept_by_process, stored
+from adega.llm.common import free_name, kept_by_process, removed, stored, stored_at
 from adega.llm.components import connected_components
 
 _U = np.uint64
@@ -302,13 +302,16 @@ def _shared_signatures(docs: DataFrame, text: str, words: int, num: int, den: in
 
 
 def _without_common(rows: DataFrame) -> DataFrame:
-    """``sig, key, degree``: each node leaves out the commonest signatures it can
-    spare in each band; ``degree`` is the number of rows that it meets in the rest."""
+    """``sig, key``: each node leaves out the commonest signatures it can spare in each band."""
     counts = rows.groupBy("sig").agg(F.count("*").alias("n"))
     by_band = Window.partitionBy("key", F.shiftright("info", 20)).orderBy(F.desc("n"), "sig")
-    left = (rows.join(counts, "sig").withColumn("place", F.row_number().over(by_band))
+    return (rows.join(counts, "sig").withColumn("place", F.row_number().over(by_band))
             .where(F.col("place") > F.col("info").bitwiseAND((1 << 20) - 1)).select("sig", "key"))
-    left = stored(left, "join-left")
+
+
+def _met(left: DataFrame) -> DataFrame:
+    """``sig, key, degree`` of the signatures that still have several nodes; ``degree`` is
+    the number of rows that a node meets in them."""
     counts = left.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
     met = left.join(counts, "sig")
     degrees = met.groupBy("key").agg(F.sum("n").alias("degree"))
@@ -400,8 +403,12 @@ def similar_links(docs: DataFrame, slim: DataFrame, text: str, doc_id: str, word
     """Verified links ``(a, b)`` between nodes (keys of distinct sets), enough for the
     components, or all of them with ``every_link``."""
     num, den = threshold
-    signed = stored(_shared_signatures(docs, text, words, num, den), "join-signatures")
-    shared = stored(_without_common(signed), "join-shared")
+    spark = docs.sparkSession
+    signed, signed_at = stored_at(_shared_signatures(docs, text, words, num, den), "join-signatures")
+    left, left_at = stored_at(_without_common(signed), "join-left")
+    removed(spark, signed_at)
+    shared = stored(_met(left), "join-shared")
+    removed(spark, left_at)
     sketches = slim.where("key is not null").groupBy("key").agg(F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
     # the texts of nodes that can be asked for, one document each
     nodes = slim.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
@@ -412,8 +419,7 @@ def similar_links(docs: DataFrame, slim: DataFrame, text: str, doc_id: str, word
         a, b = rows.select("sig", F.col("key").alias("a"), F.col("root").alias("ra")), rows.select("sig", F.col("key").alias("b"), F.col("root").alias("rb"))
         return a.join(b, "sig").where("ra < rb").select("a", "b")
 
-    found = None
-    tried = None
+    found = tried = state_at = None
     if not every_link:
         state = shared.withColumn("root", F.col("key"))
         for turn in range(2):
@@ -430,7 +436,10 @@ def similar_links(docs: DataFrame, slim: DataFrame, text: str, doc_id: str, word
             got = stored(_verified(pick, texts, words, num, den), "join-found")
             found = got if found is None else found.unionByName(got)
             roots = stored(connected_components(found), "join-roots")
-            state = stored(shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "join-state")
+            before = state_at
+            state, state_at = stored_at(shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "join-state")
+            if before:
+                removed(spark, before)
     else:
         state = shared.withColumn("root", F.col("key"))
     # buckets that still hold several components
