@@ -106,6 +106,9 @@ class PieceEncoder(dict):
         return got
 
     def __missing__(self, piece: str) -> bytes:
+        if "\n" in piece:  # two words and a line's end: seldom met again
+            head, *rest = piece.split("\n")
+            return b"".join([self[head], *[x for part in rest for x in (self.line, self.at_start(part))]])
         got = self.old.get(piece)
         if got is None:
             got = self.fresh(piece)
@@ -126,9 +129,6 @@ class PieceEncoder(dict):
             return self[m[1]] + self.at_start(m[2])
         if _EDGE.search(piece):
             raise _Blank
-        if "\n" in piece:
-            head, *rest = piece.split("\n")
-            return b"".join([self[head], *[x for part in rest for x in (self.line, self.at_start(part))]])
         if not self.space and _CASED.fullmatch(piece) and (low := piece.lower()) != piece:
             return self[low]
         return self.library(self.space + piece)
@@ -157,6 +157,13 @@ def encoder(path: str, width: int = 4, bound: int = CACHE_BYTES) -> PieceEncoder
     return kept_by_process(("encoder", path, width, bound), lambda: PieceEncoder(path, width, bound))
 
 
+def vocabulary_size(path: str) -> int:
+    """The largest id of a vocabulary file, special ones included, and one more."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file on this machine."""
     import public_tokenizers

@@ -22,14 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from adega.llm.token_ids import encoder
+from adega.llm.token_ids import encoder, vocabulary_size
 from adega.session import scratch_path
 
 #: ids after which a block ends (a longer document has a block of its own)
 BLOCK_IDS = 1 << 18
 
 #: bytes of a worker's cache of encoded pieces
-CACHE_BYTES = 80 << 20
+CACHE_BYTES = 112 << 20
 
 #: control byte -> byte counts of its four ranks
 _COUNTS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
@@ -65,14 +65,15 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, te
     ``doc_id`` order (null ids first, ties by a hash of the text; repeated rows
     are documents of their own).  Only the two named columns are read."""
     spark = docs.sparkSession
+    width = 2 if max(vocabulary_size(tokenizer) - 1, end_id) < 1 << 16 else 4
     stage = scratch_path(spark, "llm-token-ids")
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        end = np.array([end_id], "<u4").tobytes()
-        encode = encoder(tokenizer, bound=CACHE_BYTES).encode
+        end = np.array([end_id], f"<u{width}").tobytes()
+        encode = encoder(tokenizer, width, CACHE_BYTES).encode
         shard, before, names, sizes, out, held = TaskContext.get().partitionId(), 0, [], [], [], 0
         seen = _Counts()
         for batch in batches:
@@ -80,9 +81,9 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, te
             for name, body in zip(batch["doc_id"].astype("Int64"), batch["text"]):
                 got = encode(body) + end
                 names.append(None if name is pd.NA else int(name))
-                sizes.append(len(got) // 4)
+                sizes.append(len(got) // width)
                 out.append(got)
-                held += len(got) // 4
+                held += sizes[-1]
                 if held >= BLOCK_IDS:
                     yield _block(shard, before, names, sizes, out, seen)
                     before, names, sizes, out, held = before + held, [], [], [], 0
@@ -121,7 +122,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, te
 
     schema = "shard int, before long, n_ids long, doc_ids array<bigint>, sizes array<int>, control binary, data binary"
     staged = staged.where("ids is not null").drop("counts")
-    staged.mapInPandas(coded, schema).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    staged.mapInPandas(coded, schema).write.parquet(f"{path}/blocks")
     running = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     (staged.groupBy("shard").agg(F.sum("n_ids").alias("n"))
      .select("shard", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("shard_start"))
@@ -141,16 +142,15 @@ class _Counts:
 
 
 def _staged(raw: bytes, n: int) -> np.ndarray:
-    """Ids of a staged block: two bytes each if all fit, else four."""
+    """Ids of a staged block: two or four bytes each."""
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
 
 
 def _block(shard, before, names, sizes, out, seen: _Counts) -> pd.DataFrame:
-    ids = np.frombuffer(b"".join(out), "<u4")
+    raw = b"".join(out)
+    ids = _staged(raw, sum(sizes))
     seen.add(np.bincount(ids))
-    if ids.max() < 1 << 16:  # every document has its end id, so there is one
-        ids = ids.astype("<u2")
-    return pd.DataFrame({"shard": [shard], "before": [before], "n_ids": [len(ids)], "doc_ids": [names], "sizes": [sizes], "ids": [ids.tobytes()],
+    return pd.DataFrame({"shard": [shard], "before": [before], "n_ids": [len(ids)], "doc_ids": [names], "sizes": [sizes], "ids": [raw],
                          "counts": [None]})
 
 
