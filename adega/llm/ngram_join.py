@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -205,13 +206,17 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 def _keys(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     """``doc_id, n_shingles, key, sketch`` per row."""
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(t, words) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
-                                "key": pd.array([set_key(s) for s in sets], "Int64"), "sketch": [sketch(s) for s in sets]})
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # texts become Python strings one at a time, sets go at once
+            rows = []
+            for t in batch.column("text"):
+                s = shingle_set(t.as_py(), words)
+                rows.append((len(s), set_key(s), sketch(s)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                 pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "n_shingles", "key", "sketch"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         keys, "doc_id long, n_shingles long, key long, sketch binary")
 
 
@@ -244,12 +249,15 @@ def _shared_signatures(docs: DataFrame, text: str, words: int, num: int, den: in
             for a, b in zip(cut, np.append(cut[1:], len(deal))):
                 yield deal[a], known, s[a:b].tobytes(), k[a:b].tobytes(), i[a:b].tobytes()
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = lambda rows: pd.DataFrame(rows, columns=["deal", "known", "sigs", "keys", "infos"])
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = {"deal": pa.int64(), "known": pa.bool_(), "sigs": pa.binary(), "keys": pa.binary(), "infos": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen, sigs, keys, infos, held = set(), [], [], [], 0
-            for t in batch["text"]:
-                s = shingle_set(t, words)
+            for t in batch.column("text"):
+                s = shingle_set(t.as_py(), words)
                 key = set_key(s)
                 if key is None or key in seen:
                     continue
@@ -260,7 +268,7 @@ def _shared_signatures(docs: DataFrame, text: str, words: int, num: int, den: in
                     keys.append(np.full(len(got), key, np.int64))
                     infos.append(np.full(len(got), band.index << 20 | min(spare, (1 << 20) - 1), np.int32))
                     held += len(got)
-                if held > 1 << 19:
+                if held > 1 << 18:
                     yield frame(list(lot(sigs, keys, infos)))
                     sigs, keys, infos, held = [], [], [], 0
             if sigs:
@@ -297,7 +305,7 @@ def _shared_signatures(docs: DataFrame, text: str, words: int, num: int, den: in
         if sigs:
             yield met(sigs, keys, infos)
 
-    dealt = docs.select(F.col(text).alias("text")).mapInPandas(index, "deal long, known boolean, sigs binary, keys binary, infos binary")
+    dealt = docs.select(F.col(text).alias("text")).mapInArrow(index, "deal long, known boolean, sigs binary, keys binary, infos binary")
     return dealt.repartition(width, "deal").sortWithinPartitions("deal").mapInPandas(shared, "sig long, key long, info int").distinct()
 
 
@@ -386,9 +394,9 @@ def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
         F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first"))
     chosen = chosen.select(F.col("first.doc_id").alias(chosen_id), F.col("first.key").alias(chosen_key))
 
-    @F.pandas_udf("long")
-    def keys(texts: pd.Series) -> pd.Series:
-        return pd.Series([set_key(shingle_set(t, words)) for t in texts], dtype="Int64")
+    @F.arrow_udf("long")
+    def keys(texts: pa.Array) -> pa.Array:
+        return pa.array([set_key(shingle_set(t.as_py(), words)) for t in texts], pa.int64())
 
     keyed = docs.withColumn(key, keys(F.col(text)))
     # a key names one set, so it is the join's key; rows of that set with other ids go
@@ -455,11 +463,11 @@ def similar_links(docs: DataFrame, slim: DataFrame, text: str, doc_id: str, word
 
 def _texts(docs: DataFrame, reps: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     """``key, text`` of the nodes' documents (an id may name several rows: the key tells)."""
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = [set_key(shingle_set(t, words)) == k for t, k in zip(batch["text"], batch["key"])]
-            yield batch.loc[same, ["key", "text"]]
+            same = [set_key(shingle_set(t.as_py(), words)) == k.as_py() for t, k in zip(batch.column("text"), batch.column("key"))]
+            yield batch.filter(pa.array(same, pa.bool_())).select(["key", "text"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.join(reps, F.col("id").eqNullSafe(F.col("doc_id"))).select("key", "text").mapInPandas(
+    return rows.join(reps, F.col("id").eqNullSafe(F.col("doc_id"))).select("key", "text").mapInArrow(
         keyed, "key long, text string").dropDuplicates(["key"])

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,15 +81,15 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, text:
     """Pieces of every whole document: ``doc_id, piece, start, length, ids`` (little-endian
     unsigned 32-bit) and ``ids_crc32``.  A null text is empty: its only id is ``end_id``."""
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
         end = np.array([end_id], "<u4").tobytes()
         encode = encoder(tokenizer, bound=cache_bytes).encode
         for batch in batches:
             rows, held = [], 0
-            for name, body in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-                ids = encode(body) + end
+            for name, body in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = encode(body.as_py()) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at: at + 4 * capacity]
                     rows.append((name, k, at // 4, len(part) // 4, part, zlib.crc32(part)))
@@ -100,12 +101,12 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, text:
                 yield _frame(rows)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(pieces, "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long")
+    return rows.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long")
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids", "ids_crc32"])
-    return out.assign(doc_id=out["doc_id"].astype("Int64"))
+def _frame(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary(), "ids_crc32": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, text: str = "text",

@@ -15,6 +15,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,10 +89,10 @@ def fit_moments(n: np.ndarray, sums: np.ndarray, products: np.ndarray, pool: flo
 def with_statistics(docs: DataFrame, text: str = "text", name: str = "statistics") -> DataFrame:
     """``docs`` plus the array of :func:`text_statistics` of each row's whole text."""
 
-    @F.pandas_udf("array<double>")
-    def statistics(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def statistics(texts: pa.Array) -> pa.Array:
         kept_by_process(None, None)
-        return pd.Series([[float(x) for x in text_statistics(t)] for t in texts], dtype=object)
+        return pa.array([[float(x) for x in text_statistics(t.as_py())] for t in texts], pa.list_(pa.float64()))
 
     return docs.withColumn(name, statistics(F.col(text)))
 
@@ -148,10 +149,10 @@ def with_scores(docs: DataFrame, model: QualityModel, statistics: str | None = N
     def from_statistics(values: pd.Series) -> pd.Series:
         return pd.Series(model.scores(np.array(values.tolist(), float).reshape(-1, len(FEATURES))))
 
-    @F.pandas_udf("double")
-    def from_text(texts: pd.Series) -> pd.Series:
-        kept_by_process(None, None)
-        return pd.Series(model.scores(np.array([text_statistics(t) for t in texts], float).reshape(-1, len(FEATURES))))
+    @F.arrow_udf("double")
+    def from_text(texts: pa.Array) -> pa.Array:
+        kept_by_process(None, None)  # texts become Python strings one at a time
+        return pa.array(model.scores(np.array([text_statistics(t.as_py()) for t in texts], float).reshape(-1, len(FEATURES))))
 
     value = from_statistics(F.col(statistics)) if statistics else from_text(F.col(text))
     return docs.withColumn(score, value).withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
