@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adega.llm.common import ascii_lower, constant_rows, free_name, let
+from adega.llm.common import ascii_lower, constant_rows, free_name, let, stored
 
 #: units of a window frame over diagonals
 _FRAME = 1 << 20
@@ -102,7 +102,8 @@ def scan(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[str, str]]
         # copies of a text vote alike: the distinct template positions are the votes
         .agg(F.collect_set("at").alias("votes")))
     voted = voted.withColumn("same", F.array_distinct(F.concat("votes", F.transform("votes", lambda at: at + 1))))  # words verified
-    found = _spans(voted, coverage, drift, slack)
+    # exact phrases and passages read the votes, a few rows a text: written once, the texts are read once
+    found = _spans(stored(voted, "license-votes"), coverage, drift, slack)
 
     names = {n: free_name(docs, n) for n in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
     h1, h2 = free_name(docs, "license_t1"), free_name(docs, "license_t2")
