@@ -68,12 +68,14 @@ class StatementFilesWriter(DataSourceArrowWriter):
         """Rows sorted by file; a file is written under a private name and then takes
         its own, so that a task that runs twice leaves one whole file."""
         system, base = file_system(self.staging)
-        now, out, held, private, files = None, None, [], "", 0
+        now, out, held, size, private, files = None, None, [], 0, "", 0
 
         def flush() -> None:
+            nonlocal size
             if held:
                 out.write("".join(held).encode(self.encoding))
                 held.clear()
+                size = 0
 
         def close() -> None:
             if now is not None:
@@ -91,8 +93,9 @@ class StatementFilesWriter(DataSourceArrowWriter):
                     out = system.open_output_stream(private)
                     held.append(f"{COUNTRY},{QUANTITY},{VALUE}\n")
                 if is_row:
-                    held.append(",".join(map(csv_cell, cells)) + "\n")
-                if len(held) > 10_000 and sum(map(len, held)) > CHUNK:
+                    held.append(line := ",".join(map(csv_cell, cells)) + "\n")
+                    size += len(line)
+                if size > CHUNK:
                     flush()
         close()
         return Written(files)

@@ -4,7 +4,9 @@ import os
 import re
 import shutil
 import tempfile
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +174,14 @@ def test_last_years_with_numbered_files_and_late_products(spark):
     assert rows(last_n_years_of_files(spark, root, 2, ["old", "new"])) == [("y", 8.0, 10.0)]
     empty = write_statement_files(df.limit(0), fresh("late"), statements=df.select("product", "year"))
     assert rows(last_n_years_of_files(spark, empty, 2)) == [] == rows(totals_by_country(clean_statements(scan_statements(spark, empty))))
+
+
+def test_the_time_of_a_file_follows_its_rows():
+    base = tempfile.mkdtemp(prefix="adega-long-")
+    n = 60_000
+    batch = pa.RecordBatch.from_pydict({
+        "product": ["p"] * n, "file": ["dados_2000.csv"] * n, "is_row": [True] * n, "c": ["c"] * n, "q": ["1"] * n, "v": ["2"] * n})
+    before = time.process_time()
+    StatementFilesWriter(f"{base}-root", f"file://{base}/staging", "UTF-8").write(iter([batch]))
+    assert time.process_time() - before < 5  # adding up the held lines at each row took a minute
+    assert sum(1 for _ in open(f"{base}/staging/p/dados_2000.csv", encoding="utf-8")) == n + 1
