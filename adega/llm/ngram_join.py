@@ -17,8 +17,9 @@ Similar sets share more signatures than one; a node therefore leaves out as many
 its commonest signatures as it can spare (text that many documents have in common).
 
 Equal sets are one node.  For components, a bucket of equal signatures isn't
-expanded into pairs: nodes are linked to bucket pivots first, and only pairs from
-different components of the same bucket are compared afterwards.
+expanded into pairs: nodes are linked to bucket pivots first, and afterwards the nodes of
+a bucket that are in different components are compared by their sketches, block by
+block; only pairs that may be links leave a block.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ _U = np.uint64
 LAYOUTS = 100
 #: equal signatures within one batch beyond which they count as shared at once
 LOCAL_RUN = 32
+#: nodes of a bucket that are compared in one place
+BLOCK = 256
+#: buckets of a sketch, a power of two
+SKETCH = 256
 
 
 class _WordHashes(dict):
@@ -199,9 +204,9 @@ def all_signatures(shingles: np.ndarray, band: Band, num: int, den: int) -> tupl
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Shingles per bucket, 255 at most: two sets differ in as many shingles as their
+    """Shingles per bucket of the hash's first bits, 255 at most: two sets differ in as many shingles as their
     sketches at least."""
-    return np.minimum(np.bincount((shingles >> _U(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((shingles >> _U(65 - SKETCH.bit_length())).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
 
 def _keys(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
@@ -326,11 +331,77 @@ def _met(left: DataFrame) -> DataFrame:
     return met.select("sig", "key").join(degrees, "key")
 
 
+def _bucket_pairs(rows: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``(a, b)``, the smaller key first, of a bucket's nodes (``sig, n, key, root``, ``n`` the
+    bucket's rows) that are in different components and whose sizes and sketches leave
+    room for a link.
+
+    A bucket is cut into blocks of about ``BLOCK`` nodes by a hash of the key, and each two
+    blocks meet in one place, wherever that is: a node goes to as many places as its bucket has
+    blocks, and only pairs that pass leave them."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    placed = (rows.withColumn("blocks", blocks).withColumn("own", own)
+              .join(sketches, "key")
+              .select("sig", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "key", "root", "n_shingles", "sketch")
+              .select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "n_shingles", "sketch"))
+
+    def meet(group: list[np.ndarray], apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own, key, root, size, counts = group
+        low = own == own.min()
+        left, right = (np.flatnonzero(low), np.flatnonzero(~low)) if apart else (np.arange(len(key)),) * 2
+        for at, i in enumerate(left):
+            j = right if apart else right[at + 1:]
+            j = j[root[j] != root[i]]
+            both, gap = size[j] + size[i], np.abs(size[j] - size[i])
+            fits = (den + num) * gap <= (den - num) * both
+            j, both = j[fits], both[fits]
+            if len(j):
+                differ = np.abs(counts[j] - counts[i]).sum(axis=1)
+                j = j[(den + num) * differ <= (den - num) * both]
+                yield np.minimum(key[j], key[i]), np.maximum(key[j], key[i])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("own", "key", "root", "n_shingles")
+        held: list[np.ndarray] | None = None  # rows of the place that the last batch ended in
+        at: tuple | None = None
+
+        def out(group: list[np.ndarray], place: tuple) -> list[tuple[np.ndarray, np.ndarray]]:
+            return list(meet(group, place[1] != place[2])) if len(group[0]) > 1 else []
+
+        def frame(found: list) -> pa.RecordBatch:
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = [batch.column(c).to_numpy() for c in ("sig", "i", "j")]
+            columns = [batch.column(c).to_numpy().astype(np.int64) for c in names]
+            columns.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16))
+            new = np.flatnonzero(np.logical_or.reduce([np.diff(p) != 0 for p in place])) + 1
+            found = []
+            for a, b in zip([0, *new], [*new, batch.num_rows]):
+                here, group = tuple(int(p[a]) for p in place), [c[a:b] for c in columns]
+                if here == at:
+                    held = [np.concatenate(x) for x in zip(held, group)]
+                else:
+                    found += out(held, at) if at is not None else []
+                    held, at = group, here
+            if found:
+                yield frame(found)
+        if at is not None and (found := out(held, at)):
+            yield frame(found)
+
+    return placed.repartition(width, "sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(pairs, "a long, b long")
+
+
 def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose sizes and sketches leave room for a link."""
     @F.pandas_udf("boolean")
     def room(na: pd.Series, nb: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
-        a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, 64).astype(np.int64) for x in (sa, sb))
+        a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, SKETCH).astype(np.int64) for x in (sa, sb))
         na, nb = na.to_numpy(np.int64), nb.to_numpy(np.int64)
         apart = np.maximum(np.abs(a - b).sum(axis=1), np.abs(na - nb))
         return pd.Series((den + num) * apart <= (den - num) * (na + nb))
@@ -341,22 +412,22 @@ def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` of nodes whose sets are similar enough."""
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pivot = None, np.zeros(0, _U)
-        for batch in batches:
-            good = np.zeros(len(batch), bool)
-            for i, (a, ta, tb) in enumerate(zip(batch["a"], batch["ta"], batch["tb"])):
+        for batch in batches:  # texts become Python strings one at a time
+            good = []
+            for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb")):
                 if a != last:
-                    last, pivot = a, shingle_set(ta, words)
-                other = shingle_set(tb, words)
+                    last, pivot = a, shingle_set(ta.as_py(), words)
+                other = shingle_set(tb.as_py(), words)
                 inter = len(np.intersect1d(pivot, other, assume_unique=True))
-                good[i] = den * inter >= num * (len(pivot) + len(other) - inter)
-            yield batch.loc[good, ["a", "b"]]
+                good.append(den * inter >= num * (len(pivot) + len(other) - inter))
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return both.mapInPandas(check, "a long, b long")
+    return both.mapInArrow(check, "a long, b long")
 
 
 def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5,
@@ -422,11 +493,6 @@ def similar_links(docs: DataFrame, slim: DataFrame, text: str, doc_id: str, word
     nodes = slim.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     texts = stored(_texts(docs, nodes.join(shared.select("key").distinct(), "key"), text, doc_id, words), "join-texts")
 
-    def pairs_of(rows: DataFrame) -> DataFrame:
-        """All pairs of a bucket's nodes that are in different components."""
-        a, b = rows.select("sig", F.col("key").alias("a"), F.col("root").alias("ra")), rows.select("sig", F.col("key").alias("b"), F.col("root").alias("rb"))
-        return a.join(b, "sig").where("ra < rb").select("a", "b")
-
     found = tried = state_at = None
     if not every_link:
         state = shared.withColumn("root", F.col("key"))
@@ -451,12 +517,11 @@ def similar_links(docs: DataFrame, slim: DataFrame, text: str, doc_id: str, word
     else:
         state = shared.withColumn("root", F.col("key"))
     # buckets that still hold several components
-    open_ = state.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
-    rest = pairs_of(stored(state.join(open_, "sig"), "join-open"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_ = state.groupBy("sig").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig", "n")
+    rest = _bucket_pairs(stored(state.join(open_, "sig").select("sig", "n", "key", "root"), "join-open"), sketches, num, den).distinct()
     if tried is not None:
         rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    rest = stored(_possible(rest, sketches, num, den), "join-rest")
+    rest = stored(rest, "join-rest")
     last = _verified(rest, texts, words, num, den)
     return last if found is None else found.unionByName(last)
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from adega.llm.catalog import QUERIES
 from adega.llm.components import connected_components
-from adega.llm.ngram_join import all_signatures, bands_of, one_per_group, set_key, shingle_set, signatures, similar_components, sketch
+from adega.llm.ngram_join import BLOCK, SKETCH, _bucket_pairs, all_signatures, bands_of, one_per_group, set_key, shingle_set, signatures, similar_components, sketch
 from tests_llm_helpers import AWKWARD, documents, prose
 
 BLANKS = " \t\n\x0b\f\r"
@@ -217,3 +217,17 @@ def test_links_survive_the_signatures_that_nodes_leave_out(seed):
                 links += 1
                 assert kept[a] & kept[b], (len(sets[a]), len(sets[b]), inter)
     assert links > 20 and gone > 100
+
+
+def test_a_bucket_of_unlike_sets_gives_no_pairs(spark):
+    rng = np.random.default_rng(3)
+    n = 2 * BLOCK + 40
+    sets = [np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64)) for _ in range(n - 2)]
+    sets += [np.delete(sets[0], 5), np.delete(sets[1], [2, 9])]  # two that may be links
+    sketches = spark.createDataFrame([(k, len(s), sketch(s)) for k, s in enumerate(sets)], "key long, n_shingles long, sketch binary")
+    rows = [(sig, n, k, k) for sig in (7, 8) for k in range(n)] + [(9, 2, 0, 0), (9, 2, n - 2, n - 2), (10, 2, 3, 3), (10, 2, 4, 4), (11, 2, 1, 1), (11, 2, n - 1, 1)]
+    got = _bucket_pairs(spark.createDataFrame(rows, "sig long, n long, key long, root long"), sketches, 85, 100)
+    pairs = [tuple(r) for r in got.collect()]
+    assert len(sketch(sets[0])) == SKETCH
+    # once a bucket, whatever blocks the two fell in; equal roots aren't compared
+    assert sorted(pairs) == [(0, n - 2)] * 3 + [(1, n - 1)] * 2
