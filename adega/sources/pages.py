@@ -1,7 +1,8 @@
 """Tables found in stored web pages -> rows of cell texts -> statement rows.
 
 Pages arrive as a DataFrame ``(page_id, url, html)``.  Extraction runs in the
-executors through ``mapInPandas`` (Arrow batches of pages, one parse per page);
+executors through ``mapInArrow`` (Arrow batches of pages, one parse per page, rows
+handed on as soon as there are some thousands of them);
 the per-page helper is the standard-library HTML tokenizer plus a small state
 machine, so nothing but the page text crosses into Python.  Every page is
 parsed whole; if a page cannot be parsed to its end, the rows read so far are kept
@@ -13,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -21,6 +22,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from adega.functions.lookup import map_values
 
 _SKIP_TEXT = {"script", "style", "template"}
+#: rows that leave Python at a time (a page's rows stay together)
+ROWS_OUT = 5_000
 
 
 class _RowCollector(HTMLParser):
@@ -146,13 +149,20 @@ def extract_rows(pages: DataFrame, row_tag: str = "tr", cell_tags: Sequence[str]
     tag, cells_tags = row_tag.lower(), tuple(t.lower() for t in cell_tags)
     out_cols = [id_col, *carry]
 
-    def explode_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def explode_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # pages become Python strings one at a time
             picks, nos, tables, in_table, cells, errors = [], [], [], [], [], []
-            for i, html in enumerate(batch[html_col]):
+
+            def frame() -> pa.RecordBatch:
+                kept = batch.select(out_cols).take(pa.array(picks, pa.int64()))
+                return pa.RecordBatch.from_arrays(
+                    [*kept.columns, pa.array(nos, pa.int32()), pa.array(tables, pa.int32()), pa.array(in_table, pa.int32()),
+                     pa.array(cells, pa.list_(pa.string())), pa.array(errors, pa.string())], names=schema.names)
+
+            for i, html in enumerate(batch.column(html_col)):
                 seen: dict[int, int] = {}
                 broken: list[str] = []
-                found = table_rows_of_page(html, tag, cells_tags, broken.append)
+                found = table_rows_of_page(html.as_py(), tag, cells_tags, broken.append)
                 if broken:
                     if failures is not None:
                         failures.add(1)
@@ -167,16 +177,15 @@ def extract_rows(pages: DataFrame, row_tag: str = "tr", cell_tags: Sequence[str]
                     if table_no is not None:
                         seen[table_no] = seen.get(table_no, 0) + 1
                     cells.append(row)
-            out = batch[out_cols].iloc[picks].reset_index(drop=True)
-            out["row_no"] = pd.Series(nos, dtype="int32")
-            out["table_no"] = pd.Series(tables, dtype="Int32")
-            out["table_row_no"] = pd.Series(in_table, dtype="Int32")
-            out["cells"] = pd.Series(cells, dtype=object)
-            out["page_error"] = pd.Series(errors, dtype=object)
-            yield out
+                if len(picks) >= ROWS_OUT:
+                    yield frame()
+                    for column in (picks, nos, tables, in_table, cells, errors):
+                        column.clear()
+            if picks:
+                yield frame()
 
     source = pages.select(F.col(id_col).cast("long").alias(id_col), *carry, html_col)
-    return source.mapInPandas(explode_pages, schema)
+    return source.mapInArrow(explode_pages, schema)
 
 
 def cells_to_columns(rows: DataFrame, names: Sequence[str], cells_col: str = "cells") -> DataFrame:
@@ -254,18 +263,28 @@ def pages_to_statements(pages: DataFrame, product_codes: dict[tuple[str, str], s
     codes = product_codes or PRODUCT_CODES
     names = ("country", "quantity_kg", "value_usd")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for url, html in zip(batch["url"], batch["html"]):
-                data, error = statement_rows_of_page(html, header, (lambda _: failures.add(1)) if failures is not None else None)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frame(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out))
+            return pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns[:-1]], pa.array(columns[-1], pa.bool_())],
+                                              names=["url", *names, "page_error", "is_row"])
+
+        out: list[tuple] = []
+        for batch in batches:  # pages become Python strings one at a time
+            for url, html in zip(batch.column("url"), batch.column("html")):
+                data, error = statement_rows_of_page(html.as_py(), header, (lambda _: failures.add(1)) if failures is not None else None)
+                link = url.as_py()
                 if error is not None and not data:
-                    out.append((url, None, None, None, error, False))
+                    out.append((link, None, None, None, error, False))
                 for cells in data:
-                    out.append((url, *cells[:3], *[None] * (3 - len(cells)), error, True))
-            yield pd.DataFrame(out, columns=["url", *names, "page_error", "is_row"])
-
-    rows = pages.select("url", "html").mapInPandas(
+                    out.append((link, *cells[:3], *[None] * (3 - len(cells)), error, True))
+                if len(out) >= ROWS_OUT:
+                    yield frame(out)
+                    out = []
+        if out:
+            yield frame(out)
+
+    rows = pages.select("url", "html").mapInArrow(
         read, "url string, country string, quantity_kg string, value_usd string, page_error string, is_row boolean")
     if errors == "fail":
         why = F.concat(F.col("page_error"), F.lit(" in the page "), F.coalesce("url", F.lit("without url")))

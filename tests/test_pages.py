@@ -1,6 +1,8 @@
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from adega.sources.pages import cells_to_columns, extract_rows, pages_to_statements, rows_of_page
+from adega.sources.pages import ROWS_OUT, cells_to_columns, extract_rows, pages_to_statements, rows_of_page
 from adega.operators.clean import clean_statements
 from tests.conftest import rows
 
@@ -153,3 +155,28 @@ def test_broken_pages_carry_their_error_into_statements(spark):
         pages_to_statements(pages).collect()
     (row,) = pages_to_statements(pages, errors="keep").collect()
     assert row["country"] is None and row["page_error"] and row["page_error"] != "no statement table"
+
+
+class _Asked(Exception):
+    pass
+
+
+class _Pages:
+    """Stands for a table of pages and hands out the function that its tasks would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, fn, schema):
+        raise _Asked(fn)
+
+
+@pytest.mark.parametrize("ask", [pages_to_statements, extract_rows])
+def test_rows_leave_python_before_a_whole_batch_of_pages_is_parsed(spark, ask):
+    html = "<table><tr><td>Países</td><td>Quantidade (Kg)</td><td>Valor (US$)</td></tr>" + "<tr><td>X</td><td>1</td><td>2</td></tr>" * 199 + "</table>"
+    n = 300
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "url": ["u"] * n, "html": [html] * n})
+    with pytest.raises(_Asked) as asked:
+        ask(_Pages())
+    sizes = [b.num_rows for b in asked.value.args[0](iter([batch]))]
+    assert sum(sizes) == n * (199 if ask is pages_to_statements else 200) and max(sizes) < ROWS_OUT + 200
