@@ -156,7 +156,7 @@ def statement_table(spark: SparkSession, sf_dir: str, refresh: bool = False) ->
     return materialized(
         spark, "statements", _key(spark, sf_dir),
         build=lambda: statements_from_cells(cells_table(spark, sf_dir)),
-        write=lambda df, path: write_statements(df, path, mode="overwrite", fmt="parquet"),
+        write=lambda df, path: write_statements(df, path, mode="overwrite", fmt="parquet", pieces=1),
         read=lambda path: scan_statements(spark, path, layout="hive", fmt="parquet"),
         refresh=refresh)
 

@@ -27,13 +27,21 @@ def _csv_options(writer, encoding: str = "UTF-8"):
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
-def _partitioned(rows: DataFrame):
-    return (rows.hint("rebalance", PRODUCT, YEAR).sortWithinPartitions(PRODUCT, YEAR, COUNTRY)
-            .write.partitionBy(PRODUCT, YEAR))
+#: pieces a statement is dealt in
+PIECES = 16
+
+
+def _partitioned(rows: DataFrame, pieces: int):
+    if pieces == 1:
+        dealt = rows.hint("rebalance", PRODUCT, YEAR)
+    else:
+        piece = F.pmod(F.xxhash64(COUNTRY, QUANTITY, VALUE, F.spark_partition_id()), F.lit(pieces))
+        dealt = rows.withColumn("_piece", piece).hint("rebalance", PRODUCT, YEAR, "_piece").drop("_piece")
+    return dealt.sortWithinPartitions(PRODUCT, YEAR, COUNTRY).write.partitionBy(PRODUCT, YEAR)
 
 
 def write_statements(df: DataFrame, path: str, mode: str = "errorifexists", fmt: str = "csv",
-                     line_breaks: bool = False, encoding: str = "UTF-8") -> str:
+                     line_breaks: bool = False, encoding: str = "UTF-8", pieces: int = PIECES) -> str:
     """Write ``product, year, country, quantity_kg, value_usd`` under
     ``path/product=<p>/year=<y>/``: CSV (``encoding``, header line) like the source
     files, or ``fmt='parquet'`` for a columnar copy that later scans prune by
@@ -41,10 +49,13 @@ def write_statements(df: DataFrame, path: str, mode: str = "errorifexists", fmt:
 
     Partitioning by product and year gives one directory per statement, and a
     later year or product filter prunes directories instead of reading them.
-    Rows are first rebalanced on (product, year) (``REBALANCE`` hint): each task
-    then writes one statement, AQE merges small statements into fewer tasks and
-    splits a statement that holds a large share of the rows into
-    advisory-sized pieces, without a sampling pass over the input.
+    Rows are first rebalanced on (product, year, piece) (``REBALANCE`` hint), a
+    row's piece being a hash of the row and of the task that read it: AQE merges
+    small pieces into fewer tasks and splits large ones, without a sampling pass
+    over the input.  AQE splits between the tasks that read the rows, so without
+    pieces a task that reads nothing but one statement (a table that is already
+    partitioned) would hand all its rows to one task to sort.  Rows that come mixed
+    are split well enough with ``pieces=1``, in fewer files.
 
     Within each task rows are sorted by (product, year, country): the writer needs
     the partition order anyway, and the country order keeps each parquet row
@@ -54,9 +65,9 @@ def write_statements(df: DataFrame, path: str, mode: str = "errorifexists", fmt:
     fails the write unless ``line_breaks`` (then read with ``multi_line=True``).
     """
     if fmt == "csv":
-        _csv_options(_partitioned(_csv_rows(df, line_breaks)).mode(mode), encoding).csv(path)
+        _csv_options(_partitioned(_csv_rows(df, line_breaks), pieces).mode(mode), encoding).csv(path)
     else:
-        _partitioned(df.select(PRODUCT, YEAR, COUNTRY, QUANTITY, VALUE)).mode(mode).format(fmt).save(path)
+        _partitioned(df.select(PRODUCT, YEAR, COUNTRY, QUANTITY, VALUE), pieces).mode(mode).format(fmt).save(path)
     return path
 
 

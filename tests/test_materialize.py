@@ -59,3 +59,23 @@ def test_pt_br_and_statement_shape(spark):
                    ("Total", "1.234.567", "2.507")]
     big = spark.createDataFrame([(9223372036854775807,), (999,)], "x bigint")
     assert rows(big.select(pt_br(F.col("x")))) == [("9.223.372.036.854.775.807",), ("999",)]
+
+
+def test_a_statement_that_one_task_reads_is_dealt_to_several(spark):
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+            "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    src = spark.range(0, 20_000, 1, 1).select(
+        F.lit("P").alias("product"), F.lit(2000).alias("year"), F.concat(F.lit("C"), F.col("id") % 7).alias("country"),
+        F.xxhash64("id").cast("string").alias("quantity_kg"), F.col("id").cast("string").alias("value_usd"))
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        path = write_statements(src, tempfile.mkdtemp(prefix="adega-dealt-") + "/out")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = [f for _, _, fs in os.walk(path) for f in fs if f.endswith(".csv")]
+    assert len(files) >= 4  # all rows went to one task, which sorted them
+    assert sorted(rows(scan_statements(spark, path, layout="hive"))) == sorted(rows(src))
