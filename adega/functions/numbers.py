@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from adega.functions._col import as_col
 
+#: the statements' missing mark.  It is looked for before the cast: a failed cast costs an
+#: exception, many times a parsed number
+_MARK = "-"
+
 
 def parse_locale_number(col: Column | str, thousands: str = ".",
                         decimal: str | None = None, dtype: str = "double") -> Column:
@@ -23,12 +27,12 @@ def parse_locale_number(col: Column | str, thousands: str = ".",
     as a decimal point.  ``dtype`` may be a decimal type (``"decimal(20,2)"``)
     for exact sums beyond 2^53.
     """
-    text = as_col(col)
+    cell = text = as_col(col)
     if thousands:  # literal replacement: no regex engine per row
         text = F.replace(text, F.lit(thousands), F.lit(""))
     if decimal and decimal != ".":
         text = F.replace(text, F.lit(decimal), F.lit("."))
-    return text.try_cast(dtype)
+    return F.when(cell != F.lit(_MARK), text.try_cast(dtype))
 
 
 def parse_digits(col: Column | str, dtype: str = "double") -> Column:
@@ -36,5 +40,6 @@ def parse_digits(col: Column | str, dtype: str = "double") -> Column:
 
     ``"1.783"`` -> 1783.0, ``" 12,5 "`` -> 12.5, ``-`` -> null.
     """
-    kept = F.regexp_replace(as_col(col), "[^0-9,]", "")
-    return F.replace(kept, F.lit(","), F.lit(".")).try_cast(dtype)
+    cell = as_col(col)
+    kept = F.regexp_replace(cell, "[^0-9,]", "")
+    return F.when(cell != F.lit(_MARK), F.replace(kept, F.lit(","), F.lit(".")).try_cast(dtype))

@@ -5,7 +5,7 @@ import time
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from adega.sources.driver_tables import pt_br, statements_from_cells
+from adega.sources.driver_tables import by_country, pt_br, statements_from_cells
 from adega.sources.materialize import fingerprint, materialized
 from adega.sources.statements import scan_statements
 from adega.sources.writers import write_statements
@@ -61,6 +61,25 @@ def test_pt_br_and_statement_shape(spark):
     assert rows(big.select(pt_br(F.col("x")))) == [("9.223.372.036.854.775.807",), ("999",)]
 
 
+def test_pt_br_equals_format_number(spark):
+    numbers = [None, 0, 5, -5, 999, -999, 1000, 1005, -1000, 12345, 999999, 1000000, -1234567, 100000, -(1 << 63), (1 << 63) - 1]
+    df = spark.createDataFrame([(n,) for n in numbers], "x bigint")
+    plain = F.coalesce(F.translate(F.format_number("x", 0), ",", "."), F.lit("-"))
+    assert rows(df.select(pt_br(F.col("x")))) == rows(df.select(plain))
+
+
+def test_cells_are_sorted_by_one_number(spark):
+    got = [("B", "e", 3), ("A", "w", None), ("B", "e", 1), ("A", "w", 2), (None, "e", 1), ("B", "e", 2)]
+    df = by_country(spark.createDataFrame(got, "country string, state string, group_code int").coalesce(1))
+    order = df._jdf.queryExecution().sparkPlan().outputOrdering()
+    assert order.size() == 1 and order.apply(0).dataType().typeName() == "long"  # no names are compared
+    out = rows(df)
+    assert sorted(out, key=str) == sorted(got, key=str)
+    assert [r[2] for r in out if r[0] == "B"] == [1, 2, 3]
+    names = [r[0] for r in out]
+    assert all(names[i:i + names.count(n)] == [n] * names.count(n) for n, i in ((n, names.index(n)) for n in set(names)))
+
+
 def test_a_statement_that_one_task_reads_is_dealt_to_several(spark):
     conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
             "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",

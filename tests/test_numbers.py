@@ -51,3 +51,11 @@ def test_decimal_measures(spark):
     got = rows(typed.agg({"quantity_kg": "sum"}))
     assert got == [(Decimal("9007199254740994.00"),)]  # exact beyond 2^53
     assert rows(typed.filter("country = 'A'"), "value_usd") == [(Decimal("1234.50"),)]
+
+
+def test_the_missing_mark_is_not_cast(spark):
+    # a failed cast raises and catches an exception per row
+    df = spark.createDataFrame([("-",), ("1.5",), (" - ",), ("--",), ("-7",)], "t string")
+    parsed = df.select(parse_locale_number("t").alias("a"), parse_digits("t").alias("b"))
+    assert rows(parsed) == [(None, None), (15.0, 15.0), (None, None), (None, None), (-7.0, 7.0)]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("= -)") == 2
