@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +48,19 @@ def constant_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
 
 
+def one_by_one(batches: Iterator) -> Iterator:
+    """Batches of a Python stage; what Arrow's pool holds of earlier ones goes back to the
+    system after each, so that a waiting worker doesn't keep it."""
+    for batch in batches:
+        yield batch
+        del batch
+        arrow_trimmed()
+
+
+def arrow_trimmed() -> None:
+    pa.default_memory_pool().release_unused()
+
+
 _KEPT: dict = {}
 
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adega.llm.common import free_name, kept_by_process, removed, stored, stored_at
+from adega.llm.common import arrow_trimmed, free_name, kept_by_process, one_by_one, removed, stored, stored_at
 from adega.llm.components import connected_components
 
 _U = np.uint64
@@ -47,11 +47,15 @@ LOCAL_RUN = 32
 BLOCK = 256
 #: buckets of a sketch, a power of two
 SKETCH = 256
+#: what a word has
+WORD = r"[^\x20\x09-\x0D]"
+#: words whose hashes a worker keeps
+WORDS = 20_000
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= WORDS:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -212,7 +216,7 @@ def sketch(shingles: np.ndarray) -> bytes:
 def _keys(docs: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     """``doc_id, n_shingles, key, sketch`` per row."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # texts become Python strings one at a time, sets go at once
+        for batch in one_by_one(batches):  # texts become Python strings one at a time, sets go at once
             rows = []
             for t in batch.column("text"):
                 s = shingle_set(t.as_py(), words)
@@ -259,7 +263,7 @@ def _shared_signatures(docs: DataFrame, text: str, words: int, num: int, den: in
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in one_by_one(batches):
             seen, sigs, keys, infos, held = set(), [], [], [], 0
             for t in batch.column("text"):
                 s = shingle_set(t.as_py(), words)
@@ -294,7 +298,7 @@ def _shared_signatures(docs: DataFrame, text: str, words: int, num: int, den: in
 
     def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, sigs, keys, infos = None, [], [], []
-        for batch in batches:
+        for batch in one_by_one(batches):
             for deal, known, s, k, i in zip(batch["deal"], batch["known"], batch["sigs"], batch["keys"], batch["infos"]):
                 s, k, i = np.frombuffer(s, np.int64), np.frombuffer(k, np.int64), np.frombuffer(i, np.int32)
                 if known:
@@ -374,7 +378,7 @@ def _bucket_pairs(rows: DataFrame, sketches: DataFrame, num: int, den: int) -> D
             a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for batch in batches:
+        for batch in one_by_one(batches):
             if not batch.num_rows:
                 continue
             place = [batch.column(c).to_numpy() for c in ("sig", "i", "j")]
@@ -414,7 +418,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int
     """The pairs ``(a, b)`` of nodes whose sets are similar enough."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pivot = None, np.zeros(0, _U)
-        for batch in batches:  # texts become Python strings one at a time
+        for batch in one_by_one(batches):  # texts become Python strings one at a time
             good = []
             for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb")):
                 if a != last:
@@ -467,14 +471,18 @@ def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
 
     @F.arrow_udf("long")
     def keys(texts: pa.Array) -> pa.Array:
+        arrow_trimmed()
         return pa.array([set_key(shingle_set(t.as_py(), words)) for t in texts], pa.int64())
 
-    keyed = docs.withColumn(key, keys(F.col(text)))
+    # a text has a set if it has a word: rows without one needn't pass through Python
+    worded = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    # (called non-deterministic, or the optimiser calls it again in the filters that a join infers)
+    keyed = docs.where(worded).withColumn(key, keys.asNondeterministic()(F.col(text)))
     # a key names one set, so it is the join's key; rows of that set with other ids go
-    met = keyed.where(F.col(key).isNotNull()).join(chosen, F.col(key) == F.col(chosen_key)).where(
+    met = keyed.join(chosen, F.col(key) == F.col(chosen_key)).where(
         F.col(doc_id).cast("long").eqNullSafe(F.col(chosen_id)))
     kept = met.dropDuplicates([key]).select(*docs.columns)
-    return kept.unionByName(keyed.where(F.col(key).isNull()).select(*docs.columns))
+    return kept.unionByName(docs.where(~worded))
 
 
 def similar_links(docs: DataFrame, slim: DataFrame, text: str, doc_id: str, words: int, threshold: tuple[int, int],
@@ -529,7 +537,7 @@ def similar_links(docs: DataFrame, slim: DataFrame, text: str, doc_id: str, word
 def _texts(docs: DataFrame, reps: DataFrame, text: str, doc_id: str, words: int) -> DataFrame:
     """``key, text`` of the nodes' documents (an id may name several rows: the key tells)."""
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in one_by_one(batches):
             same = [set_key(shingle_set(t.as_py(), words)) == k.as_py() for t, k in zip(batch.column("text"), batch.column("key"))]
             yield batch.filter(pa.array(same, pa.bool_())).select(["key", "text"])
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adega.llm.common import constant_rows, stored
+from adega.llm.common import constant_rows, one_by_one, stored
 from adega.llm.token_ids import encoder
 
 #: bytes of a worker's cache of encoded pieces
@@ -86,7 +86,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, text:
 
         end = np.array([end_id], "<u4").tobytes()
         encode = encoder(tokenizer, bound=cache_bytes).encode
-        for batch in batches:
+        for batch in one_by_one(batches):
             rows, held = [], 0
             for name, body in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 ids = encode(body.as_py()) + end

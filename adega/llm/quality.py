@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adega.llm.common import free_name, kept_by_process, stored
+from adega.llm.common import arrow_trimmed, free_name, kept_by_process, stored
 
 FEATURES = ("words", "word_length", "upper_words", "marks", "bangs", "bars", "vocabulary", "stutter", "line_length", "digits", "stops",
             "worst")
@@ -92,6 +92,7 @@ def with_statistics(docs: DataFrame, text: str = "text", name: str = "statistics
     @F.arrow_udf("array<double>")
     def statistics(texts: pa.Array) -> pa.Array:
         kept_by_process(None, None)
+        arrow_trimmed()
         return pa.array([[float(x) for x in text_statistics(t.as_py())] for t in texts], pa.list_(pa.float64()))
 
     return docs.withColumn(name, statistics(F.col(text)))
@@ -152,6 +153,7 @@ def with_scores(docs: DataFrame, model: QualityModel, statistics: str | None = N
     @F.arrow_udf("double")
     def from_text(texts: pa.Array) -> pa.Array:
         kept_by_process(None, None)  # texts become Python strings one at a time
+        arrow_trimmed()
         return pa.array(model.scores(np.array([text_statistics(t.as_py()) for t in texts], float).reshape(-1, len(FEATURES))))
 
     value = from_statistics(F.col(statistics)) if statistics else from_text(F.col(text))

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 
+from adega.llm import common, ngram_join
 from adega.llm.catalog import QUERIES
 from adega.llm.components import connected_components
 from adega.llm.ngram_join import BLOCK, SKETCH, _bucket_pairs, all_signatures, bands_of, one_per_group, set_key, shingle_set, signatures, similar_components, sketch
@@ -231,3 +232,23 @@ def test_a_bucket_of_unlike_sets_gives_no_pairs(spark):
     assert len(sketch(sets[0])) == SKETCH
     # once a bucket, whatever blocks the two fell in; equal roots aren't compared
     assert sorted(pairs) == [(0, n - 2)] * 3 + [(1, n - 1)] * 2
+
+
+def test_a_worker_keeps_few_word_hashes():
+    common.kept_by_process(None, None)
+    text = " ".join(f"w{k}" for k in range(2 * ngram_join.WORDS))
+    whole = ngram_join.shingle_set(text, 5)
+    assert len(common._KEPT["word hashes"]) <= ngram_join.WORDS == 20_000  # 200,000 before
+    assert len(whole) == 2 * ngram_join.WORDS - 4 and (whole == ngram_join.shingle_set(text, 5)).all()
+
+
+def test_rows_without_words_stay_and_pass_no_python(spark):
+    texts = [None, "", " \t\n\x0b\f\r ", "\xa0", "\xa0", "\u2003", "\x1c", "a b", "A  b", "\n"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = ngram_join.one_per_group(docs)
+    assert sorted(r[0] for r in got.collect()) == [0, 1, 2, 3, 5, 6, 7, 9]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1  # each filter on the key had its own
+
+
+def test_batches_pass_one_by_one():
+    assert list(common.one_by_one(iter([1, 2, 3]))) == [1, 2, 3]
