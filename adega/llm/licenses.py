@@ -17,13 +17,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adega.llm.common import ascii_lower, constant_rows, free_name, let, stored
+from adega.llm.common import ascii_lower, constant_rows, free_name, stored
 
 #: units of a window frame over diagonals
 _FRAME = 1 << 20
 
 #: words of a license scan: ASCII letters and digits, and everything beyond ASCII
 WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: the same words of a text whose A-Z aren't lower-cased yet; Java matches ranges many times faster than a complement of ranges
+WORDS_ANY_CASE = "[0-9A-Za-z\\x80-\\x{10FFFF}]+"
 
 #: fixed values: phrases whose exact places are counted, with their labels
 PHRASES: tuple[tuple[str, str], ...] = (
@@ -77,24 +79,26 @@ def scan(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[str, str]]
     a trailing underscore.  An empty table stays empty."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    words = F.regexp_extract_all(ascii_lower(body), F.lit(WORDS), F.lit(0))
     key = [F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(7_046_029), body).alias("t2")]
 
     templates = [(p.split(" "), label, True) for p, label in phrases] + [(p.split(" "), label, False) for p, label in passages]
     grams = constant_rows(
         spark, [(k, label, exact, w, i) for k, (w, label, exact) in enumerate(templates) for i in range(len(w) - 1)],
         "template int, label string, exact boolean, wanted array<string>, at int",
-    ).withColumn("gram", F.xxhash64(F.element_at("wanted", F.col("at") + 1), F.element_at("wanted", F.col("at") + 2)))
-
-    # one entry per word but the last: the hash of it and its successor
-    pairs = let(words, lambda w: F.struct(
-        w.alias("words"), F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))),
-                                     lambda a, b: F.xxhash64(a, b)).alias("grams")))
-    read = docs.select(*key, pairs.alias("p")).select("t1", "t2", "p.words", F.posexplode("p.grams").alias("pos", "gram"))
-    hits = read.join(F.broadcast(grams), "gram")
+    )
+    # hashed as any letters' lower case, which is cheap; a word that is not ASCII can only be one of a template that isn't either
+    lower = F.lower if all(p.isascii() for p, _ in (*phrases, *passages)) else ascii_lower
+    gram = lambda a, b: F.xxhash64(lower(a), lower(b))
+    grams = grams.withColumn("gram", gram(F.element_at("wanted", F.col("at") + 1), F.element_at("wanted", F.col("at") + 2)))
+
+    # one row per word, with the hash of it and its successor; "outer" keeps the optimiser from
+    # splitting each text once more to see whether it has words
+    words = F.regexp_extract_all(body, F.lit(WORDS_ANY_CASE), F.lit(0))
+    read = docs.select(*key, words.alias("words")).select("*", F.posexplode_outer("words").alias("pos", "word"))
+    hits = read.withColumn("gram", gram(F.col("word"), F.get("words", F.col("pos") + 1))).join(F.broadcast(grams), "gram")
     # the hash is verified with the words themselves; these expressions stay inside generated
     # code, so a long text's word array is never copied to its hits
-    same = [F.element_at("words", F.col("pos") + k) == F.element_at("wanted", F.col("at") + k) for k in (1, 2)]
+    same = [ascii_lower(F.get("words", F.col("pos") + k)) == F.element_at("wanted", F.col("at") + 1 + k) for k in (0, 1)]
     voted = (
         hits.where(same[0] & same[1])
         .select("t1", "t2", "template", "label", "exact", (F.col("pos") - F.col("at")).alias("diagonal"), "at", F.size("wanted").alias("length"))
@@ -107,7 +111,7 @@ def scan(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[str, str]]
 
     names = {n: free_name(docs, n) for n in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
     h1, h2 = free_name(docs, "license_t1"), free_name(docs, "license_t2")
-    counted = docs.select("*", key[0].alias(h1), key[1].alias(h2), F.regexp_count(ascii_lower(body), F.lit(WORDS)).cast("long").alias(names["n_words"]))
+    counted = docs.select("*", key[0].alias(h1), key[1].alias(h2), F.regexp_count(body, F.lit(WORDS_ANY_CASE)).cast("long").alias(names["n_words"]))
     out = counted.join(found.withColumnsRenamed({"t1": h1, "t2": h2}), [h1, h2], "left")
     none = F.array().cast("array<struct<label:string,start:int,end:int,share:double>>")
     return out.select(

@@ -115,3 +115,31 @@ def test_query_matches_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = QUERIES["op9_licenses"](spark, sf).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_any_case_words_are_the_words_of_every_character(spark):
+    from pyspark.sql import functions as F
+
+    from adega.llm.licenses import WORDS_ANY_CASE
+
+    rows = spark.range(1, 0x110000).where("id < 55296 or id > 57343").select(F.decode(F.encode(F.format_string("%c", F.col("id").cast("int")), "UTF-8"), "UTF-8").alias("c"))
+    low = F.translate("c", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    text = lambda c: F.concat(F.lit("x"), c, F.lit("y"))
+    got = rows.select(F.regexp_count(text(F.col("c")), F.lit(WORDS_ANY_CASE)).alias("a"), F.regexp_count(text(low), F.lit(WORDS)).alias("b"))
+    assert got.where("a = b").count() == 0x10FFFF - 2048 and got.where("a = 2").count() == 128 - 62 - 1
+
+
+def test_only_ascii_letters_match_in_any_case(spark):
+    texts = ["Licen\u00e7a P\u00daBLICA", "LICEN\u00c7A p\u00fablica", "licen\u00e7a p\u00fablica", "public \u212aey", "Public KEY", "public \u017fey", "public"]
+    rows = [(k, t, "en", "a") for k, t in enumerate(texts)]
+    for phrases in ([("public key", "k")], [("licen\u00e7a p\u00fablica", "p"), ("public key", "k"), ("Public KEY", "never")]):
+        got = {r["doc_id"]: r for r in scan(documents(spark, rows, extra=False), phrases=phrases, passages=()).collect()}
+        assert [got[k]["base_labels"] for k in range(7)] == ["", "", "p" * (len(phrases) > 1), "", "k", "", ""]
+        assert [got[k]["n_words"] for k in range(7)] == [2, 2, 2, 2, 2, 2, 1]
+
+
+def test_a_text_is_matched_by_ranges_only(spark):
+    """Java takes many times longer over a complement of ranges; a text is split once."""
+    found = scan(documents(spark, [(1, "MIT License", "en", "a")], extra=False))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^" not in plan and "regexp_extract_all" in plan
