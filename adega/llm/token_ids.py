@@ -17,6 +17,8 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from adega.llm.common import kept_by_process
 
@@ -119,8 +121,18 @@ class PieceEncoder(dict):
         self.held += ENTRY_BYTES + len(piece) + len(got)
         return got
 
+    def parted(self, piece: str) -> bytes:
+        """Ids of a piece; of a word with marks after it only the word is kept, so that more
+        words are (for pieces that are looked up once in many texts)."""
+        word = piece.rstrip("-.,;:!?*#$%&|/()")
+        if word and len(word) < len(piece) and (word.isalpha() if word.isascii() else _LETTERS.fullmatch(word)):
+            return self[word] + self.at_start(piece[len(word):])
+        return self[piece]
+
     def fresh(self, piece: str) -> bytes:
         """Ids of a piece that isn't known."""
+        if self.space and piece.isascii() and piece.isalpha():
+            return array(self.code, [t.id for t in self.model.tokenize(self.lead + piece)]).tobytes()
         if _LETTERS.fullmatch(piece):
             if not self.space and (low := piece.lower()) != piece:
                 return self[low]
@@ -133,6 +145,13 @@ class PieceEncoder(dict):
             return self[low]
         return self.library(self.space + piece)
 
+    def from_start(self, head: str) -> bytes:
+        """Ids of what stands before a text's first space."""
+        if "\n" in head:
+            lead, *more = head.split("\n")
+            return self.at_start(lead) + b"".join(self.line + self.at_start(x) for x in more)
+        return self.at_start(head)
+
     def encode(self, text: str | None) -> bytes:
         """Id bytes of a whole text (null or empty: none)."""
         if not text:
@@ -140,16 +159,60 @@ class PieceEncoder(dict):
         if not any(s in text for s in self.special):
             head, *rest = text.split(" ")
             try:
-                if "\n" in head:
-                    lead, *more = head.split("\n")
-                    start = self.at_start(lead) + b"".join(self.line + self.at_start(x) for x in more)
-                else:
-                    start = self.at_start(head)
-                return start + b"".join(map(self.__getitem__, rest))
+                return self.from_start(head) + b"".join(map(self.__getitem__, rest))
             except _Blank:
                 pass
         return self.library(text)
 
+    def encode_all(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each text's followed by ``end``, and how many each has.
+        A piece is looked up once, however often the texts repeat it.  What this holds follows
+        the texts, so give a few megabytes at a time."""
+        texts = pc.fill_null(texts, "")
+        split = pc.split_pattern(texts, " ")
+        pieces = split.flatten().dictionary_encode()
+        codes, n = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int32), len(texts)
+        n_pieces = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        text_of, first = np.repeat(np.arange(n, dtype=np.int32), n_pieces), n_pieces.cumsum() - n_pieces
+        heads = pieces.dictionary.take(pieces.indices.take(pa.array(first))).to_pylist()
+        later = np.ones(len(codes), bool)
+        later[first] = False
+
+        # entries: the pieces after a space, then each text's start
+        used = np.flatnonzero(np.bincount(codes[later], minlength=len(pieces.dictionary)))
+        entries, blank = [b""] * len(pieces.dictionary), np.zeros(len(pieces.dictionary), bool)
+        for code, piece in zip(used.tolist(), pieces.dictionary.take(pa.array(used)).to_numpy(zero_copy_only=False)):
+            try:
+                entries[code] = self.parted(piece)
+            except _Blank:
+                blank[code] = True
+        whole = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(bool)
+        whole[text_of[later & blank[codes]]] = True
+        for mark in self.special:
+            whole |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        for k, head in enumerate(heads):
+            if not whole[k]:
+                try:
+                    entries.append(self.from_start(head))
+                    continue
+                except _Blank:
+                    whole[k] = True
+            entries.append(self.encode(texts[k].as_py()))  # all of it stands for its start
+        codes[first] = np.arange(n) + len(blank)
+        kept = ~(whole[text_of] & later)
+        n_pieces = np.bincount(text_of[kept], minlength=n)
+        codes = np.insert(codes[kept], n_pieces.cumsum(), len(entries))
+        entries.append(end)
+
+        size = np.fromiter(map(len, entries), np.int32, len(entries)) // self.dtype.itemsize
+        n_ids = size[codes]
+        ends = n_ids.cumsum(dtype=np.int64)
+        # place of each id among the entries' ids
+        place = np.repeat((size.cumsum(dtype=np.int64) - size)[codes] - (ends - n_ids), n_ids)
+        place += np.arange(len(place))
+        ids = np.frombuffer(b"".join(entries), self.dtype)[place]
+        return ids, np.diff(ends[(n_pieces + 1).cumsum() - 1], prepend=0)
+
 
 def encoder(path: str, width: int = 4, bound: int = CACHE_BYTES) -> PieceEncoder:
     """This process's encoder of a vocabulary file (Python workers are reused, so

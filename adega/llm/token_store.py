@@ -18,10 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from adega.llm.common import one_by_one
 from adega.llm.token_ids import encoder, vocabulary_size
 from adega.session import scratch_path
 
@@ -31,6 +34,9 @@ BLOCK_IDS = 1 << 18
 #: bytes of a worker's cache of encoded pieces
 CACHE_BYTES = 112 << 20
 
+#: bytes of texts encoded at once (a longer text alone)
+SLICE_BYTES = 5 << 20
+
 #: control byte -> byte counts of its four ranks
 _COUNTS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 
@@ -43,7 +49,8 @@ def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     codes[: len(ranks)] = size - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    width = 2 if len(ranks) and int(ranks.max()) < 1 << 16 else 4
+    data = ranks.astype(f"<u{width}", copy=False).view(np.uint8).reshape(-1, width)[np.arange(width) < size[:, None]]
     return control.tobytes(), data.tobytes()
 
 
@@ -51,10 +58,11 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The inverse of :func:`pack_ranks`: ``n`` ranks as uint32."""
     size = _COUNTS[np.frombuffer(control, np.uint8)].ravel()[:n]
     first = np.cumsum(size) - size
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)]).astype(np.uint32)
-    out = raw[first]
+    raw = np.frombuffer(data, np.uint8)
+    out = raw[first].astype(np.uint32)
     for byte in range(1, int(size.max()) if n else 1):
-        out |= np.where(size > byte, raw[first + byte], 0).astype(np.uint32) << np.uint32(8 * byte)
+        longer = np.flatnonzero(size > byte)
+        out[longer] |= raw[first[longer] + byte].astype(np.uint32) << np.uint32(8 * byte)
     return out
 
 
@@ -69,32 +77,33 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int, te
     stage = scratch_path(spark, "llm-token-ids")
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
-    def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], f"<u{width}").tobytes()
-        encode = encoder(tokenizer, width, CACHE_BYTES).encode
+        encode_all = encoder(tokenizer, width, CACHE_BYTES).encode_all
         shard, before, names, sizes, out, held = TaskContext.get().partitionId(), 0, [], [], [], 0
         seen = _Counts()
-        for batch in batches:
-            # object dtype keeps null ids null
-            for name, body in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-                got = encode(body) + end
-                names.append(None if name is pd.NA else int(name))
-                sizes.append(len(got) // width)
-                out.append(got)
-                held += sizes[-1]
-                if held >= BLOCK_IDS:
-                    yield _block(shard, before, names, sizes, out, seen)
-                    before, names, sizes, out, held = before + held, [], [], [], 0
+        for batch in one_by_one(batches):
+            for part in _slices(batch):
+                got, lengths = encode_all(part["text"], end)
+                at = 0
+                for name, size in zip(part["doc_id"].to_pylist(), lengths.tolist()):
+                    names.append(name)
+                    sizes.append(size)
+                    out.append(got[at: at + size])
+                    at += size
+                    held += size
+                    if held >= BLOCK_IDS:
+                        yield _block(shard, before, names, sizes, out, seen)
+                        before, names, sizes, out, held = before + held, [], [], [], 0
         if names:
             yield _block(shard, before, names, sizes, out, seen)
         if len(seen.total):  # a row of its own, read without the ids
-            yield pd.DataFrame({"shard": [shard], "before": [before], "n_ids": [0], "doc_ids": [None], "sizes": [None], "ids": [None],
-                                "counts": [seen.total.astype("<i8").tobytes()]})
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "before": before, "n_ids": 0, "counts": seen.total.astype("<i8").tobytes()}], _STAGED)
 
     schema = "shard int, before long, n_ids long, doc_ids array<bigint>, sizes array<int>, ids binary, counts binary"
-    ranged.mapInPandas(ids, schema).write.parquet(stage)
+    ranged.mapInArrow(ids, schema).write.parquet(stage)
     staged = spark.read.schema(schema).parquet(stage)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,12 +155,24 @@ def _staged(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
 
 
-def _block(shard, before, names, sizes, out, seen: _Counts) -> pd.DataFrame:
-    raw = b"".join(out)
-    ids = _staged(raw, sum(sizes))
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts have ``SLICE_BYTES`` at most, or one row."""
+    ends = np.append(0, pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).cumsum(dtype=np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + SLICE_BYTES, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+_STAGED = pa.schema([("shard", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+                     ("sizes", pa.list_(pa.int32())), ("ids", pa.binary()), ("counts", pa.binary())])
+
+
+def _block(shard, before, names, sizes, out, seen: _Counts) -> pa.RecordBatch:
+    ids = np.concatenate(out)
     seen.add(np.bincount(ids))
-    return pd.DataFrame({"shard": [shard], "before": [before], "n_ids": [len(ids)], "doc_ids": [names], "sizes": [sizes], "ids": [raw],
-                         "counts": [None]})
+    return pa.RecordBatch.from_pylist([{"shard": shard, "before": before, "n_ids": len(ids), "doc_ids": names, "sizes": sizes, "ids": ids.tobytes()}], _STAGED)
 
 
 def _ids_by_rank(spark: SparkSession, path: str) -> np.ndarray:

@@ -154,3 +154,42 @@ def test_a_worker_keeps_one_cache_of_bounded_bytes():
     assert list(common._KEPT) == ["word hashes"] and encoder(BYTE, bound=200_000) is not small
     common.kept_by_process(None, None)
     assert not common._KEPT
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from(PIECES), max_size=14).map("".join) | st.text(max_size=20).filter(lambda t: t.isprintable()), max_size=8))
+def test_ids_of_many_texts_are_the_librarys(path, texts):
+    import pyarrow as pa
+
+    end = np.array([2], "<u4").tobytes()
+    got, sizes = ENCODERS[path].encode_all(pa.array(texts, pa.string()), end)
+    want = [ids_of(path, t, 2) for t in texts]
+    assert got.tobytes() == b"".join(want) and sizes.tolist() == [len(w) // 4 for w in want]
+
+
+def test_a_piece_of_many_texts_is_looked_up_once():
+    import pyarrow as pa
+
+    class Counting(PieceEncoder):
+        asked = 0
+
+        def __getitem__(self, piece):
+            self.asked += 1
+            return super().__getitem__(piece)
+
+    own = Counting(BYTE)
+    got, sizes = own.encode_all(pa.array(["one two two", "one three two"] * 500))
+    assert own.asked == 2 and sizes.tolist() == [3] * 1000 and len(got) == 3000
+
+
+def test_slices_hold_every_row_within_their_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from adega.llm.token_store import _slices
+
+    monkeypatch.setattr("adega.llm.token_store.SLICE_BYTES", 10)
+    texts = ["a" * n for n in (3, 7, 0, 11, 10, 1, 25)] + [None, "b"]
+    parts = [p["text"].to_pylist() for p in _slices(pa.RecordBatch.from_pydict({"text": texts}))]
+    assert sum(parts, []) == texts and all(len(p) == 1 or sum(len(t or "") for t in p) <= 10 for p in parts)
+    assert len(parts) == 6
